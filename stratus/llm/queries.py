@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stratus.llm import cuckoo, near_dup
+from stratus.llm import cuckoo, near_dup, suffix_index
 
 QUERIES = {
     "op1_near_dup": near_dup.query,
     "op7_exact_dedup": cuckoo.query,
+    "op10_suffix_dedup": suffix_index.query,
 }
 ORACLES = {"op7_exact_dedup": cuckoo.SQL}
