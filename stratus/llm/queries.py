@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from stratus.llm import cuckoo, near_dup, suffix_index
+from stratus.llm import crf_quality, cuckoo, near_dup, suffix_index, token_blocks
 
 QUERIES = {
     "op1_near_dup": near_dup.query,
+    "op3_token_blocks": token_blocks.query,
+    "op6_quality_crf": crf_quality.query,
     "op7_exact_dedup": cuckoo.query,
     "op10_suffix_dedup": suffix_index.query,
 }
