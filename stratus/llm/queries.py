@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from stratus.llm import crf_quality, cuckoo, near_dup, suffix_index, token_blocks
+from stratus.llm import crf_quality, cuckoo, line_dedup, near_dup, secret_scan, suffix_index, token_blocks
 
 QUERIES = {
     "op1_near_dup": near_dup.query,
     "op3_token_blocks": token_blocks.query,
+    "op4_line_dedup": line_dedup.query,
     "op6_quality_crf": crf_quality.query,
     "op7_exact_dedup": cuckoo.query,
+    "op9_secret_scan": secret_scan.query,
     "op10_suffix_dedup": suffix_index.query,
 }
 ORACLES = {"op7_exact_dedup": cuckoo.SQL}
