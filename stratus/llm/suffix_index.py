@@ -28,7 +28,7 @@ from stratus.llm.common import binary, by_key, documents, mix, pieces, prefix_ha
 #: Bytes of a repeated string and of a seed, batches that are added one after the other.
 LENGTH, SEED, BATCHES = 400, 32, 4
 #: Contexts of a seed up to which one task compares its windows; those of other seeds are shuffled by window.
-HOT_SEED = 20_000
+HOT_SEED = 1_000
 
 
 def _smallest(values: np.ndarray, w: int) -> np.ndarray:
