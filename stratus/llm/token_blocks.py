@@ -6,14 +6,16 @@ offset of each block) and the blocks. A block of BLOCK ids has its minimum subtr
 PERCENT of its values need; the others are exceptions, kept as (position, value) lists. Spark's commit protocol makes the
 files whole even if executors are lost.
 
-A word (no ASCII white space) is encoded once per task with the tokenizers library and then looked up: the tokenizer
-splits at white space, so a text's ids are those of its words in order. Null is an empty text and only gets the end id.
+A word is encoded once per Python worker with the tokenizers library and then looked up: the tokenizer lower-cases and
+splits at white space and between letters and punctuation, so a text's ids are those of its words in order. A comma or
+full stop after an ASCII letter or digit and before white space is a word of its own. Null is an empty text and only gets the end id.
 Rows with equal ids are ordered by text hash; null ids come first. An empty table gives no segments and an empty result.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,20 +27,24 @@ from pyspark.sql import functions as F
 
 from stratus.llm.common import chunks, documents, new_path, parts, utf8
 
-#: Ids of a block, percentage of them that the width must hold, ids of a segment at least, words that a task remembers.
-BLOCK, PERCENT, SEGMENT, MEMO = 1024, 95, 1_000_000, 400_000
+#: Ids of a block, percentage of them that the width must hold, ids of a segment at least, words that a worker remembers.
+BLOCK, PERCENT, SEGMENT, MEMO = 1024, 95, 1_000_000, 1_000_000
 END_ID = 1
 _INDEX = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "<u2"), ("offset", "<u8")])
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     wide = np.dtype("<u2") if width <= 16 else np.dtype("<u4")
+    if width == 8 * wide.itemsize:
+        return values.astype(wide).view(np.uint8).reshape(len(values), -1)
     bits = np.unpackbits(values.astype(wide).view(np.uint8).reshape(*values.shape, wide.itemsize), axis=-1, bitorder="little")[..., :width]
     return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
     wide = np.dtype("<u2") if width <= 16 else np.dtype("<u4")
+    if width == 8 * wide.itemsize:
+        return np.ascontiguousarray(packed).view(wide).astype(np.uint32)
     bits = np.zeros((len(packed), BLOCK, wide.itemsize * 8), np.uint8)
     bits[..., :width] = np.unpackbits(packed, axis=1, bitorder="little", count=BLOCK * width).reshape(len(packed), BLOCK, width)
     return np.packbits(bits, axis=-1, bitorder="little").reshape(len(packed), -1).view(wide).astype(np.uint32)
@@ -98,15 +104,25 @@ def decode_blocks(payload: bytes, first: int = 0, last: int | None = None) -> np
     return out.reshape(-1)[: max(0, n - first * BLOCK)]
 
 
+_STOP = re.compile(rb"(?<=[a-z0-9])([,.])(?=[\x20\x09-\x0D]|\Z)")
+#: What this worker has encoded so far, by tokenizer file.
+_memos: dict[str, dict[bytes, bytes]] = {}
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """Words whose ids, one after the other, are the text's; one with special-token marks is only split at white space."""
+    return text.split() if b"<|" in text else _STOP.sub(rb" \1", text.lower()).split()
+
+
 def word_encoder(path: str):
     """A function from UTF-8 texts to their ids as little-endian uint32 bytes, which remembers words."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, memo = Tokenizer.from_file(path), {}
+    tokenizer, memo = Tokenizer.from_file(path), _memos.setdefault(path, {})
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        found = [t.split() for t in texts]
+        found = [split_words(t) for t in texts]
         new = list(set().union(*found).difference(memo))
         if len(memo) + len(new) > MEMO:
             memo.clear()
