@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     near = by_key(leaves(sets, threshold, leaf, depth).join(sets.select("id", "sign"), "id").select("path", "tree", "id", "sign"), "path")
     members = saved(near.mapInArrow(_alike(cut), "path long, tree int, id long, part int"), "members")
     wanted = members.select("id").distinct()
-    texts = saved(rows.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles binary"), "shingles")
+    texts = saved(rows.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles binary"), "shingles")
     links, joined = None, None
     for turn in ("tree = 0", "tree > 0"):
         now = members.where(turn)
