@@ -1 +1,275 @@
-QUERIES, ORACLES = {}, {}
+"""One query for each operator over the given tables, and its SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratus.functions import atmosphere as air
+from stratus.operators import filters as fl
+from stratus.operators import series as se
+from stratus.operators import spatial as sp
+from stratus.sources.tables import CELLS, HOUR, OBS, STATIONS, WEATHER, cells, observations, stations, weather
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+R = lambda c, name: F.round(c, 4).alias(name)
+R8 = lambda c, name: F.round(c, 8).alias(name)
+W = "(PARTITION BY station ORDER BY t_us, event_id)"
+
+
+def query(sql: str | None = None):
+    def f(g):
+        QUERIES[g.__name__] = g
+        if sql:
+            ORACLES[g.__name__] = sql
+        return g
+
+    return f
+
+
+def _series():
+    return fl.over("station", time="t_us").orderBy("t_us", "event_id")
+
+
+AROUND = f"""
+WITH {OBS}, g AS (SELECT station, unnest(generate_series(CAST(ceil(min(t_us)/{HOUR}.0) AS BIGINT), CAST(floor(max(t_us)/{HOUR}.0) AS BIGINT)))*{HOUR} AS t_us FROM o GROUP BY station),
+n AS (SELECT g.station, g.t_us, a.t_us AS t1, a.x AS x1, b.t_us AS t2, b.x AS x2 FROM g
+ ASOF LEFT JOIN (SELECT * FROM o WHERE x IS NOT NULL) a ON a.station = g.station AND g.t_us >= a.t_us
+ ASOF LEFT JOIN (SELECT * FROM o WHERE x IS NOT NULL) b ON b.station = g.station AND g.t_us <= b.t_us),
+p AS (SELECT station, t_us, CASE WHEN t1 >= t_us - {{w}} THEN t1 END AS t1, CASE WHEN t1 >= t_us - {{w}} THEN x1 END AS x1, CASE WHEN t2 <= t_us + {{w}} THEN t2 END AS t2, CASE WHEN t2 <= t_us + {{w}} THEN x2 END AS x2 FROM n)
+"""
+DAY = 24 * HOUR
+_TYPES = OBS.replace("user_id AS station", "event_type AS station").replace("obs AS", "obs0 AS")
+_NEAR = AROUND.replace(OBS, _TYPES + ", o AS (SELECT station, t_us, min(x) AS x FROM obs0 GROUP BY station, t_us)")
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense series of the event types, one row for each time."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.groupBy(F.col("event_type").alias("station"), t.alias("t_us")).agg(F.min(F.when(F.col("event_id") % 7 != 0, F.col("value"))).alias("x"))
+
+
+LINEAR = "CASE WHEN t1 = t2 THEN x1 WHEN t2 - t1 <= {w} THEN x1 + (x2 - x1) * (t_us - t1) / (t2 - t1)::DOUBLE END"
+
+
+@query(_NEAR.format(w=DAY).replace("min(x) AS x", "min(CASE WHEN x < 10 THEN 10 WHEN x > 90 THEN 90 ELSE x END) AS x") + f"SELECT station, t_us, round(coalesce({LINEAR.format(w=DAY)}, 50.0), 4) AS x FROM p")
+def flagship_hourly(spark, d):
+    """MIN_MAX (soft), linear resampling to hours, constant generator."""
+    obs = _dense(spark, d).withColumn("x", fl.min_max(F.col("x"), 10.0, 90.0, soft=True))
+    out = se.resample_linear(obs, se.grid_of(obs, "station", "t_us", HOUR), "station", "t_us", "x", DAY)
+    return out.select("station", "t_us", R(F.coalesce("x", F.lit(50.0)), "x"))
+
+
+@query(_NEAR.format(w=DAY) + "SELECT station, t_us, round(CASE WHEN t1 IS NULL OR t2 IS NULL THEN NULL WHEN t1 = t2 THEN x1 WHEN abs((t_us - t1) - (t2 - t_us)) <= 6000000 THEN (x1 + x2) / 2 WHEN t_us - t1 < t2 - t_us THEN x1 ELSE x2 END, 4) AS x FROM p")
+def resample_nearest(spark, d):
+    obs = _dense(spark, d)
+    out = se.resample_nearest(obs, se.grid_of(obs, "station", "t_us", HOUR), "station", "t_us", "x", DAY)
+    return out.select("station", "t_us", R(F.col("x"), "x"))
+
+
+@query(f"WITH {OBS} SELECT event_id, CASE WHEN x >= 20 THEN x END AS min_hard, CASE WHEN x < 20 THEN 20 ELSE x END AS min_soft, CASE WHEN x <= 80 THEN x END AS max_hard, CASE WHEN x > 80 THEN 75 ELSE x END AS max_reset, CASE WHEN x BETWEEN 20 AND 80 THEN x END AS minmax_hard FROM obs")
+def filter_min_max(spark, d):
+    x = F.col("x")
+    return observations(spark, d).select("event_id", fl.minimum(x, 20.0).alias("min_hard"), fl.minimum(x, 20.0, soft=True).alias("min_soft"), fl.maximum(x, 80.0).alias("max_hard"), fl.maximum(x, 80.0, soft=True, reset=75.0).alias("max_reset"), fl.min_max(x, 20.0, 80.0).alias("minmax_hard"))
+
+
+@query(f"WITH {WEATHER} SELECT event_id, round(CASE WHEN TA < 273.15 AND PSUM > 2 THEN NULL ELSE PSUM END, 4) AS psum FROM w")
+def filter_min_max_conditional(spark, d):
+    p = F.col("PSUM")
+    return weather(spark, d).select("event_id", R(fl.conditional(p, fl.maximum(p, 2.0), F.col("TA") < 273.15), "psum"))
+
+
+@query(f"WITH {OBS}, s AS (SELECT event_id, x, avg(x) OVER f AS m, stddev_samp(x) OVER f AS sd, count(x) OVER f AS n FROM obs WINDOW f AS (PARTITION BY station ORDER BY t_us, event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)) SELECT event_id, CASE WHEN n >= 2 AND abs(x - m) > 2 * sd THEN NULL ELSE x END AS x FROM s")
+def filter_std_dev(spark, d):
+    return observations(spark, d).select("event_id", fl.std_dev(F.col("x"), fl.rows(_series(), 9)).alias("x"))
+
+
+@query(f"""WITH {OBS}, s AS (SELECT *, list(x) FILTER (x IS NOT NULL) OVER (PARTITION BY station ORDER BY t_us, event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS l FROM obs), m AS (SELECT event_id, x, l, list_median(l) AS md FROM s)
+SELECT event_id, CASE WHEN abs(x - md) > 3 * 1.4826 * list_median(list_transform(l, lambda v: abs(v - md))) THEN NULL ELSE x END AS x FROM m""")
+def filter_mad(spark, d):
+    return observations(spark, d).select("event_id", fl.mad(F.col("x"), fl.rows(_series(), 9)).alias("x"))
+
+
+@query(f"WITH {OBS} SELECT event_id, CASE WHEN var_samp(x) OVER (PARTITION BY station ORDER BY t_us, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) <= 100 THEN NULL ELSE x END AS x FROM obs")
+def filter_no_change(spark, d):
+    return observations(spark, d).select("event_id", fl.no_change(F.col("x"), fl.rows(_series(), 3), 100.0).alias("x"))
+
+
+@query(f"WITH {OBS}, s AS (SELECT event_id, x, lag(x) OVER {W} AS a, lead(x) OVER {W} AS b, stddev_samp(x) OVER (PARTITION BY station ORDER BY t_us, event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS sd FROM obs) SELECT event_id, CASE WHEN abs(x - a) + abs(x - b) > 4 * sd THEN NULL ELSE x END AS x FROM s")
+def filter_time_consistency(spark, d):
+    return observations(spark, d).select("event_id", fl.time_consistency(F.col("x"), _series(), fl.rows(_series(), 9)).alias("x"))
+
+
+@query(f"WITH {OBS}, v AS (SELECT event_id, lead(x) OVER {W} AS nx, lead(t_us) OVER {W} AS nt, x, t_us FROM obs WHERE x IS NOT NULL) SELECT o.event_id, CASE WHEN abs((v.nx - v.x) / ((v.nt - v.t_us) / 1e6)) > 0.001 THEN NULL ELSE o.x END AS x FROM obs o LEFT JOIN v USING (event_id)")
+def filter_rate_right(spark, d):
+    return observations(spark, d).select("event_id", fl.rate_right(F.col("x"), F.col("t_us"), _series(), 0.001).alias("x"))
+
+
+@query()
+def filter_rate_left(spark, d):
+    return fl.rate_left(observations(spark, d), "station", "t_us", "x", 0.001).select("event_id", "x")
+
+
+@query()
+def filter_low_pass(spark, d):
+    return fl.low_pass(observations(spark, d), "station", "t_us", "x", 0.3).select("event_id", R(F.col("x"), "x"))
+
+
+@query()
+def filter_kalman(spark, d):
+    return fl.kalman(observations(spark, d), "station", "t_us", "x", 1.0, 25.0).select("event_id", R(F.col("x"), "x"))
+
+
+@query(f"WITH {OBS} SELECT event_id, round(avg(x) OVER f, 8) AS mean, min(x) OVER f AS lo, max(x) OVER f AS hi, round(median(x) OVER f, 8) AS mid FROM obs WINDOW f AS (PARTITION BY station ORDER BY t_us RANGE BETWEEN {7 * DAY} PRECEDING AND CURRENT ROW)")
+def filter_aggregate(spark, d):
+    w = fl.span(fl.over("station"), 7 * 86400, "left")
+    x = F.col("x")
+    return observations(spark, d).select("event_id", R8(fl.aggregate(x, w), "mean"), fl.aggregate(x, w, "min").alias("lo"), fl.aggregate(x, w, "max").alias("hi"), R8(fl.aggregate(x, w, "median"), "mid"))
+
+
+@query(f"WITH {OBS}, v AS (SELECT event_id, x, lag(x) OVER {W} AS b FROM obs WHERE x IS NOT NULL) SELECT o.event_id, round(CASE WHEN v.x >= v.b THEN v.x - v.b WHEN v.x < v.b THEN v.x END, 4) AS x FROM obs o LEFT JOIN v USING (event_id)")
+def filter_deaccumulate(spark, d):
+    return observations(spark, d).select("event_id", R(fl.deaccumulate(F.col("x"), _series()), "x"))
+
+
+@query(f"""WITH {OBS}, s AS (SELECT event_id, x, lag(x, 1) OVER {W} AS a, lag(x, 2) OVER {W} AS aa, lead(x, 1) OVER {W} AS b, lead(x, 2) OVER {W} AS bb FROM obs)
+SELECT event_id, round((coalesce(aa,0) + 2*coalesce(a,0) + 3*x + 2*coalesce(b,0) + coalesce(bb,0)) / (3 + (aa IS NOT NULL)::INT + 2*(a IS NOT NULL)::INT + 2*(b IS NOT NULL)::INT + (bb IS NOT NULL)::INT), 8) AS x FROM s""")
+def filter_wma_smoothing(spark, d):
+    return observations(spark, d).select("event_id", R8(fl.wma(F.col("x"), _series(), 2), "x"))
+
+
+@query(f"WITH {WEATHER} SELECT event_id, round(CASE WHEN PSUM > 0 AND (RH < 0.5 OR TA - TSS > 3) THEN 0 ELSE PSUM END, 4) AS psum FROM w")
+def filter_unheated_raingauge(spark, d):
+    return weather(spark, d).select("event_id", R(fl.unheated_raingauge(F.col("PSUM"), F.col("RH"), F.col("TA"), F.col("TSS")), "psum"))
+
+
+_CATCH = "CASE WHEN t <= -2 THEN {snow} WHEN t >= 2 THEN 100 ELSE {mixed} END"
+
+
+@query(f"""WITH {WEATHER}, c AS (SELECT event_id, PSUM, greatest(TA - 273.15, -15) AS t, least(VW * ln(2/0.03)/ln(10/0.03), 7) AS v FROM w)
+SELECT event_id, round(PSUM * 100 / {_CATCH.format(snow='(100 - 0.44*v*v - 1.98*v)', mixed='(97.29 - 3.18*v - 0.09*t)')}, 4) AS nipher, round(PSUM * 100 / {_CATCH.format(snow='(103.11 - 8.67*v + 0.3*t)', mixed='(96.99 - 4.46*v + 1.1*t)')}, 4) AS tretyakov,
+ round(PSUM * 100 / {_CATCH.format(snow='exp(4.61 - 0.04*pow(v, 1.75))', mixed='(101.04 - 5.62*v)')}, 4) AS us8sh, round(PSUM * 100 / {_CATCH.format(snow='(100 + 1.13*v*v - 19.45*v)', mixed='(96.63 + 0.41*v*v - 9.84*v + 5.95*t)')}, 4) AS hellmann FROM c""")
+def filter_undercatch_wmo(spark, d):
+    got = lambda gauge: R(fl.undercatch(F.col("PSUM"), F.col("TA"), F.col("VW"), gauge), gauge.lower())
+    return weather(spark, d).select("event_id", *(got(g) for g in ("NIPHER", "TRETYAKOV", "US8SH", "HELLMANN")))
+
+
+@query(f"WITH {WEATHER} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN TSS ELSE TA END AS TA, CASE WHEN event_id % 2 = 0 THEN TA ELSE TSS END AS TSS, NULL::DOUBLE AS VW, CASE WHEN event_id % 3 = 0 THEN NULL ELSE RH END AS RH, CLD AS COPY, VW AS WIND FROM w")
+def edit_columns(spark, d):
+    """SWAP, EXCLUDE, COPY and RENAME."""
+    df = se.swap(weather(spark, d).withColumn("WIND", F.lit(None).cast("double")), "TA", "TSS", F.col("event_id") % 2 == 0)
+    df = se.rename(se.exclude(df, ["RH"], F.col("event_id") % 3 == 0), ["VW"], "WIND")
+    return df.select("event_id", "TA", "TSS", "VW", "RH", F.col("CLD").alias("COPY"), "WIND")
+
+
+_HALVES = f"""{OBS}, a AS (SELECT station, t_us // {DAY} AS day, min(x) AS x FROM obs WHERE event_id % 2 = 0 GROUP BY ALL), b AS (SELECT station, t_us // {DAY} AS day, max(x) AS x FROM obs WHERE event_id % 2 = 1 GROUP BY ALL),
+e AS (SELECT station, min(day) AS lo, max(day) AS hi FROM a GROUP BY station)"""
+_JOINED = "SELECT station, day, {x} AS x FROM (SELECT coalesce(a.station, b.station) AS station, coalesce(a.day, b.day) AS day, a.x AS ax, b.x AS bx, a.station IS NOT NULL AS ina FROM a {kind} JOIN b ON a.station = b.station AND a.day = b.day) j LEFT JOIN e USING (station) WHERE {cond}"
+
+
+def _halves(spark, d):
+    obs = observations(spark, d).withColumn("day", F.floor(F.col("t_us") / DAY).cast("long"))
+    return (obs.where("event_id % 2 = 0").groupBy("station", "day").agg(F.min("x").alias("x")), obs.where("event_id % 2 = 1").groupBy("station", "day").agg(F.max("x").alias("x")))
+
+
+_MERGES = {
+    "strict_first": ("STRICT_MERGE", "PRIORITY_FIRST", "coalesce(ax, bx)", "LEFT", "true"),
+    "full_last": ("FULL_MERGE", "PRIORITY_LAST", "coalesce(bx, ax)", "FULL", "true"),
+    "expand_average": ("EXPAND_MERGE", "AVERAGE", "coalesce((ax + bx) / 2, ax, bx)", "FULL", "(ina OR lo IS NULL OR NOT day BETWEEN lo AND hi)"),
+    "window_first": ("WINDOW_MERGE", "PRIORITY_FIRST", "coalesce(ax, bx)", "FULL", "day BETWEEN lo AND hi"),
+}
+for _name, (_strategy, _conflicts, _x, _kind, _cond) in _MERGES.items():
+    QUERIES[f"merge_{_name}"] = lambda spark, d, s=_strategy, c=_conflicts: se.merge(*_halves(spark, d), ["station"], "day", ["x"], s, c)
+    ORACLES[f"merge_{_name}"] = f"WITH {_HALVES} " + _JOINED.format(x=_x, kind=_kind, cond=_cond)
+
+
+@query(f"WITH {OBS} SELECT station, t_us // {DAY} AS day, arg_min(x, event_id) FILTER (x IS NOT NULL) AS x FROM obs GROUP BY ALL")
+def edit_automerge(spark, d):
+    obs = observations(spark, d).withColumn("day", F.floor(F.col("t_us") / DAY).cast("long"))
+    return se.automerge(obs, ["station", "day"], "event_id", ["x"])
+
+
+@query(f"""WITH {_HALVES}, fit AS (SELECT a.station, regr_slope(a.x, b.x) AS s, regr_intercept(a.x, b.x) AS i FROM a JOIN b ON a.station = b.station AND a.day = b.day GROUP BY a.station)
+SELECT station, day, round(x, 4) AS x FROM a UNION ALL SELECT b.station, b.day, round(s * b.x + i, 4) FROM b JOIN fit USING (station) WHERE s IS NOT NULL AND NOT isnan(s) AND NOT EXISTS (SELECT 1 FROM a WHERE a.station = b.station AND a.day = b.day)""")
+def edit_regression_fill(spark, d):
+    a, b = _halves(spark, d)
+    return se.regression_fill(a, b, ["station"], "day", "x").select("station", "day", R(F.col("x"), "x"))
+
+
+_ES = "611.73*exp(CASE WHEN TA < 273.16 THEN 21.88*(TA-273.16)/(TA-7.66) ELSE 17.27*(TA-273.16)/(TA-35.86) END)"
+_SB = "5.670373e-8*pow(TA,4)"
+
+
+@query(f"""WITH {WEATHER} SELECT event_id, round(101325.0*pow(1-0.0065*6356766.0*ALT/(288.15*(6356766.0+ALT)), 9.80665/(0.0065*287.058)), 4) AS p, round({_ES}, 4) AS es,
+ round(9.780356*(1+0.0052885*pow(sin(radians(LAT)),2)-0.0000059*pow(sin(2*radians(LAT)),2))-0.003086*ALT*1e-3, 4) AS g, round(VW*ln(2/0.03)/ln(10/0.03), 4) AS v2 FROM w""")
+def law_pressure_humidity(spark, d):
+    c = F.col
+    return weather(spark, d).select("event_id", R(air.std_pressure(c("ALT")), "p"), R(air.saturation_pressure(c("TA")), "es"), R(air.gravity(c("ALT"), c("LAT")), "g"), R(air.wind_log_profile(c("VW"), 10.0, 2.0), "v2"))
+
+
+@query(f"""WITH {WEATHER}, s AS (SELECT *, RH*{_ES} AS e FROM w) SELECT event_id, round(least(1.24*pow(0.01*e/TA,1/7.0),1)*{_SB}, 4) AS brutsaert, round(59.38+113.7*pow(TA/273.16,6)+96.96*sqrt(4650*e*0.001/TA/25), 4) AS dilley,
+ round(least(1-(1+4650*e*0.001/TA)*exp(-sqrt(1.2+3*4650*e*0.001/TA)),1)*{_SB}, 4) AS prata, round(least(0.7+5.95e-5*e*0.01*exp(1500/TA),1)*{_SB}, 4) AS idso,
+ round(least(0.97*(0.68+0.0036*sqrt(e))*(1+0.18*CLD*CLD),1)*{_SB}, 4) AS omstedt, round(((1-pow(CLD,4))*(0.23+0.484*pow(e/TA,1/8.0))+pow(CLD,4)*0.952)*{_SB}, 4) AS konzelmann, round((-0.34+3.36e-3*TA+1.94e-3*RH*100+0.213*CLD)*{_SB}, 4) AS carmona FROM s""")
+def generator_longwave(spark, d):
+    c = F.col
+    clear = (R(air.clear_sky_longwave(k, c("RH"), c("TA")), k.lower()) for k in ("BRUTSAERT", "DILLEY", "PRATA", "IDSO"))
+    cloudy = (R(air.all_sky_longwave(k, c("RH"), c("TA"), c("CLD")), k.lower()) for k in ("OMSTEDT", "KONZELMANN", "CARMONA"))
+    return weather(spark, d).select("event_id", *clear, *cloudy)
+
+
+@query(f"""WITH {WEATHER}, s AS (SELECT *, TA-273.15 AS c, RH*100 AS r, pow(VW*3.6, 0.16) AS p FROM w) SELECT event_id, round(CASE WHEN TA > 283.15 OR VW < 5 THEN TA ELSE 13.12+0.6215*c-11.37*p+0.3965*c*p+273.15 END, 4) AS wind_chill,
+ round(CASE WHEN TA < 299.85 OR RH < 0.4 THEN TA ELSE -8.784695+1.61139411*c+2.338549*r-0.14611605*c*r-1.2308094e-2*c*c-1.6424828e-2*r*r+2.211732e-3*c*c*r+7.2546e-4*c*r*r-3.582e-6*c*c*r*r+273.15 END, 4) AS heat_index,
+ round(-VW*sin(radians(DW)), 4) + 0 AS u, round(-VW*cos(radians(DW)), 4) + 0 AS v FROM s""")
+def generator_indices(spark, d):
+    c = F.col
+    u, v = air.wind_components(c("VW"), c("DW"))
+    return weather(spark, d).select("event_id", R(air.wind_chill(c("TA"), c("VW")), "wind_chill"), R(air.heat_index(c("TA"), c("RH")), "heat_index"), (F.round(u, 4) + 0).alias("u"), (F.round(v, 4) + 0).alias("v"))
+
+
+@query(f"WITH {STATIONS}, {CELLS} SELECT region, cell, round(sum(w*value)/sum(w), 4) AS value FROM (SELECT ce.region, ce.cell, st.value, 1/sqrt(pow(ce.x-st.x,2)+pow(ce.y-st.y,2)+1e6) AS w FROM ce JOIN st USING (region)) GROUP BY ALL")
+def spatial_idw(spark, d):
+    return sp.idw(cells(spark, d), stations(spark, d)).select("region", "cell", R(F.col("value"), "value"))
+
+
+@query(f"WITH {STATIONS}, {CELLS} SELECT region, cell, value FROM (SELECT ce.region, ce.cell, st.value, row_number() OVER (PARTITION BY ce.cell ORDER BY pow(ce.x-st.x,2)+pow(ce.y-st.y,2), st.station DESC) AS k FROM ce JOIN st USING (region)) WHERE k = 1")
+def spatial_nearest(spark, d):
+    return sp.nearest(cells(spark, d), stations(spark, d))
+
+
+@query(f"WITH {STATIONS}, {CELLS}, m AS (SELECT region, avg(value) AS v FROM st GROUP BY region) SELECT region, cell, round(v, 4) AS value FROM ce JOIN m USING (region)")
+def spatial_average(spark, d):
+    return sp.average(cells(spark, d), stations(spark, d)).select("region", "cell", R(F.col("value"), "value"))
+
+
+@query(f"""WITH {STATIONS}, {CELLS}, f AS (SELECT region, CASE WHEN var_pop(alt) > 0 THEN regr_slope(value, alt) ELSE 0 END AS s, avg(value) AS v, avg(alt) AS a FROM st GROUP BY region),
+r AS (SELECT st.*, value - s*alt - (v - s*a) AS q FROM st JOIN f USING (region)), i AS (SELECT ce.region, ce.cell, ce.alt, sum(q/sqrt(pow(ce.x-r.x,2)+pow(ce.y-r.y,2)+1e6))/sum(1/sqrt(pow(ce.x-r.x,2)+pow(ce.y-r.y,2)+1e6)) AS q FROM ce JOIN r USING (region) GROUP BY ALL)
+SELECT region, cell, round(q + s*alt + v - s*a, 3) AS value FROM i JOIN f USING (region)""")
+def spatial_idw_lapse(spark, d):
+    return sp.idw_lapse(cells(spark, d), stations(spark, d)).select("region", "cell", F.round("value", 3).alias("value"))
+
+
+@query(f"WITH {OBS} SELECT station, round(quantile_cont(x, 0.1), 4) AS q10, round(quantile_cont(x, 0.5), 4) AS q50, round(quantile_cont(x, 0.9), 4) AS q90, round(var_samp(x), 4) AS variance, round(avg(x), 4) AS mean, min(x) AS lo, max(x) AS hi, round(regr_slope(x, event_id), 8) AS slope, count(x) AS n FROM obs GROUP BY station")
+def stats_series(spark, d):
+    q = F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    return observations(spark, d).groupBy("station").agg(R(q[0], "q10"), R(q[1], "q50"), R(q[2], "q90"), R(F.var_samp("x"), "variance"), R(F.avg("x"), "mean"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.round(F.regr_slope("x", "event_id"), 8).alias("slope"), F.count("x").alias("n"))
+
+
+@query(f"WITH {OBS}, b AS (SELECT station, min(x) AS lo, max(x) AS hi FROM obs GROUP BY station) SELECT station, least(CAST(floor((x-lo)/((hi-lo)/10)) AS INTEGER), 9) AS bin, count(*) AS n, round(avg(x), 8) AS mean FROM obs JOIN b USING (station) WHERE x IS NOT NULL AND hi > lo GROUP BY ALL")
+def stats_equal_bins(spark, d):
+    obs = observations(spark, d)
+    ends = obs.groupBy("station").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("hi > lo")
+    at = F.least(F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10)).cast("int"), F.lit(9))
+    return obs.where("x IS NOT NULL").join(ends, "station").groupBy("station", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), R8(F.avg("x"), "mean"))
+
+
+@query(f"WITH {OBS}, v AS (SELECT *, lag(x) OVER {W} AS a, lag(t_us) OVER {W} AS ta, lead(x) OVER {W} AS b, lead(t_us) OVER {W} AS tb FROM obs WHERE x IS NOT NULL) SELECT event_id, round(coalesce((b-a)/((tb-ta)/3.6e9), (b-x)/((tb-t_us)/3.6e9), (x-a)/((t_us-ta)/3.6e9)), 3) AS dx FROM v")
+def stats_derivative(spark, d):
+    s = _series()
+    x, t = F.col("x"), F.col("t_us")
+    a, ta, b, tb = F.lag(x).over(s), F.lag(t).over(s), F.lead(x).over(s), F.lead(t).over(s)
+    rate = lambda dx, dt: dx / F.nullif(dt / 3.6e9, F.lit(0.0))
+    return observations(spark, d).where("x IS NOT NULL").select("event_id", F.round(F.coalesce(rate(b - a, tb - ta), rate(b - x, tb - t), rate(x - a, t - ta)), 3).alias("dx"))
