@@ -149,7 +149,7 @@ def _window_hashes(table: pa.Table | pa.RecordBatch, length: int) -> tuple[np.nd
 def _runs(table: pa.Table | pa.RecordBatch, row: np.ndarray, window: np.ndarray) -> pa.RecordBatch:
     """Runs of repeated windows as (begin, end) per entry."""
     new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
-    last = np.concatenate([new[1:], [len(row)]]).astype(np.int64) - 1
+    last = np.concatenate([new[1:], [len(row)] if len(row) else []]).astype(np.int64) - 1
     pick = pa.array(row[new])
     return pa.RecordBatch.from_arrays([*(table.column(k).take(pick) if isinstance(table, pa.RecordBatch) else table.column(k).combine_chunks().take(pick) for k in ("seed", "context", "left", "span")), pa.array(window[new]), pa.array(window[last] + 1)], ["seed", "context", "left", "span", "b", "e"])
 
