@@ -72,7 +72,7 @@ def ratios(found: DataFrame) -> list[float]:
 
 
 def _mean_ratio(token: Column, weights: list[float]) -> Column:
-    table = F.transform(F.split(F.lit(",".join(f"{w:.6f}" for w in weights)), ","), lambda x: x.cast("double"))
+    table = F.array(*(F.lit(round(w, 6)) for w in weights))  # folded to one literal
     n = len(ALPHABET)
     code = lambda p, k: F.instr(F.lit(ALPHABET), F.substring(p, k, 1)) - 1
     total = F.aggregate(_pairs(token), F.lit(0.0), lambda a, p: a + F.element_at(table, code(p, 1) * n + code(p, 2) + 1))
