@@ -111,13 +111,14 @@ def aggregate(x: Column, w: WindowSpec, kind: str = "mean") -> Column:
 
 
 def wma(x: Column, series: WindowSpec, reach: int) -> Column:
-    """Linear weights reach + 1 - distance on both sides, over the values there are."""
-    total, weights = F.lit(0.0), F.lit(0.0)
-    for d in range(-reach, reach + 1):
-        other = x if d == 0 else F.lag(x, d).over(series) if d > 0 else F.lead(x, -d).over(series)
-        total = total + F.coalesce(other * (reach + 1 - abs(d)), F.lit(0.0))
-        weights = weights + F.when(other.isNotNull(), reach + 1 - abs(d)).otherwise(0)
-    return F.when(x.isNotNull(), total / weights)
+    """Linear weights reach + 1 - distance over the row and the means of its symmetric pairs, as far as there are values. Fills nulls too."""
+    total, weights = F.lit(0.0), F.lit(0)
+    for d in range(reach + 1):
+        a, b = F.lag(x, d).over(series), F.lead(x, d).over(series)
+        pair = F.coalesce((a + b) / 2, a, b) if d else x
+        total = total + F.coalesce(pair * (reach + 1 - d), F.lit(0.0))
+        weights = weights + F.when(pair.isNotNull(), reach + 1 - d).otherwise(0)
+    return total / F.nullif(weights, F.lit(0))
 
 
 def unheated_raingauge(psum: Column, rh: Column, ta: Column, tss: Column, rh_min: float = 0.5, dt_max: float = 3.0, soft: bool = True) -> Column:

@@ -100,3 +100,13 @@ def resample_nearest(obs: DataFrame, grid: DataFrame, station: str, time: str, v
     d1, d2 = F.col(time) - F.col("t1"), F.col("t2") - F.col(time)
     near = F.when(F.col("t1") == F.col("t2"), F.col("x1")).when(F.abs(d1 - d2) <= tie_us, (F.col("x1") + F.col("x2")) / 2).when(d1 < d2, F.col("x1")).otherwise(F.col("x2"))
     return a.select(station, time, F.when(d1.isNotNull() & d2.isNotNull(), near).alias(value))
+
+
+def accumulate(obs: DataFrame, station: str, time: str, value: str, step_us: int) -> DataFrame:
+    """Sums over (t - step, t] at every multiple t of ``step_us``. A value belongs to the time since the row before it and is dealt
+    in proportion; missing values add nothing, the first row of a series has no such time. One row for each time that has a share."""
+    before = F.lag(time).over(Window.partitionBy(station).orderBy(time))
+    spans = obs.select(station, F.col(time).alias("b"), F.col(value).alias("x"), before.alias("a")).where("x IS NOT NULL AND a < b")
+    dealt = spans.withColumn("k", F.explode(F.sequence(F.floor(F.col("a") / step_us), F.floor((F.col("b") - 1) / step_us))))
+    share = (F.least(F.col("b"), (F.col("k") + 1) * step_us) - F.greatest(F.col("a"), F.col("k") * step_us)) / (F.col("b") - F.col("a"))
+    return dealt.groupBy(station, ((F.col("k") + 1) * step_us).cast("long").alias(time)).agg(F.sum(F.col("x") * share).alias(value))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Stations that are broadcast at most; more of them are joined by Spark's own choice.
@@ -46,3 +46,22 @@ def idw_lapse(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alph
     trend = lapse(stations)
     flat = stations.join(trend, "region").withColumn("value", F.col("value") - F.col("slope") * F.col("alt") - F.col("icept")).drop("slope", "icept")
     return idw(cells, flat, scale, alpha).join(cells.select("region", "cell", "alt"), ["region", "cell"]).join(trend, "region").select("region", "cell", (F.col("value") + F.col("slope") * F.col("alt") + F.col("icept")).alias("value"))
+
+
+def average_lapse(cells: DataFrame, stations: DataFrame) -> DataFrame:
+    """The altitude trend of a region's stations at each cell; the mean of its residuals is zero."""
+    return cells.join(lapse(stations), "region").select("region", "cell", (F.col("slope") * F.col("alt") + F.col("icept")).alias("value"))
+
+
+def local_idw_lapse(cells: DataFrame, stations: DataFrame, neighbours: int, most: float | None = None, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
+    """IDW_LAPSE with the trend of each cell's closest stations, at most ``neighbours`` of them within ``most`` metres."""
+    place = F.row_number().over(Window.partitionBy("region", "cell").orderBy("d2", "station"))
+    near = with_stations(cells, stations, None if most is None else F.col("d2") <= most * most).where("value IS NOT NULL AND salt IS NOT NULL")
+    near = near.withColumn("place", place).where(F.col("place") <= neighbours).withColumn("w", F.pow(1 / F.sqrt(F.col("d2") + scale * scale), alpha))
+    fit = near.groupBy("region", "cell").agg(
+        F.first("alt").alias("alt"), F.coalesce(F.regr_slope("value", "salt"), F.lit(0.0)).alias("slope"), F.sum("w").alias("w"),
+        F.sum(F.col("w") * F.col("value")).alias("wv"), F.sum(F.col("w") * F.col("salt")).alias("wa"), F.count(F.lit(1)).alias("n"),
+    )
+    # the intercepts of detrending and retrending cancel
+    value = F.col("wv") / F.col("w") + F.when(F.col("n") > 1, F.col("slope") * (F.col("alt") - F.col("wa") / F.col("w"))).otherwise(0.0)
+    return fit.select("region", "cell", value.alias("value"))

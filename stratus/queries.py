@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.functions import atmosphere as air
+from stratus.operators import corrections as co
 from stratus.operators import filters as fl
+from stratus.operators import generators as ge
 from stratus.operators import series as se
 from stratus.operators import spatial as sp
-from stratus.sources.tables import CELLS, HOUR, OBS, STATIONS, WEATHER, cells, observations, stations, weather
+from stratus.operators import terrain as te
+from stratus.sources.tables import CELLS, ELEVATIONS, HOUR, OBS, STATIONS, WEATHER, cells, elevations, observations, stations, weather
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,8 +139,12 @@ def filter_deaccumulate(spark, d):
     return observations(spark, d).select("event_id", R(fl.deaccumulate(F.col("x"), _series()), "x"))
 
 
-@query(f"""WITH {OBS}, s AS (SELECT event_id, x, lag(x, 1) OVER {W} AS a, lag(x, 2) OVER {W} AS aa, lead(x, 1) OVER {W} AS b, lead(x, 2) OVER {W} AS bb FROM obs)
-SELECT event_id, round((coalesce(aa,0) + 2*coalesce(a,0) + 3*x + 2*coalesce(b,0) + coalesce(bb,0)) / (3 + (aa IS NOT NULL)::INT + 2*(a IS NOT NULL)::INT + 2*(b IS NOT NULL)::INT + (bb IS NOT NULL)::INT), 8) AS x FROM s""")
+_PAIRS = """s AS (SELECT event_id, x, lag(x, 1) OVER {W} AS a, lag(x, 2) OVER {W} AS aa, lead(x, 1) OVER {W} AS b, lead(x, 2) OVER {W} AS bb FROM obs),
+pairs AS (SELECT event_id, x, coalesce((a+b)/2, a, b) AS p1, coalesce((aa+bb)/2, aa, bb) AS p2 FROM s)""".replace("{W}", W)
+
+
+@query(f"""WITH {OBS}, {_PAIRS}
+SELECT event_id, round((coalesce(3*x, 0) + coalesce(2*p1, 0) + coalesce(p2, 0)) / nullif(3*(x IS NOT NULL)::INT + 2*(p1 IS NOT NULL)::INT + (p2 IS NOT NULL)::INT, 0), 8) AS x FROM pairs""")
 def filter_wma_smoothing(spark, d):
     return observations(spark, d).select("event_id", R8(fl.wma(F.col("x"), _series(), 2), "x"))
 
@@ -273,3 +280,121 @@ def stats_derivative(spark, d):
     a, ta, b, tb = F.lag(x).over(s), F.lag(t).over(s), F.lead(x).over(s), F.lead(t).over(s)
     rate = lambda dx, dt: dx / F.nullif(dt / 3.6e9, F.lit(0.0))
     return observations(spark, d).where("x IS NOT NULL").select("event_id", F.round(F.coalesce(rate(b - a, tb - ta), rate(b - x, tb - t), rate(x - a, t - ta)), 3).alias("dx"))
+
+
+@query(f"WITH {OBS}, {_PAIRS} SELECT event_id, round(CASE WHEN p1 IS NULL THEN p2 WHEN p2 IS NULL THEN p1 ELSE 0.3*p2 + 0.7*p1 END, 8) AS x FROM pairs")
+def filter_exp_smoothing(spark, d):
+    return observations(spark, d).select("event_id", R8(co.exp_smoothing(F.col("x"), _series(), 2, 0.3), "x"))
+
+
+_FRAME = "(PARTITION BY station ORDER BY t_us, event_id ROWS BETWEEN {n} PRECEDING AND {n} FOLLOWING)"
+
+
+@query(f"""WITH {OBS}, a AS (SELECT *, median(x) OVER {_FRAME.format(n=2)} AS m5, stddev_samp(x) OVER {_FRAME.format(n=4)} AS sd FROM obs), b AS (SELECT *, median(m5) OVER {_FRAME.format(n=1)} AS m3 FROM a),
+c AS (SELECT *, lag(m3) OVER {W} AS p, lead(m3) OVER {W} AS q, lag(1, 4) OVER {W} + lead(1, 4) OVER {W} AS inside FROM b),
+u AS (SELECT *, (coalesce(p,0)+coalesce(2*m3,0)+coalesce(q,0)) / nullif((p IS NOT NULL)::INT+2*(m3 IS NOT NULL)::INT+(q IS NOT NULL)::INT, 0) AS u3 FROM c)
+SELECT event_id, CASE WHEN inside IS NOT NULL AND abs(x - u3) > 1.5 * sd THEN NULL ELSE x END AS x FROM u""")
+def filter_tukey(spark, d):
+    return co.tukey(observations(spark, d), "station", ["t_us", "event_id"], "x", 1.5, fl.rows(_series(), 9)).select("event_id", "x")
+
+
+@query(f"WITH {OBS} SELECT event_id, round(x + ((t_us // {HOUR}) % 24) / 10, 6) AS hourly, round(x * (1 + month(make_timestamp(t_us)) / 100), 6) AS monthly FROM obs")
+def filter_add_mult(spark, d):
+    """ADD by hour, MULT by month."""
+    x, t = F.col("x"), F.col("t_us")
+    hourly, monthly = x + co.by_period(t, "hour", [k / 10 for k in range(24)]), x * co.by_period(t, "month", [1 + k / 100 for k in range(1, 13)])
+    return observations(spark, d).select("event_id", F.round(hourly, 6).alias("hourly"), F.round(monthly, 6).alias("monthly"))
+
+
+_K = "CASE WHEN c > {a} THEN {k[0]} WHEN c > 0 THEN {k[1]} WHEN c > -5 THEN {k[2]} ELSE {k[3]} END"
+_WATER = "611.73*exp(17.27*(TA-273.16)/(TA-35.86))"
+_X = "(ALT/3)/(1.2*1004*TA*greatest(VW, 0.1))"
+
+
+@query(f"""WITH {WEATHER}, v AS (SELECT *, TA - 273.15 AS c, VW * ln(2/0.03)/ln(10/0.03) AS v2 FROM w)
+SELECT event_id, round(PSUM*exp({_K.format(a=1.67, k=(0.0146, 0.0294, 0.0527, 0.0889))}*v2), 4) AS unsh, round(PSUM*exp({_K.format(a=1.67, k=(0.0060, 0.0121, 0.0217, 0.0366))}*v2), 4) AS sh, round(PSUM*exp({_K.format(a=1.2, k=(0, 0.0294, 0.0527, 0.0889))}*v2), 4) AS hellmann,
+ round(RH*{_WATER}/({_ES}), 6) AS rh_ice, CASE WHEN VW < 2 THEN NULL ELSE round(TA, 6) END AS calm, round(CASE WHEN {_X} >= 1e-4 THEN TA - (0.13 + 373.4*{_X}) ELSE TA END, 4) AS nakamura, round(CASE WHEN 1e3*{_X} >= 0.05 THEN TA - 3.1*sqrt(1e3*{_X}) ELSE TA END, 4) AS huwald FROM v""")
+def filter_corrections(spark, d):
+    """UNDERCATCH_HAMON, RHWATERTOICE and UNVENTILATED_T."""
+    c = F.col
+    caught = (R(co.undercatch_hamon(c("PSUM"), c("TA"), c("VW"), g), n) for g, n in (("unsh", "unsh"), ("sh", "sh"), ("hellmannsh", "hellmann")))
+    error = (R(co.radiation_error(c("TA"), c("VW"), c("ALT") / 3, s), s.lower()) for s in ("NAKAMURA", "HUWALD"))
+    return weather(spark, d).select("event_id", *caught, F.round(co.humidity_over_ice(c("RH"), c("TA")), 6).alias("rh_ice"), F.round(co.calm_temperature(c("TA"), c("VW"), 2.0), 6).alias("calm"), *error)
+
+
+@query(f"WITH {OBS} SELECT station, t_us // {HOUR} * {HOUR} AS t_us, round(avg(x), 6) AS x FROM obs GROUP BY ALL")
+def time_cleanup(spark, d):
+    """CLEANUP of times rounded down to hours."""
+    rounded = observations(spark, d).withColumn("t_us", (F.floor(F.col("t_us") / HOUR) * HOUR).cast("long"))
+    return co.clean_up(rounded, ["station", "t_us"], ["x"]).withColumn("x", F.round("x", 6))
+
+
+@query(f"""WITH {OBS} SELECT event_id, round(coalesce(x, 30*sin(2*pi()*(((t_us + {DAY // 2}) % {DAY})/{DAY}.0 + 0.25)) + 50), 6) AS daily, round(coalesce(x, 30*sin(2*pi()*(dayofyear(make_timestamp(t_us))/366.25 - 0.25)) + 50), 6) AS yearly FROM obs""")
+def generator_sin(spark, d):
+    x, t = F.col("x"), F.col("t_us")
+    return observations(spark, d).select("event_id", F.round(ge.filled(x, ge.daily_sinusoid(t, 20.0, 80.0)), 6).alias("daily"), F.round(ge.filled(x, ge.yearly_sinusoid(t, 20.0, 80.0)), 6).alias("yearly"))
+
+
+@query(f"""WITH {WEATHER}, h AS (SELECT *, CASE WHEN event_id % 5 > 0 THEN PSUM/20 END AS HS, ALT/3 AS R FROM w), p AS (SELECT *, CASE WHEN HS IS NULL THEN 0.98175 WHEN HS > 0.1 THEN 0.983 ELSE 0.9805 END AS e, CASE WHEN HS >= 0.1 THEN 0.85 WHEN HS < 0.1 THEN 0.23 END AS al, greatest(0, least(1, (TA - 271.15)/4)) AS f FROM h)
+SELECT event_id, round(pow((200 + R/5)/(e*5.670373e-8), 0.25), 4) AS tss, round(CASE WHEN R <= 4 THEN R ELSE R/al END, 4) AS iswr, round(CASE WHEN R <= 4 THEN R ELSE R*al END, 4) AS rswr, round(CASE WHEN PSUM = 0 THEN 0 ELSE f END, 6) AS phase, round(PSUM*f, 6) AS liquid, round(PSUM*(1-f), 6) AS solid FROM p""")
+def generator_fill(spark, d):
+    """TS_OLWR, ISWR_ALBEDO and PRECSPLITTING with a range of temperatures."""
+    c, none = F.col, F.lit(None).cast("double")
+    w = weather(spark, d).withColumns({"HS": F.when(c("event_id") % 5 > 0, c("PSUM") / 20), "R": c("ALT") / 3})
+    _, phase, liquid, solid = ge.split_precipitation(c("PSUM"), none, none, none, ge.rain_fraction(c("TA"), 271.15, 275.15))
+    radiation = (R(ge.surface_temperature(200 + c("R") / 5, c("HS")), "tss"), R(ge.incoming_from_reflected(c("R"), c("HS")), "iswr"), R(ge.reflected_from_incoming(c("R"), c("HS")), "rswr"))
+    return w.select("event_id", *radiation, F.round(phase, 6).alias("phase"), F.round(liquid, 6).alias("liquid"), F.round(solid, 6).alias("solid"))
+
+
+@query(f"""WITH {_TYPES}, o AS (SELECT station, t_us, min(x) AS x FROM obs0 GROUP BY ALL), s AS (SELECT *, lag(t_us) OVER (PARTITION BY station ORDER BY t_us) AS a FROM o),
+k AS (SELECT station, x, a, t_us AS b, unnest(generate_series(a // {HOUR}, (t_us - 1) // {HOUR})) AS k FROM s WHERE x IS NOT NULL AND a IS NOT NULL)
+SELECT station, (k + 1) * {HOUR} AS t_us, round(sum(x * (least(b, (k+1)*{HOUR}) - greatest(a, k*{HOUR})) / (b - a)), 6) AS x FROM k GROUP BY ALL""")
+def resample_accumulate(spark, d):
+    return se.accumulate(_dense(spark, d), "station", "t_us", "x", HOUR).withColumn("x", F.round("x", 6))
+
+
+@query(f"WITH {STATIONS}, {CELLS}, f AS (SELECT region, CASE WHEN var_pop(alt) > 0 THEN regr_slope(value, alt) ELSE 0 END AS s, avg(value) AS v, avg(alt) AS a FROM st GROUP BY region) SELECT region, cell, round(s*alt + v - s*a, 3) AS value FROM ce JOIN f USING (region)")
+def spatial_average_lapse(spark, d):
+    return sp.average_lapse(cells(spark, d), stations(spark, d)).select("region", "cell", F.round("value", 3).alias("value"))
+
+
+@query(f"""WITH {STATIONS}, {CELLS}, n AS (SELECT ce.region, ce.cell, ce.alt, st.value, st.alt AS salt, 1/sqrt(pow(ce.x-st.x,2)+pow(ce.y-st.y,2)+1e6) AS w, row_number() OVER (PARTITION BY ce.region, ce.cell ORDER BY pow(ce.x-st.x,2)+pow(ce.y-st.y,2), st.station) AS k FROM ce JOIN st USING (region)),
+g AS (SELECT region, cell, any_value(alt) AS alt, CASE WHEN var_pop(salt) > 0 THEN regr_slope(value, salt) ELSE 0 END AS s, avg(value) AS v, avg(salt) AS a FROM n WHERE k <= 4 GROUP BY ALL)
+SELECT region, cell, round(sum(w*(n.value - s*salt - (v - s*a)))/sum(w) + any_value(s*g.alt + v - s*a), 3) AS value FROM n JOIN g USING (region, cell) WHERE k <= 4 GROUP BY ALL""")
+def spatial_local_lapse(spark, d):
+    return sp.local_idw_lapse(cells(spark, d), stations(spark, d), 4).select("region", "cell", F.round("value", 3).alias("value"))
+
+
+_AT = lambda name, di, dj: f"LEFT JOIN dem {name} ON {name}.i = c.i + {di} AND {name}.j = c.j + {dj}"
+_AROUND = " ".join(_AT(n, i, j) for n, i, j in (("sw", -1, -1), ("s", 0, -1), ("se", 1, -1), ("w", -1, 0), ("e", 1, 0), ("nw", -1, 1), ("n", 0, 1), ("ne", 1, 1)))
+_DEM = f"WITH {ELEVATIONS}, a AS (SELECT c.i, c.j, c.value AS z, " + ", ".join(f"{k}.value AS {k}" for k in "sw s se w e nw n ne".split()) + f" FROM dem c {_AROUND})"
+_NORMALS = {"horn": ("(nw+2*w+sw-ne-2*e-se)/800", "(sw+2*s+se-nw-2*n-ne)/800"), "fleming": ("(w-e)/200", "(s-n)/200"), "corripio": ("(sw+nw-se-ne)/400", "(sw-nw+se-ne)/400")}
+
+for _name, (_nx, _ny) in _NORMALS.items():
+
+    def _terrain(spark, d, scheme=_name.upper()):
+        out = te.slope_aspect(elevations(spark, d), 100.0, scheme)
+        return out.select("i", "j", R(F.col("slope"), "slope"), R(F.col("azimuth"), "azimuth"), R(te.hillshade(F.col("slope"), F.col("azimuth"), 30.0, 315.0), "shade"))
+
+    QUERIES[f"terrain_{_name}"] = _terrain
+    ORACLES[f"terrain_{_name}"] = f"""{_DEM}, g AS (SELECT i, j, CASE WHEN z IS NOT NULL THEN {_nx} END AS x, CASE WHEN z IS NOT NULL THEN {_ny} END AS y FROM a), h AS (SELECT *, degrees(atan(sqrt(x*x + y*y))) AS slope FROM g),
+k AS (SELECT *, CASE WHEN slope IS NULL THEN NULL WHEN slope = 0 THEN 0 WHEN x = 0 THEN CASE WHEN y < 0 THEN 180 ELSE 0 END ELSE (450 - round(degrees(atan2(y, x)), 1)) % 360 END AS az FROM h)
+SELECT i, j, round(slope, 4) AS slope, round(az, 4) AS azimuth, round(greatest(0, cos(radians(60))*cos(radians(slope)) + sin(radians(60))*sin(radians(slope))*cos(radians(315 - az))), 4) + CASE WHEN slope IS NULL THEN NULL ELSE 0 END AS shade FROM k"""
+
+
+_RISE = "CASE WHEN coalesce({a}, {b}) IS NOT NULL THEN (z - (coalesce({a}, z) + coalesce({b}, z))/2)/{d} END"
+
+
+@query(f"""{_DEM}, r AS (SELECT i, j, z, [{_RISE.format(a='w', b='e', d=200)}, {_RISE.format(a='s', b='n', d=200)}, {_RISE.format(a='sw', b='ne', d='(200*sqrt(2))')}, {_RISE.format(a='nw', b='se', d='(200*sqrt(2))')}] AS l FROM a)
+SELECT i, j, CASE WHEN z IS NOT NULL THEN round(list_avg(l), 6) END AS curvature FROM r""")
+def terrain_curvature(spark, d):
+    return te.curvature(elevations(spark, d), 100.0).select("i", "j", F.round("curvature", 6).alias("curvature"))
+
+
+@query(f"""WITH {WEATHER} SELECT station, round(corr(TA, TSS), 6) AS corr, round(1 - sum(pow(TA - TSS, 2))/nullif(sum(pow(TA, 2)) - pow(sum(TA), 2)/count(*), 0), 4) AS nash_sutcliffe, round(sum(VW*TA)/nullif(sum(VW), 0), 6) AS weighted FROM w GROUP BY station HAVING count(*) > 2""")
+def stats_pairs(spark, d):
+    """Correlation, model efficiency and weighted mean of two parameters."""
+    c = F.col
+    spread = F.sum(c("TA") * c("TA")) - F.pow(F.sum("TA"), 2) / F.count(F.lit(1))
+    agg = weather(spark, d).groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("TA", "TSS"), 6).alias("corr"), R(1 - F.sum(F.pow(c("TA") - c("TSS"), 2)) / F.nullif(spread, F.lit(0.0)), "nash_sutcliffe"), F.round(F.sum(c("VW") * c("TA")) / F.nullif(F.sum("VW"), F.lit(0.0)), 6).alias("weighted"))
+    return agg.where("n > 2").drop("n")

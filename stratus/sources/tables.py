@@ -51,3 +51,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CELLS = "ce AS (SELECT c_nationkey AS region, c_custkey AS cell, ((c_custkey*31)%100000)::DOUBLE AS x, ((c_custkey*57)%100000)::DOUBLE AS y, ((c_custkey*11)%3000)::DOUBLE AS alt FROM customer)"
+
+
+def elevations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a grid of 40 columns: (grid, i, j, value), every 97th value missing."""
+    k = F.col("p_partkey")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit(1).alias("grid"), (k % 40).alias("i"), F.floor(k / 40).cast("long").alias("j"), F.when(k % 97 != 96, F.col("p_retailprice")).alias("value"))
+
+
+ELEVATIONS = "dem AS (SELECT p_partkey % 40 AS i, p_partkey // 40 AS j, CASE WHEN p_partkey % 97 <> 96 THEN p_retailprice END AS value FROM part)"

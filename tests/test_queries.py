@@ -65,3 +65,38 @@ def test_stream_of_hourly_means(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("hourly").where("n = 1").count() == 4
+
+
+def test_precipitation_parts_come_from_each_other(spark):
+    from pyspark.sql import functions as F
+
+    from stratus.operators.generators import split_precipitation
+
+    cases = [(2.0, 0.25, None, None), (None, None, 0.5, 1.5), (None, 0.25, 0.5, None), (None, 0.25, None, 1.5), (2.0, None, 0.5, None), (2.0, None, None, None), (0.0, None, None, None), (None, None, None, None)]
+    df = spark.createDataFrame(cases, "p double, f double, l double, s double")
+    got = [tuple(r) for r in df.select(*split_precipitation(F.col("p"), F.col("f"), F.col("l"), F.col("s"), F.lit(0.25))).collect()]
+    whole = (2.0, 0.25, 0.5, 1.5)
+    assert got[0] == got[2] == got[3] == got[5] == whole
+    assert got[1] == whole
+    assert got[4] == whole
+    assert got[6] == (0.0, 0.0, 0.0, 0.0)
+    assert got[7] == (None, None, None, None)
+
+
+def test_wma_and_exp_smoothing_average_the_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from stratus.operators import corrections, filters
+
+    df = spark.createDataFrame([(1, k, x) for k, x in enumerate([1.0, 2.0, None, 6.0, 8.0])], "s long, t long, x double")
+    w = filters.over("s", time="t")
+    got = {r.t: (r.a, r.b) for r in df.select("t", filters.wma(F.col("x"), w, 2).alias("a"), corrections.exp_smoothing(F.col("x"), w, 2, 0.25).alias("b")).collect()}
+    assert got[2] == ((2 * 4.0 + 4.5) / 3, 0.25 * 4.5 + 0.75 * 4.0)
+    assert got[1] == ((3 * 2.0 + 2 * 1.0 + 6.0) / 6, 0.25 * 6.0 + 0.75 * 1.0)
+
+
+def test_accumulate_deals_a_value_over_its_time(spark):
+    from stratus.operators.series import accumulate
+
+    df = spark.createDataFrame([(1, 5, 1.0), (1, 25, 4.0), (1, 28, None), (1, 40, 3.0)], "s long, t long, x double")
+    assert {r.t: r.x for r in accumulate(df, "s", "t", "x", 10).collect()} == {10: 1.0, 20: 2.0, 30: 1.5, 40: 2.5}
