@@ -4,9 +4,13 @@ A text's anchors are the smallest hashed SEED-byte strings of its LENGTH-byte wi
 windows choose the same anchor, so suffixes at anchors are enough: an entry (head, seed, context, left, span) stands for
 the ``span + 1`` windows that chose it; ``head`` holds the suffix's first bytes, by which a level is sorted, and
 ``context`` the hash of all bytes that those windows cover. New batches get an array of entries, which is scanned together
-with all live levels for seeds that more than one context shares; then levels of equal size merge geometrically. Windows
-of such seeds are compared by hashes of their LENGTH bytes. Entries of equal contexts are one entry with a count, so
-groups of copies stay small.
+with all live levels for seeds that more than one context shares; then levels of equal size merge geometrically. Entries of
+equal contexts are one entry with a count, so groups of copies stay small.
+
+Equal windows lie at the same distance before their anchor, so the windows of such seeds are compared by blocks of
+distances, which shrink from step to step (WIDTHS). A block's core is what all of its windows cover: an entry whose core
+no other entry has drops the block, blocks of equal bytes are repeated as a whole, and one block of each kind goes on to
+the next step. Only counts of hashes decide, so no seed, passage or group of entries meets in one task.
 
 Matches never cross documents. A byte goes if a LENGTH-byte string over it starts anywhere else as well; all strings are
 judged on the input. Null is an empty text; texts under LENGTH bytes keep all. Two rows are the same only if id and text
@@ -23,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm.common import binary, by_key, documents, mix, pieces, prefix_hash, saved, substring_hash, utf8, whole_groups
+from stratus.llm.common import binary, documents, mix, pieces, prefix_hash, saved, substring_hash
 
 #: Bytes of a repeated string and of a seed, batches that are added one after the other.
 LENGTH, SEED, BATCHES = 400, 32, 4
-#: Contexts of a seed up to which one task compares its windows; those of other seeds are shuffled by window.
-HOT_SEED = 1_000
+#: Distances in a block at each step; the last step compares single windows.
+WIDTHS = (64, 8, 1)
 
 
 def _smallest(values: np.ndarray, w: int) -> np.ndarray:
@@ -135,50 +139,52 @@ def _contexts(length: int):
     return f
 
 
-def _window_hashes(table: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, window, hash of its bytes, seed and distance to the anchor) of all windows of the rows."""
-    data, at = utf8(table.column("bytes"))
-    left, span, seed = (table.column(k).to_numpy().astype(np.int64) for k in ("left", "span", "seed"))
-    row = np.repeat(np.arange(len(left)), span + 1)
-    window = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(span + 1)[:-1]]), span + 1)
-    begin = at[:-1][row] + window
-    value = substring_hash(prefix_hash(data), begin, begin + length)
-    return row, window, mix(value + mix(seed[row].view(np.uint64) + (left[row] - window).astype(np.uint64), 5), 6)
-
-
-def _runs(table: pa.Table | pa.RecordBatch, row: np.ndarray, window: np.ndarray) -> pa.RecordBatch:
-    """Runs of repeated windows as (begin, end) per entry."""
-    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
-    last = np.concatenate([new[1:], [len(row)] if len(row) else []]).astype(np.int64) - 1
-    pick = pa.array(row[new])
-    return pa.RecordBatch.from_arrays([*(table.column(k).take(pick) if isinstance(table, pa.RecordBatch) else table.column(k).combine_chunks().take(pick) for k in ("seed", "context", "left", "span")), pa.array(window[new]), pa.array(window[last] + 1)], ["seed", "context", "left", "span", "b", "e"])
-
-
-def _repeated(length: int):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in whole_groups(batches, "seed"):
-            row, window, value = _window_hashes(table, length)
-            order = np.argsort(value, kind="stable")
-            same = value[order][1:] == value[order][:-1]
-            hit = np.zeros(len(value), bool)
-            hit[order[1:][same]] = True
-            hit[order[:-1][same]] = True
-            yield _runs(table, row[hit], window[hit])
-
-    return f
-
+def _blocks(length: int, width: int):
+    """Blocks of ``width`` distances of the windows in ``parts``: the windows, the hash of their core and of all their bytes."""
 
-def _windows(length: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, _, _ in pieces(batch, "bytes"):
-                row, window, value = _window_hashes(rows, length)
+            for rows, data, at in pieces(batch, "bytes"):
+                prefix = prefix_hash(data)
+                flat = rows.column("parts").flatten()
+                row = np.repeat(np.arange(rows.num_rows), np.diff(rows.column("parts").offsets.to_numpy()))
+                left, seed = (rows.column(k).to_numpy().astype(np.int64) for k in ("left", "seed"))
+                near, far = left[row] - flat.field("e").to_numpy() + 1, left[row] - flat.field("b").to_numpy()
+                each = far // width - near // width + 1
+                step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                row, near, far = (np.repeat(x, each) for x in (row, near, far))
+                low = (near // width + step) * width
+                near, far = np.maximum(near, low), np.minimum(far, low + width - 1)
+                anchor, own = at[:-1][row] + left[row], mix(seed[row].view(np.uint64), 5)
+                core = mix(substring_hash(prefix, anchor - low, anchor + length - low - width + 1) + own + low.astype(np.uint64), 6)
+                whole = mix(substring_hash(prefix, anchor - far, anchor + length - near) + own + near.astype(np.uint64), 7)
                 pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(rows.column(k).take(pick) for k in ("seed", "context", "left", "span")), pa.array(window), pa.array(value.view(np.int64))], ["seed", "context", "left", "span", "b", "value"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows.column(k).take(pick) for k in ("seed", "context", "left", "span")), pa.array(left[row] - far), pa.array(left[row] - near + 1), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))],
+                    ["seed", "context", "left", "span", "b", "e", "core", "whole"],
+                )
 
     return f
 
 
+def _repeated(contexts: DataFrame, length: int, widths: tuple[int, ...]) -> DataFrame:
+    """(seed, context, left, span, b, e): runs of windows that another entry has as well."""
+    entry = ["seed", "context", "left", "span"]
+    parts = contexts.withColumn("parts", F.array(F.struct(F.lit(0).cast("long").alias("b"), (F.col("span") + 1).cast("long").alias("e"))))
+    runs = None
+    for width in widths:
+        blocks = saved(parts.mapInArrow(_blocks(length, width), "seed long, context long, left int, span int, b long, e long, core long, whole long"), "blocks")
+        cores = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+        alive = saved(blocks.join(cores, "core", "left_semi"), "alive")
+        wholes = alive.groupBy("whole").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in (*entry, "b", "e")))
+        same = alive.join(wholes.where("n > 1").select("whole"), "whole", "left_semi").select(*entry, "b", "e")
+        runs = same if runs is None else runs.unionByName(same)
+        if width > 1:
+            rest = wholes.groupBy(*entry).agg(F.collect_list(F.struct("b", "e")).alias("parts"))
+            parts = saved(parts.drop("parts").join(rest, entry), "parts")
+    return runs
+
+
 def _cut(length: int):
     """Removes the windows listed in ``runs`` from each text."""
 
@@ -212,7 +218,7 @@ def _cut(length: int):
     return f
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES, hot: int = HOT_SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES, widths: tuple[int, ...] = WIDTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes (UTF-8, a cut may fall inside a character)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     kind = "row long, pos long, left int, span int, head long, seed long, context long"
@@ -224,16 +230,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batc
     wanted = entries.join(index.shared.distinct(), "seed", "left_semi")
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("seed", "context", "left", "span", "pos")).alias("wanted"))
     contexts = saved(texts.select("row", "text").join(lists, "row").select("text", "wanted").mapInArrow(_contexts(length), "seed long, context long, left int, span int, bytes binary"), "contexts")
-    many = saved(contexts.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("seed"), "hot")
     entry = ["seed", "context", "left", "span"]
-    runs_kind = "seed long, context long, left int, span int, b long, e long"
-    if many.isEmpty():
-        runs = by_key(contexts, "seed").mapInArrow(_repeated(length), runs_kind)
-    else:
-        runs = by_key(contexts.join(many, "seed", "left_anti"), "seed").mapInArrow(_repeated(length), runs_kind)
-        each = saved(contexts.join(many, "seed", "left_semi").mapInArrow(_windows(length), "seed long, context long, left int, span int, b long, value long"), "windows")
-        again = each.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
-        runs = runs.unionByName(each.join(again, "value", "left_semi").select(*entry, "b", (F.col("b") + 1).alias("e")))
+    runs = _repeated(contexts, length, widths)
     copies = entries.where("n > 1").select(*entry, F.lit(0).cast("long").alias("b"), (F.col("span") + 1).cast("long").alias("e"))
     flagged = saved(runs.unionByName(copies).groupBy(*entry).agg(F.collect_set(F.struct("b", "e")).alias("runs")), "flagged")
     own = found.join(flagged, entry).select("row", (F.col("pos") - F.col("left")).alias("lo"), F.explode("runs").alias("x"))

@@ -107,8 +107,8 @@ def test_cuckoo_filter_resizes_and_deletes():
     assert all(shard.drop(k) for k in keys) and not any(shard.filter.slots)
 
 
-@pytest.mark.parametrize("hot", [1000, 0])
-def test_suffix_index(docs, nothing, texts, hot):
+@pytest.mark.parametrize("widths", [suffix_index.WIDTHS, (100, 7, 1), (1,)])
+def test_suffix_index(docs, nothing, texts, widths):
     raw = [(t or "").encode() for t in texts]
     count = collections.Counter(t[k : k + 400] for t in raw for k in range(len(t) - 399))
     want = {}
@@ -119,7 +119,7 @@ def test_suffix_index(docs, nothing, texts, hot):
                 gone[k : k + 400] = b"\1" * 400
         spans = sum(1 for k in range(len(t)) if gone[k] and not (k and gone[k - 1]))
         want[i] = (len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_index.remove_repeats(docs, hot=hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_index.remove_repeats(docs, widths=widths).collect()}
     assert got == want
     assert suffix_index.remove_repeats(nothing).count() == 0
 
