@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +112,45 @@ def accumulate(obs: DataFrame, station: str, time: str, value: str, step_us: int
     dealt = spans.withColumn("k", F.explode(F.sequence(F.floor(F.col("a") / step_us), F.floor((F.col("b") - 1) / step_us))))
     share = (F.least(F.col("b"), (F.col("k") + 1) * step_us) - F.greatest(F.col("a"), F.col("k") * step_us)) / (F.col("b") - F.col("a"))
     return dealt.groupBy(station, ((F.col("k") + 1) * step_us).cast("long").alias(time)).agg(F.sum(F.col("x") * share).alias(value))
+
+
+def daily_average(obs: DataFrame, grid: DataFrame, station: str, time: str, value: str, reach: float, phase: float = 0.0) -> DataFrame:
+    """Values at the times of ``grid`` from one value a day: a daily sinusoid of amplitude ``reach`` around the day's value.
+
+    The days before and after weigh in by the squared distance of the time to their noons. Midnight belongs to the day that
+    ends there; several values of a day count as their mean, and times of days without a value are null.
+    """
+    day_us = 86_400_000_000
+    day = F.floor((F.col(time) - 1) / day_us).cast("long")
+    days = obs.where(F.col(value).isNotNull()).groupBy(station, day.alias("day")).agg(F.avg(value).alias("v1"))
+    w = Window.partitionBy(station).orderBy("day")
+    days = days.withColumns({"v0": F.max("v1").over(w.rangeBetween(-1, -1)), "v2": F.max("v1").over(w.rangeBetween(1, 1))})
+    both = grid.withColumn("day", day).join(days, [station, "day"], "left").withColumn("part", (F.col(time) - F.col("day") * day_us) / day_us)
+    part, total, norm = F.col("part"), F.lit(0.0), F.lit(0.0)
+    for v, noon in (("v0", -0.5), ("v1", 0.5), ("v2", 1.5)):
+        weight = 1 / F.nullif(F.pow(part - noon, 2), F.lit(0.0))
+        total = total + F.coalesce(weight * F.col(v), F.lit(0.0))
+        norm = norm + F.when(F.col(v).isNotNull(), F.coalesce(weight, F.lit(0.0))).otherwise(0.0)
+    mean = F.when(part == 0.5, F.col("v1")).otherwise(total / F.nullif(norm, F.lit(0.0)))
+    return both.select(station, time, F.when(F.col("v1").isNotNull(), mean + reach * F.sin(2 * math.pi * (part - 0.25 + phase))).alias(value))
+
+
+def suppress(df: DataFrame, time: str, ranges: list[tuple[int, int]]) -> DataFrame:
+    """Without the rows of closed ranges of microseconds."""
+    return df.where(~when(F.col(time), ranges))
+
+
+def shift_steps(time: Column, steps: list[tuple[int, float]]) -> Column:
+    """Times moved by the seconds of the last step (start in microseconds, seconds) at or before them; none before the first."""
+    moved = F.lit(0.0)
+    for start, seconds in sorted(steps):
+        moved = F.when(time >= start, F.lit(float(seconds))).otherwise(moved)
+    return time + (moved * 1_000_000).cast("long")
+
+
+def time_loop(df: DataFrame, time: str, reference: tuple[int, int], wanted: tuple[int, int]) -> DataFrame:
+    """The rows of the reference period [a, b) again and again, wherever their times fall into the closed range ``wanted``."""
+    (a, b), (lo, hi) = reference, wanted
+    first, last = F.ceil((lo - F.col(time)) / (b - a)).cast("long"), F.floor((hi - F.col(time)) / (b - a)).cast("long")
+    again = df.where((F.col(time) >= a) & (F.col(time) < b)).where(last >= first)
+    return again.withColumn("again", F.explode(F.sequence(first, last))).withColumn(time, F.col(time) + F.col("again") * (b - a)).drop("again")

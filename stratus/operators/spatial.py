@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratus.functions import atmosphere as air
+
 #: Stations that are broadcast at most; more of them are joined by Spark's own choice.
 STATIONS = 10_000
 
 
 def with_stations(cells: DataFrame, stations: DataFrame, condition: Column | None = None) -> DataFrame:
-    """Cells with the stations of their group, and squared distance d2. Both sides have a column ``region``."""
+    """Cells with the stations of their group that have a value, and squared distance d2. Both sides have a column ``region``."""
+    stations = stations.where(F.col("value").isNotNull())
     few = stations.limit(STATIONS + 1).count() <= STATIONS
     near = stations.select("region", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("alt").alias("salt"), F.col("value"), F.col("station"))
     both = cells.join(F.broadcast(near) if few else near, "region")
@@ -65,3 +68,25 @@ def local_idw_lapse(cells: DataFrame, stations: DataFrame, neighbours: int, most
     # the intercepts of detrending and retrending cancel
     value = F.col("wv") / F.col("w") + F.when(F.col("n") > 1, F.col("slope") * (F.col("alt") - F.col("wa") / F.col("w"))).otherwise(0.0)
     return fit.select("region", "cell", value.alias("value"))
+
+
+def std_pressure(cells: DataFrame, stations: DataFrame, scale: float | None = None) -> DataFrame:
+    """The standard atmosphere at each cell plus the stations' residuals from it: their mean, or their IDW where ``scale`` is given."""
+    off = stations.withColumn("value", F.col("value") - air.std_pressure(F.col("alt")))
+    rest = average(cells, off) if scale is None else idw(cells, off, scale)
+    return rest.join(cells.select("region", "cell", "alt"), ["region", "cell"]).select("region", "cell", (F.col("value") + air.std_pressure(F.col("alt"))).alias("value"))
+
+
+def idw_wind(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
+    """(region, cell, vw, dw): IDW of both components of the stations' wind ``vw`` and ``dw``."""
+    u, v = air.wind_components(F.col("vw"), F.col("dw"))
+    both = with_stations(cells, stations.withColumn("value", F.struct(u.alias("u"), v.alias("v")))).where("value.u IS NOT NULL AND value.v IS NOT NULL")
+    both = both.withColumn("w", F.pow(1 / F.sqrt(F.col("d2") + scale * scale), alpha))
+    mean = both.groupBy("region", "cell").agg(*((F.sum(F.col("w") * F.col(f"value.{k}")) / F.sum("w")).alias(k) for k in "uv"))
+    return mean.select("region", "cell", F.hypot("u", "v").alias("vw"), air.wind_direction(F.col("u"), F.col("v")).alias("dw"))
+
+
+def longwave_by_emissivity(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
+    """ILWR_EPS: IDW_LAPSE of the stations' emissivity (``value`` over the black body at ``ta``), times the black body at the cell's ``ta``."""
+    eps = idw_lapse(cells, stations.withColumn("value", air.black_body_emissivity(F.col("value"), F.col("ta"))), scale, alpha)
+    return eps.join(cells.select("region", "cell", "ta"), ["region", "cell"]).select("region", "cell", air.black_body(F.col("value"), F.col("ta")).alias("value"))

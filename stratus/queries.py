@@ -398,3 +398,69 @@ def stats_pairs(spark, d):
     spread = F.sum(c("TA") * c("TA")) - F.pow(F.sum("TA"), 2) / F.count(F.lit(1))
     agg = weather(spark, d).groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("TA", "TSS"), 6).alias("corr"), R(1 - F.sum(F.pow(c("TA") - c("TSS"), 2)) / F.nullif(spread, F.lit(0.0)), "nash_sutcliffe"), F.round(F.sum(c("VW") * c("TA")) / F.nullif(F.sum("VW"), F.lit(0.0)), 6).alias("weighted"))
     return agg.where("n > 2").drop("n")
+
+
+@query(f"""WITH {_TYPES}, o AS (SELECT station, t_us, min(x) AS x FROM obs0 GROUP BY ALL), d AS (SELECT station, (t_us - 1) // {DAY} AS day, avg(x) AS v FROM o WHERE x IS NOT NULL GROUP BY ALL),
+g AS (SELECT station, unnest(generate_series(CAST(ceil(min(t_us)/{HOUR}.0) AS BIGINT), CAST(floor(max(t_us)/{HOUR}.0) AS BIGINT)))*{HOUR} AS t_us FROM o GROUP BY station),
+p AS (SELECT g.station, g.t_us, (t_us - (t_us - 1) // {DAY} * {DAY})/{DAY}.0 AS f, b.v AS v1, a.v AS v0, c.v AS v2 FROM g LEFT JOIN d b ON b.station = g.station AND b.day = (t_us - 1) // {DAY} LEFT JOIN d a ON a.station = b.station AND a.day = b.day - 1 LEFT JOIN d c ON c.station = b.station AND c.day = b.day + 1)
+SELECT station, t_us, round(10*sin(2*pi()*(f - 0.25)) + CASE WHEN f = 0.5 THEN v1 ELSE (v1/pow(f-0.5, 2) + coalesce(v0/pow(f+0.5, 2), 0) + coalesce(v2/pow(f-1.5, 2), 0)) / (1/pow(f-0.5, 2) + CASE WHEN v0 IS NULL THEN 0 ELSE 1/pow(f+0.5, 2) END + CASE WHEN v2 IS NULL THEN 0 ELSE 1/pow(f-1.5, 2) END) END, 8) AS x FROM p""")
+def resample_daily_average(spark, d):
+    obs = _dense(spark, d)
+    out = se.daily_average(obs, se.grid_of(obs, "station", "t_us", HOUR), "station", "t_us", "x", 10.0)
+    return out.select("station", "t_us", R8(F.col("x"), "x"))
+
+
+#: The first day of the observations, and days counted from there.
+_FIRST = 19_723 * DAY
+
+
+def _days(a: int, b: int) -> tuple[int, int]:
+    return _FIRST + a * DAY, _FIRST + b * DAY
+
+
+@query(f"WITH {OBS} SELECT event_id, t_us, x FROM obs WHERE NOT (t_us BETWEEN {_days(3, 5)[0]} AND {_days(3, 5)[1]} OR t_us BETWEEN {_days(10, 11)[0]} AND {_days(10, 11)[1]})")
+def time_suppress(spark, d):
+    return se.suppress(observations(spark, d), "t_us", [_days(3, 5), _days(10, 11)]).select("event_id", "t_us", "x")
+
+
+@query(f"WITH {OBS} SELECT event_id, t_us + CASE WHEN t_us >= {_days(20, 20)[0]} THEN 0 WHEN t_us >= {_days(5, 5)[0]} THEN -3600000000 ELSE 0 END AS t_us FROM obs")
+def time_shift_steps(spark, d):
+    return observations(spark, d).select("event_id", se.shift_steps(F.col("t_us"), [(_days(5, 5)[0], -3600.0), (_days(20, 20)[0], 0.0)]).alias("t_us"))
+
+
+@query(f"""WITH {OBS}, r AS (SELECT event_id, t_us, x, unnest(generate_series(-2, 10)) AS k FROM obs WHERE t_us >= {_days(0, 7)[0]} AND t_us < {_days(0, 7)[1]})
+SELECT event_id, t_us + k * {7 * DAY} AS t_us, x FROM r WHERE t_us + k * {7 * DAY} BETWEEN {_days(3, 40)[0]} AND {_days(3, 40)[1]}""")
+def time_loop(spark, d):
+    return se.time_loop(observations(spark, d), "t_us", _days(0, 7), _days(3, 40)).select("event_id", "t_us", "x")
+
+
+_STD = "101325*pow(1 - 0.0065*6356766*{a}/(288.15*(6356766 + {a})), 9.80665/(0.0065*287.058))"
+_WEIGHT = "1/sqrt(pow(ce.x-q.x, 2) + pow(ce.y-q.y, 2) + 1e6)"
+
+
+@query(f"""WITH {STATIONS}, {CELLS}, q AS (SELECT region, x, y, value + 90000 - {_STD.format(a='alt')} AS r FROM st), m AS (SELECT region, avg(r) AS r FROM q GROUP BY region),
+i AS (SELECT ce.region, ce.cell, sum(q.r * {_WEIGHT}) / sum({_WEIGHT}) AS r FROM ce JOIN q USING (region) GROUP BY ALL)
+SELECT region, cell, round(m.r + {_STD.format(a='alt')}, 2) AS by_mean, round(i.r + {_STD.format(a='alt')}, 2) AS by_idw FROM ce JOIN m USING (region) JOIN i USING (region, cell)""")
+def spatial_std_pressure(spark, d):
+    ce, st = cells(spark, d), stations(spark, d).withColumn("value", F.col("value") + 90_000)
+    mean, near = sp.std_pressure(ce, st), sp.std_pressure(ce, st, 1000.0)
+    return mean.select("region", "cell", F.round("value", 2).alias("by_mean")).join(near.select("region", "cell", F.round("value", 2).alias("by_idw")), ["region", "cell"])
+
+
+@query(f"""WITH {STATIONS}, {CELLS}, q AS (SELECT region, x, y, -(station % 20)*sin(radians(station*37 % 360)) AS u, -(station % 20)*cos(radians(station*37 % 360)) AS v FROM st),
+i AS (SELECT ce.region, ce.cell, sum(q.u * {_WEIGHT}) / sum({_WEIGHT}) AS u, sum(q.v * {_WEIGHT}) / sum({_WEIGHT}) AS v FROM ce JOIN q USING (region) GROUP BY ALL)
+SELECT region, cell, round(sqrt(u*u + v*v), 4) AS vw, round((degrees(atan2(u, v)) + 180) % 360, 3) AS dw FROM i""")
+def spatial_idw_wind(spark, d):
+    k = F.col("station")
+    st = stations(spark, d).withColumns({"vw": (k % 20).cast("double"), "dw": (k * 37 % 360).cast("double")})
+    return sp.idw_wind(cells(spark, d), st).select("region", "cell", R(F.col("vw"), "vw"), F.round("dw", 3).alias("dw"))
+
+
+@query(f"""WITH {STATIONS}, {CELLS}, e AS (SELECT region, x, y, alt, least((200 + station % 100)/(5.670373e-8*pow(270 + station % 20, 4)), 1) AS value FROM st), f AS (SELECT region, CASE WHEN var_pop(alt) > 0 THEN regr_slope(value, alt) ELSE 0 END AS s, avg(value) AS v, avg(alt) AS a FROM e GROUP BY region),
+q AS (SELECT e.region, x, y, value - s*alt - (v - s*a) AS r FROM e JOIN f USING (region)), i AS (SELECT ce.region, ce.cell, any_value(ce.alt) AS alt, sum(q.r * {_WEIGHT}) / sum({_WEIGHT}) AS r FROM ce JOIN q USING (region) GROUP BY ALL)
+SELECT region, cell, round((r + s*alt + v - s*a) * 5.670373e-8*pow(265 + cell % 25, 4), 3) AS value FROM i JOIN f USING (region)""")
+def spatial_longwave(spark, d):
+    """ILWR_EPS."""
+    k = F.col("station")
+    st = stations(spark, d).withColumns({"value": (200 + k % 100).cast("double"), "ta": (270 + k % 20).cast("double")})
+    return sp.longwave_by_emissivity(cells(spark, d).withColumn("ta", (265 + F.col("cell") % 25).cast("double")), st).select("region", "cell", F.round("value", 3).alias("value"))

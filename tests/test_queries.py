@@ -100,3 +100,35 @@ def test_accumulate_deals_a_value_over_its_time(spark):
 
     df = spark.createDataFrame([(1, 5, 1.0), (1, 25, 4.0), (1, 28, None), (1, 40, 3.0)], "s long, t long, x double")
     assert {r.t: r.x for r in accumulate(df, "s", "t", "x", 10).collect()} == {10: 1.0, 20: 2.0, 30: 1.5, 40: 2.5}
+
+
+def test_daily_average_without_neighbours_is_a_sinusoid(spark):
+    from stratus.operators.series import daily_average
+
+    hour = 3_600_000_000
+    obs = spark.createDataFrame([(1, 12 * hour, 5.0), (1, 60 * hour, None)], "s long, t long, x double")
+    grid = spark.createDataFrame([(1, k * hour) for k in (6, 12, 18, 24, 30)], "s long, t long")
+    got = {r.t // hour: r.x for r in daily_average(obs, grid, "s", "t", "x", 2.0).collect()}
+    assert got[30] is None
+    assert [round(got[k], 9) for k in (6, 12, 18, 24)] == [5.0, 7.0, 5.0, 3.0]
+
+
+def test_csv_and_grid_writer(spark, tmp_path):
+    from stratus.sources.csv import read_csv
+    from stratus.sources.grids import read_arc, write_arc
+
+    (tmp_path / "a.csv").write_text("when;temp;snow\n01.12.2008 01:00;1.5;150\n01.12.2008 02:00;-999;x\n")
+    got = read_csv(spark, str(tmp_path / "a.csv"), {"temp": "TA", "snow": "HS"}, "when", "dd.MM.yyyy HH:mm", station_id="A", delimiter=";", tz=1.0, multiplier={"HS": 0.01}, offset={"TA": 273.15})
+    rows = {(r.station_id, str(r.ts), r.param): r.value for r in got.collect()}
+    assert rows == {("A", "2008-12-01 00:00:00", "TA"): 274.65, ("A", "2008-12-01 00:00:00", "HS"): 1.5, ("A", "2008-12-01 01:00:00", "TA"): None, ("A", "2008-12-01 01:00:00", "HS"): None}
+    cells = spark.createDataFrame([("g", i, j, i * 10.0, j * 10.0, float(i + 10 * j) if (i, j) != (1, 0) else None) for i in range(3) for j in (0, 2)], "grid string, i int, j int, x double, y double, value double")
+    write_arc(cells, str(tmp_path / "grid"), 10.0)
+    back = {(r.i, r.j): r.value for r in read_arc(spark, str(tmp_path / "grid" / "*")).collect()}
+    assert back == {(i, j): None if j == 1 or (i, j) == (1, 0) else float(i + 10 * j) for i in range(3) for j in range(3)}
+
+
+def test_time_loop_covers_both_sides(spark):
+    from stratus.operators.series import time_loop
+
+    df = spark.createDataFrame([(10,), (12,), (15,)], "t long")
+    assert sorted(r.t for r in time_loop(df, "t", (10, 15), (6, 20)).collect()) == [7, 10, 12, 15, 17, 20]
