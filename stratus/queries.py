@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.functions import atmosphere as air
+from stratus.functions import sun
 from stratus.operators import corrections as co
 from stratus.operators import filters as fl
 from stratus.operators import generators as ge
@@ -464,3 +465,22 @@ def spatial_longwave(spark, d):
     k = F.col("station")
     st = stations(spark, d).withColumns({"value": (200 + k % 100).cast("double"), "ta": (270 + k % 20).cast("double")})
     return sp.longwave_by_emissivity(cells(spark, d).withColumn("ta", (265 + F.col("cell") % 25).cast("double")), st).select("region", "cell", F.round("value", 3).alias("value"))
+
+
+@query(f"""WITH {WEATHER}, a AS (SELECT event_id, t_us, CLD, LAT, (event_id*17)%360 - 180 AS lon, (t_us/86400000000.0::DOUBLE - 10957.5)/36525 AS c FROM w),
+b AS (SELECT *, 280.46646::DOUBLE + c*(36000.76983::DOUBLE + c*0.0003032::DOUBLE) AS l, radians(357.52911::DOUBLE + c*(35999.05029::DOUBLE - c*0.0001537::DOUBLE)) AS m, 0.016708634::DOUBLE - c*(0.000042037::DOUBLE + c*0.0000001267::DOUBLE) AS e, radians(125.04 - 1934.136*c) AS n FROM a),
+d AS (SELECT *, radians(l + sin(m)*(1.914602::DOUBLE - c*(0.004817 + c*0.000014)) + sin(2*m)*(0.019993::DOUBLE - c*0.000101) + sin(3*m)*0.000289 - 0.00569 - 0.00478*sin(n)) AS s, radians(23.439291::DOUBLE - c*(0.0130042::DOUBLE + c*(1.64e-7 - c*5.04e-7)) + 0.00256*cos(n)) AS o, radians(2*l) AS l2 FROM b),
+f AS (SELECT *, asin(sin(o)*sin(s)) AS decl, pow(tan(o/2), 2) AS y FROM d), g AS (SELECT *, 4*degrees(y*sin(l2) - 2*e*sin(m) + 4*e*y*sin(m)*cos(l2) - y*y*sin(2*l2)/2 - 1.25*e*e*sin(2*m)) AS eq FROM f),
+h AS (SELECT *, radians((((t_us % 86400000000)/60000000.0::DOUBLE + eq + 4*lon) % 1440 + 1440) % 1440 / 4 - 180) AS hour, radians(LAT) AS p FROM g),
+i AS (SELECT *, degrees(asin(greatest(-1, least(1, sin(p)*sin(decl) + cos(p)*cos(decl)*cos(hour))))) AS el, -tan(p)*tan(decl) AS x FROM h)
+SELECT event_id, round(degrees(decl), 6) AS declination, round(el, 6) AS elevation, round((degrees(atan2(sin(hour), cos(hour)*sin(p) - tan(decl)*cos(p))) + 180) % 360, 3) AS azimuth, round(eq, 6) AS equation, round(CASE WHEN el < 0 THEN 0 ELSE 1366.1*(1 + e)*sin(radians(el)) END, 4) AS top,
+ round(CASE WHEN x <= -1 THEN 24 WHEN x >= 1 THEN 0 ELSE degrees(acos(x))*2/15 END, 6) AS hours, round(1 - 0.75*pow(CLD, 3.4), 6) AS clearness, round(least(1, pow((1 - CLD)/0.75, 1/3.4)), 6) AS cloudiness FROM i""")
+def solar_position(spark, d):
+    """Sun position, radiation above the atmosphere, length of the day, clearness and cloudiness."""
+    w = weather(spark, d)
+    s = sun.sun(F.col("t_us"), F.col("LAT"), F.col("event_id") * 17 % 360 - 180)
+    six = lambda c, name: F.round(c, 6).alias(name)
+    return w.select(
+        "event_id", six(s.declination, "declination"), six(s.elevation, "elevation"), F.round(s.azimuth, 3).alias("azimuth"), six(s.equation, "equation"), R(sun.top_radiation(s), "top"),
+        six(sun.day_length(s, F.col("LAT")), "hours"), six(sun.clearness(F.col("CLD")), "clearness"), six(sun.cloudiness(F.col("CLD")), "cloudiness"),
+    )

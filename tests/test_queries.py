@@ -132,3 +132,16 @@ def test_time_loop_covers_both_sides(spark):
 
     df = spark.createDataFrame([(10,), (12,), (15,)], "t long")
     assert sorted(r.t for r in time_loop(df, "t", (10, 15), (6, 20)).collect()) == [7, 10, 12, 15, 17, 20]
+
+
+def test_sun_stands_where_almanacs_have_it(spark):
+    from pyspark.sql import functions as F
+
+    from stratus.functions.sun import sun
+
+    df = spark.sql("SELECT unix_micros(t) AS t, lat, lon FROM VALUES (timestamp'2024-06-20 20:51:00', 0D, 0D), (timestamp'2024-03-20 03:06:00', 0D, 0D), (timestamp'2024-06-20 12:02:00', 51.48D, 0D), (NULL, 1D, 1D) AS v(t, lat, lon)")
+    s = sun(F.col("t"), F.col("lat"), F.col("lon"))
+    got = df.select(s.declination, s.elevation, s.azimuth).collect()
+    assert abs(got[0][0] - 23.438) < 0.005 and abs(got[1][0]) < 0.005
+    assert abs(got[2][1] - (90 - 51.48 + 23.44)) < 0.01 and abs(got[2][2] - 180) < 0.5
+    assert tuple(got[3]) == (None, None, None)
