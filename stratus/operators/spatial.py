@@ -90,3 +90,42 @@ def longwave_by_emissivity(cells: DataFrame, stations: DataFrame, scale: float =
     """ILWR_EPS: IDW_LAPSE of the stations' emissivity (``value`` over the black body at ``ta``), times the black body at the cell's ``ta``."""
     eps = idw_lapse(cells, stations.withColumn("value", air.black_body_emissivity(F.col("value"), F.col("ta"))), scale, alpha)
     return eps.join(cells.select("region", "cell", "ta"), ["region", "cell"]).select("region", "cell", air.black_body(F.col("value"), F.col("ta")).alias("value"))
+
+
+#: How well an algorithm suits 0, 1, 2 and more stations.
+RATINGS = {
+    "NONE": (1e-12, 1e-12, 1e-12, 1e-12),
+    "CST": (0.01, 0.01, 0.01, 0.01),
+    "AVG": (0.0, 0.8, 0.2, 0.2),
+    "AVG_LAPSE": (0.0, 0.0, 0.7, 0.2),
+    "IDW": (0.0, 0.3, 0.5, 0.5),
+    "IDW_LAPSE": (0.0, 0.0, 0.7, 0.7),
+    "NEAREST": (0.0, 0.99, 0.99, 0.99),
+}
+
+
+def constant(cells: DataFrame, value: float | None) -> DataFrame:
+    return cells.select("region", "cell", F.lit(value).cast("double").alias("value"))
+
+
+def interpolate(cells: DataFrame, stations: DataFrame, algorithms: list[str], fallback: float = 0.0, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """(region, cell, value, algorithm): each region by that of ``algorithms`` that suits its number of stations best, the first of equals.
+
+    ``fallback`` is the value of CST; values are clamped to ``bounds``. Cells of regions that no algorithm suits are null.
+    """
+    run = {
+        "NONE": lambda c: constant(c, None), "CST": lambda c: constant(c, fallback), "AVG": lambda c: average(c, stations), "AVG_LAPSE": lambda c: average_lapse(c, stations),
+        "IDW": lambda c: idw(c, stations), "IDW_LAPSE": lambda c: idw_lapse(c, stations), "NEAREST": lambda c: nearest(c, stations),
+    }
+    best = [max([*algorithms, "NONE"], key=lambda a: RATINGS[a][k]) for k in range(4)]
+    stations = stations.where(F.col("value").isNotNull())
+    number = stations.groupBy("region").agg(F.least(F.count(F.lit(1)), F.lit(3)).alias("n"))
+    sized = cells.join(number, "region", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = None
+    for name in dict.fromkeys(best):
+        mine = sized.where(F.col("n").isin([k for k in range(4) if best[k] == name])).drop("n")
+        found = run[name](mine).withColumn("algorithm", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    if bounds:
+        out = out.withColumn("value", F.when(F.col("value").isNotNull(), F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), F.col("value")))))
+    return out

@@ -484,3 +484,14 @@ def solar_position(spark, d):
         "event_id", six(s.declination, "declination"), six(s.elevation, "elevation"), F.round(s.azimuth, 3).alias("azimuth"), six(s.equation, "equation"), R(sun.top_radiation(s), "top"),
         six(sun.day_length(s, F.col("LAT")), "hours"), six(sun.clearness(F.col("CLD")), "clearness"), six(sun.cloudiness(F.col("CLD")), "cloudiness"),
     )
+
+
+@query(f"""WITH {STATIONS}, {CELLS}, q0 AS (SELECT * FROM st WHERE station % 7 < region % 7), f AS (SELECT region, count(*) AS n, CASE WHEN var_pop(alt) > 0 THEN regr_slope(value, alt) ELSE 0 END AS s, avg(value) AS v, avg(alt) AS a FROM q0 GROUP BY region),
+q AS (SELECT q0.region, x, y, value - s*alt - (v - s*a) AS r FROM q0 JOIN f USING (region)), i AS (SELECT ce.region, ce.cell, sum(q.r * {_WEIGHT}) / sum({_WEIGHT}) AS r FROM ce JOIN q USING (region) GROUP BY ALL)
+SELECT region, cell, round(greatest(-500, least(9000, CASE WHEN n IS NULL THEN 7 WHEN n = 1 THEN v WHEN n = 2 THEN s*alt + v - s*a ELSE r + s*alt + v - s*a END)), 3) AS value, CASE WHEN n IS NULL THEN 'CST' WHEN n = 1 THEN 'AVG' WHEN n = 2 THEN 'AVG_LAPSE' ELSE 'IDW_LAPSE' END AS algorithm
+FROM ce LEFT JOIN f USING (region) LEFT JOIN i USING (region, cell)""")
+def spatial_best(spark, d):
+    """The algorithm that suits each region's number of stations best."""
+    st = stations(spark, d).where("station % 7 < region % 7")
+    out = sp.interpolate(cells(spark, d), st, ["AVG_LAPSE", "AVG", "IDW_LAPSE", "CST"], 7.0, (-500.0, 9000.0))
+    return out.select("region", "cell", F.round("value", 3).alias("value"), "algorithm")
