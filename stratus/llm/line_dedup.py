@@ -2,8 +2,9 @@
 
 Lines are the ``\\n``-separated parts of a text with a non-blank character. A line's set is its character shingles of SHINGLE
 characters, one from each word start. ROWS * BANDS minimum hashes are aggregated map-side; lines that agree in a band are
-compared with that band's smallest line, so a band costs rows, not pairs. Exact Jaccard similarity of the shingle sets
-confirms each link; connected components follow by star steps. Of each component the line that comes first by (doc_id,
+compared with that band's smallest line first, then, where a band's lines do not hang together yet, with each other line
+of the band that is in another component, so no pair that shares a band is left out. Exact Jaccard similarity of the
+shingle sets confirms each link; connected components follow by star steps. Of each component the line that comes first by (doc_id,
 position) stays, all others go, wherever they are; equal lines are always in one component. Line identity is a 64-bit hash
 of the line.
 
@@ -21,6 +22,8 @@ from stratus.llm.components import components
 
 #: Characters of a shingle, hashes of a band, bands, and the similarity in percent that links two lines.
 SHINGLE, ROWS, BANDS, PERCENT = 9, 3, 6, 80
+#: Lines of a band that are compared in one task at most.
+LEAF = 256
 #: Parts into which the lines of a group are dealt when they learn which of them stays.
 SALTS = 8
 
@@ -35,22 +38,38 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.where(F.col("line").rlike(r"\S")).withColumn("id", F.xxhash64("line"))
 
 
-def line_links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(u, v): confirmed links between different lines."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the pairs (id, other) whose sets are alike."""
+    a = texts.select("id", F.col("line").alias("a"))
+    b = texts.select(F.col("id").alias("other"), F.col("line").alias("b"))
+    sets = pairs.join(a, "id").join(b, "other").select("id", "other", F.array_distinct(_shingles("a")).alias("a"), F.array_distinct(_shingles("b")).alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return sets.where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select(F.col("id").alias("u"), F.col("other").alias("v"))
+
+
+def line_links(lines: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+    """(u, v): links whose components are those of all confirmed pairs of different lines that share a band."""
     hashed = lines.select("id", F.explode(_shingles("line")).alias("s")).select("id", F.xxhash64("s").alias("g"))
     n = ROWS * BANDS
     signs = hashed.groupBy("id").agg(*(F.min(F.hash("g", F.lit(k))).alias(f"m{k}") for k in range(n)))
     band = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     bands = saved(signs.select("id", band.alias("bands")), "bands").select("id", F.explode("bands").alias("band"))
     pivot = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("band", "pivot")
-    pairs = saved(bands.join(pivot, "band").where("id <> pivot").select("id", "pivot").distinct(), "pairs")
-    wanted = pairs.select("id").unionByName(pairs.select(F.col("pivot").alias("id"))).distinct()
-    texts = saved(lines.select("id", "line").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "lines")
-    a = texts.select("id", F.col("line").alias("a"))
-    b = texts.select(F.col("id").alias("pivot"), F.col("line").alias("b"))
-    sets = pairs.join(a, "id").join(b, "pivot").select("id", "pivot", F.array_distinct(_shingles("a")).alias("a"), F.array_distinct(_shingles("b")).alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return sets.where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select(F.col("id").alias("u"), F.col("pivot").alias("v"))
+    shared = saved(bands.join(pivot, "band"), "shared")
+    texts = saved(lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "lines")
+    rest = shared.where("id <> pivot")
+    first = saved(rest.select("id", F.col("pivot").alias("other")).distinct(), "pairs")
+    joined = components(_confirmed(first, texts, percent))
+    rest = saved(rest.join(joined, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp")), "rest")
+    # bands whose other lines do not hang together yet: every pair across components, large bands block against block
+    blocks = F.when(F.count(F.lit(1)) <= leaf, 1).otherwise(F.ceil(F.count(F.lit(1)) * 2 / leaf))
+    apart = rest.groupBy("band").agg(blocks.cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "blocks")
+    own = rest.join(apart, "band").withColumn("b", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("band", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "id", "comp", "b")
+    other = own.select("band", "lo", "hi", F.col("id").alias("other"), F.col("comp").alias("comp2"), F.col("b").alias("b2"))
+    second = own.join(other, ["band", "lo", "hi"]).where("id < other AND comp <> comp2 AND (lo = hi OR b <> b2)").select("id", "other").distinct()
+    found = saved(_confirmed(saved(second, "pairs"), texts, percent), "found")
+    return joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(found)
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
