@@ -1,10 +1,12 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
 Lines are the ``\\n``-separated parts of a text with a non-blank character. A line's set is its character shingles of SHINGLE
-characters, one from each word start. ROWS * BANDS minimum hashes are aggregated map-side; lines that agree in a band are
+characters: one from each word start, and all overlapping ones. Two lines are alike if both sets are; of lines with long
+words (over LONG characters a word, such as addresses, ids or scripts without blanks) only the overlapping ones count.
+Signatures are taken from the word starts, of lines with long words from all overlapping shingles. ROWS * BANDS minimum hashes are aggregated map-side; lines that agree in a band are
 compared with that band's smallest line first, then, where a band's lines do not hang together yet, with each other line
 of the band that is in another component, so no pair that shares a band is left out. Exact Jaccard similarity of the
-shingle sets confirms each link; connected components follow by star steps. Of each component the line that comes first by (doc_id,
+sets confirms each link; connected components follow by star steps. Of each component the line that comes first by (doc_id,
 position) stays, all others go, wherever they are; equal lines are always in one component. Line identity is a 64-bit hash
 of the line.
 
@@ -22,6 +24,8 @@ from stratus.llm.components import components
 
 #: Characters of a shingle, hashes of a band, bands, and the similarity in percent that links two lines.
 SHINGLE, ROWS, BANDS, PERCENT = 9, 3, 6, 80
+#: Characters a word from which a line has long words, and up to which it is in the bands of other lines, too.
+LONG, BOTH = 12, 16
 #: Lines of a band that are compared in one task at most.
 LEAF = 256
 #: Parts into which the lines of a group are dealt when they learn which of them stays.
@@ -32,6 +36,16 @@ def _shingles(line: str) -> Column:
     return F.regexp_extract_all(F.col(line), F.lit(rf"(?<!\S)(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
 
 
+def _every(line: str) -> Column:
+    """All overlapping shingles of a line without its outer blanks; a shorter line is one shingle."""
+    text = F.btrim(F.col(line), F.lit(" \t\r\f\x0b"))
+    return F.when(F.length(text) <= SHINGLE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1)))
+
+
+def _long(size: Column, starts: Column) -> Column:
+    return size > LONG * F.size(starts)
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pos, line, id) of all lines with a non-blank character."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(plain_text(text_col), "\n", -1)).alias("pos", "line"))
@@ -39,24 +53,32 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(u, v): the pairs (id, other) whose sets are alike."""
-    a = texts.select("id", F.col("line").alias("a"))
-    b = texts.select(F.col("id").alias("other"), F.col("line").alias("b"))
-    sets = pairs.join(a, "id").join(b, "other").select("id", "other", F.array_distinct(_shingles("a")).alias("a"), F.array_distinct(_shingles("b")).alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return sets.where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select(F.col("id").alias("u"), F.col("other").alias("v"))
+    """(u, v): the pairs (id, other) whose overlapping shingles are alike and, if one of them has no long words, whose word-start shingles too."""
+    a = texts.select("id", F.col("line").alias("a"), F.col("n").alias("na"), F.col("long").alias("la"))
+    b = texts.select(F.col("id").alias("other"), F.col("line").alias("b"), F.col("n").alias("nb"), F.col("long").alias("lb"))
+    rows = pairs.join(a, "id").join(b, "other").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def alike(rows: DataFrame, f) -> DataFrame:
+        sets = rows.select("*", F.array_distinct(f("a")).alias("sa"), F.array_distinct(f("b")).alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        return sets.where((100 * both >= percent * (F.size("sa") + F.size("sb") - both)) | (F.lit(f is _shingles) & F.col("la") & F.col("lb"))).drop("sa", "sb")
+
+    return alike(alike(rows, _shingles), _every).select(F.col("id").alias("u"), F.col("other").alias("v"))
 
 
 def line_links(lines: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """(u, v): links whose components are those of all confirmed pairs of different lines that share a band."""
-    hashed = lines.select("id", F.explode(_shingles("line")).alias("s")).select("id", F.xxhash64("s").alias("g"))
+    starts = lines.select("id", "line", _shingles("line").alias("s"), F.length("line").alias("size"))
+    sets = F.array_compact(F.array(F.when(F.col("size") <= BOTH * F.size("s"), F.struct(F.lit(0).alias("kind"), "s")), F.when(_long(F.col("size"), F.col("s")), F.struct(F.lit(1).alias("kind"), _every("line").alias("s")))))
+    hashed = starts.select("id", F.explode(sets).alias("k")).select("id", "k.kind", F.explode("k.s").alias("s")).select("id", "kind", F.xxhash64("s").alias("g"))
     n = ROWS * BANDS
-    signs = hashed.groupBy("id").agg(*(F.min(F.hash("g", F.lit(k))).alias(f"m{k}") for k in range(n)))
-    band = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
+    signs = hashed.groupBy("id", "kind").agg(*(F.min(F.hash("g", F.lit(k))).alias(f"m{k}") for k in range(n)))
+    band = F.array(*(F.xxhash64(F.lit(b), "kind", *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     bands = saved(signs.select("id", band.alias("bands")), "bands").select("id", F.explode("bands").alias("band"))
     pivot = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("band", "pivot")
     shared = saved(bands.join(pivot, "band"), "shared")
-    texts = saved(lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "lines")
+    texts = lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    texts = saved(texts.select("id", "line", F.size(F.array_distinct(_every("line"))).alias("n"), _long(F.length("line"), _shingles("line")).alias("long")), "lines")
     rest = shared.where("id <> pivot")
     first = saved(rest.select("id", F.col("pivot").alias("other")).distinct(), "pairs")
     joined = components(_confirmed(first, texts, percent))
