@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.llm import crf_quality, line_dedup, near_dup, packing, secret_scan
-from stratus.llm.common import documents, saved
+from stratus.llm.common import documents, row_key, saved
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,10 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates stays; rows without an id are judged like all others, after those with one."""
+    keyed = docs.withColumn("row_key", row_key())
+    kept = near_dup.near_duplicates(keyed, id_col="row_key").where("kept").select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(kept, "row_key", "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,5 +175,10 @@ def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """The id of a row; without one a hash of its text from 2 ** 62 on, so such rows come last, and those of one text are repeated rows."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(plain_text(text_col)).bitwiseAND(2**62 - 1) + F.lit(2**62))
+
+
 def plain_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -11,7 +11,7 @@ position) stays, all others go, wherever they are; equal lines are always in one
 of the line.
 
 Null and empty texts have no lines to remove and stay as they are; blank lines always stay. Rows repeated under one doc_id
-count as one row and get the same result. Extra columns pass through. An empty table gives an empty result.
+count as one row and get the same result; rows without an id are told apart by their text. Extra columns pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm.common import documents, plain_text, saved
+from stratus.llm.common import documents, plain_text, row_key, saved
 from stratus.llm.components import components
 
 #: Characters of a shingle, hashes of a band, bands, and the similarity in percent that links two lines.
@@ -108,15 +108,16 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the lines that go; nothing else changes."""
-    gone = removed_lines(docs, percent)
+    keyed = docs.withColumn("row_key", row_key())
+    gone = removed_lines(keyed, percent, "row_key").withColumnRenamed("doc_id", "row_key")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
     text = F.when(F.col("removed").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
-    return docs.join(gone, "doc_id", "left").withColumn("text", text).select(*docs.columns)
+    return keyed.join(gone, "row_key", "left").withColumn("text", text).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the positions of the removed lines, for every document."""
-    docs = documents(spark, sf_dir)
-    gone = removed_lines(docs)
-    sizes = docs.select("doc_id", F.size(F.split(plain_text(), "\n", -1)).cast("long").alias("n_lines"))
-    return sizes.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    docs = documents(spark, sf_dir).withColumn("row_key", row_key())
+    gone = removed_lines(docs, id_col="row_key").withColumnRenamed("doc_id", "row_key")
+    sizes = docs.select("doc_id", "row_key", F.size(F.split(plain_text(), "\n", -1)).cast("long").alias("n_lines"))
+    return sizes.join(gone, "row_key", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

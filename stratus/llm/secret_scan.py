@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm.common import documents, plain_text, saved
+from stratus.llm.common import documents, plain_text, row_key, saved
 
 #: Fixed patterns: kind, expression, group whose length counts, least length.
 RULES = (
@@ -97,7 +97,8 @@ def _listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of a secret in ``text`` replaced by ``mask``; overlapping spans are one."""
-    spans = scan(docs).select("doc_id", F.sort_array(F.concat("base", "markov")).alias("spans")).where(F.size("spans") > 0).dropDuplicates(["doc_id"])
+    keyed = docs.withColumn("row_key", row_key())
+    spans = scan(keyed, "row_key").select(F.col("doc_id").alias("row_key"), F.sort_array(F.concat("base", "markov")).alias("spans")).where(F.size("spans") > 0).dropDuplicates(["row_key"])
     whole = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -105,7 +106,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
     cleaned = F.when(F.col("spans").isNotNull(), whole).otherwise(F.col("text"))
-    return docs.join(spans, "doc_id", "left").withColumn("text", cleaned).select(*docs.columns)
+    return keyed.join(spans, "row_key", "left").withColumn("text", cleaned).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
