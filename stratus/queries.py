@@ -495,3 +495,10 @@ def spatial_best(spark, d):
     st = stations(spark, d).where("station % 7 < region % 7")
     out = sp.interpolate(cells(spark, d), st, ["AVG_LAPSE", "AVG", "IDW_LAPSE", "CST"], 7.0, (-500.0, 9000.0))
     return out.select("region", "cell", F.round("value", 3).alias("value"), "algorithm")
+
+
+@query(ORACLES["spatial_best"].replace(" WHERE station % 7 < region % 7", ""))
+def spatial_best_all(spark, d):
+    """The algorithm that suits each region's number of stations best, over all stations."""
+    out = sp.interpolate(cells(spark, d), stations(spark, d), ["AVG_LAPSE", "AVG", "IDW_LAPSE", "CST"], 7.0, (-500.0, 9000.0))
+    return out.select("region", "cell", F.round("value", 3).alias("value"), "algorithm")
