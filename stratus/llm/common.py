@@ -16,11 +16,13 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; a folder of our own only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Only a local session that has none gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.stratus.dir", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="spark-stratus-")
             spark.conf.set("spark.stratus.dir", found)
     return found
@@ -35,7 +37,18 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables of :func:`saved` that no later step reads."""
+    for df in tables:
+        if path := getattr(df, "saved_at", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps on DataFrames.
 
-Nothing is collected: the driver sees one count and one checksum an iteration. Hubs are pre-aggregated (minimum per
-vertex) before each join, so a vertex with a third of all links is no group of its own.
+Nothing is collected: the driver sees one count and one checksum an iteration. Minima are pre-aggregated in the tasks; the
+links of a vertex are dealt into SALTS parts when they learn the vertex's minimum, so those of a hub are no single group.
 """
 
 from __future__ import annotations
@@ -9,7 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratus.llm.common import saved
+from stratus.llm.common import dropped, saved
+
+#: Parts into which the links of a vertex are dealt.
+SALTS = 16
+
+
+def _salted(links: DataFrame, least: DataFrame) -> DataFrame:
+    """``links`` (u, v) with the column m of ``least`` (u, m)."""
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return dealt.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"])
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -19,13 +28,13 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     both = _both(edges)
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _salted(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _salted(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -37,7 +46,9 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     edges = saved(links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v"), "links")
     seen = None
     while True:
-        edges = saved(_small(_large(edges)), "stars")
+        new = saved(_small(_large(edges)), "stars")
+        dropped(edges)
+        edges = new
         sign = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not sign[0] or tuple(sign) == seen:
             break
