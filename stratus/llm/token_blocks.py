@@ -6,14 +6,16 @@ offset of each block) and the blocks. A block of BLOCK ids has its minimum subtr
 PERCENT of its values need; the others are exceptions, kept as (position, value) lists. Spark's commit protocol makes the
 files whole even if executors are lost.
 
-A word is encoded once per Python worker with the tokenizers library and then looked up: the tokenizer lower-cases and
-splits at white space and between letters and punctuation, so a text's ids are those of its words in order. A comma or
-full stop after an ASCII letter or digit and before white space is a word of its own. Null is an empty text and only gets the end id.
-Rows with equal ids are ordered by text hash; null ids come first. An empty table gives no segments and an empty result.
+The tokenizers library encodes whole texts. Where the tokenizer's own rules never look across white space (``by_words``
+reads them from its file), each distinct white-space separated word is encoded once per Python worker, and a text's ids are
+those of its words in order; any other tokenizer gets the texts as they are. Null is an empty text and only gets the end id.
+Rows with equal ids are ordered by text hash and dealt over several ranges; null ids come first. An empty table gives no
+segments and an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from stratus.llm.common import chunks, documents, new_path, parts, utf8
 
-#: Ids of a block, percentage of them that the width must hold, ids of a segment at least, words that a worker remembers.
-BLOCK, PERCENT, SEGMENT, MEMO = 1024, 95, 1_000_000, 1_000_000
+#: Ids of a block, percentage of them that the width must hold, ids of a segment at least, words that a worker remembers, threads of the library in a task.
+BLOCK, PERCENT, SEGMENT, MEMO, THREADS = 1024, 95, 1_000_000, 1_000_000, 2
 END_ID = 1
 _INDEX = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "<u2"), ("offset", "<u8")])
 
@@ -104,34 +106,71 @@ def decode_blocks(payload: bytes, first: int = 0, last: int | None = None) -> np
     return out.reshape(-1)[: max(0, n - first * BLOCK)]
 
 
-_STOP = re.compile(rb"(?<=[a-z0-9])([,.])(?=[\x20\x09-\x0D]|\Z)")
 #: What this worker has encoded so far, by tokenizer file.
 _memos: dict[str, dict[bytes, bytes]] = {}
 
 
-def split_words(text: bytes) -> list[bytes]:
-    """Words whose ids, one after the other, are the text's; one with special-token marks is only split at white space."""
-    return text.split() if b"<|" in text else _STOP.sub(rb" \1", text.lower()).split()
-
-
-def word_encoder(path: str):
-    """A function from UTF-8 texts to their ids as little-endian uint32 bytes, which remembers words."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def by_words(path: str) -> bool:
+    """Whether the tokenizer in ``path`` drops white space and treats what it separates on its own.
+
+    Its normaliser may only compose characters (NFC), change case and replace white space; its pre-tokenizer has to keep the
+    matches of one pattern that can't hold white space; no added token may have any.
+    """
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    flat = lambda x, key: [] if x is None else [y for z in x[key] for y in flat(z, key)] if x["type"] == "Sequence" else [x]
+    for n in flat(rules["normalizer"], "normalizers"):
+        if n["type"] not in ("NFC", "Lowercase") and not (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " "):
+            return False
+    split, *rest = flat(rules["pre_tokenizer"], "pretokenizers") or [{"type": ""}]
+    if split["type"] != "Split" or split["behavior"] != "Removed" or not split["invert"] or any(x["type"] != "ByteLevel" or x["add_prefix_space"] or x["use_regex"] for x in rest):
+        return False
+    pattern = split["pattern"].get("Regex", " ").replace(r"[^\s", "[^")
+    odd = re.search(r"\s|\\[^pP]|\.|\[\^(?!\\p\{L\}\\p\{N\}\])|\(\?", pattern)
+    return not odd and split["pattern"]["Regex"].count("[^") == split["pattern"]["Regex"].count(r"[^\s") and not any(re.search(r"\s", t["content"]) for t in rules["added_tokens"])
+
+
+def encoder(path: str, threads: int = THREADS):
+    """A function from UTF-8 texts to their ids as little-endian uint32 bytes."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
+    os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     from tokenizers import Tokenizer
 
     tokenizer, memo = Tokenizer.from_file(path), _memos.setdefault(path, {})
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        found = [split_words(t) for t in texts]
-        new = list(set().union(*found).difference(memo))
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(set().union(*found))
-        for word, got in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            memo[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, ws)) for ws in found]
-
-    return encode
+    def library(texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+    stops = {c + s for c in "abcdefghijklmnopqrstuvwxyz0123456789" for s in ".,"}
+    apart = by_words(path) and tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("A") == "a" and all(len(tokenizer.pre_tokenizer.pre_tokenize_str(x)) == 2 for x in stops)
+    ends = {x.encode() for x in stops} if apart else set()
+
+    def parts_of(word: bytes) -> tuple[bytes, ...]:
+        """Lower-case word and final stop, as far as the tokenizer cuts them apart."""
+        low = word.lower()
+        if low[-2:] not in ends or any(t in word for t in added):
+            return (word,)
+        return low[:-1], low[-1:]
+
+    def known(wanted: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words; what is new is remembered while there is room."""
+        new = wanted.difference(memo)
+        cut = {w: parts_of(w) for w in new}
+        base = list({x for xs in cut.values() for x in xs}.difference(memo))
+        got = dict(zip(base, library(base), strict=True))
+        got |= {w: b"".join(got[x] if x in got else memo[x] for x in xs) for w, xs in cut.items() if len(xs) > 1}
+        if len(memo) + len(got) <= MEMO:
+            memo.update(got)
+            return memo
+        return {w: got[w] if w in got else memo[w] for w in wanted}
+
+    def words(texts: list[bytes]) -> list[bytes]:
+        found = [t.split() for t in texts]
+        ids = known(set().union(*found))
+        return [b"".join(map(ids.__getitem__, ws)) for ws in found]
+
+    return words if by_words(path) else library
 
 
 _SEGMENT = "shard int, segment long, start long, doc_ids array<long>, n_tokens array<long>, payload binary"
@@ -139,7 +178,7 @@ _SEGMENT = "shard int, segment long, start long, doc_ids array<long>, n_tokens a
 
 def _write(path: str, end_id: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         shard, segment, start = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
         docs: list[int | None] = []
@@ -172,7 +211,7 @@ def _write(path: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes all texts and writes their segments below ``path``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = rows.repartitionByRange(parts(docs.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows.mapInArrow(_write(tokenizer, end_id), _SEGMENT).write.option("compression", "none").parquet(path)
 
 

@@ -155,7 +155,7 @@ def test_words_encode_as_the_text(text):
 
     path = P.path("word_bpe_49k.json")
     want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(token_blocks.word_encoder(path)([text.encode()])[0], "<u4").tolist() == want
+    assert np.frombuffer(token_blocks.encoder(path)([text.encode()])[0], "<u4").tolist() == want
 
 
 def _shingles(line):
