@@ -100,11 +100,11 @@ def test_exact_dedup(spark, docs, nothing, texts):
 
 
 def test_cuckoo_filter_resizes_and_deletes():
-    shard = cuckoo.Shard()
-    keys = [(int(x), "d", 1) for x in np.random.default_rng(1).integers(0, 2**63, 5000)]
-    assert all(shard.add(k, 1, 1) for k in keys) and not any(shard.add(k, 1, 1) for k in keys)
-    assert all(shard.filter.contains(k[0]) for k in keys)
-    assert all(shard.drop(k) for k in keys) and not any(shard.filter.slots)
+    keys = [int(x) for x in np.random.default_rng(1).integers(0, 2**63, 5000)]
+    small = cuckoo.CuckooFilter(16)
+    assert not all(map(small.insert, keys))
+    filt = cuckoo.CuckooFilter.of(keys)
+    assert all(map(filt.contains, keys)) and all(map(filt.delete, keys)) and not any(filt.slots)
 
 
 @pytest.mark.parametrize("widths", [suffix_index.WIDTHS, (100, 7, 1), (1,)])
