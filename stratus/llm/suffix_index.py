@@ -2,10 +2,12 @@
 
 A text's anchors are the smallest hashed SEED-byte strings of its LENGTH-byte windows, the leftmost of equal ones. Equal
 windows choose the same anchor, so suffixes at anchors are enough: an entry (head, seed, context, left, span) stands for
-the ``span + 1`` windows that chose it; ``head`` holds the suffix's first bytes, by which a level is sorted, and
-``context`` the hash of all bytes that those windows cover. New batches get an array of entries, which is scanned together
-with all live levels for seeds that more than one context shares; then levels of equal size merge geometrically. Entries of
-equal contexts are one entry with a count, so groups of copies stay small.
+the ``span + 1`` windows that chose it; ``head`` holds the suffix's first bytes, and ``context`` the hash of all bytes that
+those windows cover. A level is a sparse suffix array: its entries are range-partitioned and sorted by head, seed and context. A new
+batch gets an array of its own, which is merged in that order with all live levels and scanned once: neighbours of one seed
+and different contexts make the seed a candidate, also across partitions, where only the outermost entries are compared. Then
+levels of equal size merge geometrically. Levels, anchors and candidates stay in the index's folder, so further batches can
+be added later. Entries of equal contexts are one entry with a count, so groups of copies stay small.
 
 Equal windows lie at the same distance before their anchor, so the windows of such seeds are compared by blocks of
 distances, which shrink from step to step (WIDTHS). A block's core is what all of its windows cover: an entry whose core
@@ -14,7 +16,7 @@ the next step. Only counts of hashes decide, so no seed, passage or group of ent
 
 Matches never cross documents. A byte goes if a LENGTH-byte string over it starts anywhere else as well; all strings are
 judged on the input. Null is an empty text; texts under LENGTH bytes keep all. Two rows are the same only if id and text
-are; repeated rows repeat each other's text and so lose it. Extra columns play no part; an empty table gives an empty one.
+are; repeated rows, with or without an id, repeat each other's text and so lose it. Extra columns play no part; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm.common import binary, documents, mix, pieces, prefix_hash, saved, substring_hash
+from stratus.llm.common import binary, documents, dropped, mix, new_path, parts as n_parts, pieces, prefix_hash, saved, substring_hash
 
 #: Bytes of a repeated string and of a seed, batches that are added one after the other.
 LENGTH, SEED, BATCHES = 400, 32, 4
@@ -86,39 +88,110 @@ def _anchor_rows(length: int, seed: int):
 _ENTRY = ["head", "seed", "context", "left", "span"]
 
 
+_ORDER = ["head", "seed", "context"]
+_ROWS = "row long, pos long, left int, span int, head long, seed long, context long"
+_LEVEL = "head long, seed long, context long, left int, span int, n long, row long, pos long"
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds of sorted neighbours with different contexts (edge = false), and the first and last entry of the partition (edge = true)."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        seed, context = (batch.column(k).to_numpy() for k in ("seed", "context"))
+        if last is None:
+            yield pa.RecordBatch.from_arrays([pa.array(seed[:1]), pa.array(context[:1]), pa.array([True])], ["seed", "context", "edge"])
+        else:
+            seed, context = np.concatenate([last[0], seed]), np.concatenate([last[1], context])
+        hit = np.unique(seed[1:][(seed[1:] == seed[:-1]) & (context[1:] != context[:-1])])
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(np.zeros(len(hit), np.int64)), pa.array(np.zeros(len(hit), bool))], ["seed", "context", "edge"])
+        last = seed[-1:], context[-1:]
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1]), pa.array([True])], ["seed", "context", "edge"])
+
+
 class SuffixIndex:
-    """Live levels of entries, each sorted by head, and the seeds that the scans found under several contexts."""
+    """A folder with live levels, all anchors and the candidate seeds; an index on an old folder goes on where that one stopped."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, length: int = LENGTH, seed: int = SEED):
+        self.spark, self.path, self.length, self.seed = spark, path or new_path(spark, "suffixes"), length, seed
+        self.levels: list[tuple[int, str]] = []
+        self.version = 0
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            state = spark.read.schema("version int, rank int, at string").parquet(f"{self.path}/state")
+            self.version = state.agg(F.max("version")).first()[0]
+            self.levels = [(r["rank"], r["at"]) for r in state.where(F.col("version") == self.version).orderBy(F.desc("rank")).collect()]  # a row for each level
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
-        self.shared: DataFrame | None = None
+    def _table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    @staticmethod
-    def _level(rows: DataFrame) -> DataFrame:
+    def _sorted(self, rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange(n_parts(self.spark), *_ORDER).sortWithinPartitions(*_ORDER)
+
+    def _level(self, rows: DataFrame, rank: int) -> str:
         merged = rows.groupBy(*_ENTRY).agg(F.sum("n").alias("n"), F.first("row").alias("row"), F.first("pos").alias("pos"))
-        return saved(merged.sortWithinPartitions("head", "seed"), "level")
-
-    def add(self, anchors_: DataFrame) -> None:
-        """Adds a batch: its array, the scan with the live levels, then merges of equal levels."""
-        new = self._level(anchors_.withColumn("n", F.lit(1).cast("long")))
-        seen = new.select("seed", "context", F.lit(1).alias("new"))
-        for _, level in self.levels:
-            seen = seen.unionByName(level.select("seed", "context", F.lit(0).alias("new")))
-        scan = seen.groupBy("seed").agg(F.min("context").alias("a"), F.max("context").alias("b"), F.max("new").alias("new"))
-        found = saved(scan.where("a <> b AND new = 1").select("seed"), "shared")
-        self.shared = found if self.shared is None else self.shared.unionByName(found)
-        rank = 0
+        at = f"level-{self.version}-{rank}"
+        self._sorted(merged).write.option("compression", "zstd").parquet(f"{self.path}/{at}")
+        return at
+
+    def add(self, rows: DataFrame) -> None:
+        """Adds a batch of texts (row, text): its array, the scan with the live levels, then merges of equal levels."""
+        self.version += 1
+        rows.mapInArrow(_anchor_rows(self.length, self.seed), _ROWS).write.option("compression", "zstd").mode("append").parquet(f"{self.path}/anchors-{self.version}")
+        new = self._level(self._table(f"anchors-{self.version}", _ROWS).withColumn("n", F.lit(1).cast("long")), 0)
+        both = self._table(new, _LEVEL).select(*_ORDER)
+        for _, at in self.levels:
+            both = both.unionByName(self._table(at, _LEVEL).select(*_ORDER))
+        found = saved(self._sorted(both).mapInArrow(_scan, "seed long, context long, edge boolean"), "scan")
+        edges = found.where("edge").groupBy("seed").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a <> b").select("seed")
+        found.where("NOT edge").select("seed").unionByName(edges).distinct().write.mode("append").parquet(f"{self.path}/shared")
+        dropped(found)
+        rank, old = 0, []
         while self.levels and self.levels[-1][0] == rank:
-            new = self._level(self.levels.pop()[1].unionByName(new))
+            old += [self.levels.pop()[1], new]
             rank += 1
+            new = self._level(self._table(old[-2], _LEVEL).unionByName(self._table(old[-1], _LEVEL)), rank)
         self.levels.append((rank, new))
+        self.spark.createDataFrame([(self.version, r, at) for r, at in self.levels], "version int, rank int, at string").coalesce(1).write.mode("append").parquet(f"{self.path}/state")
+        for at in old:
+            gone = self._table(at, _LEVEL)
+            gone.saved_at = f"{self.path}/{at}"
+            dropped(gone)
 
     def entries(self) -> DataFrame:
-        """All entries as one level."""
-        while len(self.levels) > 1:
-            (_, b), (rank, a) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, self._level(a.unionByName(b))))
-        return self.levels[0][1]
+        """All live entries; one that several levels have counts together."""
+        both = self._table(self.levels[0][1], _LEVEL)
+        if len(self.levels) == 1:
+            return both
+        for _, at in self.levels[1:]:
+            both = both.unionByName(self._table(at, _LEVEL))
+        return both.groupBy(*_ENTRY).agg(F.sum("n").alias("n"), F.first("row").alias("row"), F.first("pos").alias("pos"))
+
+    def anchors(self) -> DataFrame:
+        out = None
+        for v in range(1, self.version + 1):
+            own = self._table(f"anchors-{v}", _ROWS)
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    def cut(self, rows: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+        """The rows (doc_id, row, text) that were added, without what is repeated."""
+        entries = self.entries()
+        wanted = entries.join(self._table("shared", "seed long").distinct(), "seed", "left_semi")
+        lists = wanted.groupBy("row").agg(F.collect_list(F.struct("seed", "context", "left", "span", "pos")).alias("wanted"))
+        texts = rows.select("row", "text").join(lists, "row").dropDuplicates(["row"]).select("text", "wanted")
+        contexts = saved(texts.mapInArrow(_contexts(self.length), "seed long, context long, left int, span int, bytes binary"), "contexts")
+        entry = ["seed", "context", "left", "span"]
+        runs = _repeated(contexts, self.length, widths)
+        copies = entries.where("n > 1").select(*entry, F.lit(0).cast("long").alias("b"), (F.col("span") + 1).cast("long").alias("e"))
+        flagged = saved(runs.unionByName(copies).groupBy(*entry).agg(F.collect_set(F.struct("b", "e")).alias("runs")), "flagged")
+        dropped(contexts)
+        own = self.anchors().join(flagged, entry).select("row", (F.col("pos") - F.col("left")).alias("lo"), F.explode("runs").alias("x"))
+        own = own.groupBy("row").agg(F.collect_set(F.struct((F.col("lo") + F.col("x.b")).alias("b"), (F.col("lo") + F.col("x.e")).alias("e"))).alias("runs"))
+        marked = rows.join(own, "row", "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<b:bigint,e:bigint>>")).alias("runs"))
+        return marked.mapInArrow(_cut(self.length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
 
 
 def _contexts(length: int):
@@ -177,6 +250,7 @@ def _repeated(contexts: DataFrame, length: int, widths: tuple[int, ...]) -> Data
         cores = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
         alive = saved(blocks.join(cores, "core", "left_semi"), "alive")
         wholes = alive.groupBy("whole").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in (*entry, "b", "e")))
+        dropped(blocks)
         same = alive.join(wholes.where("n > 1").select("whole"), "whole", "left_semi").select(*entry, "b", "e")
         runs = same if runs is None else runs.unionByName(same)
         if width > 1:
@@ -218,27 +292,23 @@ def _cut(length: int):
     return f
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row, text) of a table of documents; ``row`` tells rows of different text apart."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES, widths: tuple[int, ...] = WIDTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes (UTF-8, a cut may fall inside a character)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    kind = "row long, pos long, left int, span int, head long, seed long, context long"
-    found = saved(texts.select("row", "text").mapInArrow(_anchor_rows(length, seed), kind), "anchors")
-    index = SuffixIndex()
+    rows = keyed(docs, id_col, text_col)
+    index = SuffixIndex(docs.sparkSession, length=length, seed=seed)
     for b in range(batches):
-        index.add(found.where(F.pmod("row", F.lit(batches)) == b))
-    entries = index.entries()
-    wanted = entries.join(index.shared.distinct(), "seed", "left_semi")
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("seed", "context", "left", "span", "pos")).alias("wanted"))
-    contexts = saved(texts.select("row", "text").join(lists, "row").select("text", "wanted").mapInArrow(_contexts(length), "seed long, context long, left int, span int, bytes binary"), "contexts")
-    entry = ["seed", "context", "left", "span"]
-    runs = _repeated(contexts, length, widths)
-    copies = entries.where("n > 1").select(*entry, F.lit(0).cast("long").alias("b"), (F.col("span") + 1).cast("long").alias("e"))
-    flagged = saved(runs.unionByName(copies).groupBy(*entry).agg(F.collect_set(F.struct("b", "e")).alias("runs")), "flagged")
-    own = found.join(flagged, entry).select("row", (F.col("pos") - F.col("left")).alias("lo"), F.explode("runs").alias("x"))
-    own = own.groupBy("row").agg(F.collect_set(F.struct((F.col("lo") + F.col("x.b")).alias("b"), (F.col("lo") + F.col("x.e")).alias("e"))).alias("runs"))
-    rows = texts.join(own, "row", "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<b:bigint,e:bigint>>")).alias("runs"))
-    return rows.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+        index.add(rows.where(F.pmod("row", F.lit(batches)) == b))
+    return index.cut(rows, widths)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).drop("kept_bytes")
+    """The digest columns, whether a document lost anything, and what is left of it as text (U+FFFD where a cut fell inside a character)."""
+    text = F.make_valid_utf8(F.col("kept_bytes").cast("string"))
+    found = remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("has_repeats"), text.alias("text"))
