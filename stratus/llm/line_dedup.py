@@ -1,17 +1,16 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Lines are the ``\\n``-separated parts of a text with a non-blank character. A line's set is its character shingles of SHINGLE
-characters: one from each word start, and all overlapping ones. Two lines are alike if both sets are; of lines with long
-words (over LONG characters a word, such as addresses, ids or scripts without blanks) only the overlapping ones count.
-Signatures are taken from the word starts, of lines with long words from all overlapping shingles. ROWS * BANDS minimum hashes are aggregated map-side; lines that agree in a band are
-compared with that band's smallest line first, then, where a band's lines do not hang together yet, with each other line
-of the band that is in another component, so no pair that shares a band is left out. Exact Jaccard similarity of the
-sets confirms each link; connected components follow by star steps. Of each component the line that comes first by (doc_id,
-position) stays, all others go, wherever they are; equal lines are always in one component. Line identity is a 64-bit hash
-of the line.
-
-Null and empty texts have no lines to remove and stay as they are; blank lines always stay. Rows repeated under one doc_id
-count as one row and get the same result; rows without an id are told apart by their text. Extra columns pass through. An empty table gives an empty result.
+Lines are the ``\\n``-separated parts of a text with a non-blank character. A line's set is all its overlapping character
+shingles of SHINGLE characters, without its outer blanks; a shorter line is one shingle. ROWS * BANDS minimum hashes are aggregated
+map-side; lines that agree in a band are compared with that band's smallest line first, then, where a band's lines do not hang
+together yet, with each other line of the band that is in another component, so no pair that shares a band is left out. Exact
+Jaccard similarity of the sets confirms each link; connected components follow by star steps. Of each component the line that
+comes first by (doc_id, text hash, position) stays, all others go, wherever they are; equal lines are always in one component.
+Line identity is a 64-bit hash of the line.
+
+Null and empty texts have no lines to remove and stay as they are; blank lines always stay. A row is told by its id and its
+text, so rows of one id lose lines each by its own text; rows that have both in common count as one and get the same result.
+Rows without an id come last. Extra columns pass through whatever their names are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,21 +18,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm.common import documents, plain_text, row_key, saved
+from stratus.llm.common import documents, plain_text, saved
 from stratus.llm.components import components
 
 #: Characters of a shingle, hashes of a band, bands, and the similarity in percent that links two lines.
 SHINGLE, ROWS, BANDS, PERCENT = 9, 3, 6, 80
-#: Characters a word from which a line has long words, and up to which it is in the bands of other lines, too.
-LONG, BOTH = 12, 16
 #: Lines of a band that are compared in one task at most.
 LEAF = 256
 #: Parts into which the lines of a group are dealt when they learn which of them stays.
-SALTS = 8
-
-
-def _shingles(line: str) -> Column:
-    return F.regexp_extract_all(F.col(line), F.lit(rf"(?<!\S)(?=(\S.{{0,{SHINGLE - 1}}}))"), F.lit(1))
+SALTS = 32
+#: Odd multipliers of the minimum hashes, which are over 31 bits.
+_MASK = 2**31 - 1
+_FACTORS = [(0x9E3779B1 * (2 * k + 1) ** 3 >> 3) % 2**31 | 1 for k in range(ROWS * BANDS)]
 
 
 def _every(line: str) -> Column:
@@ -42,43 +38,36 @@ def _every(line: str) -> Column:
     return F.when(F.length(text) <= SHINGLE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1)))
 
 
-def _long(size: Column, starts: Column) -> Column:
-    return size > LONG * F.size(starts)
+def _order(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, line, id) of all lines with a non-blank character."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(plain_text(text_col), "\n", -1)).alias("pos", "line"))
+    """(doc_id, own, pos, line, id) of all lines with a non-blank character; ``own`` is a hash of the row's text."""
+    text = plain_text(text_col)
+    rows = docs.select(_order(id_col).alias("doc_id"), F.xxhash64(text).alias("own"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     return rows.where(F.col("line").rlike(r"\S")).withColumn("id", F.xxhash64("line"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(u, v): the pairs (id, other) whose overlapping shingles are alike and, if one of them has no long words, whose word-start shingles too."""
-    a = texts.select("id", F.col("line").alias("a"), F.col("n").alias("na"), F.col("long").alias("la"))
-    b = texts.select(F.col("id").alias("other"), F.col("line").alias("b"), F.col("n").alias("nb"), F.col("long").alias("lb"))
+    """(u, v): the pairs (id, other) whose overlapping shingles are alike."""
+    a = texts.select("id", F.col("line").alias("a"), F.col("n").alias("na"))
+    b = texts.select(F.col("id").alias("other"), F.col("line").alias("b"), F.col("n").alias("nb"))
     rows = pairs.join(a, "id").join(b, "other").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-
-    def alike(rows: DataFrame, f) -> DataFrame:
-        sets = rows.select("*", F.array_distinct(f("a")).alias("sa"), F.array_distinct(f("b")).alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return sets.where((100 * both >= percent * (F.size("sa") + F.size("sb") - both)) | (F.lit(f is _shingles) & F.col("la") & F.col("lb"))).drop("sa", "sb")
-
-    return alike(alike(rows, _shingles), _every).select(F.col("id").alias("u"), F.col("other").alias("v"))
+    both = F.size(F.array_intersect(_every("a"), _every("b")))
+    return rows.select("*", both.alias("both")).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("id").alias("u"), F.col("other").alias("v"))
 
 
 def line_links(lines: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """(u, v): links whose components are those of all confirmed pairs of different lines that share a band."""
-    starts = lines.select("id", "line", _shingles("line").alias("s"), F.length("line").alias("size"))
-    sets = F.array_compact(F.array(F.when(F.col("size") <= BOTH * F.size("s"), F.struct(F.lit(0).alias("kind"), "s")), F.when(_long(F.col("size"), F.col("s")), F.struct(F.lit(1).alias("kind"), _every("line").alias("s")))))
-    hashed = starts.select("id", F.explode(sets).alias("k")).select("id", "k.kind", F.explode("k.s").alias("s")).select("id", "kind", F.xxhash64("s").alias("g"))
-    n = ROWS * BANDS
-    signs = hashed.groupBy("id", "kind").agg(*(F.min(F.hash("g", F.lit(k))).alias(f"m{k}") for k in range(n)))
-    band = F.array(*(F.xxhash64(F.lit(b), "kind", *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
+    hashed = lines.select("id", F.explode(_every("line")).alias("s")).select("id", F.xxhash64("s").bitwiseAND(F.lit(_MASK)).alias("g"))
+    signs = hashed.groupBy("id").agg(*(F.min((F.col("g") * F.lit(a)).bitwiseAND(F.lit(_MASK))).alias(f"m{k}") for k, a in enumerate(_FACTORS)))
+    band = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     bands = saved(signs.select("id", band.alias("bands")), "bands").select("id", F.explode("bands").alias("band"))
     pivot = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("band", "pivot")
     shared = saved(bands.join(pivot, "band"), "shared")
     texts = lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    texts = saved(texts.select("id", "line", F.size(F.array_distinct(_every("line"))).alias("n"), _long(F.length("line"), _shingles("line")).alias("long")), "lines")
+    texts = saved(texts.select("id", "line", F.size(F.array_distinct(_every("line"))).alias("n")), "lines")
     rest = shared.where("id <> pivot")
     first = saved(rest.select("id", F.col("pivot").alias("other")).distinct(), "pairs")
     joined = components(_confirmed(first, texts, percent))
@@ -95,29 +84,30 @@ def line_links(lines: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> Da
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, removed): positions of the lines that go, for documents that lose any."""
+    """(doc_id, own, removed): positions of the lines that go, for rows that lose any; ``own`` is the hash of the row's text, a missing id 2 ** 63 - 1."""
     lines = lines_of(docs, id_col, text_col)
     joined = components(line_links(lines, percent))
-    groups = saved(lines.select("doc_id", "pos", "id").join(joined, "id", "left").select("doc_id", "pos", F.coalesce("component", "id").alias("group")), "groups")
-    first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "first")
-    salt = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")
+    groups = saved(lines.select("doc_id", "own", "pos", "id").join(joined, "id", "left").select("doc_id", "own", "pos", F.coalesce("component", "id").alias("group")), "groups")
+    place = F.struct("doc_id", "own", "pos")
+    first = groups.groupBy("group").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "first")
+    salt = F.pmod(F.xxhash64("doc_id", "own", "pos"), F.lit(SALTS)).cast("int")
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    gone = groups.withColumn("salt", salt).join(first, ["group", "salt"]).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+    gone = groups.withColumn("salt", salt).join(first, ["group", "salt"]).where(place != F.col("first"))
+    return gone.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the lines that go; nothing else changes."""
-    keyed = docs.withColumn("row_key", row_key())
-    gone = removed_lines(keyed, percent, "row_key").withColumnRenamed("doc_id", "row_key")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
-    return keyed.join(gone, "row_key", "left").withColumn("text", text).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), _order().alias("doc_id"), F.xxhash64(plain_text()).alias("own"))
+    whole = keyed.join(removed_lines(docs, percent), ["doc_id", "own"], "left")
+    kept = F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
+    text = F.when(F.col("removed").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("row.text"))
+    return whole.select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the positions of the removed lines, for every document."""
-    docs = documents(spark, sf_dir).withColumn("row_key", row_key())
-    gone = removed_lines(docs, id_col="row_key").withColumnRenamed("doc_id", "row_key")
-    sizes = docs.select("doc_id", "row_key", F.size(F.split(plain_text(), "\n", -1)).cast("long").alias("n_lines"))
-    return sizes.join(gone, "row_key", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    docs = documents(spark, sf_dir)
+    sizes = docs.select(F.col("doc_id").alias("name"), _order().alias("doc_id"), F.xxhash64(plain_text()).alias("own"), F.size(F.split(plain_text(), "\n", -1)).cast("long").alias("n_lines"))
+    whole = sizes.join(removed_lines(docs), ["doc_id", "own"], "left")
+    return whole.select(F.col("name").alias("doc_id"), "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
