@@ -1,14 +1,15 @@
 """Perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters, ORDER of them in a gram, packed in one long (12 bits each; code points from 4095 on are one
-symbol; a text begins with start symbols). All trusted documents are counted: grams are added up in the tasks, then by gram.
+The model is over characters in a lossless code of 12-bit symbols: a code point below DIRECT is one symbol, any other one is two,
+of its upper and its lower bits, which have symbols of their own. ORDER symbols are a gram, packed in one long; a text begins with
+start symbols. Perplexity is by code point. All trusted documents are counted: grams are added up in the tasks, then by gram.
 Lower orders are continuation counts. Probabilities come from joins of the grams that the documents hold with the count and
 context tables of each order, all sharded by key. The scored grams reach the documents as a lookup table if there are at
 most TABLE of them (a checked bound), else block by block in a cogroup.
 
 Thresholds are quantiles of the trusted documents' perplexity in each language; a language without trusted documents takes
 the quantile of all. Null and empty texts have no perplexity and aren't kept. Without trusted text all others are kept.
-Repeated rows count each; extra columns play no part; an empty table gives an empty result.
+Rows repeated under one id or without one count each, by their own text; extra columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,29 +25,43 @@ from stratus.llm.common import documents, pieces, plain_text, saved
 
 #: Characters of a gram, bits of one, quantile of a language, grams of a lookup table and labels of a broadcast at most.
 ORDER, BITS, QUANTILE, TABLE, LABELS = 5, 12, 0.995, 4_000_000, 1_000_000
-_START, _OTHER = 4094, 4095
+#: Characters of the texts that meet in one block of the cogroup, times 64.
+BLOCK_CHARS = 1_000_000_000
+#: Code points that are one symbol; of others the upper bits (at most 544 values) and the lower 11 bits follow after DIRECT.
+DIRECT, _UPPER, _LOWER = 1500, 1500, 2045
+_START = 4094
+
+
+def symbols(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of code points one after the other, n + 1 bounds of the code points' symbols)."""
+    wide = points >= DIRECT
+    at = np.concatenate([[0], np.cumsum(1 + wide)])
+    out = np.empty(at[-1], np.int64)
+    out[at[:-1]] = np.where(wide, _UPPER + (points >> 11), points)
+    out[at[1:][wide] - 1] = _LOWER + (points[wide] & 2047)
+    return out, at
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed grams of all texts one after the other, n + 1 bounds); one for each character."""
+def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(packed grams of all texts one after the other, n + 1 bounds, code points of each text); one for each symbol."""
     points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
-    points = np.where(points < _START, points, _OTHER)
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    at = lead[offsets]
-    out = points.copy()
-    place = np.arange(len(points)) - np.repeat(at[:-1], np.diff(at))
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    units, bounds = symbols(points)
+    at = bounds[lead]
+    out = units.copy()
+    place = np.arange(len(units)) - np.repeat(at[:-1], np.diff(at))
     for k in range(1, ORDER):
-        before = np.full(len(points), _START, np.int64)
-        before[k:] = points[:-k] if len(points) > k else before[k:]
+        before = np.full(len(units), _START, np.int64)
+        before[k:] = units[:-k] if len(units) > k else before[k:]
         before[place < k] = _START
         out |= before << (BITS * k)
-    return out, at
+    return out, at, np.diff(lead)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in pieces(batch, "text"):
-            g, at = grams(data, offsets)
+            g, at, _ = grams(data, offsets)
             trusted = np.repeat(rows.column("trusted").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
             key, inverse = np.unique(g, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(inverse, weights=trusted, minlength=len(key)).astype(np.int64))], ["g", "c"])
@@ -87,9 +102,8 @@ def log_probabilities(counted: DataFrame) -> DataFrame:
 
 
 def _score_rows(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, key: np.ndarray, logp: np.ndarray) -> pa.RecordBatch:
-    g, at = grams(data, offsets)
+    g, at, n = grams(data, offsets)
     total = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(key, g)])]) if len(g) else np.zeros(1)
-    n = np.diff(at)
     ppl = np.exp(-(total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1))
     return pa.RecordBatch.from_arrays([*(rows.column(k) for k in ("doc_id", "lang", "trusted")), pa.array(n), pa.array(np.round(ppl, 6), mask=n == 0)], ["doc_id", "lang", "trusted", "n_chars", "perplexity"])
 
@@ -111,13 +125,15 @@ def score(rows: DataFrame, model: DataFrame, most: int = TABLE) -> DataFrame:
                     yield _score_rows(part, data, offsets, key, logp)
 
         return rows.mapInArrow(f, _SCORED)
-    blocks = max(1, size // most) * 64
+    # a block has a bounded share of the grams and of the text
+    length = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = int(max(1, size // most, length // BLOCK_CHARS)) * 64
     own = rows.where("length(text) > 0").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
-                g, at = grams(data, offsets)
+                g, at, _ = grams(data, offsets)
                 block = np.repeat(part.column("block").to_numpy(), np.diff(at))
                 for b in np.unique(block):
                     key = np.unique(g[block == b])
