@@ -2,8 +2,9 @@
 
 The model protobuf is parsed here; the tokenizer gets its normaliser, metaspace marker, pieces with scores (unigram
 models as they are, byte-pair models as merges in score order) and byte fallback. No piece goes on past white space, so a
-text is encoded in units (white space and the word after it), each once per task; batches of new units are encoded by the
-library's threads. Every new unit is checked for parity with the sentencepiece library and decoded again.
+text is encoded in units (white space and the word after it), each once per task; batches of new units are encoded by THREADS
+threads of the library. Every whole text is also encoded by the sentencepiece library and compared id by id (``parity``), and
+every new unit is decoded again (``round_trip``).
 
 Null and empty texts have no pieces. Repeated rows have equal results; extra columns play no part; an empty table gives an
 empty result. A literal metaspace marker decodes to a space.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from stratus.llm.common import chunks, documents, utf8
 
 #: Marker of white space, units that a task remembers, threads of the library in a task.
-MARK, MEMO, THREADS = "▁", 400_000, 1
+MARK, MEMO, THREADS = "▁", 400_000, 2
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -128,7 +129,6 @@ def _encode(path: str):
             pieces = Pieces(file.read())
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         ids: dict[str, bytes] = {}
-        odd: set[str] = set()
         lost: set[str] = set()
         for batch in batches:
             data, at = utf8(batch.column("text"))
@@ -138,26 +138,22 @@ def _encode(path: str):
                 new = list(set().union(*found).difference(ids))
                 if len(ids) + len(new) > MEMO:
                     ids.clear()
-                    odd.clear()
                     lost.clear()
                     new = list(set().union(*found))
                 got = pieces.encode_units(new)
-                start = pieces.model["dummy_prefix"]
-                theirs = library.encode([u[1:].replace(MARK, " ") if start and u[0] == MARK else u for u in new], num_threads=THREADS)
                 back = pieces.tokenizer.decode_batch(got, skip_special_tokens=False)
-                for u, g, t, b in zip(new, got, theirs, back, strict=True):
+                for u, g, t in zip(new, got, back, strict=True):
                     ids[u] = np.array(g, "<u4").tobytes()
-                    if start and u[0] == MARK and u != MARK and g != t:  # the library has no unit without its mark, or of the mark alone
-                        odd.add(u)
-                    if b != u:
+                    if t != u:
                         lost.add(u)
+                theirs = library.encode([raw[at[k] : at[k + 1]].decode() for k in range(i, j)], num_threads=THREADS)
                 out = [b"".join(map(ids.__getitem__, us)) for us in found]
                 flat = np.frombuffer(b"".join(out), "<u4")
                 size = np.array([len(x) // 4 for x in out], np.int64)
                 total = np.concatenate([[0], np.cumsum(pieces.bytes[flat])])
                 ends = np.cumsum(size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(size), pa.array((total[ends] - total[ends - size]).astype(np.int64)), pa.array([zlib.crc32(x) for x in out], pa.int64()), pa.array([not odd or odd.isdisjoint(us) for us in found]), pa.array([not lost or lost.isdisjoint(us) for us in found]), pa.array(out, pa.binary())],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(size), pa.array((total[ends] - total[ends - size]).astype(np.int64)), pa.array([zlib.crc32(x) for x in out], pa.int64()), pa.array([np.array(t, "<u4").tobytes() == x for t, x in zip(theirs, out, strict=True)]), pa.array([not lost or lost.isdisjoint(us) for us in found]), pa.array(out, pa.binary())],
                     ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "parity", "round_trip", "ids"],
                 )
 
