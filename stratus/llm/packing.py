@@ -1,78 +1,185 @@
-"""Optimal length buckets and token-budget batches.
+"""Optimal length buckets and padded token batches.
 
-The global histogram of lengths (rounded up to 1/64 of their size, so it has about 64 lines per power of two) gives bucket
-boundaries by dynamic programming, so that padding every document to its bucket's boundary adds as little as possible.
-Inside a bucket, documents in ``doc_id`` order fill batches of ``budget // boundary`` documents (one at least). Numbering is
-distributed: rank within (bucket, range of ids) plus the count of the ranges before.
+Texts are encoded with a byte-pair tokenizer. The global histogram of exact token counts gives bucket boundaries by dynamic
+programming, so that padding every document to its bucket's boundary adds as few tokens as possible. Documents are
+range-partitioned by (bucket, doc_id, text hash); each partition fills batches of ``budget // boundary`` documents (one at
+least) of one bucket, so only the last batch of a bucket in each partition may stay short. A batch is a row of the written
+data set: its documents' ids and true lengths, and a matrix of token ids padded to the boundary. The query reads the files
+back.
 
-A length is the number of words ``[^\\x20\\x09-\\x0D]+``; null, empty and blank texts have length 0 and share the smallest
-bucket. Repeated ids are ordered by text hash; null ids come first. Extra columns play no part; an empty table gives an
-empty result.
+A document longer than the budget is a batch of its own and marked ``over_budget``. Null and empty texts have no tokens and
+are in the smallest bucket. Rows repeated under one id are packed each; rows without an id come last. Extra columns play no
+part; an empty table gives an empty result. The histogram is one row for each distinct length, so it grows with the longest
+text and not with the rows.
 """
 
 from __future__ import annotations
 
+import base64
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm.common import documents, plain_text, saved
-
-#: Buckets, tokens of a batch with padding, ids of a numbering range.
-BUCKETS, BUDGET, RANGE = 16, 65_536, 4096
+from stratus.llm.common import chunks, documents, dropped, new_path, parts, saved, utf8
 
+#: Buckets, tokens of a batch with padding.
+BUCKETS, BUDGET = 16, 65_536
+_BATCH = "bucket int, bucket_length long, batch long, over_budget boolean, doc_ids array<long>, n_tokens array<long>, tokens binary"
 
-def rounded(length: Column) -> Column:
-    """Length rounded up to a multiple of 2 ** (bits - 6); exact below 64."""
-    step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(length, F.lit(1)))) - 5))
-    return (F.ceil(length / step) * step).cast("long")
 
+def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
+    """Upper bounds of at most ``buckets`` buckets with the least padding, from the exact histogram.
 
-def boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """Upper bounds of at most ``buckets`` buckets with the least padding; ``totals`` are the true tokens of each line."""
-    n = len(lengths)
+    The best split of a longer prefix never lies before that of a shorter one, so each layer is solved by halving.
+    """
+    order = np.argsort(lengths)
+    x, c = lengths[order].astype(np.int64), np.concatenate([[0], np.cumsum(counts[order])]).astype(np.int64)
+    n = len(x)
     if not n:
         return []
-    order = np.argsort(lengths)
-    lengths, c, t = lengths[order].astype(float), np.concatenate([[0], np.cumsum(counts[order])]).astype(float), np.concatenate([[0], np.cumsum(totals[order])]).astype(float)
+    top = x.astype(np.float64)
     best = np.concatenate([[0.0], np.full(n, np.inf)])
     back = []
     for _ in range(min(buckets, n)):
-        new, frm = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        new, split = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
         new[0] = 0.0
-        for j in range(1, n + 1):
-            cost = best[:j] + lengths[j - 1] * (c[j] - c[:j]) - (t[j] - t[:j])
-            frm[j] = int(np.argmin(cost))
-            new[j] = cost[frm[j]]
-        back.append(frm)
+        todo = [(1, n, 0, n - 1)]
+        while todo:
+            a, b, lo, hi = todo.pop()
+            if a > b:
+                continue
+            j = (a + b) // 2
+            i = np.arange(lo, min(hi, j - 1) + 1)
+            cost = best[i] + top[j - 1] * (c[j] - c[i])
+            k = int(i[np.argmin(cost)])
+            new[j], split[j] = cost.min(), k
+            todo += [(a, j - 1, lo, k), (j + 1, b, k, hi)]
+        back.append(split)
         best = new
     out, j = [], n
-    for frm in reversed(back):
+    for split in reversed(back):
         if not j:
             break
-        out.append(int(lengths[j - 1]))
-        j = frm[j]
+        out.append(int(x[j - 1]))
+        j = int(split[j])
     return sorted(set(out))
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, bucket, bucket_length, batch, place, padding."""
-    text = plain_text(text_col)
-    rows = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"), F.xxhash64(text).alias("tie")), "lengths")
-    bars = rows.groupBy(rounded(F.col("n_tokens")).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total")).collect()  # about 64 rows per power of two
-    bounds = boundaries(*(np.array([b[k] for b in bars]) for k in (0, 1, 2)), buckets) or [0]
+def tokenizer(path: str, pattern: str):
+    """A tiktoken encoding from a file of ranks; ids from its size on are free."""
+    import tiktoken
+
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def _width(size: int) -> np.dtype:
+    """Of an id: two bytes if the vocabulary and the padding id fit."""
+    return np.dtype("<u2") if size < 2**16 else np.dtype("<u4")
+
+
+def _encode(path: str, pattern: str):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = tokenizer(path, pattern)
+        kind = _width(encoding.n_vocab)
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            raw = data.tobytes()
+            for i, j in chunks(at):
+                ids = [np.array(encoding.encode_ordinary(raw[at[k] : at[k + 1]].decode()), kind) for k in range(i, j)]
+                rows = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "tie", "n_tokens", "ids"])
+
+    return f
+
+
+def _fill(bounds: list[int], budget: int, pad: int):
+    """Batches of the documents of a partition, which come sorted by bucket."""
+    kind = _width(pad)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids: list[bytes] = []
+        docs: list[int | None] = []
+        bucket = -1
+
+        def put() -> pa.RecordBatch:
+            sizes = np.array([len(x) // kind.itemsize for x in ids], np.int64)
+            length = bounds[bucket]
+            matrix = np.full((len(ids), length), pad, kind)
+            for row, x in zip(matrix, ids, strict=True):
+                row[: len(x) // kind.itemsize] = np.frombuffer(x, kind)
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "bucket_length": pa.array([length], pa.int64()), "batch": pa.array([number], pa.int64()), "over_budget": pa.array([length > budget]), "doc_ids": pa.array([docs], pa.list_(pa.int64())), "n_tokens": pa.array([sizes], pa.list_(pa.int64())), "tokens": pa.array([matrix.tobytes()], pa.binary())})
+
+        for batch in batches:
+            for b, doc, x in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if docs and (b != bucket or len(docs) >= max(1, budget // max(1, bounds[bucket]))):
+                    yield put()
+                    number += 1
+                    ids, docs = [], []
+                bucket = b
+                ids.append(x)
+                docs.append(doc)
+        if docs:
+            yield put()
+
+    return f
+
+
+def write_batches(docs: DataFrame, path: str, ranks: str, pattern: str, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encodes all texts and writes their padded batches below ``path``; ``ranks`` and ``pattern`` are the tokenizer's."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    tokens = saved(rows.mapInArrow(_encode(ranks, pattern), "doc_id long, tie long, n_tokens long, ids binary"), "tokens")
+    bars = tokens.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each distinct length
+    bounds = boundaries(np.array([b[0] for b in bars]), np.array([b[1] for b in bars]), buckets) or [0]
     bucket = F.lit(len(bounds) - 1)
     for k in range(len(bounds) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= bounds[k], F.lit(k)).otherwise(bucket)
-    placed = rows.withColumn("bucket", bucket).withColumn("range", F.floor(F.coalesce("doc_id", F.lit(-1)) / RANGE).cast("long"))
-    inner = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "range").orderBy("doc_id", "tie")))
-    sizes = placed.groupBy("bucket", "range").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("bucket", "range", (F.sum("n").over(Window.partitionBy("bucket").orderBy("range")) - F.col("n")).alias("before"))
-    at = F.col("before") + F.col("rank") - 1
-    bound = F.element_at(F.lit(bounds), F.col("bucket") + 1).cast("long")
-    fit = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1))))
-    out = inner.join(before, ["bucket", "range"]).withColumn("bucket_length", bound).withColumn("fit", fit).withColumn("at", at)
-    return out.select("doc_id", "n_tokens", "bucket", "bucket_length", F.floor(F.col("at") / F.col("fit")).cast("long").alias("batch"), (F.col("at") % F.col("fit")).cast("long").alias("place"), (F.col("bucket_length") - F.col("n_tokens")).alias("padding"))
+    order = ["bucket", F.coalesce("doc_id", F.lit(2**63 - 1)), "tie"]
+    placed = tokens.select(bucket.alias("bucket"), "doc_id", "tie", "ids").repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    placed.select("bucket", "doc_id", "ids").mapInArrow(_fill(bounds, budget, tokenizer(ranks, pattern).n_vocab), _BATCH).write.option("compression", "zstd").parquet(path)
+    dropped(tokens)
+
+
+def _read(width: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = {c: batch.column(c)[row] for c in batch.schema.names}
+                sizes, length = one["n_tokens"].values.to_numpy(), one["bucket_length"].as_py()
+                raw, n = one["tokens"].as_buffer(), len(sizes)
+                crc = [zlib.crc32(raw[k * length * width : (k * length + size) * width]) for k, size in enumerate(sizes.tolist())]
+                same = lambda c, kind, one=one, n=n: pa.array([one[c].as_py()] * n, kind)
+                yield pa.RecordBatch.from_arrays(
+                    [one["doc_ids"].values, pa.array(sizes), same("bucket", pa.int32()), same("bucket_length", pa.int64()), same("batch", pa.int64()), pa.array(np.arange(n)), pa.array(length - sizes), same("over_budget", pa.bool_()), pa.array(crc, pa.int64())],
+                    ["doc_id", "n_tokens", "bucket", "bucket_length", "batch", "place", "padding", "over_budget", "ids_crc32"],
+                )
+
+    return f
+
+
+def read_batches(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
+    """One row per document of the files: its place, and the checksum of its ids as they are stored."""
+    kind = "doc_id long, n_tokens long, bucket int, bucket_length long, batch long, place long, padding long, over_budget boolean, ids_crc32 long"
+    return spark.read.schema(_BATCH).parquet(path).mapInArrow(_read(_width(vocabulary).itemsize), kind)
+
+
+def pack(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_tokens, bucket, bucket_length, batch, place, padding, over_budget, ids_crc32."""
+    if ranks is None:
+        import public_tokenizers
+
+        ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    path = new_path(docs.sparkSession, "batches")
+    write_batches(docs, path, ranks, pattern, buckets, budget, id_col, text_col)
+    return read_batches(docs.sparkSession, path, tokenizer(ranks, pattern).n_vocab)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

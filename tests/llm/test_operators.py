@@ -248,25 +248,33 @@ def test_viterbi_is_the_best_path():
         assert model.decode(bits, np.arange(n) == 0).tolist() == best
 
 
-def test_packing(docs, nothing, texts):
-    got = packing.pack(docs, buckets=4, budget=300).collect()
-    n = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
-    assert {r.doc_id: r.n_tokens for r in got} == n
-    for b in {r.bucket for r in got}:
-        own = sorted((r for r in got if r.bucket == b), key=lambda r: r.doc_id)
-        fit = max(1, 300 // max(own[0].bucket_length, 1))
-        assert [(r.batch, r.place) for r in own] == [(k // fit, k % fit) for k in range(len(own))]
-        assert all(0 <= r.padding == r.bucket_length - r.n_tokens for r in own)
+def test_packing(spark, docs, nothing, texts):
+    encoding = packing.tokenizer(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rows = docs.unionByName(spark.createDataFrame([(3, "again", "en", "s", 1, 0, 0, "r", "t", 4), (None, "no id", "en", "s", 1, 0, 0, "r", "t", 4)], SCHEMA))
+    got = packing.pack(rows, buckets=4, budget=300).collect()
+    ids = {i: encoding.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    want = [(i, len(x), zlib.crc32(np.array(x, "<u2").tobytes())) for i, x in [*ids.items(), (3, encoding.encode_ordinary("again")), (-1, encoding.encode_ordinary("no id"))]]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
+    tops = sorted({r.bucket_length for r in got})
+    assert len(tops) == 4 and all(r.bucket_length == min(t for t in tops if t >= r.n_tokens) and r.padding == r.bucket_length - r.n_tokens for r in got)
+    for b in {r.batch for r in got}:
+        own = [r for r in got if r.batch == b]
+        assert len({r.bucket for r in own}) == 1 and sorted(r.place for r in own) == list(range(len(own)))
+        assert own[0].over_budget == (own[0].bucket_length > 300) and len(own) <= max(1, 300 // max(1, own[0].bucket_length))
     assert packing.pack(nothing).count() == 0
 
 
 def test_boundaries_are_optimal():
     from itertools import combinations
 
-    lengths, counts = np.array([1, 3, 4, 9, 20, 21]), np.array([5, 1, 7, 2, 3, 1])
-    cost = lambda bs: sum(c * (min(b for b in bs if b >= x) - x) for x, c in zip(lengths.tolist(), counts.tolist(), strict=True))
-    best = min(cost((*c, 21)) for c in combinations([1, 3, 4, 9, 20], 2))
-    assert cost(packing.boundaries(lengths, counts, lengths * counts, 3)) == best
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        lengths = r.choice(40, 9, replace=False)
+        counts = r.integers(1, 20, 9)
+        cost = lambda bs: sum(c * (min(b for b in bs if b >= x) - x) for x, c in zip(lengths.tolist(), counts.tolist(), strict=True))  # noqa: B023, E731
+        rest = sorted(lengths.tolist())
+        for k in (1, 2, 3, 5):
+            assert cost(packing.boundaries(lengths, counts, k)) == min(cost((*c, rest[-1])) for c in combinations(rest[:-1], k - 1))
 
 
 def test_sentence_pieces(docs, nothing, texts):
