@@ -10,7 +10,7 @@ STEFAN_BOLTZMANN = 5.670373e-8
 GRAVITY = 9.80665
 STD_PRESSURE, STD_TEMPERATURE = 101325.0, 288.15
 LAPSE_RATE = 0.0065
-GAS_DRY_AIR, GAS = 287.058, 8.31451
+GAS_DRY_AIR, GAS_WATER, GAS = 287.058, 461.9, 8.31451
 MOL_MASS_AIR, MOL_MASS_WATER = 0.0289644, 18.0153e-3
 EARTH_RADIUS = 6356766.0
 P_TRIPLE, T_TRIPLE, T_FREEZE = 611.73, 273.16, 273.15
@@ -70,6 +70,35 @@ def dew_point(rh: Column, t: Column) -> Column:
     return T_FREEZE + F.when(c >= 0, water).when(c < -16, ice).otherwise(blend)
 
 
+def relative_humidity(td: Column, t: Column) -> Column:
+    """From a dew point: over water above freezing, over ice below -16 °C, a blend weighted by squared distances in between."""
+    c, d = t - T_FREEZE, td - T_FREEZE
+
+    def phase(b: float, k: float) -> Column:
+        return F.exp(b * d / (k + d)) / F.exp(b * c / (k + c))
+
+    water, ice = phase(17.502, 240.97), phase(22.452, 272.55)
+    near_ice, near_water = 1 / (F.pow(c + 16, 2) + 1e-6), 1 / (c * c + 1e-6)
+    blend = (near_ice * ice + near_water * water) / (near_ice + near_water)
+    return F.when(td.isNotNull(), F.least(F.lit(1.0), F.when(c >= 0, water).when(c < -16, ice).otherwise(blend)))
+
+
+def absolute_humidity(rh: Column, t: Column) -> Column:
+    """Vapour density in kg/m³."""
+    return rh * saturation_pressure(t) / (t * GAS_WATER)
+
+
+def specific_humidity(altitude: Column, t: Column, rh: Column) -> Column:
+    """Mass of vapour over mass of air, at the standard pressure of an altitude."""
+    dry = std_pressure(altitude) / (GAS_DRY_AIR * t)
+    return 1 / (dry / (rh * vapour_density(t, saturation_pressure(t))) + 1)
+
+
+def relative_from_specific(altitude: Column, t: Column, q: Column) -> Column:
+    dry = std_pressure(altitude) / (GAS_DRY_AIR * t)
+    return F.when(q.isNotNull(), F.least(F.lit(1.0), q / (1 - q) * dry / vapour_density(t, saturation_pressure(t))))
+
+
 def wind_log_profile(v: Column, z_ref: float, z: float, z0: float = 0.03) -> Column:
     import math
 

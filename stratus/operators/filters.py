@@ -72,10 +72,15 @@ def time_consistency(x: Column, series: WindowSpec, w: WindowSpec) -> Column:
     return F.when(F.abs(x - before) + F.abs(x - after) > 4 * F.stddev_samp(x).over(w), None).otherwise(x)
 
 
-def rate_right(x: Column, time: Column, series: WindowSpec, most: float) -> Column:
-    """Null if the rate per second to the next value leaves [-most, most]."""
-    ahead = series.rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(x.isNotNull(), F.struct(x.alias("x"), time.alias("t"))), ignorenulls=True).over(ahead)
+def backward(*station: str, time: str = "t_us") -> WindowSpec:
+    """A station's series from its end to its start."""
+    return Window.partitionBy(*station).orderBy(F.desc(time))
+
+
+def rate_right(x: Column, time: Column, latest_first: WindowSpec, most: float) -> Column:
+    """Null if the rate per second to the next value leaves [-most, most]; ``latest_first`` is the series in falling time, so its frame only grows."""
+    later = latest_first.rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.last(F.when(x.isNotNull(), F.struct(x.alias("x"), time.alias("t"))), ignorenulls=True).over(later)
     return F.when(F.abs((nxt["x"] - x) / ((nxt["t"] - time) / 1e6)) > most, None).otherwise(x)
 
 
@@ -98,6 +103,11 @@ def rate_left(df: DataFrame, station: str, time: str, value: str, most: float) -
     return df.groupBy(station).applyInPandas(f, df.schema)
 
 
+def maths(df: DataFrame, param: str, formula: str, nodata: float | None = None) -> DataFrame:
+    """``param`` by an SQL expression over the row's columns; a result that is missing becomes ``nodata``."""
+    return df.withColumn(param, F.coalesce(F.expr(formula).cast("double"), F.lit(nodata).cast("double")))
+
+
 def deaccumulate(x: Column, series: WindowSpec) -> Column:
     before = F.last(x, ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
     return F.when(x >= before, x - before).when(x < before, x)

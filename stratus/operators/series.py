@@ -52,16 +52,39 @@ def merge(first: DataFrame, second: DataFrame, keys: list[str], time: str, param
     return both.select(*keys, time, *(pick(F.col(f"a_{p}"), F.col(f"b_{p}")).alias(p) for p in params))
 
 
+def merge_all(sets: list[DataFrame], keys: list[str], time: str, params: list[str], strategy: str = "EXPAND_MERGE", conflicts: str = "PRIORITY_FIRST") -> DataFrame:
+    """Merges a list of sets into its first one, in the order given."""
+    out = sets[0]
+    for more in sets[1:]:
+        out = merge(out, more, keys, time, params, strategy, conflicts)
+    return out
+
+
+def create(df: DataFrame, param: str, value: Column, where: Column | None = None) -> DataFrame:
+    """A parameter that is not there, or the missing values of one that is, from ``value``; elsewhere than ``where`` it stays missing."""
+    new = value if where is None else F.when(where, value)
+    return df.withColumn(param, F.coalesce(F.col(param), new) if param in df.columns else new)
+
+
+def metadata(df: DataFrame, changes: dict[str, Column], where: Column) -> DataFrame:
+    """Station columns (name, coordinates, slope, ...) replaced by ``changes`` in the rows of ``where``."""
+    return df.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in changes.items()})
+
+
 def automerge(df: DataFrame, keys: list[str], priority: str, params: list[str]) -> DataFrame:
     """One row per key: of each parameter the value of the smallest ``priority`` that has one."""
     return df.groupBy(*keys).agg(*(F.min_by(p, F.when(F.col(p).isNotNull(), F.col(priority))).alias(p) for p in params))
 
 
 def regression_fill(target: DataFrame, source: DataFrame, keys: list[str], time: str, param: str) -> DataFrame:
-    """Adds the source's times that the target lacks, predicted by the line fitted on the common ones."""
+    """Adds the source's times that the target lacks, predicted by the line fitted on the common ones.
+
+    A target whose times are all in the source stays as it is.
+    """
     a, b = target.select(*keys, time, F.col(param).alias("y")), source.select(*keys, time, F.col(param).alias("x"))
     common = a.join(b, [*keys, time])
-    fit = common.groupBy(*keys).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("icept"))
+    fit = common.groupBy(*keys).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("icept"), F.count(F.lit(1)).alias("n"))
+    fit = fit.join(a.groupBy(*keys).agg(F.count(F.lit(1)).alias("all")), keys).where("n < all").drop("n", "all")
     new = b.join(a, [*keys, time], "left_anti").join(fit.where("slope IS NOT NULL"), keys)
     return target.select(*keys, time, param).unionByName(new.select(*keys, time, (F.col("slope") * F.col("x") + F.col("icept")).alias(param)))
 
@@ -82,7 +105,8 @@ def around(obs: DataFrame, grid: DataFrame, station: str, time: str, value: str,
     dealt = both.withColumn("slot", F.explode(F.when(F.col("asked"), F.array(slot)).otherwise(F.array(slot - 1, slot, slot + 1))))
     w = Window.partitionBy(station, "slot").orderBy(time)
     before = F.last(point, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    latest_first = Window.partitionBy(station, "slot").orderBy(F.desc(time))
+    after = F.last(point, ignorenulls=True).over(latest_first.rangeBetween(Window.unboundedPreceding, 0))
     seen = dealt.select(station, time, "asked", before.alias("p1"), after.alias("p2")).where("asked")
     p1 = F.when(F.col("p1.t") >= F.col(time) - window_us, F.col("p1"))
     p2 = F.when(F.col("p2.t") <= F.col(time) + window_us, F.col("p2"))

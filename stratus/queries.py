@@ -110,7 +110,7 @@ def filter_time_consistency(spark, d):
 
 @query(f"WITH {OBS}, v AS (SELECT event_id, lead(x) OVER {W} AS nx, lead(t_us) OVER {W} AS nt, x, t_us FROM obs WHERE x IS NOT NULL) SELECT o.event_id, CASE WHEN abs((v.nx - v.x) / ((v.nt - v.t_us) / 1e6)) > 0.001 THEN NULL ELSE o.x END AS x FROM obs o LEFT JOIN v USING (event_id)")
 def filter_rate_right(spark, d):
-    return observations(spark, d).select("event_id", fl.rate_right(F.col("x"), F.col("t_us"), _series(), 0.001).alias("x"))
+    return observations(spark, d).select("event_id", fl.rate_right(F.col("x"), F.col("t_us"), fl.backward("station").orderBy(F.desc("t_us"), F.desc("event_id")), 0.001).alias("x"))
 
 
 @query()
@@ -202,12 +202,33 @@ def edit_automerge(spark, d):
 
 
 @query(f"""WITH {_HALVES}, fit AS (SELECT a.station, regr_slope(a.x, b.x) AS s, regr_intercept(a.x, b.x) AS i FROM a JOIN b ON a.station = b.station AND a.day = b.day GROUP BY a.station)
-SELECT station, day, round(x, 4) AS x FROM a UNION ALL SELECT b.station, b.day, round(s * b.x + i, 4) FROM b JOIN fit USING (station) WHERE s IS NOT NULL AND NOT isnan(s) AND NOT EXISTS (SELECT 1 FROM a WHERE a.station = b.station AND a.day = b.day)""")
+SELECT station, day, round(x, 4) AS x FROM a UNION ALL SELECT b.station, b.day, round(s * b.x + i, 4) FROM b JOIN fit USING (station) WHERE b.station IN (SELECT station FROM a LEFT JOIN b b2 USING (station, day) GROUP BY station HAVING count(*) > count(b2.day)) AND s IS NOT NULL AND NOT isnan(s) AND NOT EXISTS (SELECT 1 FROM a WHERE a.station = b.station AND a.day = b.day)""")
 def edit_regression_fill(spark, d):
     a, b = _halves(spark, d)
     return se.regression_fill(a, b, ["station"], "day", "x").select("station", "day", R(F.col("x"), "x"))
 
 
+@query(f"WITH {OBS} SELECT event_id, coalesce(round(CASE WHEN x > 5 THEN sqrt(x) + 2 * x ELSE x * x - 1 END, 6), -999.0) AS x FROM obs")
+def filter_maths(spark, d):
+    return fl.maths(observations(spark, d), "x", "round(CASE WHEN x > 5 THEN sqrt(x) + 2 * x ELSE x * x - 1 END, 6)", -999.0).select("event_id", "x")
+
+
+@query(f"WITH {WEATHER} SELECT event_id, CASE WHEN CLD < 0.5 THEN round(TA - 2.5, 6) END AS TD, CASE WHEN CLD < 0.5 THEN ALT + 10 ELSE ALT END AS ALT, CASE WHEN CLD < 0.5 THEN TA END AS TA FROM w")
+def edit_create_metadata_keep(spark, d):
+    wet = F.col("CLD") < 0.5
+    made = se.create(weather(spark, d), "TD", F.round(F.col("TA") - 2.5, 6), wet)
+    moved = se.metadata(made, {"ALT": F.col("ALT") + 10}, wet)
+    return se.keep(moved, ["TD"], ["TA", "TD"], ~wet).select("event_id", "TD", "ALT", "TA")
+
+
+@query(f"""WITH {_HALVES}, c AS (SELECT station, day + 1 AS day, x + 100 AS x FROM a)
+SELECT station, day, coalesce(a.x, b.x, c.x) AS x FROM a FULL JOIN b USING (station, day) FULL JOIN c USING (station, day)""")
+def merge_list(spark, d):
+    a, b = _halves(spark, d)
+    later = a.select("station", (F.col("day") + 1).alias("day"), (F.col("x") + 100).alias("x"))
+    return se.merge_all([a, b, later], ["station"], "day", ["x"], "FULL_MERGE")
+
+
 _ES = "611.73*exp(CASE WHEN TA < 273.16 THEN 21.88*(TA-273.16)/(TA-7.66) ELSE 17.27*(TA-273.16)/(TA-35.86) END)"
 _SB = "5.670373e-8*pow(TA,4)"
 
@@ -219,6 +240,21 @@ def law_pressure_humidity(spark, d):
     return weather(spark, d).select("event_id", R(air.std_pressure(c("ALT")), "p"), R(air.saturation_pressure(c("TA")), "es"), R(air.gravity(c("ALT"), c("LAT")), "g"), R(air.wind_log_profile(c("VW"), 10.0, 2.0), "v2"))
 
 
+_DRY = "101325.0*pow(1-0.0065*6356766.0*ALT/(288.15*(6356766.0+ALT)), 9.80665/(0.0065*287.058))/(287.058*TA)"
+_RATIO = lambda b, k: f"exp({b}*(TD-273.15)/({k}+TD-273.15))/exp({b}*(TA-273.15)/({k}+TA-273.15))"
+_ICE, _WATER = "(1/(pow(TA-257.15,2)+1e-6))", "(1/(pow(TA-273.15,2)+1e-6))"
+
+
+@query(f"""WITH {WEATHER}, s AS (SELECT *, TA - (event_id % 12) AS TD, {_ES} AS es, {_DRY} AS dry FROM w), q AS (SELECT *, 1/(dry/(RH*0.0180153*es/(8.31451*TA))+1) AS QI FROM s)
+SELECT event_id, round(1e3*RH*es/(TA*461.9), 6) AS ah, round(1e3*QI, 6) AS qi, round(least(1.0, QI/(1-QI)*dry/(0.0180153*es/(8.31451*TA))), 6) AS rh_qi,
+ round(least(1.0, CASE WHEN TA >= 273.15 THEN {_RATIO(17.502, 240.97)} WHEN TA - 273.15 < -16 THEN {_RATIO(22.452, 272.55)} ELSE ({_ICE}*{_RATIO(22.452, 272.55)} + {_WATER}*{_RATIO(17.502, 240.97)})/({_ICE}+{_WATER}) END), 6) AS rh_td FROM q""")
+def generator_humidity(spark, d):
+    c = F.col
+    w = weather(spark, d).withColumn("TD", c("TA") - c("event_id") % 12).withColumn("QI", air.specific_humidity(c("ALT"), c("TA"), c("RH")))
+    r = lambda x, name: F.round(x, 6).alias(name)
+    return w.select("event_id", r(1e3 * air.absolute_humidity(c("RH"), c("TA")), "ah"), r(1e3 * c("QI"), "qi"), r(air.relative_from_specific(c("ALT"), c("TA"), c("QI")), "rh_qi"), r(air.relative_humidity(c("TD"), c("TA")), "rh_td"))
+
+
 @query(f"""WITH {WEATHER}, s AS (SELECT *, RH*{_ES} AS e FROM w) SELECT event_id, round(least(1.24*pow(0.01*e/TA,1/7.0),1)*{_SB}, 4) AS brutsaert, round(59.38+113.7*pow(TA/273.16,6)+96.96*sqrt(4650*e*0.001/TA/25), 4) AS dilley,
  round(least(1-(1+4650*e*0.001/TA)*exp(-sqrt(1.2+3*4650*e*0.001/TA)),1)*{_SB}, 4) AS prata, round(least(0.7+5.95e-5*e*0.01*exp(1500/TA),1)*{_SB}, 4) AS idso,
  round(least(0.97*(0.68+0.0036*sqrt(e))*(1+0.18*CLD*CLD),1)*{_SB}, 4) AS omstedt, round(((1-pow(CLD,4))*(0.23+0.484*pow(e/TA,1/8.0))+pow(CLD,4)*0.952)*{_SB}, 4) AS konzelmann, round((-0.34+3.36e-3*TA+1.94e-3*RH*100+0.213*CLD)*{_SB}, 4) AS carmona FROM s""")
