@@ -7,8 +7,9 @@ Lower orders are continuation counts. Probabilities come from joins of the grams
 context tables of each order, all sharded by key. The scored grams reach the documents as a lookup table if there are at
 most TABLE of them (a checked bound), else block by block in a cogroup.
 
-Thresholds are quantiles of the trusted documents' perplexity in each language; a language without trusted documents takes
-the quantile of all. Null and empty texts have no perplexity and aren't kept. Without trusted text all others are kept.
+One of FOLDS parts of the trusted documents (by hash of the id) is left out of the model; thresholds are quantiles of its
+perplexity in each language, for the model knows its own texts too well. A language without such documents takes the quantile of
+all of them, and if there are none the trusted ones do. Null and empty texts have no perplexity and aren't kept. Without trusted text all others are kept.
 Rows repeated under one id or without one count each, by their own text; extra columns play no part; an empty table gives an empty result.
 """
 
@@ -30,6 +31,8 @@ BLOCK_CHARS = 1_000_000_000
 #: Code points that are one symbol; of others the upper bits (at most 544 values) and the lower 11 bits follow after DIRECT.
 DIRECT, _UPPER, _LOWER = 1500, 1500, 2045
 _START = 4094
+#: Parts of the trusted documents, one of which gives the thresholds.
+FOLDS = 5
 
 
 def symbols(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,14 +108,14 @@ def _score_rows(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, key
     g, at, n = grams(data, offsets)
     total = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(key, g)])]) if len(g) else np.zeros(1)
     ppl = np.exp(-(total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1))
-    return pa.RecordBatch.from_arrays([*(rows.column(k) for k in ("doc_id", "lang", "trusted")), pa.array(n), pa.array(np.round(ppl, 6), mask=n == 0)], ["doc_id", "lang", "trusted", "n_chars", "perplexity"])
+    return pa.RecordBatch.from_arrays([*(rows.column(k) for k in ("doc_id", "lang", "judged")), pa.array(n), pa.array(np.round(ppl, 6), mask=n == 0)], ["doc_id", "lang", "judged", "n_chars", "perplexity"])
 
 
-_SCORED = "doc_id long, lang string, trusted boolean, n_chars long, perplexity double"
+_SCORED = "doc_id long, lang string, judged boolean, n_chars long, perplexity double"
 
 
 def score(rows: DataFrame, model: DataFrame, most: int = TABLE) -> DataFrame:
-    """Perplexity of ``rows`` (doc_id, lang, trusted, text) from ``model`` (g, logp), which has all their grams."""
+    """Perplexity of ``rows`` (doc_id, lang, judged, text) from ``model`` (g, logp), which has all their grams."""
     size = model.count()
     if size <= most:
         got = model.orderBy("g").toArrow()  # at most TABLE rows
@@ -146,21 +149,26 @@ def score(rows: DataFrame, model: DataFrame, most: int = TABLE) -> DataFrame:
         key, logp = right.column("g").to_numpy(), right.column("logp").to_numpy()
         return pa.Table.from_batches([_score_rows(part, data, offsets, key, logp) for batch in left.combine_chunks().to_batches() for part, data, offsets in pieces(batch, "text")])
 
-    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cogroup, _SCORED).unionByName(rows.where("length(text) = 0").select("doc_id", "lang", "trusted", F.lit(0).cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity")))
+    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cogroup, _SCORED).unionByName(rows.where("length(text) = 0").select("doc_id", "lang", "judged", F.lit(0).cast("long").alias("n_chars"), F.lit(None).cast("double").alias("perplexity")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, table: int = TABLE) -> DataFrame:
     """One row per document: doc_id, lang, n_chars, perplexity, threshold, kept."""
-    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    trusted = trusted.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0)
+    if trusted.where("held").isEmpty() or trusted.where("NOT held").isEmpty():
+        trusted = trusted.withColumn("held", F.lit(None).cast("boolean"))
+    # part 0 is no part of the model; without parts the documents of the model give the thresholds
+    trusted = trusted.select("doc_id", F.coalesce(~F.col("held"), F.lit(True)).alias("trusted"), F.coalesce("held", F.lit(True)).alias("judged"))
     small = trusted.limit(LABELS + 1).count() <= LABELS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), plain_text().alias("text"))
-    rows = rows.join(F.broadcast(trusted) if small else trusted.hint("merge"), "doc_id", "left").select("doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+    rows = rows.join(F.broadcast(trusted) if small else trusted.hint("merge"), "doc_id", "left").select("doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), F.coalesce("judged", F.lit(False)).alias("judged"), "text")
     counted = saved(rows.mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")), "grams")
     model = saved(log_probabilities(counted), "model")
     scored = saved(score(rows, model, table), "scored")
     limit = F.percentile_approx("perplexity", quantile, 10_000)
-    each = scored.where("trusted").groupBy(F.col("lang").alias("trusted_lang")).agg(limit.alias("own"))
-    whole = scored.where("trusted").agg(limit).first()[0]
+    each = scored.where("judged").groupBy(F.col("lang").alias("trusted_lang")).agg(limit.alias("own"))
+    whole = scored.where("judged").agg(limit).first()[0]
     out = scored.join(each, F.col("lang").eqNullSafe(F.col("trusted_lang")), "left").select("doc_id", "lang", "n_chars", "perplexity", F.coalesce("own", F.lit(whole).cast("double")).alias("threshold"))
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.coalesce("threshold", "perplexity"), F.lit(False)))
 
