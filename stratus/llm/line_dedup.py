@@ -3,8 +3,8 @@
 Lines are the ``\\n``-separated parts of a text with a non-blank character. A line's set is all its overlapping character
 shingles of SHINGLE characters, without its outer blanks; a shorter line is one shingle. ROWS * BANDS minimum hashes are aggregated
 map-side; lines that agree in a band are compared with that band's smallest line first, then, where a band's lines do not hang
-together yet, with each other line of the band that is in another component and has ALIKE of its minimum hashes: of pairs at the
-threshold that share a band, 0.0001 have fewer. Exact
+together yet, in small random groups, and last with each other line of the band that is in another component. Parity sketches of
+the sets, which differ in no more bits than the sets do in shingles, rule out pairs without losing one; exact
 Jaccard similarity of the sets confirms each link; connected components follow by star steps. Of each component the line that
 comes first by (doc_id, text hash, position) stays, all others go, wherever they are; equal lines are always in one component.
 Line identity is a 64-bit hash of the line.
@@ -24,8 +24,10 @@ from stratus.llm.components import components
 
 #: Characters of a shingle, hashes of a band, bands, and the similarity in percent that links two lines.
 SHINGLE, ROWS, BANDS, PERCENT = 9, 3, 6, 80
-#: Equal minimum hashes that a pair of lines needs to be compared on its full sets.
-ALIKE = 9
+#: Lines that a line of a band meets in each of TURNS turns before all pairs that are still apart are compared.
+GROUP, TURNS = 16, 2
+#: Words of 64 bits in the parity sketch of a line's set, a power of two.
+WORDS = 16
 #: Lines of a band that are compared in one task at most.
 LEAF = 256
 #: Parts into which the lines of a group are dealt when they learn which of them stays.
@@ -52,13 +54,46 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.where(F.col("line").rlike(r"\S")).withColumn("id", F.xxhash64("line"))
 
 
+def _sketched(texts: DataFrame) -> DataFrame:
+    """``texts`` (id, line) with the set's size n and its parity sketch: bit h of x0, x1, ... is set if an odd number of shingles hash to h."""
+    shingles = texts.select("id", F.explode(F.array_distinct(_every("line"))).alias("s")).select("id", F.xxhash64("s").alias("g"))
+    bit, word = F.expr("shiftleft(1L, CAST(g & 63 AS INT))"), F.expr(f"shiftright(g, 6) & {WORDS - 1}")
+    odd = (F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"x{k}") for k in range(WORDS))
+    return texts.join(shingles.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *odd), "id")
+
+
+def _near(percent: int, a: str, b: str) -> str:
+    """What holds for every pair of sets that are alike: sizes that are close, and sketches that differ in at most as many bits as the sets in members."""
+    bits = " + ".join(f"bit_count({a}x{k} ^ {b}x{k})" for k in range(WORDS))
+    return f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {100 + percent} * ({bits}) <= {100 - percent} * ({a}n + {b}n)"
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(u, v): the pairs (id, other) whose overlapping shingles are alike."""
-    a = texts.select("id", F.col("line").alias("a"), F.col("n").alias("na"))
-    b = texts.select(F.col("id").alias("other"), F.col("line").alias("b"), F.col("n").alias("nb"))
-    rows = pairs.join(a, "id").join(b, "other").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    both = F.size(F.array_intersect(_every("a"), _every("b")))
-    return rows.select("*", both.alias("both")).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("id").alias("u"), F.col("other").alias("v"))
+    a = texts.select("id", *(F.col(c).alias(f"a{c}") for c in texts.columns if c != "id"))
+    b = texts.select(F.col("id").alias("other"), *(F.col(c).alias(f"b{c}") for c in texts.columns if c != "id"))
+    rows = pairs.join(a, "id").join(b, "other").where(_near(percent, "a", "b"))
+    both = F.size(F.array_intersect(_every("aline"), _every("bline")))
+    # both / (an + bn - both) >= percent / 100, with the intersection named once so that it is computed once
+    return rows.where((100 + percent) * both >= percent * (F.col("an") + F.col("bn"))).select(F.col("id").alias("u"), F.col("other").alias("v"))
+
+
+def _meet(rows: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(id, other): rows of one band, ``lo`` and ``hi`` from different components, whose ``marks`` do not rule the pair out."""
+    rows = rows.select("band", "lo", "hi", "b", "comp", "id").join(marks, "id")
+    other = rows.select("band", "lo", "hi", *(F.col(c).alias(f"o{c}") for c in rows.columns if c not in ("band", "lo", "hi")))
+    met = rows.join(other, ["band", "lo", "hi"]).where(f"id < oid AND comp <> ocomp AND (lo = hi OR b <> ob) AND {_near(percent, '', 'o')}")
+    return met.select("id", F.col("oid").alias("other")).distinct()
+
+
+def _placed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """(band, id, comp): ``rows`` with the components known so far."""
+    return saved(rows.select("band", "id").join(joined, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp")), "rest")
+
+
+def _apart(rest: DataFrame) -> DataFrame:
+    """(band, size): bands whose lines do not hang together yet."""
+    return rest.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("band", "size")
 
 
 def line_links(lines: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
@@ -71,22 +106,29 @@ def line_links(lines: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> Da
     pivot = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("band", "pivot")
     shared = saved(bands.join(pivot, "band"), "shared")
     texts = lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    texts = saved(texts.select("id", "line", F.size(F.array_distinct(_every("line"))).alias("n")), "lines")
+    texts = saved(_sketched(saved(texts.select("id", "line"), "texts")), "lines")
+    marks = texts.drop("line")
     rest = shared.where("id <> pivot")
     first = saved(rest.select("id", F.col("pivot").alias("other")).distinct(), "pairs")
     joined = components(_confirmed(first, texts, percent))
-    rest = saved(rest.join(joined, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp")), "rest")
-    # bands whose other lines do not hang together yet: every pair across components, large bands block against block
-    blocks = F.when(F.count(F.lit(1)) <= leaf, 1).otherwise(F.ceil(F.count(F.lit(1)) * 2 / leaf))
-    apart = rest.groupBy("band").agg(blocks.cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "blocks")
-    own = rest.join(apart, "band").join(signs, "id").withColumn("b", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mins = [f"m{k}" for k in range(ROWS * BANDS)]
-    own = own.select("band", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "id", "comp", "b", *mins)
-    other = own.select("band", "lo", "hi", F.col("id").alias("other"), F.col("comp").alias("comp2"), F.col("b").alias("b2"), *(F.col(m).alias(f"o{m}") for m in mins))
-    same = " + ".join(f"CAST({m} = o{m} AS INT)" for m in mins)
-    second = own.join(other, ["band", "lo", "hi"]).where(f"id < other AND comp <> comp2 AND (lo = hi OR b <> b2) AND {same} >= {ALIKE}").select("id", "other").distinct()
-    found = saved(_confirmed(saved(second, "pairs"), texts, percent), "found")
-    return joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(found)
+    rest = _placed(rest, joined)
+    links = joined.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    # each line meets about GROUP others of its band first: what hangs together is joined before all pairs are asked for
+    for turn in range(TURNS):
+        part = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / GROUP)).cast("int")
+        dealt = rest.join(_apart(rest), "band").withColumns({"lo": part, "hi": part, "b": part}).drop("size")
+        found = saved(_confirmed(saved(_meet(dealt, marks, percent), "pairs"), texts, percent), "found")
+        if found.isEmpty():
+            break
+        joined = components(links.unionByName(found))
+        links = joined.select(F.col("id").alias("u"), F.col("component").alias("v"))
+        rest = _placed(rest, joined)
+    # then every pair across components, large bands block against block
+    blocks = F.when(F.col("size") <= leaf, 1).otherwise(F.ceil(F.col("size") * 2 / leaf)).cast("int")
+    own = rest.join(_apart(rest).select("band", blocks.alias("blocks")), "band").withColumn("b", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("b", "o"), "hi": F.greatest("b", "o")})
+    found = saved(_confirmed(saved(_meet(own, marks, percent), "pairs"), texts, percent), "found")
+    return links.unionByName(found)
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
