@@ -24,6 +24,8 @@ from stratus.llm.components import components
 
 #: Characters of a shingle, hashes of a band, bands, and the similarity in percent that links two lines.
 SHINGLE, ROWS, BANDS, PERCENT = 9, 3, 6, 80
+#: Characters that a line's set leaves out at its ends.
+BLANK = " \t\r\f\x0b"
 #: Lines that a line of a band meets in each of TURNS turns before all pairs that are still apart are compared.
 GROUP, TURNS = 16, 2
 #: Words of 64 bits in the parity sketch of a line's set, a power of two.
@@ -39,10 +41,17 @@ _FACTORS = [(0x9E3779B1 * (2 * k + 1) ** 3 >> 3) % 2**31 | 1 for k in range(ROWS
 
 def _every(line: str) -> Column:
     """All overlapping shingles of a line without its outer blanks; a shorter line is one shingle."""
-    text = F.btrim(F.col(line), F.lit(" \t\r\f\x0b"))
+    text = F.btrim(F.col(line), F.lit(BLANK))
     return F.when(F.length(text) <= SHINGLE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1)))
 
 
+def _hashes(lines: DataFrame) -> DataFrame:
+    """(id, g): a hash of each overlapping shingle of ``lines`` (id, line), repeats included. In UTF-32 a shingle is a slice of fixed width."""
+    wide = lines.select("id", F.encode(F.btrim(F.col("line"), F.lit(BLANK)), "UTF-32").alias("wide"))
+    last = F.greatest(F.length("wide") - F.lit(4 * SHINGLE - 1), F.lit(1))
+    return wide.select("id", "wide", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("at")).select("id", F.xxhash64(F.expr(f"substring(wide, at, {4 * SHINGLE})")).alias("g"))
+
+
 def _order(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
 
@@ -98,7 +107,7 @@ def _apart(rest: DataFrame) -> DataFrame:
 
 def line_links(lines: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """(u, v): links whose components are those of all confirmed pairs of different lines that share a band."""
-    hashed = lines.select("id", F.explode(_every("line")).alias("s")).select("id", F.xxhash64("s").bitwiseAND(F.lit(_MASK)).alias("g"))
+    hashed = _hashes(lines).select("id", F.col("g").bitwiseAND(F.lit(_MASK)).alias("g"))
     signs = hashed.groupBy("id").agg(*(F.min((F.col("g") * F.lit(a)).bitwiseAND(F.lit(_MASK))).alias(f"m{k}") for k, a in enumerate(_FACTORS)))
     band = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     signs = saved(signs, "signs")
