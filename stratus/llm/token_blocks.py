@@ -15,6 +15,7 @@ segments and an empty result; other columns play no part.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from stratus.llm.common import chunks, documents, new_path, parts, utf8
 
-#: Ids of a block, percentage of them that the width must hold, ids of a segment at least, words that a worker remembers, threads of the library in a task.
-BLOCK, PERCENT, SEGMENT, MEMO, THREADS = 1024, 95, 1_000_000, 1_000_000, 2
+#: Ids of a block, percentage of them that the width must hold, ids of a segment at least, words that a worker remembers, new words that the library gets at a time, threads of the library in a task.
+BLOCK, PERCENT, SEGMENT, MEMO, AT_ONCE, THREADS = 1024, 95, 1_000_000, 1_000_000, 500, 2
 END_ID = 1
 _INDEX = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "<u2"), ("offset", "<u8")])
 
@@ -141,6 +142,15 @@ def encoder(path: str, threads: int = THREADS):
     def library(texts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
+    def separate(base: list[bytes]) -> Iterator[bytes]:
+        """Ids of each of the words, which the library gets AT_ONCE of in a text; the characters that ids stand for tell the words apart."""
+        groups = [[w.decode() for w in base[k : k + AT_ONCE]] for k in range(0, len(base), AT_ONCE)]
+        for ws, e in zip(groups, tokenizer.encode_batch([" ".join(ws) for ws in groups], add_special_tokens=False), strict=True):
+            ids, first = np.array(e.ids, "<u4").tobytes(), np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            ends = np.cumsum([len(w) + 1 for w in ws])
+            at = [0, *(4 * np.searchsorted(first, ends)).tolist()]
+            yield from (ids[a:b] for a, b in itertools.pairwise(at))
+
     added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
     stops = {c + s for c in "abcdefghijklmnopqrstuvwxyz0123456789" for s in ".,"}
     apart = by_words(path) and tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("A") == "a" and all(len(tokenizer.pre_tokenizer.pre_tokenize_str(x)) == 2 for x in stops)
@@ -158,7 +168,7 @@ def encoder(path: str, threads: int = THREADS):
         new = wanted.difference(memo)
         cut = {w: parts_of(w) for w in new}
         base = list({x for xs in cut.values() for x in xs}.difference(memo))
-        got = dict(zip(base, library(base), strict=True))
+        got = dict(zip(base, separate(base), strict=True))
         got |= {w: b"".join(got[x] if x in got else memo[x] for x in xs) for w, xs in cut.items() if len(xs) > 1}
         if len(memo) + len(got) <= MEMO:
             memo.update(got)
