@@ -33,6 +33,8 @@ from stratus.llm.common import chunks, documents, new_path, parts, utf8
 #: Ids of a block, percentage of them that the width must hold, ids of a segment at least, words that a worker remembers, new words that the library gets at a time, threads of the library in a task.
 BLOCK, PERCENT, SEGMENT, MEMO, AT_ONCE, THREADS = 1024, 95, 1_000_000, 1_000_000, 500, 2
 END_ID = 1
+#: Stops at the end of a word that have a letter or digit before them.
+_STOPS = {b" " + s: re.compile(re.escape(s) + rb"(?<=[a-z0-9].)(?!\S)") for s in (b".", b",")}
 _INDEX = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "<u2"), ("offset", "<u8")])
 
 
@@ -151,32 +153,30 @@ def encoder(path: str, threads: int = THREADS):
             at = [0, *(4 * np.searchsorted(first, ends)).tolist()]
             yield from (ids[a:b] for a, b in itertools.pairwise(at))
 
-    added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+    added = [t.content.encode().lower() for t in tokenizer.get_added_tokens_decoder().values()]
     stops = {c + s for c in "abcdefghijklmnopqrstuvwxyz0123456789" for s in ".,"}
     apart = by_words(path) and tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("A") == "a" and all(len(tokenizer.pre_tokenizer.pre_tokenize_str(x)) == 2 for x in stops)
-    ends = {x.encode() for x in stops} if apart else set()
 
-    def parts_of(word: bytes) -> tuple[bytes, ...]:
-        """Lower-case word and final stop, as far as the tokenizer cuts them apart."""
-        low = word.lower()
-        if low[-2:] not in ends or any(t in word for t in added):
-            return (word,)
-        return low[:-1], low[-1:]
+    def cut(text: bytes) -> list[bytes]:
+        """The text's words; where the tokenizer does so as well, in lower case and with final stops apart."""
+        low = text.lower()
+        if not apart or any(t in low for t in added):
+            return text.split()
+        for cut_off, stop in _STOPS.items():
+            low = stop.sub(cut_off, low)
+        return low.split()
 
     def known(wanted: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words; what is new is remembered while there is room."""
-        new = wanted.difference(memo)
-        cut = {w: parts_of(w) for w in new}
-        base = list({x for xs in cut.values() for x in xs}.difference(memo))
-        got = dict(zip(base, separate(base), strict=True))
-        got |= {w: b"".join(got[x] if x in got else memo[x] for x in xs) for w, xs in cut.items() if len(xs) > 1}
+        new = list(wanted.difference(memo))
+        got = dict(zip(new, separate(new), strict=True))
         if len(memo) + len(got) <= MEMO:
             memo.update(got)
             return memo
         return {w: got[w] if w in got else memo[w] for w in wanted}
 
     def words(texts: list[bytes]) -> list[bytes]:
-        found = [t.split() for t in texts]
+        found = [cut(t) for t in texts]
         ids = known(set().union(*found))
         return [b"".join(map(ids.__getitem__, ws)) for ws in found]
 
