@@ -1,8 +1,8 @@
-"""Queries of the ten operators over the whole tables, and their SQL where SQL can say it."""
+"""Queries of the operators over the whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
-from stratus.llm import crf_quality, cuckoo, kneser_ney, line_dedup, near_dup, packing, secret_scan, sentence_pieces, suffix_index, token_blocks
+from stratus.llm import crf_quality, cuckoo, kneser_ney, line_dedup, merkle, near_dup, packing, secret_scan, sentence_pieces, suffix_index, token_blocks
 
 QUERIES = {
     "op1_near_dup": near_dup.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_kneser_ney": kneser_ney.query,
     "op9_secret_scan": secret_scan.query,
     "op10_suffix_dedup": suffix_index.query,
+    "op11_merkle_manifest": merkle.query,
 }
-ORACLES = {"op7_exact_dedup": cuckoo.SQL}
+ORACLES = {"op7_exact_dedup": cuckoo.SQL, "op11_merkle_manifest": merkle.SQL}
