@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratus.llm import crf_quality, cuckoo, kneser_ney, line_dedup, merkle, near_dup, packing, secret_scan, sentence_pieces, suffix_index, token_blocks
+from stratus.llm import conversations, crf_quality, cuckoo, kneser_ney, line_dedup, merkle, near_dup, packing, secret_scan, sentence_pieces, suffix_index, token_blocks
 
 QUERIES = {
     "op1_near_dup": near_dup.query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_secret_scan": secret_scan.query,
     "op10_suffix_dedup": suffix_index.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_conversation_repair": conversations.query,
 }
 ORACLES = {"op7_exact_dedup": cuckoo.SQL, "op11_merkle_manifest": merkle.SQL}
