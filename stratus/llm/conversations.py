@@ -17,6 +17,7 @@ be changed or deleted. Repeated rows are damaged alike. Extra columns play no pa
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -143,14 +144,30 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _behind(group: pa.Table) -> pa.Table:
-    """The cost behind each block of one conversation."""
-    group = group.sort_by("part")
-    matrices, after, out = group.column("matrix").to_pylist(), [INSERT * n if s else 0 for s, n in enumerate(_TAIL)], []
-    for m in reversed(matrices):
-        out.append(after)
-        after = [min(m[4 * s + t] + after[t] for t in range(4)) for s in range(4)]
-    return pa.table({"conv": group.column("conv"), "part": group.column("part"), "after": pa.array(out[::-1], pa.list_(pa.int64())), "first": pa.array([k == 0 for k in range(len(out))])})
+def _together(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[str, list[tuple]]]:
+    """Rows sorted by conv: each one with all of its rows, one for each block and state at most."""
+    rows = ((conv, row) for batch in batches for conv, *row in zip(*(batch.column(c).to_pylist() for c in ("conv", *columns)), strict=True))
+    for conv, group in itertools.groupby(rows, lambda r: r[0]):
+        yield conv, [tuple(r) for _, r in group]
+
+
+def _batches(rows: Iterator[tuple], **columns: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for some in itertools.batched(rows, 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), columns.values(), strict=True)], list(columns))
+
+
+def _behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cost behind each block; blocks are sorted by (conv, part)."""
+
+    def rows() -> Iterator[tuple]:
+        for conv, blocks in _together(batches, "part", "matrix"):
+            after, out = [INSERT * n if s else 0 for s, n in enumerate(_TAIL)], []
+            for part, m in reversed(blocks):
+                out.append((conv, part, after, part == blocks[0][0]))
+                after = [min(m[4 * s + t] + after[t] for t in range(4)) for s in range(4)]
+            yield from out
+
+    return _batches(rows(), conv=pa.string(), part=pa.int32(), after=pa.list_(pa.int64()), first=pa.bool_())
 
 
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +183,17 @@ def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["conv", "part", "state", "next", "audit"])
 
 
-def _walk(group: pa.Table) -> pa.Table:
-    """The states in which the blocks of one conversation begin."""
-    ways = {(p, s): t for p, s, t in zip(*(group.column(c).to_pylist() for c in ("part", "state", "next")), strict=True)}
-    state, out = 0, []
-    for p in sorted({p for p, _ in ways}):
-        out.append((p, state))
-        state = ways[p, state]
-    return pa.table({"conv": pa.array([group.column("conv")[0].as_py()] * len(out)), "part": pa.array([p for p, _ in out], pa.int32()), "state": pa.array([s for _, s in out], pa.int32())})
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The states in which blocks begin; rows are sorted by (conv, part)."""
+
+    def rows() -> Iterator[tuple]:
+        for conv, ways in _together(batches, "part", "state", "next"):
+            state = 0
+            for part, own in itertools.groupby(ways, lambda w: w[0]):
+                yield conv, part, state
+                state = {s: t for _, s, t in own}[state]
+
+    return _batches(rows(), conv=pa.string(), part=pa.int32(), state=pa.int32())
 
 
 class _Result:
@@ -255,9 +275,9 @@ def repair(conversations: DataFrame, damage: bool = True) -> DataFrame:
     code = F.expr("instr('sua?', initial) - 1") * 4 + F.col("fault")
     slim = by_key(rows.select("conv", "part", "pos", code.cast("int").alias("code")), "conv", "part", order=("pos",))
     blocks = saved(slim.mapInArrow(_matrices, "conv string, part int, codes binary, matrix array<long>"), "blocks")
-    behind = blocks.select("conv", "part", "matrix").groupBy("conv").applyInArrow(_behind, "conv string, part int, after array<long>, first boolean")
+    behind = by_key(blocks.select("conv", "part", "matrix"), "conv", order=("part",)).mapInArrow(_behind, "conv string, part int, after array<long>, first boolean")
     solved = saved(blocks.drop("matrix").join(behind, ["conv", "part"]).mapInArrow(_solved, "conv string, part int, state int, next int, audit string"), "solved")
-    walk = solved.drop("audit").groupBy("conv").applyInArrow(_walk, "conv string, part int, state int")
+    walk = by_key(solved.drop("audit"), "conv", order=("part",)).mapInArrow(_walk, "conv string, part int, state int")
     audits = solved.join(walk, ["conv", "part", "state"]).select("conv", "part", F.lit(-1).cast("long").alias("pos"), "audit")
     every = conversations.select(F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv")).distinct().select("conv", F.lit(-1).alias("part"), F.lit(-1).cast("long").alias("pos"))
     stream = rows.unionByName(audits, allowMissingColumns=True).unionByName(every, allowMissingColumns=True)
