@@ -15,7 +15,7 @@ class where their neighbours, counted in the same way, are likeliest. So every w
 
 A text's probability is the product of P(class | class before) and P(word | class). Emissions and single classes add 1/2
 to each count, and one class has the unknown word alone, so that they multiply to the plain model of ``base_score``; transitions
-take an absolute discount and back off to single classes. A text begins as after an end.
+take an absolute discount and back off to single classes, the unknown word apart, which is as likely behind any class. A text begins as after an end.
 
 Null and empty texts have the end as their only token. Rows without an id are counted, not held out. Repeated rows count each. Without counted
 tokens both scores are 0. Extra columns play no part; an empty table gives an empty one.
@@ -24,7 +24,6 @@ tokens both scores are 0. Extra columns play no part; an empty table gives an em
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +37,8 @@ from stratus.llm.common import binary, by_key, documents, pieces, plain_text, sa
 FOLDS, HELD = 5, 1
 #: Classes (at most 250), least share of a core word as its inverse, most rounds of exchange, bytes of text in a pass.
 CLASSES, CORE, ROUNDS, PASS_BYTES = 64, 1_000_000, 4, 8_000_000
-#: Tokens that a task counts before it passes counts on.
-HELD_TOKENS = 16_000_000
+#: Cells of a pass's words and contexts up to which they are counted in place.
+DENSE = 1 << 25
 #: No word has a space, so this stands for the end.
 END = b" "
 _CONTEXT = np.dtype([("k", np.uint16), ("n", np.uint32)])
@@ -58,14 +57,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray,
     letters = np.concatenate([[0], np.cumsum(inside)])
     bounds = np.concatenate([letters[starts], letters[-1:]])
     coded = binary(lower[inside], bounds).dictionary_encode()
-    n_docs = len(offsets) - 1
     n_words = np.diff(np.searchsorted(starts, offsets))
     at = np.concatenate([[0], np.cumsum(n_words + 1)])
     number = np.full(at[-1], len(coded.dictionary), np.int32)
     place = np.ones(at[-1], bool)
     place[at[1:] - 1] = False
     number[place] = coded.indices.to_numpy()
-    assert n_docs == len(at) - 1
     return pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())]), number, at
 
 
@@ -142,98 +139,73 @@ def _classes_of(ids: np.ndarray, core: np.ndarray, classes: np.ndarray) -> tuple
     return np.where(there, classes[at], CLASSES).astype(np.uint8), np.where(there, at, -1)
 
 
+def _entries(counts: np.ndarray) -> pa.Array:
+    """Rows of a matrix of counts as their cells over 0."""
+    row, k = np.nonzero(counts)
+    entries = np.empty(len(row), _CONTEXT)
+    entries["k"], entries["n"] = k, counts[row, k]
+    return binary(entries.view(np.uint8), np.searchsorted(row, np.arange(len(counts) + 1)) * _CONTEXT.itemsize)
+
+
 def _contexts(of_core: bool, table):
-    """For each word in (or not in) the core, how often each class stands before it (k) and after it (CLASSES + 1 + k)."""
+    """For each word in (or not in) the core, how often each class stands before it (k) and after it (CLASSES + 1 + k) in a pass."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, classes = table.value
         width = 2 * (CLASSES + 1)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            word, k, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((k, word))
-            word, k, n = word[order], k[order], n[order]
-            new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (k[1:] != k[:-1])]))
-            word, k, n = word[new], k[new], np.add.reduceat(n, new)
-            entries = np.empty(len(word), _CONTEXT)
-            entries["k"], entries["n"] = k, n
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            bounds = np.concatenate([first, [len(word)]]) * _CONTEXT.itemsize
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(word[first]), binary(entries.view(np.uint8), bounds)], ["id", "contexts"])
-
-        size = 0
         for ids, led, starts in _passes(batches):
             kind, at = _classes_of(ids, core, classes)
             wanted = np.flatnonzero((at >= 0) == of_core)
             local = np.full(len(ids), -1)
             local[wanted] = np.arange(len(wanted))
             word, own = local[led], kind[led].astype(np.int64)
-            before, after = np.ones(len(led), bool), np.ones(len(led), bool)
+            before, after = word >= 0, word >= 0
             before[starts] = False
-            after[np.concatenate([starts[1:], [len(led)]]) - 1] = False
-            spots = np.flatnonzero(before & (word >= 0))
-            cells = [word[spots] * width + own[spots - 1]]
-            spots = np.flatnonzero(after & (word >= 0))
-            cells.append(word[spots] * width + CLASSES + 1 + own[spots + 1])
-            cell, n = np.unique(np.concatenate(cells), return_counts=True)
-            if len(cell):
-                held.append((ids[wanted][cell // width], cell % width, n))
-                size += len(cell)
-            if size > HELD_TOKENS:
-                yield out()
-                size = 0
-        if held:
-            yield out()
+            after[np.concatenate([starts[1:], [len(led)]])[: len(starts)] - 1] = False
+            b, a = np.flatnonzero(before), np.flatnonzero(after)
+            cells = np.concatenate([word[b] * width + own[b - 1], word[a] * width + CLASSES + 1 + own[np.minimum(a + 1, len(led) - 1)]])
+            if len(wanted) * width <= DENSE:
+                dense = np.bincount(cells, minlength=len(wanted) * width)
+                cell = np.flatnonzero(dense)
+                n = dense[cell]
+            else:
+                cell, n = np.unique(cells, return_counts=True)
+            entries = np.empty(len(cell), _CONTEXT)
+            entries["k"], entries["n"] = cell % width, n
+            word = cell // width
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[wanted][word[first]]), binary(entries.view(np.uint8), np.concatenate([first, [len(word)]]) * _CONTEXT.itemsize)], ["id", "contexts"])
 
     return f
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, counts by context) of rows sorted by id, some thousand words at a time."""
+def _counts(ids: np.ndarray, contexts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, counts by context), some thousand rows at a time; rows of one id next to each other become one if they are in the same part."""
     width = 2 * (CLASSES + 1)
-    held: list[pa.RecordBatch] = []
-
-    def out(last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        ids = table.column("id").to_numpy()
-        cut = len(ids) if last else int(np.searchsorted(ids, ids[-1]))
-        data, at = utf8(table.column("contexts").slice(0, cut))
+    for lo in range(0, len(ids), 8192):
+        data, at = utf8(contexts.slice(lo, 8192))
         entries = np.frombuffer(data.tobytes(), _CONTEXT)
-        for lo in range(0, cut, 8192):
-            hi = min(cut, lo + 8192)
-            word, inverse = np.unique(ids[lo:hi], return_inverse=True)
-            row = np.repeat(inverse, np.diff(at[lo : hi + 1]) // _CONTEXT.itemsize)
-            part = entries[at[lo] // _CONTEXT.itemsize : at[hi] // _CONTEXT.itemsize]
-            yield word, np.bincount(row * width + part["k"], part["n"], len(word) * width).reshape(len(word), width)
-        held[:] = table.slice(cut).to_batches()
-
-    def joined() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rows = 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                rows += batch.num_rows
-            if rows >= 65_536:
-                yield from out(False)
-                rows = sum(b.num_rows for b in held)
-        if held:
-            yield from out(True)
+        own = ids[lo : lo + 8192]
+        new = np.concatenate([[True], own[1:] != own[:-1]])
+        row = np.repeat(np.cumsum(new) - 1, np.diff(at) // _CONTEXT.itemsize)
+        yield own[new], np.bincount(row * width + entries["k"], entries["n"], int(new.sum()) * width).reshape(-1, width)
+
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by id as one for each id."""
     last: tuple[np.ndarray, np.ndarray] | None = None
-    for word, counts in joined():  # a word may go on in the next block
-        if last is not None:
-            if len(word) and word[0] == last[0][0]:
-                counts[0] += last[1][0]
-            else:
-                yield last
-        if len(word):
-            if len(word) > 1:
-                yield word[:-1], counts[:-1]
-            last = word[-1:], counts[-1:]
+    for batch in batches:
+        for ids, counts in _counts(batch.column("id").to_numpy(), batch.column("contexts")):
+            if last is not None:
+                if ids[0] == last[0][0]:
+                    counts[0] += last[1][0]
+                else:
+                    ids, counts = np.concatenate([last[0], ids]), np.concatenate([last[1], counts])
+            last = ids[-1:], counts[-1:]
+            if len(ids) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[:-1]), _entries(counts[:-1])], ["id", "contexts"])
     if last is not None:
-        yield last
+        yield pa.RecordBatch.from_arrays([pa.array(last[0]), _entries(last[1])], ["id", "contexts"])
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -245,38 +217,36 @@ def likelihood(m: np.ndarray) -> float:
     return float(_xlogx(m).sum() - _xlogx(m.sum(0)).sum() - _xlogx(m.sum(1)).sum())
 
 
-def proposals(counts: np.ndarray, own: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class of most gain for each word, gain of moving it there with the others in place).
+def likeliest(counts: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The class of most gain for each word by its contexts' ``counts``, to first order, under the transitions ``m``."""
+    inner = np.log((m + 0.5) / (np.outer(m.sum(1), m.sum(0)) / max(m.sum(), 1.0) + 0.5))
+    return (counts[:, : CLASSES + 1] @ inner[:, :CLASSES] + counts[:, CLASSES + 1 :] @ inner[:CLASSES].T).argmax(1)
 
-    ``counts`` are the words' contexts, ``own`` their classes (CLASSES: in none yet), ``m`` the transitions of all classes.
-    """
+
+def gain(counts: np.ndarray, own: np.ndarray, to: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rise of the likelihood when each word alone moves from class ``own`` to another one; a word that follows itself counts as two."""
     before, after = counts[:, : CLASSES + 1], counts[:, CLASSES + 1 :]
-    n_before, n_after = before.sum(1), after.sum(1)
     row, col = m.sum(1), m.sum(0)
-    # first order: what the neighbours of a word say of each class
-    inner = np.log((m + 0.5) / (np.outer(row, col) / max(m.sum(), 1.0) + 0.5))
-    linear = before @ inner[:, :CLASSES] + after @ inner[:CLASSES].T
-    # emission: a large class makes its words rare
-    best = linear.argmax(1)
 
     def change(k: np.ndarray, sign: int) -> np.ndarray:
-        """Change of the likelihood when the word's contexts are added to (or taken from) class k."""
-        to, fro = m[:, k].T, m[k]
-        cells = _xlogx(to + sign * before) - _xlogx(to) + _xlogx(fro + sign * after) - _xlogx(fro)
-        return cells.sum(1) - (_xlogx(col[k] + sign * n_before) - _xlogx(col[k])) - (_xlogx(row[k] + sign * n_after) - _xlogx(row[k]))
+        come, go, n_come, n_go = m[:, k].T, m[k], before.sum(1), after.sum(1)
+        cells = _xlogx(come + sign * before) - _xlogx(come) + _xlogx(go + sign * after) - _xlogx(go)
+        return cells.sum(1) - _xlogx(col[k] + sign * n_come) + _xlogx(col[k]) - _xlogx(row[k] + sign * n_go) + _xlogx(row[k])
 
-    gain = np.where(best == own, 0.0, change(best, 1) + np.where(own < CLASSES, change(np.minimum(own, CLASSES - 1), -1), 0.0))
-    return best, gain
+    return change(to, 1) + change(own, -1)
 
 
 def _mover(table, m: np.ndarray):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, classes = table.value
-        for ids, counts in _summed(batches):
-            own, _ = _classes_of(ids, core, classes)
-            best, gain = proposals(counts, own.astype(np.int64), m)
-            moved = (gain > 0) | (own == CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.where(moved, best, own).astype(np.int32))], ["id", "class"])
+        for batch in batches:
+            for ids, counts in _counts(batch.column("id").to_numpy(), batch.column("contexts")):
+                own = _classes_of(ids, core, classes)[0].astype(np.int64)
+                best = likeliest(counts, m)
+                some = np.flatnonzero((best != own) & (own < CLASSES))
+                stay = some[gain(counts[some], own[some], best[some], m) <= 0]
+                best[stay] = own[stay]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best.astype(np.int32))], ["id", "class"])
 
     return f
 
@@ -287,11 +257,12 @@ def _transitions(table):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, classes = table.value
         m = np.zeros((CLASSES + 1, CLASSES + 1))
-        for ids, counts in _summed(batches):
-            own, _ = _classes_of(ids, core, classes)
-            for k in range(CLASSES):
-                m[k] += counts[own == k, CLASSES + 1 :].sum(0)
-                m[CLASSES, k] += counts[own == k, CLASSES].sum()
+        for batch in batches:
+            for ids, counts in _counts(batch.column("id").to_numpy(), batch.column("contexts")):
+                own = _classes_of(ids, core, classes)[0]
+                for k in np.unique(own):
+                    m[k] += counts[own == k, CLASSES + 1 :].sum(0)
+                    m[CLASSES, k] += counts[own == k, CLASSES].sum()
         i, j = np.nonzero(m)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(m[i, j].astype(np.int64))], ["i", "j", "n"])
 
@@ -313,7 +284,7 @@ def exchange(coded: DataFrame, core: np.ndarray, counts: np.ndarray, rounds: int
     classes, best, history = (rank % CLASSES).astype(np.uint8), None, []
     for k in range(rounds + 1):
         table = spark.sparkContext.broadcast((core, classes))
-        found = saved(by_key(coded.mapInArrow(_contexts(True, table), "id long, contexts binary"), "id"), "contexts")
+        found = saved(by_key(coded.mapInArrow(_contexts(True, table), "id long, contexts binary"), "id").mapInArrow(_merged, "id long, contexts binary"), "contexts")
         m = _matrix(found.mapInArrow(_transitions(table), "i long, j long, n long"), CLASSES + 1)
         history.append(likelihood(m))
         if best is not None and history[-1] <= best[0]:
@@ -339,7 +310,7 @@ def word_classes(coded: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> Da
         return known.withColumn("class", F.lit(0))
     classes, m, _ = exchange(coded, core, counts, rounds)
     table = coded.sparkSession.sparkContext.broadcast((core, classes))
-    rest = by_key(coded.mapInArrow(_contexts(False, table), "id long, contexts binary"), "id").mapInArrow(_mover(table, m), "id long, class int")
+    rest = by_key(coded.mapInArrow(_contexts(False, table), "id long, contexts binary"), "id").mapInArrow(_merged, "id long, contexts binary").mapInArrow(_mover(table, m), "id long, class int")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,16 +375,23 @@ def _counted_pairs(end: int):
 
 
 def transitions(m: np.ndarray, single: np.ndarray) -> np.ndarray:
-    """P(class | class before): counts less an absolute discount, the rest of each row by the single classes' probabilities."""
+    """P(class | class before): counts less an absolute discount, the rest of each row by the single classes' probabilities.
+
+    The last class, of the unknown word, has its single probability behind every class; the others share what is left.
+    """
     once, twice = (m == 1).sum(), (m == 2).sum()
     discount = once / (once + 2 * twice) if once and twice else 0.5
     row = m.sum(1, keepdims=True)
     rest = np.where(row > 0, discount * (m > 0).sum(1, keepdims=True) / np.maximum(row, 1), 1.0)
-    return np.maximum(m - discount, 0) / np.maximum(row, 1) + rest * single
+    known = np.append(single[:-1] / max(single[:-1].sum(), 1e-300), 0.0)
+    out = (1 - single[-1]) * (np.maximum(m - discount, 0) / np.maximum(row, 1) + rest * known)
+    out[:, -1] = single[-1]
+    return out
 
 
 def _scorer(p: np.ndarray, end: int, total: int):
-    log = np.log10(p).reshape(-1)
+    with np.errstate(divide="ignore"):  # classes without words
+        log = np.log10(p).reshape(-1)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

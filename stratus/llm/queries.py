@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratus.llm import conversations, crf_quality, cuckoo, kneser_ney, line_dedup, merkle, near_dup, packing, secret_scan, sentence_pieces, suffix_index, token_blocks
+from stratus.llm import class_lm, conversations, crf_quality, cuckoo, kneser_ney, line_dedup, merkle, near_dup, packing, secret_scan, sentence_pieces, suffix_index, token_blocks
 
 QUERIES = {
     "op1_near_dup": near_dup.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_suffix_dedup": suffix_index.query,
     "op11_merkle_manifest": merkle.query,
     "op12_conversation_repair": conversations.query,
+    "op13_class_lm": class_lm.query,
 }
 ORACLES = {"op7_exact_dedup": cuckoo.SQL, "op11_merkle_manifest": merkle.SQL}
