@@ -226,14 +226,15 @@ def likeliest(counts: np.ndarray, m: np.ndarray) -> np.ndarray:
 def gain(counts: np.ndarray, own: np.ndarray, to: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Rise of the likelihood when each word alone moves from class ``own`` to another one; a word that follows itself counts as two."""
     before, after = counts[:, : CLASSES + 1], counts[:, CLASSES + 1 :]
-    row, col = m.sum(1), m.sum(0)
-
-    def change(k: np.ndarray, sign: int) -> np.ndarray:
-        come, go, n_come, n_go = m[:, k].T, m[k], before.sum(1), after.sum(1)
-        cells = _xlogx(come + sign * before) - _xlogx(come) + _xlogx(go + sign * after) - _xlogx(go)
-        return cells.sum(1) - _xlogx(col[k] + sign * n_come) + _xlogx(col[k]) - _xlogx(row[k] + sign * n_go) + _xlogx(row[k])
-
-    return change(to, 1) + change(own, -1)
+    row, col, each, out = m.sum(1), m.sum(0), np.arange(len(counts)), np.zeros(len(counts))
+    change = lambda x, more: _xlogx(x + more) - _xlogx(x)
+    for k, sign in ((to, 1), (own, -1)):
+        cells = change(m[:, k].T, sign * before) + change(m[k], sign * after)
+        cells[each, to] = cells[each, own] = 0.0
+        out += cells.sum(1) - change(col[k], sign * before.sum(1)) - change(row[k], sign * after.sum(1))
+    # the four cells between both classes change on both sides
+    b_own, b_to, a_own, a_to = before[each, own], before[each, to], after[each, own], after[each, to]
+    return out + change(m[own, own], -b_own - a_own) + change(m[own, to], b_own - a_to) + change(m[to, own], a_own - b_to) + change(m[to, to], b_to + a_to)
 
 
 def _mover(table, m: np.ndarray):
