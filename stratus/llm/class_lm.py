@@ -23,6 +23,7 @@ tokens both scores are 0. Extra columns play no part; an empty table gives an em
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -32,30 +33,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm.common import binary, by_key, documents, pieces, plain_text, saved, utf8
+from stratus.llm.common import binary, by_key, documents, dropped, pieces, plain_text, saved, utf8
 
 FOLDS, HELD = 5, 1
-#: Classes (at most 250), least share of a core word as its inverse, most rounds of exchange, bytes of text in a pass.
-CLASSES, CORE, ROUNDS, PASS_BYTES = 64, 1_000_000, 4, 8_000_000
+#: Classes (at most 120), least share of a core word as its inverse, most rounds of exchange, bytes of text in a pass.
+CLASSES, CORE, ROUNDS, PASS_BYTES = 64, 1_000_000, 4, 16_000_000
 #: Cells of a pass's words and contexts up to which they are counted in place.
 DENSE = 1 << 25
 #: No word has a space, so this stands for the end.
 END = b" "
-_CONTEXT = np.dtype([("k", np.uint16), ("n", np.uint32)])
+_CONTEXT = np.dtype([("k", np.uint8), ("n", np.uint32)])
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(words of all texts and END last, number of each token among them, n + 1 bounds of the texts' tokens)."""
     lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     inside = (lower != 32) & ((lower < 9) | (lower > 13))
-    first = inside.copy()
+    first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
     cuts = offsets[1:-1]
-    cuts = cuts[cuts < len(data)]
-    first[cuts] = inside[cuts]
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    first[cuts], last[cuts - 1] = inside[cuts], inside[cuts - 1]
     starts = np.flatnonzero(first)
-    letters = np.concatenate([[0], np.cumsum(inside)])
-    bounds = np.concatenate([letters[starts], letters[-1:]])
+    bounds = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - starts)])
     coded = binary(lower[inside], bounds).dictionary_encode()
     n_words = np.diff(np.searchsorted(starts, offsets))
     at = np.concatenate([[0], np.cumsum(n_words + 1)])
@@ -92,10 +93,19 @@ def vocabulary(rows: DataFrame) -> tuple[DataFrame, bytes]:
 
         found = saved(counted.mapInArrow(f, "id long, n long"), "vocabulary")
         if found.groupBy("id").agg(F.count(F.lit(1)).alias("words")).where("words > 1").isEmpty():
+            over(counted)
             return found, key
     raise RuntimeError("eight keys in a row gave two words one digest")
 
 
+def packed(number: np.ndarray) -> bytes:
+    return pa.compress(number.astype(np.int32).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.int32)
+
+
 def _coder(key: bytes):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k = TaskContext.get().partitionId() << 32, 0
@@ -104,20 +114,21 @@ def _coder(key: bytes):
                 words, number, at = tokens(data, offsets)
                 docs = pa.array(rows.column("doc_id").to_pylist(), pa.int64())
                 held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([docs.to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (held.astype(np.uint8), at.astype(np.int64), digests(words, key), number.astype(np.int32)))], ["pass", "doc_ids", "held", "bounds", "ids", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([docs.to_pylist()], pa.list_(pa.int64())), pa.array([len(words)]), *(pa.array([x], pa.binary()) for x in (held.astype(np.uint8).tobytes(), at.astype(np.int64).tobytes(), digests(words, key).tobytes(), packed(number)))], ["pass", "doc_ids", "n_words", "held", "bounds", "ids", "tokens"])
                 k += 1
 
     return f
 
 
-_CODED = "pass long, doc_ids array<long>, held binary, bounds binary, ids binary, tokens binary"
+_CODED = "pass long, doc_ids array<long>, n_words long, held binary, bounds binary, ids binary, tokens binary"
 
 
 def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids of the words, counted tokens, the place of each one's text); every text is led by the end."""
     for batch in batches:
         for held, bounds, ids, number in zip(*(batch.column(c).to_pylist() for c in ("held", "bounds", "ids", "tokens")), strict=True):
-            at, number = np.frombuffer(bounds, np.int64), np.frombuffer(number, np.int32)
+            at = np.frombuffer(bounds, np.int64)
+            number = unpacked(number, at[-1])
             counted = np.flatnonzero(np.frombuffer(held, np.uint8) == 0)
             sizes = np.diff(at)
             keep = np.repeat(np.frombuffer(held, np.uint8) == 0, sizes)
@@ -247,7 +258,8 @@ def _mover(table, m: np.ndarray):
                 some = np.flatnonzero((best != own) & (own < CLASSES))
                 stay = some[gain(counts[some], own[some], best[some], m) <= 0]
                 best[stay] = own[stay]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best.astype(np.int32))], ["id", "class"])
+                n = counts[:, : CLASSES + 1].sum(1)  # each token has one before it
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(best.astype(np.int32))], ["id", "n", "class"])
 
     return f
 
@@ -277,6 +289,13 @@ def _matrix(cells: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def over(*tables: DataFrame) -> None:
+    """Deletes tables of a step that is over, and lets Spark delete its shuffle files, which it keeps while the driver holds its plan."""
+    dropped(*tables)
+    gc.collect()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def exchange(coded: DataFrame, core: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(classes of ``core``, transitions under them, likelihood after each round); ``core`` is sorted, ``counts`` are its words' counts."""
     spark = coded.sparkSession
@@ -293,11 +312,12 @@ def exchange(coded: DataFrame, core: np.ndarray, counts: np.ndarray, rounds: int
         best = history[-1], classes, m
         if k == rounds:
             break
-        moved = found.mapInArrow(_mover(table, m), "id long, class int").toArrow()  # at most CORE rows
+        moved = found.mapInArrow(_mover(table, m), "id long, n long, class int").toArrow()  # at most CORE rows
         order = np.argsort(moved.column("id").to_numpy())
         new = classes.copy()
         new[np.searchsorted(core, moved.column("id").to_numpy()[order])] = moved.column("class").to_numpy()[order]
         classes = new
+        over(found)
     return best[1], best[2], history
 
 
@@ -311,16 +331,15 @@ def word_classes(coded: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> Da
         return known.withColumn("class", F.lit(0))
     classes, m, _ = exchange(coded, core, counts, rounds)
     table = coded.sparkSession.sparkContext.broadcast((core, classes))
-    rest = by_key(coded.mapInArrow(_contexts(False, table), "id long, contexts binary"), "id").mapInArrow(_merged, "id long, contexts binary").mapInArrow(_mover(table, m), "id long, class int")
+    rest = by_key(coded.mapInArrow(_contexts(False, table), "id long, contexts binary"), "id").mapInArrow(_merged, "id long, contexts binary").mapInArrow(_mover(table, m), "id long, n long, class int")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, at = _classes_of(batch.column("id").to_numpy(), *table.value)
             keep = at >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("id").to_numpy()[keep]), pa.array(own[keep].astype(np.int32))], ["id", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("id").to_numpy()[keep]), pa.array(batch.column("n").to_numpy()[keep]), pa.array(own[keep].astype(np.int32))], ["id", "n", "class"])
 
-    placed = known.select("id").mapInArrow(f, "id long, class int").unionByName(rest)
-    return saved(known.join(placed, "id"), "classes")
+    return saved(known.select("id", "n").mapInArrow(f, "id long, n long, class int").unionByName(rest), "classes")
 
 
 def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,12 +360,12 @@ def _emitter(total: int, types: int, class_n: np.ndarray, class_types: np.ndarra
         out = []
         local = right.column("local").to_numpy()
         for row in left.to_pylist():
-            size = len(row["ids"]) // 8
-            n, kind = np.zeros(size, np.int64), np.full(size, CLASSES, np.int64)
+            n, kind = np.zeros(row["n_words"], np.int64), np.full(row["n_words"], CLASSES, np.int64)
             n[local], kind[local] = right.column("n").to_numpy(), right.column("class").to_numpy()
             plain = np.log10((n + 0.5) / (total + 0.5 * (types + 1)))
             emit = np.log10((n + 0.5) / (class_n[kind] + 0.5 * class_types[kind]))
-            at, number = np.frombuffer(row["bounds"], np.int64), np.frombuffer(row["tokens"], np.int32)
+            at = np.frombuffer(row["bounds"], np.int64)
+            number = unpacked(row["tokens"], at[-1])
             sums = [np.add.reduceat(x[number], at[:-1]) for x in (plain, emit, (n > 0).astype(np.int64))]
             out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(np.frombuffer(row["held"], np.uint8) == 1), "n_tokens": pa.array(np.diff(at)), "n_known": pa.array(sums[2]), "base_score": pa.array(sums[0]), "emitted": pa.array(sums[1]), "classes": binary(kind[number].astype(np.uint8), at)}))
         return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("emitted", pa.float64()), ("classes", pa.binary())]).empty_table()
@@ -413,13 +432,15 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     words, key = vocabulary(rows)
     coded = saved(rows.mapInArrow(_coder(key), _CODED), "coded")
     classes = word_classes(coded, words, rounds)
+    over(words)
     class_n, class_types = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     for k, n, types in classes.groupBy("class").agg(F.sum("n"), F.count(F.lit(1))).collect():  # one row a class
         class_n[k], class_types[k] = n, types
     total, types = int(class_n.sum()), int(class_types.sum())
     class_types[CLASSES] = 1  # the unknown word
     found = coded.select("pass", "ids").mapInArrow(_numbers, "pass long, local int, id long").join(classes, "id").drop("id")
-    emitted = saved(coded.groupBy("pass").cogroup(found.groupBy("pass")).applyInArrow(_emitter(total, types, class_n, class_types), _EMITTED), "emitted")
+    emitted = saved(coded.drop("ids").groupBy("pass").cogroup(found.groupBy("pass")).applyInArrow(_emitter(total, types, class_n, class_types), _EMITTED), "emitted")
+    over(coded)
     ends = classes.where(F.col("id") == int(digests(pa.array([END]), key)[0])).select("class").first()
     end = CLASSES if ends is None else ends[0]
     m = _matrix(emitted.select("held_out", "classes").mapInArrow(_counted_pairs(end), "i long, j long, n long"), CLASSES + 1)
