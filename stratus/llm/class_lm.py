@@ -37,9 +37,9 @@ from stratus.llm.common import binary, by_key, documents, dropped, pieces, plain
 
 FOLDS, HELD = 5, 1
 #: Classes (at most 120), least share of a core word as its inverse, most rounds of exchange, bytes of text in a pass.
-CLASSES, CORE, ROUNDS, PASS_BYTES = 64, 1_000_000, 4, 16_000_000
+CLASSES, CORE, ROUNDS, PASS_BYTES = 64, 1_000_000, 4, 8_000_000
 #: Cells of a pass's words and contexts up to which they are counted in place.
-DENSE = 1 << 25
+DENSE = 1 << 23
 #: No word has a space, so this stands for the end.
 END = b" "
 _CONTEXT = np.dtype([("k", np.uint8), ("n", np.uint32)])
@@ -328,7 +328,7 @@ def word_classes(coded: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> Da
     top = known.where(F.col("n") * CORE >= total).toArrow().sort_by("id")  # at most CORE rows: each has 1 / CORE of all tokens
     core, counts = top.column("id").to_numpy(), top.column("n").to_numpy()
     if not len(core):
-        return known.withColumn("class", F.lit(0))
+        return saved(known.withColumn("class", F.lit(0)), "classes")
     classes, m, _ = exchange(coded, core, counts, rounds)
     table = coded.sparkSession.sparkContext.broadcast((core, classes))
     rest = by_key(coded.mapInArrow(_contexts(False, table), "id long, contexts binary"), "id").mapInArrow(_merged, "id long, contexts binary").mapInArrow(_mover(table, m), "id long, n long, class int")
