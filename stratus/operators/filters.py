@@ -159,16 +159,6 @@ def shift_time(time: Column, seconds: float) -> Column:
     return time + F.lit(int(seconds * 1_000_000))
 
 
-def low_pass(df: DataFrame, station: str, time: str, value: str, alpha: float) -> DataFrame:
-    """First-order recursion y = alpha x + (1 - alpha) y along each series; nulls are skipped."""
-
-    def f(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(time)
-        return batch.assign(**{value: batch[value].ewm(alpha=alpha, adjust=False, ignore_na=True).mean().where(batch[value].notna())})
-
-    return df.groupBy(station).applyInPandas(f, df.schema)
-
-
 def kalman(df: DataFrame, station: str, time: str, value: str, process: float, observation: float) -> DataFrame:
     """Scalar random-walk Kalman filter; nulls are predicted over and stay null."""
 

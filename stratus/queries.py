@@ -11,7 +11,9 @@ from stratus.functions import atmosphere as air
 from stratus.functions import sun
 from stratus.operators import corrections as co
 from stratus.operators import filters as fl
+from stratus.operators import frames as fr
 from stratus.operators import generators as ge
+from stratus.operators import recursions as rc
 from stratus.operators import series as se
 from stratus.operators import spatial as sp
 from stratus.operators import terrain as te
@@ -113,17 +115,22 @@ def filter_rate_right(spark, d):
     return observations(spark, d).select("event_id", fl.rate_right(F.col("x"), F.col("t_us"), fl.backward("station").orderBy(F.desc("t_us"), F.desc("event_id")), 0.001).alias("x"))
 
 
-@query()
-def filter_rate_left(spark, d):
-    return fl.rate_left(observations(spark, d), "station", "t_us", "x", 0.001).select("event_id", "x")
+_STEP = f"WITH RECURSIVE {OBS}, i AS (SELECT *, row_number() OVER {W} AS i FROM obs)"
 
 
-@query()
-def filter_low_pass(spark, d):
-    return fl.low_pass(observations(spark, d), "station", "t_us", "x", 0.3).select("event_id", R(F.col("x"), "x"))
+@query(_STEP + """, r AS (SELECT station, i, event_id, x, x AS lx, CASE WHEN x IS NOT NULL THEN t_us END AS lt FROM i WHERE i = 1 UNION ALL
+ SELECT station, i, event_id, CASE WHEN bad THEN NULL ELSE x END, CASE WHEN x IS NULL OR bad THEN lx ELSE x END, CASE WHEN x IS NULL OR bad THEN lt ELSE t_us END
+ FROM (SELECT d.*, r.lx, r.lt, coalesce(abs((d.x - r.lx) / greatest((d.t_us - r.lt) / 1e6, 1e-7)) > 0.001, false) AS bad FROM r JOIN i d ON d.station = r.station AND d.i = r.i + 1))
+SELECT event_id, x FROM r""")
+def filter_rate_left(spark, d):
+    return fl.rate_left(observations(spark, d), "station", "t_us", "x", 0.001).select("event_id", "x")
 
 
-@query()
+@query(_STEP + """, r AS (SELECT station, i, event_id, x AS y, x AS s, CASE WHEN x IS NOT NULL THEN 25.0::DOUBLE END AS p FROM i WHERE i = 1 UNION ALL
+ SELECT station, i, event_id, CASE WHEN x IS NULL THEN NULL WHEN s IS NULL THEN x ELSE s + q / (q + 25) * (x - s) END,
+  CASE WHEN x IS NULL THEN s WHEN s IS NULL THEN x ELSE s + q / (q + 25) * (x - s) END, CASE WHEN x IS NULL THEN p WHEN s IS NULL THEN 25 ELSE (1 - q / (q + 25)) * q END
+ FROM (SELECT d.*, r.s, r.p, r.p + 1 AS q FROM r JOIN i d ON d.station = r.station AND d.i = r.i + 1))
+SELECT event_id, round(y, 4) AS x FROM r""")
 def filter_kalman(spark, d):
     return fl.kalman(observations(spark, d), "station", "t_us", "x", 1.0, 25.0).select("event_id", R(F.col("x"), "x"))
 
@@ -538,3 +545,85 @@ def spatial_best_all(spark, d):
     """The algorithm that suits each region's number of stations best, over all stations."""
     out = sp.interpolate(cells(spark, d), stations(spark, d), ["AVG_LAPSE", "AVG", "IDW_LAPSE", "CST"], 7.0, (-500.0, 9000.0))
     return out.select("region", "cell", F.round("value", 3).alias("value"), "algorithm")
+
+
+def _frames(points: int, seconds: int) -> str:
+    """CTEs up to f: the first and last row of each frame, from the places of the rows a span before and after."""
+    s = seconds * 1_000_000
+    at = lambda t: f"(SELECT min(q.i) FROM p q WHERE q.station = p.station AND q.t_us >= {t})"
+    return f"""WITH {_TYPES}, o AS (SELECT station, t_us, min(x) AS x FROM obs0 GROUP BY station, t_us),
+    p AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY t_us) - 1 AS i, count(*) OVER (PARTITION BY station) AS n, min(t_us) OVER (PARTITION BY station) AS t0, max(t_us) OVER (PARTITION BY station) AS tn FROM o),
+    s AS (SELECT *, (SELECT max(q.i) FROM p q WHERE q.station = p.station AND q.t_us <= p.t_us - {s}) AS s1, {at(f"p.t_us + {s}")} AS e1,
+     (SELECT max(q.i) FROM p q WHERE q.station = p.station AND q.t_us <= p.t_us - {s // 2}) AS s2, {at(f"p.t_us + {s // 2}")} AS e2, {at(f"p.t0 + {s}")} AS head, CASE WHEN tn - {s} >= t0 THEN {at(f"p.tn - {s}")} END AS tail FROM p),
+    c AS (SELECT *, greatest(i - s2, {points // 2}) AS cl, greatest(e2 - i, {points // 2}) AS cr, i - greatest(i - coalesce(s1, 0), least({points - 1}, i)) AS ls, i + greatest(coalesce(e1, n - 1) - i, least({points - 1}, n - 1 - i)) AS re FROM s),
+    f AS (SELECT station, t_us, 'left_hard' AS kind, x, least(s1, i - {points - 1}) AS a, i AS b FROM c WHERE s1 IS NOT NULL AND i >= {points - 1}
+     UNION ALL SELECT station, t_us, 'right_hard', x, i, greatest(e1, i + {points - 1}) FROM c WHERE e1 IS NOT NULL AND i + {points - 1} < n
+     UNION ALL SELECT station, t_us, 'center_hard', x, i - cl, i + cr FROM c WHERE cl = cr AND s2 IS NOT NULL AND e2 IS NOT NULL AND i >= {points // 2} AND i + {points // 2} < n
+     UNION ALL SELECT * FROM (SELECT station, t_us, 'left_soft', x, ls, i + greatest(CASE WHEN s1 IS NULL THEN coalesce(head, n - 1) - i ELSE 0 END, {points} - (i - ls + 1)) AS b FROM c WHERE b < n)
+     UNION ALL SELECT * FROM (SELECT station, t_us, 'right_soft', x, i - greatest(CASE WHEN e1 IS NOT NULL OR tail = i THEN 0 ELSE i - tail + 1 END, {points} - (re - i + 1)) AS a, re FROM c WHERE a >= 0 AND (e1 IS NOT NULL OR tail > 0))),
+    g AS (SELECT f.station, f.t_us, f.kind, list(p.x) FILTER (p.x IS NOT NULL) AS l FROM f JOIN p ON p.station = f.station AND p.i BETWEEN f.a AND f.b GROUP BY ALL),
+    k AS (SELECT p.station, p.t_us, p.x, kind, l FROM p CROSS JOIN (SELECT unnest(['left_hard', 'right_hard', 'center_hard', 'left_soft', 'right_soft']) AS kind) LEFT JOIN g USING (station, t_us, kind))"""
+
+
+KINDS = {"left_hard": ("left", False), "right_hard": ("right", False), "center_hard": ("center", False), "left_soft": ("left", True), "right_soft": ("right", True)}
+
+
+def _framed(spark: SparkSession, d: str, f) -> DataFrame:
+    """One row for each time, with a column for each kind of frame."""
+    obs = _dense(spark, d)
+    out = None
+    for kind, (centering, soft) in KINDS.items():
+        one = f(obs, "station", "t_us", "x", centering=centering, soft=soft, points=5, seconds=86_400).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out.select("station", "t_us", "kind", R(F.col("x"), "x"))
+
+
+@query(_frames(5, 86_400) + "SELECT station, t_us, kind, round(CASE WHEN len(l) >= 2 THEN CASE WHEN abs(x - list_avg(l)) <= 1.5 * list_stddev_samp(l) THEN x END WHEN kind LIKE '%soft' THEN x END, 4) AS x FROM k")
+def frame_std_dev(spark, d):
+    """STD_DEV on frames of at least five rows and a day."""
+    return _framed(spark, d, lambda *a, **k: fr.std_dev(*a, sigma=1.5, **k))
+
+
+@query(_frames(5, 86_400) + ", m AS (SELECT *, list_median(l) AS md FROM k) SELECT station, t_us, kind, round(CASE WHEN abs(x - md) > 3 * greatest(list_median(list_transform(l, lambda v: abs(v - md))) / 0.6745, 2.0) THEN NULL ELSE x END, 4) AS x FROM m")
+def frame_mad(spark, d):
+    """MAD on frames of at least five rows and a day."""
+    return _framed(spark, d, lambda *a, **k: fr.mad(*a, min_sigma=2.0, **k))
+
+
+def _iir_sql(cutoff: float, response: str, g: str, p: str, c: str, both: bool) -> str:
+    """One row after the other; the places of missing values decide which rows keep theirs."""
+    ratio = f"(1 / ({c}))" if response == "LP" else f"({c})"
+    f = f"{ratio} / {cutoff} / ((n - 1) / ((tn - t0) / 1e6))"
+    sign = "1" if response == "LP" else "-1"
+    sql = f"""WITH RECURSIVE {_TYPES}, o AS (SELECT station, t_us, min(x) AS x FROM obs0 GROUP BY station, t_us),
+    e AS (SELECT station, min(t_us) AS t0, max(t_us) AS tn, count(*) AS n FROM o GROUP BY station), w AS (SELECT station, tan(pi() * ({f if response == "LP" else f"0.5 - {f}"})) AS w FROM e),
+    k AS (SELECT station, {p} * w AS k1, {g} * w * w AS k2 FROM w), a AS (SELECT station, k2 / (1 + k1 + k2) AS a0, k2 FROM k),
+    b AS (SELECT station, a0, 2 * a0 * (1 / k2 - 1) AS b1, 1 - (4 * a0 + 2 * a0 * (1 / k2 - 1)) AS b2 FROM a)"""
+    source = "o"
+    for k, order in enumerate(["DESC", "ASC"] if both else ["ASC"]):
+        sql += f""",
+    i{k} AS (SELECT station, t_us, x, row_number() OVER (PARTITION BY station ORDER BY t_us {order}) AS i, lag(x, 1) OVER (PARTITION BY station ORDER BY t_us {order}) AS x1, lag(x, 2) OVER (PARTITION BY station ORDER BY t_us {order}) AS x2 FROM {source}),
+    r{k} AS (SELECT station, i, t_us, x AS y, NULL::DOUBLE AS y1 FROM i{k} WHERE i = 1 UNION ALL
+     SELECT r.station, d.i, d.t_us, CASE WHEN d.x + d.x1 + d.x2 IS NULL THEN d.x ELSE b.a0 * d.x + {sign} * 2 * b.a0 * d.x1 + b.a0 * d.x2 + {sign} * b.b1 * r.y + b.b2 * r.y1 END, r.y
+     FROM r{k} r JOIN i{k} d ON d.station = r.station AND d.i = r.i + 1 JOIN b ON b.station = r.station),
+    s{k} AS (SELECT station, t_us, y AS x FROM r{k})"""
+        source = f"s{k}"
+    return sql + f" SELECT station, t_us, round(x, 4) AS x FROM {source}"
+
+
+@query(_iir_sql(86_400, "LP", "1.0", "2.0", "sqrt(pow(2, 0.25) - 1)", True))
+def filter_iir(spark, d):
+    """IIR, low pass of two poles over a day, backward and forward."""
+    return rc.iir(_dense(spark, d), "station", "t_us", "x", 86_400).select("station", "t_us", R(F.col("x"), "x"))
+
+
+@query(_iir_sql(500_000, "LP", "1.0", "sqrt(2)", "1 / pow(sqrt(2) - 1, 0.25)", False))
+def filter_low_pass(spark, d):
+    """IIR, Butterworth low pass, forward only."""
+    return rc.iir(_dense(spark, d), "station", "t_us", "x", 500_000, kind="BUTTERWORTH", both_ways=False).select("station", "t_us", R(F.col("x"), "x"))
+
+
+@query(_iir_sql(172_800, "HP", "3.0", "3.0", "sqrt(sqrt(pow(2, 0.5) - 0.75) - 0.5) / sqrt(3)", True))
+def filter_high_pass(spark, d):
+    """IIR, Bessel high pass, backward and forward."""
+    return rc.iir(_dense(spark, d), "station", "t_us", "x", 172_800, "HP", "BESSEL").select("station", "t_us", R(F.col("x"), "x"))
