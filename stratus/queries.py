@@ -14,6 +14,7 @@ from stratus.operators import filters as fl
 from stratus.operators import frames as fr
 from stratus.operators import generators as ge
 from stratus.operators import recursions as rc
+from stratus.operators import resampling as rs
 from stratus.operators import series as se
 from stratus.operators import spatial as sp
 from stratus.operators import terrain as te
@@ -627,3 +628,31 @@ def filter_low_pass(spark, d):
 def filter_high_pass(spark, d):
     """IIR, Bessel high pass, backward and forward."""
     return rc.iir(_dense(spark, d), "station", "t_us", "x", 172_800, "HP", "BESSEL").select("station", "t_us", R(F.col("x"), "x"))
+
+
+_GAPS = f"""WITH {_TYPES}, o AS (SELECT station, t_us, min(CASE WHEN (t_us // {DAY // 2}) % 5 <> 3 AND (t_us // {DAY}) % 17 <> 4 AND (t_us // {DAY}) % 17 <> 5 THEN x END) AS x FROM obs0 GROUP BY station, t_us),
+e AS (SELECT station, min(t_us) AS t0, max(t_us) AS tn FROM o GROUP BY station),
+a AS (SELECT station, t0, tn, unnest(generate_series(t0 // {HOUR} - 30, tn // {HOUR} + 30)) * {HOUR} AS t_us FROM e),
+v AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY t_us) AS k FROM o WHERE x IS NOT NULL),
+s AS (SELECT a.*, (SELECT max(k) FROM v WHERE v.station = a.station AND v.t_us < a.t_us) AS k1, (SELECT min(k) FROM v WHERE v.station = a.station AND v.t_us >= a.t_us) AS k2 FROM a),
+b AS (SELECT s.* EXCLUDE (k1, k2), CASE WHEN late THEN k1 - 1 ELSE k1 END AS k1, CASE WHEN late THEN k1 ELSE k2 END AS k2 FROM (SELECT s.*, s.t_us > tn AND q.t_us = tn AS late FROM s LEFT JOIN v q ON q.station = s.station AND q.k = s.k1) s),
+p AS (SELECT b.*, p1.t_us AS t1, p1.x AS x1, p2.t_us AS t2, p2.x AS x2, p0.t_us AS tb, p0.x AS xb, p3.t_us AS ta, p3.x AS xa FROM b LEFT JOIN v p1 ON p1.station = b.station AND p1.k = b.k1
+ LEFT JOIN v p2 ON p2.station = b.station AND p2.k = b.k2 LEFT JOIN v p0 ON p0.station = b.station AND p0.k = b.k1 - 1 LEFT JOIN v p3 ON p3.station = b.station AND p3.k = b.k2 + 1),
+n AS (SELECT *, t1 >= t_us - {DAY} AS n1, t2 <= CASE WHEN t1 >= t_us - {DAY} THEN t1 ELSE t_us END + {DAY} AS n2, t1 >= t_us - {2 * DAY} AS l1, t2 <= CASE WHEN t1 >= t_us - {2 * DAY} THEN t1 ELSE t_us END + {2 * DAY} AS l2 FROM p),
+g AS (SELECT *, greatest(0, coalesce((CASE WHEN coalesce(l2, false) THEN (SELECT max(o.t_us) FROM o WHERE o.station = n.station AND o.t_us < n.t2) ELSE tn END - CASE WHEN coalesce(l1, false) THEN (SELECT min(o.t_us) FROM o WHERE o.station = n.station AND o.t_us > n.t1) ELSE t0 END) / 1e6, 0)) AS gap,
+ (SELECT o.x FROM o WHERE o.station = n.station AND o.t_us = (SELECT min(q.t_us) FROM o q WHERE q.station = n.station AND q.t_us >= n.t_us)) AS row_x FROM n),
+r AS (SELECT *, CASE WHEN n1 AND n2 AND t_us BETWEEN t0 AND tn THEN CASE WHEN abs((t_us - t1) - (t2 - t_us)) <= 6000000 THEN (x1 + x2) / 2 WHEN t_us - t1 < t2 - t_us THEN x1 ELSE x2 END END AS near,
+ CASE WHEN l1 AND l2 THEN x2 + (x2 - x1) * (t_us - t2) / (t2 - t1)::DOUBLE WHEN l1 THEN xb + (xb - x1) * (t_us - tb) / (tb - t1)::DOUBLE WHEN l2 THEN x2 + (x2 - xa) * (t_us - t2) / (t2 - ta)::DOUBLE END AS line FROM g)"""
+
+
+@query(_GAPS + f"SELECT station, t_us, round(CASE WHEN t2 = t_us THEN x2 WHEN gap <= {DAY // 4 // 1_000_000} THEN coalesce(line, near) ELSE line END, 4) AS x, round(CASE WHEN t2 = t_us THEN x2 WHEN gap <= {DAY // 4 // 1_000_000} THEN near END, 4) AS short FROM r")
+def resample_gaps(spark, d):
+    """A stack: nearest in gaps of six hours at most, lines with extrapolation in all; beside it the first one alone."""
+    hidden = ((F.floor(F.col("t_us") / (DAY // 2)) % 5) != 3) & ~(F.floor(F.col("t_us") / DAY) % 17).isin(4, 5)
+    obs = _dense(spark, d).withColumn("x", F.when(hidden, F.col("x")))
+    ends = obs.groupBy("station").agg(F.floor(F.min("t_us") / HOUR).alias("a"), F.floor(F.max("t_us") / HOUR).alias("b"))
+    asked = ends.select("station", F.explode(F.sequence(F.col("a") - 30, F.col("b") + 30)).alias("k")).select("station", (F.col("k") * HOUR).alias("t_us"))
+    near, line = rs.Resample("nearest", 86_400, max_gap=21_600), rs.Resample("linear", 2 * 86_400, extrapolate=True)
+    both = rs.resample(obs, asked, "station", "t_us", "x", [near, line])
+    short = rs.resample(obs, asked, "station", "t_us", "x", [near]).withColumnRenamed("x", "short")
+    return both.join(short, ["station", "t_us"]).select("station", "t_us", R(F.col("x"), "x"), R(F.col("short"), "short"))
