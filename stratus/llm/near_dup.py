@@ -317,8 +317,11 @@ def _confirm(percent: int, star: bool):
     return f
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest linked id), kept (it is its own component_id)."""
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, depth: int = DEPTH, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest linked id), kept (it is its own component_id).
+
+    ``more`` may add ``tie``, the xxhash64 of the text, to tell rows of one id apart.
+    """
     threshold = percent / 100
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
@@ -344,8 +347,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
     ids = linked.select("id", "component").join(least, "component").select("id", "least")
     whole = firsts.join(ids.withColumn("linked", F.lit(True)), "id", "left").select(*key, F.when(F.col("linked"), F.col("least")).otherwise(F.col("first.doc_id")).alias("comp"))
-    out = signed.select("doc_id", *key).join(whole, key, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = signed.select("doc_id", *more, *key).join(whole, key, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), *more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
