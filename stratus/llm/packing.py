@@ -7,7 +7,7 @@ least) of one bucket, so only the last batch of a bucket in each partition may s
 data set: its documents' ids and true lengths, and a matrix of token ids padded to the boundary. The query reads the files
 back.
 
-A document longer than the budget is a batch of its own and marked ``over_budget``. Null and empty texts have no tokens and
+The budget is a boundary between buckets. A document longer than it is a batch of its own and marked ``over_budget``; no other one is. Null and empty texts have no tokens and
 are in the smallest bucket. Rows repeated under one id are packed each; rows without an id come last. Extra columns play no
 part; an empty table gives an empty result. The histogram is one row for each distinct length, so it grows with the longest
 text and not with the rows.
@@ -32,8 +32,8 @@ BUCKETS, BUDGET = 16, 65_536
 _BATCH = "bucket int, bucket_length long, batch long, over_budget boolean, doc_ids array<long>, n_tokens array<long>, tokens binary"
 
 
-def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """Upper bounds of at most ``buckets`` buckets with the least padding, from the exact histogram.
+def splits(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[tuple[float, list[int]]]:
+    """(padded length of all, upper bounds) with the least padding for one bucket, two, and so on, from the exact histogram.
 
     The best split of a longer prefix never lies before that of a shorter one, so each layer is solved by halving.
     """
@@ -44,7 +44,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
         return []
     top = x.astype(np.float64)
     best = np.concatenate([[0.0], np.full(n, np.inf)])
-    back = []
+    back, found = [], []
     for _ in range(min(buckets, n)):
         new, split = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
         new[0] = 0.0
@@ -61,13 +61,23 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
             todo += [(a, j - 1, lo, k), (j + 1, b, k, hi)]
         back.append(split)
         best = new
-    out, j = [], n
-    for split in reversed(back):
-        if not j:
-            break
-        out.append(int(x[j - 1]))
-        j = int(split[j])
-    return sorted(set(out))
+        out, j = [], n
+        for layer in reversed(back):
+            if not j:
+                break
+            out.append(int(x[j - 1]))
+            j = int(layer[j])
+        found.append((float(best[n]), sorted(set(out))))
+    return found
+
+
+def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS, budget: int | None = None) -> list[int]:
+    """Upper bounds of at most ``buckets`` buckets with the least padding. No bucket has lengths on both sides of ``budget``; lengths on both take two buckets at least."""
+    if budget is None or (lengths <= budget).all() or (lengths > budget).all():
+        return splits(lengths, counts, buckets)[-1][1] if len(lengths) else []
+    sides = [splits(lengths[side], counts[side], max(1, buckets - 1)) for side in (lengths <= budget, lengths > budget)]
+    both = [(low[0] + high[0], low[1] + high[1]) for k, low in enumerate(sides[0], 1) for m, high in enumerate(sides[1], 1) if k + m <= max(2, buckets)]
+    return min(both)[1]
 
 
 def tokenizer(path: str, pattern: str):
@@ -138,7 +148,7 @@ def write_batches(docs: DataFrame, path: str, ranks: str, pattern: str, buckets:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     tokens = saved(rows.mapInArrow(_encode(ranks, pattern), "doc_id long, tie long, n_tokens long, ids binary"), "tokens")
     bars = tokens.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each distinct length
-    bounds = boundaries(np.array([b[0] for b in bars]), np.array([b[1] for b in bars]), buckets) or [0]
+    bounds = boundaries(np.array([b[0] for b in bars], np.int64), np.array([b[1] for b in bars], np.int64), buckets, budget) or [0]
     bucket = F.lit(len(bounds) - 1)
     for k in range(len(bounds) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= bounds[k], F.lit(k)).otherwise(bucket)
