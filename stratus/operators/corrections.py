@@ -78,3 +78,60 @@ def radiation_error(ta: Column, vw: Column, radiation: Column, scheme: str) -> C
 def clean_up(df: DataFrame, keys: list[str], params: list[str]) -> DataFrame:
     """Time filter: rows of one station and time become one, each parameter the mean of its values."""
     return df.groupBy(*keys).agg(*(F.avg(p).alias(p) for p in params))
+
+
+#: Humidity and temperature difference to the surface that make precipitation likely.
+WET_RH, CLOUDY_DT = 0.7, 3.0
+
+
+def distribute_sums(df: DataFrame, station: str, time: str, psum: str, rh: str, ta: str, tss: str, period: int) -> DataFrame:
+    """Sums that stand at the end of a measuring ``period`` (seconds) dealt over the rows before them.
+
+    A sum goes to those rows of its period where precipitation is likeliest (humid, cloudy), in proportion to their time. Periods
+    follow each other from the last sum or the first row on; one without a sum ends at its last row, and its rows get 0, as do
+    the rows behind the last sum. A row that the next one follows only after more than a period, and that a period begins with, gets 0.
+    The first row keeps its value else. Times of a series are distinct; the rows from one sum to the next meet in a task.
+    """
+    us, series = period * 1_000_000, Window.partitionBy(station).orderBy(time)
+    before = series.rowsBetween(Window.unboundedPreceding, -1)
+    t, x = F.col(time), F.col(psum)
+    rows = df.withColumns({
+        "part_": F.count(x).over(before), "since_": F.coalesce(F.max(F.when(x.isNotNull(), t)).over(before), F.min(t).over(series.rowsBetween(Window.unboundedPreceding, 0))),
+        "dur_": t - F.lag(time).over(series), "next_": F.lead(time).over(series),
+    })
+    part = Window.partitionBy(station, "part_")
+    rows = rows.withColumns({"times_": F.sort_array(F.collect_list(F.when(F.col("dur_").isNotNull(), t)).over(part)), "from_": F.min("since_").over(part)})
+
+    def step(at, now):
+        """Begin of the period that a row falls into, and the row."""
+        later = F.when(now <= at["seen"] + us, at["seen"]).otherwise(now)
+        return F.struct(F.when(now <= at["begin"] + us, at["begin"]).otherwise(later).alias("begin"), now.alias("seen"))
+
+    begun = F.aggregate("times_", F.struct(F.col("from_").alias("begin"), F.col("from_").alias("seen")), step)
+    rows = rows.withColumns({"begin_": begun["begin"], "sum_": F.max(psum).over(part), "end_": F.max(F.when(x.isNotNull(), t)).over(part)})
+    humid = F.coalesce((F.col(rh) >= WET_RH).cast("int"), F.lit(0))
+    cloudy = F.coalesce((F.col(ta) - F.col(tss) <= CLOUDY_DT).cast("int"), F.lit(0))
+    inside = (t > F.col("begin_")) & F.col("dur_").isNotNull()
+    rows = rows.withColumn("score_", F.when(inside, humid + cloudy))
+    rows = rows.withColumn("best_", F.max("score_").over(part))
+    rows = rows.withColumn("time_", F.sum(F.when(F.col("score_") == F.col("best_"), F.col("dur_"))).over(part))
+    share = F.when(F.col("score_") == F.col("best_"), F.col("sum_") * F.col("dur_") / F.col("time_")).otherwise(0.0)
+    stands = F.col("end_").isNotNull() & (F.col("begin_") == F.col("end_")) & (t == F.col("end_"))
+    out = F.when(F.col("next_") - t > us, 0.0).when(F.col("dur_").isNull() | stands, x).when(F.col("end_").isNull(), 0.0).otherwise(share)
+    return rows.withColumn(psum, out).select(*df.columns)
+
+
+def quantile_map(df: DataFrame, station: str, value: str, quantiles: list[float], corrections: list[float], multiply: bool = True) -> DataFrame:
+    """``value`` corrected by the quantile of its station's values that it falls into; missing values count as 0 in the quantiles.
+
+    A value takes the correction of the first threshold that it does not exceed if that is below 0.5, else of the one before; without
+    one it takes 1.
+    """
+    x = F.col(value)
+    limits = df.groupBy(station).agg(F.percentile(F.coalesce(x, F.lit(0.0)), F.array(*map(F.lit, quantiles))).alias("limits_"))
+    place = F.lit(None).cast("double")
+    for k in range(len(quantiles) - 1, -1, -1):
+        limit = F.col("limits_")[k]
+        place = F.when(x <= limit, F.when(limit < 0.5, corrections[k]).otherwise(corrections[k - 1] if k else None)).otherwise(place)
+    factor = F.coalesce(place, F.lit(1.0))
+    return df.join(limits, station).withColumn(value, x * factor if multiply else x + factor).select(*df.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.functions import atmosphere as air
+from stratus.functions import radiation as ra
 from stratus.functions import sun
 from stratus.operators import corrections as co
 from stratus.operators import filters as fl
@@ -656,3 +657,59 @@ def resample_gaps(spark, d):
     both = rs.resample(obs, asked, "station", "t_us", "x", [near, line])
     short = rs.resample(obs, asked, "station", "t_us", "x", [near]).withColumnRenamed("x", "short")
     return both.join(short, ["station", "t_us"]).select("station", "t_us", R(F.col("x"), "x"), R(F.col("short"), "short"))
+
+
+_SUMS = f"SELECT event_id, station, t_us, CASE WHEN event_id % 5 = 0 THEN PSUM END AS x, CASE WHEN event_id % 11 <> 0 THEN RH END AS RH, TA, TSS FROM w"
+
+
+@query(f"""WITH RECURSIVE {WEATHER}, o AS ({_SUMS}), p AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY t_us) - 1 AS i, t_us - lag(t_us) OVER (PARTITION BY station ORDER BY t_us) AS dur FROM o),
+c AS (SELECT *, (SELECT min(q.i) FROM p q WHERE q.station = p.station AND q.i > p.i AND q.x IS NOT NULL) AS valid, (SELECT min(q.i) FROM p q WHERE q.station = p.station AND q.t_us > p.t_us + {7 * DAY}) AS far FROM p),
+e AS (SELECT *, CASE WHEN valid IS NOT NULL AND (far IS NULL OR valid < far) THEN valid ELSE far - 1 END AS e FROM c),
+r AS (SELECT station, i, e FROM e WHERE i = 0 UNION ALL SELECT n.station, n.i, n.e FROM r JOIN e n ON n.station = r.station AND n.i = CASE WHEN r.e = r.i THEN r.i + 1 ELSE r.e END WHERE r.e IS NOT NULL),
+k AS (SELECT r.station, p.i, p.event_id, v.x AS total, p.dur, (p.RH >= 0.7 AND p.RH IS NOT NULL)::INT + (p.TA - p.TSS <= 3)::INT AS score, r.i AS a FROM r JOIN p ON p.station = r.station AND p.i > r.i AND p.i <= coalesce(r.e, p.i) LEFT JOIN p v ON v.station = r.station AND v.i = r.e WHERE r.e IS NULL OR r.e > r.i),
+m AS (SELECT *, max(score) OVER (PARTITION BY station, a) AS best FROM k), d AS (SELECT *, sum(CASE WHEN score = best THEN dur END) OVER (PARTITION BY station, a) AS win FROM m)
+SELECT p.event_id, round(CASE WHEN z.i IS NOT NULL THEN 0 WHEN d.i IS NULL THEN p.x WHEN total IS NULL OR score < best THEN 0 ELSE total * d.dur / win END, 4) AS x FROM p LEFT JOIN d USING (station, i) LEFT JOIN (SELECT station, i FROM r WHERE e = i) z USING (station, i)""")
+def filter_psum_distribute(spark, d):
+    """PSUM_DISTRIBUTE over a week."""
+    w = weather(spark, d).withColumns({"x": F.when(F.col("event_id") % 5 == 0, F.col("PSUM")), "RH": F.when(F.col("event_id") % 11 != 0, F.col("RH"))})
+    return co.distribute_sums(w, "station", "t_us", "x", "RH", "TA", "TSS", 7 * 86_400).select("event_id", R(F.col("x"), "x"))
+
+
+@query(f"""WITH {OBS}, s AS (SELECT event_id, station, x / 60 AS x FROM obs), l AS (SELECT station, quantile_cont(coalesce(x, 0), [0, 0.25, 0.5, 0.8, 0.9]) AS l FROM s GROUP BY station),
+k AS (SELECT event_id, x, l, len(list_filter(l, lambda v: v < x)) + 1 AS k FROM s JOIN l USING (station)),
+f AS (SELECT event_id, x, coalesce([1.2, 1.1, 1.05, 0.95, 0.89][CASE WHEN k > 5 THEN NULL WHEN l[k] < 0.5 THEN k WHEN k > 1 THEN k - 1 END], 1.0) AS f FROM k) SELECT event_id, round(x * f, 8) AS times, round(x + f, 8) AS plus FROM f""")
+def filter_quantile_mapping(spark, d):
+    """QM, multiplied and added, on each station's whole series."""
+    obs = observations(spark, d).withColumn("x", F.col("x") / 60)
+    args = ("station", "x", [0.0, 0.25, 0.5, 0.8, 0.9], [1.2, 1.1, 1.05, 0.95, 0.89])
+    plus = co.quantile_map(obs, *args, multiply=False).select("event_id", R8(F.col("x"), "plus"))
+    return co.quantile_map(obs, *args).select("event_id", R8(F.col("x"), "times")).join(plus, "event_id")
+
+
+_CLEAR = """s AS (SELECT *, (event_id * 53) % 1100 / 10.0::DOUBLE - 20 AS el, ((event_id * 59) % 360)::DOUBLE AS az, ((event_id * 7) % 9) / 10.0::DOUBLE AS alb, ((event_id * 3) % 900)::DOUBLE AS iswr, ((event_id * 17) % 360)::DOUBLE AS saz, ((event_id * 5) % 60)::DOUBLE AS sel, 1 + 0.033 * cos(radians(event_id % 360)) AS ecc FROM w),
+a AS (SELECT *, cos(radians(90 - el)) AS cz, 1366.1 * ecc AS toa, 101325 * pow(1 - 0.0065 * 6356766 * ALT / (288.15 * (6356766 + ALT)), 9.80665 / (0.0065 * 287.058)) AS p, 611.73 * exp(CASE WHEN TA < 273.16 THEN 21.88 * (TA - 273.16) / (TA - 7.66) ELSE 17.27 * (TA - 273.16) / (TA - 35.86) END) AS ps FROM s),
+b AS (SELECT *, (1.002432 * cz * cz + 0.148386 * cz + 0.0096467) / (cz ^ 3 + 0.149864 * cz ^ 2 + 0.0102963 * cz + 0.000303978) AS mr FROM a WHERE el >= 0),
+c AS (SELECT *, mr * p / 101325 AS ma, 0.32 * mr AS u3, 0.493 * RH * ps / TA * mr AS u1, 0.2758 * 0.03 * pow(0.38, -1.3) + 0.35 * 0.03 * pow(0.5, -1.3) AS ka FROM b),
+d AS (SELECT *, exp(-0.0903 * pow(ma, 0.84) * (1 + ma - pow(ma, 1.01))) AS taur, 1 - 0.1611 * u3 * pow(1 + 139.48 * u3, -0.3035) + 0.002715 * u3 / (1 + 0.044 * u3 + 0.0003 * u3 * u3) AS tauo, exp(-0.0127 * pow(ma, 0.26)) AS taug,
+ 1 - 2.4959 * u1 / (pow(1 + 79.034 * u1, 0.6828) + 6.385 * u1) AS tauw, exp(-pow(ka, 0.873) * (1 + ka - pow(ka, 0.7088)) * pow(ma, 0.9108)) AS taua FROM c),
+e AS (SELECT *, taua / (1 - 0.1 * (1 - ma + pow(ma, 1.06)) * (1 - taua)) AS taus, tauo * taug * tauw * taua AS tau FROM d),
+f AS (SELECT *, 0.79 * toa * tau / (1 - ma + pow(ma, 1.02)) AS k, 0.9751 * (taur * tau + 2.2e-5 * least(ALT, 3000)) * toa AS dir, 0.0685 + 0.16 * (1 - taus) AS sky FROM e),
+g AS (SELECT *, k * 0.5 * (1 - taur) + k * 0.84 * (1 - taus) AS once FROM f),
+h AS (SELECT *, (once + (once + dir) * alb * sky / (1 - alb * sky)) * cz AS dif FROM g)"""
+
+
+@query(f"""WITH {WEATHER}, {_CLEAR}, i AS (SELECT s.event_id, s.el, s.az, s.saz, s.sel, s.iswr, CASE WHEN s.el < 0 THEN 0 WHEN s.el < 5 THEN 0 ELSE dir END AS beam, CASE WHEN s.el < 0 THEN 0 WHEN s.el < 5 THEN dif + dir * cz ELSE dif END AS diffuse, CASE WHEN s.el < 0 THEN 0 ELSE 1366.1 * s.ecc * cos(radians(90 - s.el)) END AS toa_h FROM s LEFT JOIN h USING (event_id))
+SELECT event_id, round(beam, 6) AS beam, round(diffuse, 6) AS diffuse, round(beam * cos(radians(90 - el)), 6) AS horizontal, round(greatest(0, beam * (cos(radians(sel)) * cos(radians(90 - el)) + sin(radians(sel)) * sin(radians(90 - el)) * cos(radians(az - saz)))), 6) AS slope,
+ round(CASE WHEN el < 5 THEN 1 WHEN iswr / toa_h >= 0.78 THEN 0.147 WHEN iswr / toa_h <= 0.3 THEN least(1, 1.02 - 0.248 * iswr / toa_h) ELSE greatest(0.147, least(0.97, 1.4 - 1.749 * iswr / toa_h + 0.177 * sin(radians(el)))) END, 6) AS splitting FROM i""")
+def radiation_clear_sky(spark, d):
+    """Direct and diffuse clear-sky radiation, on the horizontal and a slope, and the diffuse share of measured radiation."""
+    i = F.col("event_id")
+    w = weather(spark, d)
+    el, ecc = (i * 53) % 1100 / 10.0 - 20, 1 + 0.033 * F.cos(F.radians((i % 360).cast("double")))
+    toa = F.when(el >= 0, ra.SOLAR_CONSTANT * ecc).otherwise(0.0)
+    sky = ra.clear_sky(el, toa, F.col("TA"), F.col("RH"), air.std_pressure(F.col("ALT")), (i * 7) % 9 / 10.0, F.col("ALT"))
+    w = w.select("event_id", el.alias("el"), ((i * 59) % 360).cast("double").alias("az"), ra.on_horizontal(toa, el).alias("toa_h"), sky.alias("sky"))
+    beam = F.col("sky.direct")
+    r6 = lambda c, name: F.round(c, 6).alias(name)
+    slope = ra.on_slope(beam, F.col("el"), F.col("az"), ((i * 5) % 60).cast("double"), ((i * 17) % 360).cast("double"))
+    return w.select("event_id", r6(beam, "beam"), r6(F.col("sky.diffuse"), "diffuse"), r6(ra.on_horizontal(beam, F.col("el")), "horizontal"), r6(slope, "slope"), r6(ra.diffuse_share(((i * 3) % 900).cast("double"), F.col("toa_h"), F.col("el")), "splitting"))
