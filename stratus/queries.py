@@ -14,6 +14,7 @@ from stratus.operators import corrections as co
 from stratus.operators import filters as fl
 from stratus.operators import frames as fr
 from stratus.operators import generators as ge
+from stratus.operators import horizon as ho
 from stratus.operators import recursions as rc
 from stratus.operators import resampling as rs
 from stratus.operators import series as se
@@ -531,18 +532,17 @@ def solar_position(spark, d):
     )
 
 
-@query(f"""WITH {STATIONS}, {CELLS}, q0 AS (SELECT * FROM st WHERE station % 7 < region % 7), f AS (SELECT region, count(*) AS n, CASE WHEN var_pop(alt) > 0 THEN regr_slope(value, alt) ELSE 0 END AS s, avg(value) AS v, avg(alt) AS a FROM q0 GROUP BY region),
+@query(f"""WITH {STATIONS}, {CELLS}, q0 AS (SELECT * FROM st), f AS (SELECT region, count(*) AS n, CASE WHEN var_pop(alt) > 0 THEN regr_slope(value, alt) ELSE 0 END AS s, avg(value) AS v, avg(alt) AS a FROM q0 GROUP BY region),
 q AS (SELECT q0.region, x, y, value - s*alt - (v - s*a) AS r FROM q0 JOIN f USING (region)), i AS (SELECT ce.region, ce.cell, sum(q.r * {_WEIGHT}) / sum({_WEIGHT}) AS r FROM ce JOIN q USING (region) GROUP BY ALL)
 SELECT region, cell, round(greatest(-500, least(9000, CASE WHEN n IS NULL THEN 7 WHEN n = 1 THEN v WHEN n = 2 THEN s*alt + v - s*a ELSE r + s*alt + v - s*a END)), 3) AS value, CASE WHEN n IS NULL THEN 'CST' WHEN n = 1 THEN 'AVG' WHEN n = 2 THEN 'AVG_LAPSE' ELSE 'IDW_LAPSE' END AS algorithm
 FROM ce LEFT JOIN f USING (region) LEFT JOIN i USING (region, cell)""")
 def spatial_best(spark, d):
     """The algorithm that suits each region's number of stations best."""
-    st = stations(spark, d).where("station % 7 < region % 7")
-    out = sp.interpolate(cells(spark, d), st, ["AVG_LAPSE", "AVG", "IDW_LAPSE", "CST"], 7.0, (-500.0, 9000.0))
+    out = sp.interpolate(cells(spark, d), stations(spark, d), ["AVG_LAPSE", "AVG", "IDW_LAPSE", "CST"], 7.0, (-500.0, 9000.0))
     return out.select("region", "cell", F.round("value", 3).alias("value"), "algorithm")
 
 
-@query(ORACLES["spatial_best"].replace(" WHERE station % 7 < region % 7", ""))
+@query(ORACLES["spatial_best"])
 def spatial_best_all(spark, d):
     """The algorithm that suits each region's number of stations best, over all stations."""
     out = sp.interpolate(cells(spark, d), stations(spark, d), ["AVG_LAPSE", "AVG", "IDW_LAPSE", "CST"], 7.0, (-500.0, 9000.0))
@@ -713,3 +713,28 @@ def radiation_clear_sky(spark, d):
     r6 = lambda c, name: F.round(c, 6).alias(name)
     slope = ra.on_slope(beam, F.col("el"), F.col("az"), ((i * 5) % 60).cast("double"), ((i * 17) % 360).cast("double"))
     return w.select("event_id", r6(beam, "beam"), r6(F.col("sky.diffuse"), "diffuse"), r6(ra.on_horizontal(beam, F.col("el")), "horizontal"), r6(slope, "slope"), r6(ra.diffuse_share(((i * 3) % 900).cast("double"), F.col("toa_h"), F.col("el")), "splitting"))
+
+
+_RAYS = """WITH z AS (SELECT p_partkey % 40 AS i, p_partkey // 40 AS j, CASE WHEN p_partkey % 97 <> 96 THEN p_retailprice::DOUBLE END AS z FROM part),
+e AS (SELECT min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1, greatest((max(z) - min(z)) / tan(radians(5)) / 100, 1.5) AS reach FROM z)"""
+
+
+@query(_RAYS + """, b AS (SELECT unnest([0, 45, 100, 200, 315]) AS b), s AS (SELECT b, k, round(k * sin(radians(b)))::BIGINT AS x, round(k * cos(radians(b)))::BIGINT AS y FROM b, (SELECT unnest(generate_series(2, 400)) AS k)),
+l AS (SELECT *, sqrt(x * x + y * y) AS far FROM s), u AS (SELECT l.* FROM l, e WHERE k <= (SELECT min(m.k) FROM l m, e f WHERE m.b = l.b AND m.far > f.reach)),
+r AS (SELECT z.i, z.j, z.z, u.b, u.k, (n.z - z.z) / (far * 100) AS t, n.z IS NULL OR n.i <= i0 OR n.i >= i1 OR n.j <= j0 OR n.j >= j1 AS over FROM z, e, u LEFT JOIN z n ON n.i = z.i + u.x AND n.j = z.j + u.y WHERE z.z IS NOT NULL AND z.i > i0 AND z.i < i1 AND z.j > j0 AND z.j < j1),
+f AS (SELECT *, bool_or(over) OVER (PARTITION BY i, j, b ORDER BY k) AS gone FROM r), m AS (SELECT i, j, b, greatest(0, coalesce(max(t) FILTER (NOT gone), 0)) AS h FROM f GROUP BY ALL)
+SELECT z.i, z.j, b.b::DOUBLE AS bearing, round(CASE WHEN z.z IS NOT NULL THEN coalesce(m.h, 0) END, 6) AS horizon FROM z CROSS JOIN b LEFT JOIN m ON m.i = z.i AND m.j = z.j AND m.b = b.b""")
+def terrain_horizon(spark, d):
+    """Tangents of the horizon in five directions, in tiles of 16 cells."""
+    return ho.horizon(elevations(spark, d), 100.0, [0.0, 45.0, 100.0, 200.0, 315.0], tile=16).select("i", "j", "bearing", F.round("horizon", 6).alias("horizon"))
+
+
+@query(_RAYS + """, s AS (SELECT b, k, round(k * sin(radians(b * 11.25)))::BIGINT AS x, round(k * cos(radians(b * 11.25)))::BIGINT AS y FROM (SELECT unnest(generate_series(0, 31)) AS b), (SELECT unnest(generate_series(1, 16)) AS k)),
+r AS (SELECT z.i, z.j, s.b, max((n.z - z.z) / (100 * sqrt(x * x + y * y))) AS t FROM z CROSS JOIN s LEFT JOIN z n ON n.i = z.i + s.x AND n.j = z.j + s.y AND x * x + y * y <= 144 WHERE z.z IS NOT NULL GROUP BY ALL),
+v AS (SELECT i, j, pow(cos(greatest(0, atan(coalesce(t, -99999)) + atan(tan(radians((i * 7 + j * 3) % 40)) * cos(radians(b * 11.25 - (i * 31 + j * 17) % 360))))), 2) AS v FROM r)
+SELECT z.i, z.j, round(avg(v.v), 6) AS sky FROM z LEFT JOIN v ON v.i = z.i AND v.j = z.j GROUP BY ALL""")
+def terrain_sky_view(spark, d):
+    """Sky view of inclined cells, over 1,200 metres."""
+    i, j = F.col("i"), F.col("j")
+    cells_ = elevations(spark, d).withColumns({"slope": ((i * 7 + j * 3) % 40).cast("double"), "azimuth": ((i * 31 + j * 17) % 360).cast("double")})
+    return ho.sky_view(cells_, 100.0, 1200.0, 16).select("i", "j", F.round("sky", 6).alias("sky"))
