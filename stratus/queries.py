@@ -18,6 +18,7 @@ from stratus.operators import horizon as ho
 from stratus.operators import recursions as rc
 from stratus.operators import resampling as rs
 from stratus.operators import series as se
+from stratus.operators import shortwave as sw
 from stratus.operators import spatial as sp
 from stratus.operators import terrain as te
 from stratus.sources.tables import CELLS, ELEVATIONS, HOUR, OBS, STATIONS, WEATHER, cells, elevations, observations, stations, weather
@@ -738,3 +739,41 @@ def terrain_sky_view(spark, d):
     i, j = F.col("i"), F.col("j")
     cells_ = elevations(spark, d).withColumns({"slope": ((i * 7 + j * 3) % 40).cast("double"), "azimuth": ((i * 31 + j * 17) % 360).cast("double")})
     return ho.sky_view(cells_, 100.0, 1200.0, 16).select("i", "j", F.round("sky", 6).alias("sky"))
+
+
+_SUN = ORACLES["solar_position"].split("SELECT event_id, round(degrees(decl)")[0]
+_SKY = "a AS" + _CLEAR.split("),\na AS", 1)[1]
+
+
+@query(f"""WITH {WEATHER}, pos AS ({_SUN} SELECT event_id, el, e FROM i), s AS (SELECT w.* EXCLUDE (TA, RH), el, 1 + e AS ecc, CASE WHEN w.event_id % 13 = 0 THEN 274.98 ELSE TA END AS TA, CASE WHEN w.event_id % 13 = 0 THEN 0.666 ELSE RH END AS RH,
+ CASE WHEN w.event_id % 3 = 0 THEN 0.5 WHEN w.event_id % 4 >= 1 THEN 0.85 ELSE 0.23 END AS alb, CASE WHEN w.event_id % 13 <> 0 THEN 150 + (w.event_id * 3) % 250 END AS ilwr, CASE WHEN w.event_id % 5 = 0 THEN (w.event_id % 100) / 100 END AS trans, ((w.event_id * 7) % 700)::DOUBLE AS rswr FROM w JOIN pos USING (event_id)), {_SKY},
+t AS (SELECT s.event_id, s.alb, s.rswr, s.trans, s.ilwr, CASE WHEN s.el < 0 THEN 0 ELSE 1366.1 * s.ecc * sin(radians(s.el)) END AS top, CASE WHEN s.el < 0 THEN 0 ELSE dir * cz + dif END AS ground, 5.670373e-8 * pow(s.TA, 4) AS bb,
+ (59.38 + 113.7 * pow(s.TA / 273.16, 6) + 96.96 * sqrt(4.65 * s.RH * 611.73 * exp(CASE WHEN s.TA < 273.16 THEN 21.88 * (s.TA - 273.16) / (s.TA - 7.66) ELSE 17.27 * (s.TA - 273.16) / (s.TA - 35.86) END) / s.TA / 25)) / (5.670373e-8 * pow(s.TA, 4)) AS em FROM s LEFT JOIN h USING (event_id)),
+u AS (SELECT *, coalesce(trans, CASE WHEN ilwr IS NOT NULL THEN 1 - 0.75 * pow(greatest(0, least(1, (ilwr / bb - em) / (0.84 * (1 - em)))), 3.4) END, 1) AS idx FROM t)
+SELECT event_id, round(ground, 4) AS clear, round(ground * alb, 4) AS reflected, round(ground * idx, 4) AS all_sky, round(CASE WHEN rswr / alb >= 0.03 * top AND rswr / alb >= 0.03 * ground AND rswr / alb <= 1.1 * ground THEN rswr END, 4) AS kept,
+ round(CASE WHEN rswr / alb < 0.03 * ground THEN 0.03 * ground * alb WHEN rswr / alb > 1.1 * ground THEN 1.1 * ground * alb ELSE rswr END, 4) AS held FROM u""")
+def generator_shortwave(spark, d):
+    """CLEARSKY_SW, ALLSKY_SW and the potential filter (hard, and soft at the ground) on reflected radiation."""
+    i = F.col("event_id")
+    dry = i % 13 != 0
+    w = weather(spark, d).withColumns({"TA": F.when(dry, F.col("TA")), "RH": F.when(dry, F.col("RH")), "hs": F.when(i % 3 != 0, (i % 4) / 10.0), "ilwr": F.when(dry, 150.0 + i * 3 % 250), "tau": F.when(i % 5 == 0, i % 100 / 100.0), "rswr": (i * 7 % 700).cast("double")})
+    none = F.lit(None).cast("double")
+    w = w.withColumn("alb", sw.ground_albedo(none, none, F.col("hs")))
+    place = sw.Place(F.col("LAT"), i * 17 % 360 - 180, F.col("ALT"))
+    w = sw.with_potential(w, "sky", F.col("t_us"), place, F.col("TA"), F.col("RH"), None, F.col("alb"))
+    ground, x = F.col("sky.ground"), F.col("rswr")
+    index = sw.all_sky_index(F.col("TA"), F.col("RH"), F.col("ilwr"), F.col("tau"))
+    hard = sw.potential_filter(x, F.col("sky"), albedo=F.col("alb"))
+    soft = sw.potential_filter(x, F.col("sky"), soft=True, ground=True, albedo=F.col("alb"))
+    return w.select("event_id", R(ground, "clear"), R(ground * F.col("alb"), "reflected"), R(ground * index, "all_sky"), R(hard, "kept"), R(soft, "held"))
+
+
+@query()
+def resample_solar(spark, d):
+    """SOLAR: a share of the potential radiation at the events' times, resampled to hours."""
+    obs = _dense(spark, d)
+    places = obs.select("station").distinct().withColumns({"lat": F.lit(46.8), "lon": F.lit(9.8), "alt": F.lit(1560.0)})
+    pot = sw.with_potential(obs.join(places, "station"), "pot", F.col("t_us"), sw.Place(F.col("lat"), F.col("lon"), F.col("alt")))
+    radiation = pot.select("station", "t_us", (F.col("pot.ground") * F.col("x") / 100).alias("x"))
+    out = sw.resample_solar(radiation, se.grid_of(obs, "station", "t_us", HOUR), "station", "t_us", "x", places)
+    return out.select("station", "t_us", R(F.col("x"), "x"))
