@@ -15,6 +15,7 @@ from stratus.operators import filters as fl
 from stratus.operators import frames as fr
 from stratus.operators import generators as ge
 from stratus.operators import horizon as ho
+from stratus.operators import kriging as kg
 from stratus.operators import recursions as rc
 from stratus.operators import resampling as rs
 from stratus.operators import series as se
@@ -777,3 +778,37 @@ def resample_solar(spark, d):
     radiation = pot.select("station", "t_us", (F.col("pot.ground") * F.col("x") / 100).alias("x"))
     out = sw.resample_solar(radiation, se.grid_of(obs, "station", "t_us", HOUR), "station", "t_us", "x", places)
     return out.select("station", "t_us", R(F.col("x"), "x"))
+
+
+_KRIGED = """pr AS (SELECT a.region, hypot AS d, (a.value - b.value) * (a.value - b.value) / hypot AS v FROM sk a JOIN sk b ON a.region = b.region AND a.station < b.station, LATERAL (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS hypot)),
+bn AS (SELECT *, count(*) OVER (PARTITION BY region) AS n, row_number() OVER (PARTITION BY region ORDER BY d, v) AS one, ntile(10) OVER (PARTITION BY region ORDER BY d, v) AS tenth FROM pr),
+pt AS (SELECT region, avg(d) AS d, avg(v) AS v FROM bn GROUP BY region, CASE WHEN n > 40 THEN tenth ELSE one END),
+va AS (SELECT region, regr_slope(v, d) AS s, regr_intercept(v, d) AS c FROM pt GROUP BY region HAVING count(*) >= 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY station) AS i, count(*) OVER (PARTITION BY region) AS n FROM sk),
+rw AS (SELECT a.region, a.i, any_value(a.n) AS n, list(CASE WHEN a.i = b.i THEN 1 ELSE c + s * sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) END ORDER BY b.i) || [1.0::DOUBLE, any_value(a.value)] AS r FROM o a JOIN o b USING (region) JOIN va USING (region) GROUP BY a.region, a.i),
+mt AS (SELECT region, any_value(n) + 1 AS n, list(r ORDER BY i) || [list_transform(range(any_value(n)), lambda u: 1.0::DOUBLE) || [0.0::DOUBLE, 0.0::DOUBLE]] AS m FROM rw GROUP BY region),
+g AS (SELECT region, 1 AS k, n, m FROM mt UNION ALL
+ SELECT region, k + 1, n, list_transform(w, lambda r, i: CASE WHEN i = k THEN q ELSE list_transform(r, lambda u, j: u - r[k] * q[j]) END) FROM (SELECT *, list_transform(w[k], lambda u: u / w[k][k]) AS q FROM (
+  SELECT region, k, n, list_transform(m, lambda r, i: CASE WHEN i = k THEN m[p] WHEN i = p THEN m[k] ELSE r END) AS w FROM (SELECT *, k - 1 + list_position(l, list_max(l)) AS p FROM (SELECT *, list_transform(m[k:], lambda r: abs(r[k])) AS l FROM g WHERE k <= n)))))
+, so AS (SELECT region, n, list_transform(m, lambda r: r[n + 1]) AS w FROM g WHERE k = n + 1),
+kr AS (SELECT ck.region, ck.cell, any_value(ck.alt) AS alt, any_value(so.w[so.n]) + sum(CASE WHEN d = 0 THEN 0 ELSE (va.c + va.s * d) * so.w[o.i] END) AS value FROM ck JOIN o USING (region) JOIN so USING (region) JOIN va USING (region), LATERAL (SELECT sqrt((ck.x - o.x) * (ck.x - o.x) + (ck.y - o.y) * (ck.y - o.y)) AS d) GROUP BY ALL)"""
+_BLOCKS = "s0 AS (SELECT * REPLACE (station // 40 AS region) FROM st), ck AS (SELECT * REPLACE (cell // 600 AS region) FROM ce)"
+
+
+def _blocks(spark, d):
+    """Regions of forty stations and of the cells beside them, so their number grows and not their size."""
+    by = lambda c, n: F.floor(F.col(c) / n).cast("long")
+    return cells(spark, d).withColumn("region", by("cell", 600)), stations(spark, d).withColumn("region", by("station", 40))
+
+
+@query(f"WITH RECURSIVE {STATIONS}, {CELLS}, {_BLOCKS}, sk AS (SELECT * FROM s0), {_KRIGED} SELECT ck.region, ck.cell, round(kr.value, 4) AS value FROM ck LEFT JOIN kr USING (region, cell)")
+def spatial_kriging(spark, d):
+    """ODKRIG with a linear variogram over equal-count bins of pairs."""
+    return kg.kriging(*_blocks(spark, d)).select("region", "cell", R(F.col("value"), "value"))
+
+
+@query(f"""WITH RECURSIVE {STATIONS}, {CELLS}, {_BLOCKS}, tr AS (SELECT region, coalesce(regr_slope(value, alt), 0) AS sl, avg(value) - coalesce(regr_slope(value, alt), 0) * avg(alt) AS ic FROM s0 GROUP BY region),
+sk AS (SELECT s0.* REPLACE (value - sl * alt - ic AS value) FROM s0 JOIN tr USING (region)), {_KRIGED} SELECT ck.region, ck.cell, round(kr.value + sl * ck.alt + ic, 4) AS value FROM ck LEFT JOIN kr USING (region, cell) LEFT JOIN tr ON tr.region = ck.region""")
+def spatial_kriging_lapse(spark, d):
+    """ODKRIG_LAPSE: kriging around the altitude trend of each region."""
+    return kg.kriging_lapse(*_blocks(spark, d)).select("region", "cell", R(F.col("value"), "value"))
