@@ -103,11 +103,6 @@ def rate_left(df: DataFrame, station: str, time: str, value: str, most: float) -
     return df.groupBy(station).applyInPandas(f, df.schema)
 
 
-def maths(df: DataFrame, param: str, formula: str, nodata: float | None = None) -> DataFrame:
-    """``param`` by an SQL expression over the row's columns; a result that is missing becomes ``nodata``."""
-    return df.withColumn(param, F.coalesce(F.expr(formula).cast("double"), F.lit(nodata).cast("double")))
-
-
 def deaccumulate(x: Column, series: WindowSpec) -> Column:
     before = F.last(x, ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
     return F.when(x >= before, x - before).when(x < before, x)

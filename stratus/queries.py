@@ -12,11 +12,13 @@ from stratus.functions import radiation as ra
 from stratus.functions import sun
 from stratus.operators import corrections as co
 from stratus.operators import filters as fl
+from stratus.operators import formulas as fm
 from stratus.operators import frames as fr
 from stratus.operators import generators as ge
 from stratus.operators import horizon as ho
 from stratus.operators import kriging as kg
 from stratus.operators import recursions as rc
+from stratus.operators import regrid as rg
 from stratus.operators import resampling as rs
 from stratus.operators import series as se
 from stratus.operators import shortwave as sw
@@ -222,7 +224,8 @@ def edit_regression_fill(spark, d):
 
 @query(f"WITH {OBS} SELECT event_id, coalesce(round(CASE WHEN x > 5 THEN sqrt(x) + 2 * x ELSE x * x - 1 END, 6), -999.0) AS x FROM obs")
 def filter_maths(spark, d):
-    return fl.maths(observations(spark, d), "x", "round(CASE WHEN x > 5 THEN sqrt(x) + 2 * x ELSE x * x - 1 END, 6)", -999.0).select("event_id", "x")
+    two = fm.maths(observations(spark, d), "x", "sqrt(meteo(X)) + 2 * meteo(x)", "meteo(X)^2 - 1", [fm.Condition("meteo(X)", "GT", "5")], skip_nodata=True)
+    return two.select("event_id", F.coalesce(F.round("x", 6), F.lit(-999.0)).alias("x"))
 
 
 @query(f"WITH {WEATHER} SELECT event_id, CASE WHEN CLD < 0.5 THEN round(TA - 2.5, 6) END AS TD, CASE WHEN CLD < 0.5 THEN ALT + 10 ELSE ALT END AS ALT, CASE WHEN CLD < 0.5 THEN TA END AS TA FROM w")
@@ -812,3 +815,56 @@ sk AS (SELECT s0.* REPLACE (value - sl * alt - ic AS value) FROM s0 JOIN tr USIN
 def spatial_kriging_lapse(spark, d):
     """ODKRIG_LAPSE: kriging around the altitude trend of each region."""
     return kg.kriging_lapse(*_blocks(spark, d)).select("region", "cell", R(F.col("value"), "value"))
+
+
+@query(f"""WITH {WEATHER}, p AS (SELECT *, CASE WHEN event_id % 9 <> 0 THEN VW END AS v, make_timestamp(t_us) AS ts FROM w)
+SELECT event_id, round(CASE WHEN v IS NULL THEN NULL WHEN TA < 273.15 OR ends_with(CAST(station AS VARCHAR), '7') THEN v * (1 + 0.1 * pow(sin(2 * pi() * (t_us / 86400000000 + 2440587.5) / 365.25), 2)) + 4 ELSE sqrt(v) / (DW + 1) END, 4) AS wind,
+ round(CASE WHEN v IS NULL AND month(ts) >= 2 AND ALT <> 0 THEN fmod(ALT, 7) + hour(ts) * 60 + minute(ts) ELSE RH END, 4) AS rh, CASE WHEN CLD = 0.5 THEN NULL ELSE round(atan2(TA, TSS) * 101325, 4) END AS psum, PSUM AS before FROM p""")
+def filter_maths_conditions(spark, d):
+    """MATHS with OR and AND, texts, parts of the time, a missing value in a comparison, an else branch and an assigned parameter."""
+    w = weather(spark, d).withColumn("VW", F.when(F.col("event_id") % 9 != 0, F.col("VW")))
+    cold = [fm.Condition("meteo(TA)", "LT", "stdtemp - 15"), fm.Condition("stationid", "STREND", "7")]
+    w = fm.maths(w, "VW", "meteo(VW) * (1 + 0.1*sin(2*pi*julian/365.25)^2) - -2^2 + 8", "sqrt meteo(VW) / (meteo(DW) + 1)", cold, "OR", "WIND", True, time="t_us", station="station")
+    missing = [fm.Condition("meteo(VW)", "EQ", "nodata"), fm.Condition("month", "GE", "2"), fm.Condition("altitude", "NE", "0")]
+    w = fm.maths(w, "RH", "altitude % 7 + hour * 60 + minute", None, missing, time="t_us", place={"altitude": "ALT"})
+    w = fm.maths(w, "PSUM", "nodata", "atan2(meteo(TA), meteo(TSS)) * stdpress", [fm.Condition("meteo(CLD)", "EQ", "0.5")], assign="NEW")
+    return w.select("event_id", R(F.col("WIND"), "wind"), R(F.col("RH"), "rh"), R(F.col("NEW"), "psum"), F.col("PSUM").alias("before"))
+
+
+def _resized(factor: float, values: str) -> str:
+    """Grids of ``factor`` times the cells; ``values`` is over ``t`` with the origin a, b, the parts x, y and the grid ``dem``."""
+    return f"""WITH {ELEVATIONS}, n AS (SELECT max(i) + 1 AS nx, max(j) + 1 AS ny FROM dem), m AS (SELECT *, floor(nx * {factor} + 0.5)::BIGINT AS mx, floor(ny * {factor} + 0.5)::BIGINT AS my FROM n),
+s AS (SELECT i, j, i / (mx / nx) AS px, j / (my / ny) AS py, nx, ny FROM m, (SELECT unnest(range((SELECT mx FROM m))) AS i), (SELECT unnest(range((SELECT my FROM m))) AS j)),
+t AS (SELECT *, floor(px)::BIGINT AS a, floor(py)::BIGINT AS b, px - floor(px) AS x, py - floor(py) AS y FROM s), full_ AS (SELECT g.i, g.j, value FROM (SELECT DISTINCT i, j FROM dem) g LEFT JOIN dem USING (i, j)),
+q AS (SELECT t.i, t.j, any_value(a >= nx - 1 OR b >= ny - 1) AS edge, max(value) FILTER (f.i = a AND f.j = b) AS own, count(value) FILTER (f.i BETWEEN a AND a + 1 AND f.j BETWEEN b AND b + 1) AS four, avg(value) FILTER (f.i BETWEEN a AND a + 1 AND f.j BETWEEN b AND b + 1) AS mean,
+ sum((1 - abs(f.i - px)) * (1 - abs(f.j - py)) * value) FILTER (f.i BETWEEN a AND a + 1 AND f.j BETWEEN b AND b + 1) AS part, sum((1 - abs(f.i - px)) * (1 - abs(f.j - py))) FILTER (value IS NOT NULL AND f.i BETWEEN a AND a + 1 AND f.j BETWEEN b AND b + 1) AS share,
+ count(value) AS sixteen, min(value) AS lo, max(value) AS hi, sum(value * CASE WHEN abs(f.i - px) < 1 THEN 2 / 3 - pow(f.i - px, 2) + pow(abs(f.i - px), 3) / 2 ELSE pow(2 - abs(f.i - px), 3) / 6 END * CASE WHEN abs(f.j - py) < 1 THEN 2 / 3 - pow(f.j - py, 2) + pow(abs(f.j - py), 3) / 2 ELSE pow(2 - abs(f.j - py), 3) / 6 END) AS spline
+ FROM t JOIN full_ f ON f.i BETWEEN a - 1 AND a + 2 AND f.j BETWEEN b - 1 AND b + 2 GROUP BY t.i, t.j)
+SELECT i, j, round({values}, 4) AS value FROM q"""
+
+
+_FOUR = "CASE WHEN edge THEN own WHEN four >= 3 THEN part + (1 - share) * mean END"
+
+
+@query(_resized(1.7, "own"))
+def grid_nearest(spark, d):
+    """The elevations on a finer grid, by nearest cells."""
+    return rg.resize(elevations(spark, d), 1.7, "NEAREST").select("i", "j", R(F.col("value"), "value"))
+
+
+@query(_resized(2.5, _FOUR))
+def grid_bilinear(spark, d):
+    """The elevations on a finer grid, bilinear."""
+    return rg.resize(elevations(spark, d), 2.5, "BILINEAR").select("i", "j", R(F.col("value"), "value"))
+
+
+@query(_resized(0.6, _FOUR))
+def grid_coarser(spark, d):
+    """The elevations on a coarser grid, bilinear."""
+    return rg.resize(elevations(spark, d), 0.6, "BILINEAR").select("i", "j", R(F.col("value"), "value"))
+
+
+@query(_resized(3.0, f"CASE WHEN sixteen = 16 THEN greatest(lo, least(hi, spline)) WHEN sixteen > 0 THEN {_FOUR} END"))
+def grid_spline(spark, d):
+    """The elevations on a finer grid, by cubic B-splines."""
+    return rg.resize(elevations(spark, d), 3.0, "BSPLINE").select("i", "j", R(F.col("value"), "value"))
