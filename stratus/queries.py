@@ -11,6 +11,7 @@ from stratus.functions import atmosphere as air
 from stratus.functions import radiation as ra
 from stratus.functions import sun
 from stratus.operators import corrections as co
+from stratus.operators import despiking as ds
 from stratus.operators import filters as fl
 from stratus.operators import formulas as fm
 from stratus.operators import frames as fr
@@ -868,3 +869,12 @@ def grid_coarser(spark, d):
 def grid_spline(spark, d):
     """The elevations on a finer grid, by cubic B-splines."""
     return rg.resize(elevations(spark, d), 3.0, "BSPLINE").select("i", "j", R(F.col("value"), "value"))
+
+
+@query()
+def filter_despiking(spark, d):
+    """DESPIKING by both methods, replaced by cubic polynomials, and with spikes that go missing."""
+    obs = _dense(spark, d)
+    one = lambda name, **how: ds.despike(obs, "station", "t_us", "x", **how).withColumnRenamed("x", name)
+    out = one("goring", sensitivity=2.5).join(one("mori", method="MORI", sensitivity=2.5), ["station", "t_us"]).join(one("gone", sensitivity=2.5, degree=0), ["station", "t_us"])
+    return out.select("station", "t_us", *(R(F.col(k), k) for k in ("goring", "mori", "gone")))
