@@ -873,8 +873,8 @@ def grid_spline(spark, d):
 
 @query()
 def filter_despiking(spark, d):
-    """DESPIKING by both methods, replaced by cubic polynomials, and with spikes that go missing."""
+    """DESPIKING by both methods: spikes that go missing, and spikes replaced by cubic polynomials."""
     obs = _dense(spark, d)
-    one = lambda name, **how: ds.despike(obs, "station", "t_us", "x", **how).withColumnRenamed("x", name)
-    out = one("goring", sensitivity=2.5).join(one("mori", method="MORI", sensitivity=2.5), ["station", "t_us"]).join(one("gone", sensitivity=2.5, degree=0), ["station", "t_us"])
-    return out.select("station", "t_us", *(R(F.col(k), k) for k in ("goring", "mori", "gone")))
+    gone = ds.despike(obs, "station", "t_us", "x", sensitivity=0.6, degree=0).withColumnRenamed("x", "gone")
+    fitted = ds.despike(obs, "station", "t_us", "x", "MORI", 0.6).withColumnRenamed("x", "fitted")
+    return gone.join(fitted, ["station", "t_us"]).select("station", "t_us", R(F.col("gone"), "gone"), R(F.col("fitted"), "fitted"))
