@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -145,28 +146,70 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the odd hash base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            _powers[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """n + 1 prefix sums of byte times power; a substring's hash comes from two of them."""
-    up, _ = powers(len(data) + 1)
-    return np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+#: Modulus of the substring hash, a Mersenne prime.
+PRIME = 2**61 - 1
+_P, _U = np.uint64(PRIME), np.uint64
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Key of hashes that never leave one task.
+OWN_KEY = secrets.randbits(60)
+
+
+def new_key() -> int:
+    """A secret key for the hashes of one run: texts written without knowing it cannot be made to collide."""
+    return secrets.randbits(60)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo PRIME."""
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of factors below it, from halves of 31 and 30 bits."""
+    au, ad, bu, bd = a >> _U(31), a & _U(2**31 - 1), b >> _U(31), b & _U(2**31 - 1)
+    mid = ad * bu + au * bd
+    return _reduced(au * bu * _U(2) + (mid >> _U(30)) + ((mid & _U(2**30 - 1)) << _U(31)) + ad * bd)
+
+
+def powers(n: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base that ``key`` stands for and of its inverse, modulo PRIME."""
+    if key not in _powers or len(_powers[key][0]) < n:
+        if len(_powers) > 1 and key not in _powers:
+            _powers.clear()
+        size, base = max(n, 1 << 20), 2**32 + key
+        both = []
+        for b in (base, pow(base, -1, PRIME)):
+            out, have = np.ones(size, np.uint64), 1
+            while have < size:
+                more = min(have, size - have)
+                out[have : have + more] = times(out[:more], np.full(1, pow(b, have, PRIME), np.uint64))
+                have += more
+            both.append(out)
+        _powers[key] = both[0], both[1]
+    return _powers[key][0][:n], _powers[key][1][:n]
+
+
+def prefix_hash(data: np.ndarray, key: int) -> np.ndarray:
+    """n + 1 prefix sums of byte times power modulo PRIME; a substring's hash comes from two of them."""
+    up = powers(len(data) + 1, key)[0][:-1]
+    byte = data.astype(np.uint64) + _U(1)
+    # sums of 32 low and 29 high bits do not overflow below 2 ** 23 bytes, longer texts are summed in blocks
+    block, out, carry = 1 << 22, np.zeros(len(data) + 1, np.uint64), _U(0)
+    for i in range(0, len(data), block):
+        b, u = byte[i : i + block], up[i : i + block]
+        low, high = np.cumsum(b * (u & _U(2**32 - 1)), dtype=np.uint64), np.cumsum(b * (u >> _U(32)), dtype=np.uint64)
+        high = high + (low >> _U(32))
+        total = _reduced((high >> _U(29)) + ((high & _U(2**29 - 1)) << _U(32)) + (low & _U(2**32 - 1)) + carry)
+        out[i + 1 : i + 1 + len(b)] = total
+        carry = total[-1]
+    return out
 
 
-def substring_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+def substring_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """Equal for equal bytes; two different strings of n bytes agree for at most n in 2 ** 61 keys."""
+    down = powers(len(prefix), key)[1]
+    return mix(times(_reduced(prefix[end] + _P - prefix[start]), down[start]))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

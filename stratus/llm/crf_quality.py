@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm.common import documents, mix, pieces, prefix_hash, substring_hash, words
+from stratus.llm.common import OWN_KEY, documents, mix, pieces, prefix_hash, substring_hash, words
 
 #: Labelled documents that the model is fitted on at most, lines of a fitted sequence, share of words that must be content.
 FIT_DOCS, FIT_LINES, CONTENT = 4000, 64, 0.5
@@ -39,9 +39,9 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     symbol = np.isin(data, np.frombuffer(b"#*$%&|<>", np.uint8))
     sums = {k: np.concatenate([[0], np.cumsum(v)]) for k, v in (("chars", ~cont & ~blank), ("symbols", symbol), ("digits", (data >= 48) & (data <= 57)), ("capitals", (data >= 65) & (data <= 90)), ("bars", data == 124))}
-    prefix = prefix_hash(data)
+    prefix = prefix_hash(data, OWN_KEY)
     # words in three-word windows that the text has twice
-    w = substring_hash(prefix, start, end)
+    w = substring_hash(prefix, start, end, OWN_KEY)
     again = np.zeros(len(w), bool)
     if len(w) > 2:
         ok = np.flatnonzero(doc[2:] == doc[:-2])
@@ -63,7 +63,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     count = np.diff(at)
     full = np.flatnonzero(count > 0)
     begin, stop, line_doc, lo, hi, count = begin[full], stop[full], line_doc[full], at[:-1][full], at[1:][full], count[full]
-    key = mix(substring_hash(prefix, begin, stop) + mix(line_doc.astype(np.uint64), 9), 8)
+    key = mix(substring_hash(prefix, begin, stop, OWN_KEY) + mix(line_doc.astype(np.uint64), 9), 8)
     order = np.argsort(key, kind="stable")
     seen = np.zeros(len(key), bool)
     seen[order[1:][key[order][1:] == key[order][:-1]]] = True

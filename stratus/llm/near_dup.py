@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm.common import binary, by_key, documents, dropped, mix, pieces, prefix_hash, saved, substring_hash, utf8, whole_groups, words
+from stratus.llm.common import binary, by_key, documents, dropped, mix, new_key, pieces, prefix_hash, saved, substring_hash, utf8, whole_groups, words
 from stratus.llm.components import components
 
 #: Words of a shingle, minwise coordinates, trees, sets and shingles of a leaf, levels below the root, chosen coordinates of a node on average.
@@ -41,12 +41,12 @@ def recall(similarity: float, trees: int = TREES, depth: int = DEPTH, branch: fl
     return 1 - (1 - similarity * (1 - lost)) ** trees
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, key: int, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of each document, n + 1 bounds)."""
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     start, end, doc = words(data, offsets)
     n = len(offsets) - 1
-    w = substring_hash(prefix_hash(data), start, end)
+    w = substring_hash(prefix_hash(data, key), start, end, key)
     count = np.bincount(doc, minlength=n)
     at = np.concatenate([[0], np.cumsum(count)])
     h = np.zeros(len(w), np.uint64)
@@ -69,29 +69,33 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(key: int):
     """Set size, 128-bit sum of the set and minwise signature of every document."""
-    for batch in batches:
-        for rows, data, offsets in pieces(batch, "text"):
-            sets, at = shingle_sets(data, offsets)
-            size = np.diff(at)
-            full = np.flatnonzero(size)
-            sign = np.full((len(size), COORDS), 2**32 - 1, np.uint32)
-            sums = np.zeros((2, len(size)), np.uint64)
-            if len(full):
-                cut = at[full]
-                for c in range(COORDS):
-                    sign[full, c] = np.minimum.reduceat(((sets * _A[c]) >> np.uint64(32)).astype(np.uint32), cut)
-                for k in (0, 1):
-                    sums[k, full] = np.add.reduceat(mix(sets, 7 + k), cut)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), binary(sign.reshape(-1).view(np.uint8), np.arange(len(size) + 1) * COORDS * 4)], ["doc_id", "tie", "n_shingles", "s1", "s2", "sign"])
-
-
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tie, n_shingles, s1, s2, sign) of every document; ``sign`` is COORDS little-endian uint32 values, ``tie`` a hash of the text."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in pieces(batch, "text"):
+                sets, at = shingle_sets(data, offsets, key)
+                size = np.diff(at)
+                full = np.flatnonzero(size)
+                sign = np.full((len(size), COORDS), 2**32 - 1, np.uint32)
+                sums = np.zeros((2, len(size)), np.uint64)
+                if len(full):
+                    cut = at[full]
+                    for c in range(COORDS):
+                        sign[full, c] = np.minimum.reduceat(((sets * _A[c]) >> np.uint64(32)).astype(np.uint32), cut)
+                    for k in (0, 1):
+                        sums[k, full] = np.add.reduceat(mix(sets, 7 + k), cut)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), binary(sign.reshape(-1).view(np.uint8), np.arange(len(size) + 1) * COORDS * 4)], ["doc_id", "tie", "n_shingles", "s1", "s2", "sign"])
+
+    return f
+
+
+def signatures(docs: DataFrame, key: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tie, n_shingles, s1, s2, sign) of every document; ``sign`` is COORDS little-endian uint32 values, ``tie`` a hash of the text. Only those of one ``key`` compare."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    return rows.mapInArrow(_sign, "doc_id long, tie long, n_shingles long, s1 long, s2 long, sign binary")
+    return rows.mapInArrow(_sign(key), "doc_id long, tie long, n_shingles long, s1 long, s2 long, sign binary")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -151,8 +155,8 @@ def _close(cut: float):
 class Join:
     """The links found so far, and their components."""
 
-    def __init__(self, rows: DataFrame, sets: DataFrame, percent: int):
-        self.rows, self.sets, self.percent = rows, sets, percent
+    def __init__(self, rows: DataFrame, sets: DataFrame, percent: int, key: int):
+        self.rows, self.sets, self.percent, self.key = rows, sets, percent, key
         self.links: list[DataFrame] = []
         self.joined: DataFrame | None = None
 
@@ -165,7 +169,7 @@ class Join:
         """(id, shingles) of the sets in ``wanted`` (id), from the first text that has each of them."""
         first = self.sets.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "s1", "s2", F.col("first.doc_id").alias("d"), F.col("first.tie").alias("t"))
         texts = self.rows.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("tie").eqNullSafe(F.col("t"))).select("id", "s1", "s2", "text").dropDuplicates(["id"])
-        return saved(texts.mapInArrow(_sets, "id long, shingles binary"), "shingles")
+        return saved(texts.mapInArrow(_sets(self.key), "id long, shingles binary"), "shingles")
 
     def confirm(self, groups: DataFrame, star: bool = False) -> None:
         """Adds the links of groups (path, part, id, comp, first): of all pairs, or of pairs with the first row only."""
@@ -268,11 +272,14 @@ def _alike(cut: float):
     return f
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows, data, offsets in pieces(batch, "text"):
-            sets, at = shingle_sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([rows.column("id"), binary(sets.view(np.uint8), at * 8)], ["id", "shingles"])
+def _sets(key: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in pieces(batch, "text"):
+                sets, at = shingle_sets(data, offsets, key)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), binary(sets.view(np.uint8), at * 8)], ["id", "shingles"])
+
+    return f
 
 
 def _confirm(percent: int, star: bool):
@@ -317,15 +324,17 @@ def _confirm(percent: int, star: bool):
     return f
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, depth: int = DEPTH, more: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, depth: int = DEPTH, more: tuple[str, ...] = (), hash_key: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked id), kept (it is its own component_id).
 
-    ``more`` may add ``tie``, the xxhash64 of the text, to tell rows of one id apart.
+    ``more`` may add ``tie``, the xxhash64 of the text, to tell rows of one id apart. Shingles are hashed under ``hash_key``, a new secret one by
+    default, so which pairs the trees miss differs by run; two different shingles agree with a chance of about their bytes in 2 ** 61.
     """
     threshold = percent / 100
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    signed = saved(signatures(rows), "signatures")
+    hash_key = new_key() if hash_key is None else hash_key
+    signed = saved(signatures(rows, hash_key), "signatures")
     key = ["n_shingles", "s1", "s2"]
     best = F.min_by(F.struct("doc_id", "tie"), F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "tie"))
     firsts = saved(signed.where("n_shingles > 0").groupBy(*key).agg(best.alias("first")).withColumn("id", F.monotonically_increasing_id()), "firsts")
@@ -336,7 +345,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         same = same & (F.col(c) == F.col(f"own_{c}"))
     sets = saved(own.join(one, same).dropDuplicates(["id"]).select("id", *key, "first", "sign"), "sets")
     cut = threshold - 3.5 * (threshold * (1 - threshold) / COORDS) ** 0.5
-    join = Join(rows, sets, percent)
+    join = Join(rows, sets, percent, hash_key)
     near = by_key(leaves(join, cut, leaf, depth).join(sets.select("id", "sign"), "id").select("path", "tree", "id", "sign"), "path")
     members = saved(near.mapInArrow(_alike(cut), "path long, tree int, id long, part int"), "members")
     for turn in ("tree = 0", "tree > 0"):

@@ -12,7 +12,8 @@ be added later. Entries of equal contexts are one entry with a count, so groups
 Equal windows lie at the same distance before their anchor, so the windows of such seeds are compared by blocks of
 distances, which shrink from step to step (WIDTHS). A block's core is what all of its windows cover: an entry whose core
 no other entry has drops the block, blocks of equal bytes are repeated as a whole, and one block of each kind goes on to
-the next step. Only counts of hashes decide, so no seed, passage or group of entries meets in one task.
+the next step. Only counts of equal (seed, block) hashes decide, so no seed, passage or group of entries meets in one task; hashes are taken under a
+secret key that the index keeps, modulo a prime, so texts cannot be built to collide.
 
 Matches never cross documents. A byte goes if a LENGTH-byte string over it starts anywhere else as well; all strings are
 judged on the input. Null is an empty text; texts under LENGTH bytes keep all. Two rows are the same only if id and text
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm.common import binary, documents, dropped, mix, new_path, parts as n_parts, pieces, prefix_hash, saved, substring_hash
+from stratus.llm.common import binary, documents, dropped, mix, new_key, new_path, parts as n_parts, pieces, prefix_hash, saved, substring_hash
 
 #: Bytes of a repeated string and of a seed, batches that are added one after the other.
 LENGTH, SEED, BATCHES = 400, 32, 4
@@ -48,7 +49,7 @@ def _smallest(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED) -> dict[str, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, key: int, length: int = LENGTH, seed: int = SEED) -> dict[str, np.ndarray]:
     """Anchors of the documents in ``data``: document, position, first and last window start, seed, context and head."""
     n = len(data)
     start = np.arange(n - length + 1) if n >= length else np.zeros(0, np.int64)
@@ -57,9 +58,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: i
         start = start[doc[: len(start)] == doc[length - 1 :]]
     if not len(start):
         return {k: np.zeros(0, np.int64) for k in ("doc", "pos", "lo", "hi", "seed", "context", "head")}
-    prefix = prefix_hash(data)
+    prefix = prefix_hash(data, key)
     at = np.arange(n - seed + 1)
-    hashed = substring_hash(prefix, at, at + seed)
+    hashed = substring_hash(prefix, at, at + seed, key)
     chosen = _smallest((hashed & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - seed + 1)[start].astype(np.int64) & 0xFFFFFFFF
     new = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
     last = np.concatenate([new[1:], [len(chosen)]]) - 1
@@ -69,14 +70,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: i
         head = head * 256 + data[pos + j]
     d = doc[pos]
     base = offsets[:-1][d]
-    return {"doc": d, "pos": pos - base, "lo": lo - base, "hi": hi - base, "seed": hashed[pos].view(np.int64), "context": substring_hash(prefix, lo, hi + length).view(np.int64), "head": head}
+    return {"doc": d, "pos": pos - base, "lo": lo - base, "hi": hi - base, "seed": hashed[pos].view(np.int64), "context": substring_hash(prefix, lo, hi + length, key).view(np.int64), "head": head}
 
 
-def _anchor_rows(length: int, seed: int):
+def _anchor_rows(length: int, seed: int, key: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in pieces(batch, "text"):
-                a = anchors(data, offsets, length, seed)
+                a = anchors(data, offsets, key, length, seed)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("row").take(pa.array(a["doc"])), pa.array(a["pos"]), pa.array((a["pos"] - a["lo"]).astype(np.int32)), pa.array((a["hi"] - a["lo"]).astype(np.int32)), pa.array(a["head"]), pa.array(a["seed"]), pa.array(a["context"])],
                     ["row", "pos", "left", "span", "head", "seed", "context"],
@@ -117,12 +118,13 @@ class SuffixIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, length: int = LENGTH, seed: int = SEED):
         self.spark, self.path, self.length, self.seed = spark, path or new_path(spark, "suffixes"), length, seed
         self.levels: list[tuple[int, str]] = []
-        self.version = 0
+        self.version, self.key = 0, new_key()
         at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state")
         if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            state = spark.read.schema("version int, rank int, at string").parquet(f"{self.path}/state")
+            state = spark.read.schema("version int, rank int, at string, key long").parquet(f"{self.path}/state")
             self.version = state.agg(F.max("version")).first()[0]
-            self.levels = [(r["rank"], r["at"]) for r in state.where(F.col("version") == self.version).orderBy(F.desc("rank")).collect()]  # a row for each level
+            live = state.where(F.col("version") == self.version).orderBy(F.desc("rank")).collect()  # a row for each level
+            self.levels, self.key = [(r["rank"], r["at"]) for r in live], live[0]["key"]
 
     def _table(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
@@ -139,7 +141,7 @@ class SuffixIndex:
     def add(self, rows: DataFrame) -> None:
         """Adds a batch of texts (row, text): its array, the scan with the live levels, then merges of equal levels."""
         self.version += 1
-        rows.mapInArrow(_anchor_rows(self.length, self.seed), _ROWS).write.option("compression", "zstd").mode("append").parquet(f"{self.path}/anchors-{self.version}")
+        rows.mapInArrow(_anchor_rows(self.length, self.seed, self.key), _ROWS).write.option("compression", "zstd").mode("append").parquet(f"{self.path}/anchors-{self.version}")
         new = self._level(self._table(f"anchors-{self.version}", _ROWS).withColumn("n", F.lit(1).cast("long")), 0)
         both = self._table(new, _LEVEL).select(*_ORDER)
         for _, at in self.levels:
@@ -154,7 +156,7 @@ class SuffixIndex:
             rank += 1
             new = self._level(self._table(old[-2], _LEVEL).unionByName(self._table(old[-1], _LEVEL)), rank)
         self.levels.append((rank, new))
-        self.spark.createDataFrame([(self.version, r, at) for r, at in self.levels], "version int, rank int, at string").coalesce(1).write.mode("append").parquet(f"{self.path}/state")
+        self.spark.createDataFrame([(self.version, r, at, self.key) for r, at in self.levels], "version int, rank int, at string, key long").coalesce(1).write.mode("append").parquet(f"{self.path}/state")
         for at in old:
             gone = self._table(at, _LEVEL)
             gone.saved_at = f"{self.path}/{at}"
@@ -184,7 +186,7 @@ class SuffixIndex:
         texts = rows.select("row", "text").join(lists, "row").dropDuplicates(["row"]).select("text", "wanted")
         contexts = saved(texts.mapInArrow(_contexts(self.length), "seed long, context long, left int, span int, bytes binary"), "contexts")
         entry = ["seed", "context", "left", "span"]
-        runs = _repeated(contexts, self.length, widths)
+        runs = _repeated(contexts, self.length, widths, self.key)
         copies = entries.where("n > 1").select(*entry, F.lit(0).cast("long").alias("b"), (F.col("span") + 1).cast("long").alias("e"))
         flagged = saved(runs.unionByName(copies).groupBy(*entry).agg(F.collect_set(F.struct("b", "e")).alias("runs")), "flagged")
         dropped(contexts)
@@ -212,13 +214,13 @@ def _contexts(length: int):
     return f
 
 
-def _blocks(length: int, width: int):
+def _blocks(length: int, width: int, key: int):
     """Blocks of ``width`` distances of the windows in ``parts``: the windows, the hash of their core and of all their bytes."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, at in pieces(batch, "bytes"):
-                prefix = prefix_hash(data)
+                prefix = prefix_hash(data, key)
                 flat = rows.column("parts").flatten()
                 row = np.repeat(np.arange(rows.num_rows), np.diff(rows.column("parts").offsets.to_numpy()))
                 left, seed = (rows.column(k).to_numpy().astype(np.int64) for k in ("left", "seed"))
@@ -229,8 +231,8 @@ def _blocks(length: int, width: int):
                 low = (near // width + step) * width
                 near, far = np.maximum(near, low), np.minimum(far, low + width - 1)
                 anchor, own = at[:-1][row] + left[row], mix(seed[row].view(np.uint64), 5)
-                core = mix(substring_hash(prefix, anchor - low, anchor + length - low - width + 1) + own + low.astype(np.uint64), 6)
-                whole = mix(substring_hash(prefix, anchor - far, anchor + length - near) + own + near.astype(np.uint64), 7)
+                core = mix(substring_hash(prefix, anchor - low, anchor + length - low - width + 1, key) + own + low.astype(np.uint64), 6)
+                whole = mix(substring_hash(prefix, anchor - far, anchor + length - near, key) + own + near.astype(np.uint64), 7)
                 pick = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [*(rows.column(k).take(pick) for k in ("seed", "context", "left", "span")), pa.array(left[row] - far), pa.array(left[row] - near + 1), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))],
@@ -240,18 +242,18 @@ def _blocks(length: int, width: int):
     return f
 
 
-def _repeated(contexts: DataFrame, length: int, widths: tuple[int, ...]) -> DataFrame:
+def _repeated(contexts: DataFrame, length: int, widths: tuple[int, ...], key: int) -> DataFrame:
     """(seed, context, left, span, b, e): runs of windows that another entry has as well."""
     entry = ["seed", "context", "left", "span"]
     parts = contexts.withColumn("parts", F.array(F.struct(F.lit(0).cast("long").alias("b"), (F.col("span") + 1).cast("long").alias("e"))))
     runs = None
     for width in widths:
-        blocks = saved(parts.mapInArrow(_blocks(length, width), "seed long, context long, left int, span int, b long, e long, core long, whole long"), "blocks")
-        cores = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-        alive = saved(blocks.join(cores, "core", "left_semi"), "alive")
-        wholes = alive.groupBy("whole").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in (*entry, "b", "e")))
+        blocks = saved(parts.mapInArrow(_blocks(length, width, key), "seed long, context long, left int, span int, b long, e long, core long, whole long"), "blocks")
+        cores = blocks.groupBy("seed", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", "core")
+        alive = saved(blocks.join(cores, ["seed", "core"], "left_semi"), "alive")
+        wholes = alive.groupBy("seed", "whole").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("context", "left", "span", "b", "e")))
         dropped(blocks)
-        same = alive.join(wholes.where("n > 1").select("whole"), "whole", "left_semi").select(*entry, "b", "e")
+        same = alive.join(wholes.where("n > 1").select("seed", "whole"), ["seed", "whole"], "left_semi").select(*entry, "b", "e")
         runs = same if runs is None else runs.unionByName(same)
         if width > 1:
             rest = wholes.groupBy(*entry).agg(F.collect_list(F.struct("b", "e")).alias("parts"))
