@@ -1,24 +1,28 @@
-"""Station values onto grid cells. Stations of one time are few; their number is checked before they are broadcast."""
+"""Station values onto grid cells. Stations are broadcast only where their number is checked; neighbours are looked up over tiles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratus.functions import atmosphere as air
+from stratus.operators.neighbours import closest
 
-#: Stations that are broadcast at most; more of them are joined by Spark's own choice.
-STATIONS = 10_000
+#: Stations that are broadcast at most; beyond that a region's cells are dealt to SHARES parts, each of which meets all of its stations.
+STATIONS, SHARES = 10_000, 64
 
 
-def with_stations(cells: DataFrame, stations: DataFrame, condition: Column | None = None) -> DataFrame:
-    """Cells with the stations of their group that have a value, and squared distance d2. Both sides have a column ``region``."""
+def with_stations(cells: DataFrame, stations: DataFrame) -> DataFrame:
+    """Cells with all stations of their group that have a value, and squared distance d2. Both sides have a column ``region``."""
     stations = stations.where(F.col("value").isNotNull())
     few = stations.limit(STATIONS + 1).count() <= STATIONS
     near = stations.select("region", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("alt").alias("salt"), F.col("value"), F.col("station"))
-    both = cells.join(F.broadcast(near) if few else near, "region")
-    both = both.withColumn("d2", F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
-    return both if condition is None else both.where(condition)
+    if few:
+        both = cells.join(F.broadcast(near), "region")
+    else:
+        dealt = cells.withColumn("share", F.pmod(F.xxhash64("cell"), F.lit(SHARES)).cast("int"))
+        both = dealt.join(near.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["region", "share"]).drop("share")
+    return both.withColumn("d2", F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
 
 
 def idw(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
@@ -30,7 +34,7 @@ def idw(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: flo
 
 def nearest(cells: DataFrame, stations: DataFrame) -> DataFrame:
     """Value of the closest station, of the largest id among equals."""
-    return with_stations(cells, stations).groupBy("region", "cell").agg(F.max_by("value", F.struct(-F.col("d2"), "station")).alias("value"))
+    return closest(cells, stations, 1, last=True).select("region", "cell", "value")
 
 
 def average(cells: DataFrame, stations: DataFrame) -> DataFrame:
@@ -58,9 +62,7 @@ def average_lapse(cells: DataFrame, stations: DataFrame) -> DataFrame:
 
 def local_idw_lapse(cells: DataFrame, stations: DataFrame, neighbours: int, most: float | None = None, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
     """IDW_LAPSE with the trend of each cell's closest stations, at most ``neighbours`` of them within ``most`` metres."""
-    place = F.row_number().over(Window.partitionBy("region", "cell").orderBy("d2", "station"))
-    near = with_stations(cells, stations, None if most is None else F.col("d2") <= most * most).where("value IS NOT NULL AND salt IS NOT NULL")
-    near = near.withColumn("place", place).where(F.col("place") <= neighbours).withColumn("w", F.pow(1 / F.sqrt(F.col("d2") + scale * scale), alpha))
+    near = closest(cells, stations.where(F.col("alt").isNotNull()), neighbours, most).withColumn("w", F.pow(1 / F.sqrt(F.col("d2") + scale * scale), alpha))
     fit = near.groupBy("region", "cell").agg(
         F.first("alt").alias("alt"), F.coalesce(F.regr_slope("value", "salt"), F.lit(0.0)).alias("slope"), F.sum("w").alias("w"),
         F.sum(F.col("w") * F.col("value")).alias("wv"), F.sum(F.col("w") * F.col("salt")).alias("wa"), F.count(F.lit(1)).alias("n"),
