@@ -49,6 +49,18 @@ def _smallest(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+def _lots(data: np.ndarray, seed: int, key: int) -> np.ndarray:
+    """Values of all seed-byte strings, of which windows choose the smallest. Equal strings of two values would be wrong, unequal ones of one value are not."""
+    n, step = len(data) - seed + 1, min(8, seed)
+    word = np.zeros(len(data) - step + 1, np.uint64)
+    for j in range(step):
+        word |= data[j : j + len(word)].astype(np.uint64) << np.uint64(8 * j)
+    out = np.zeros(n, np.uint64)
+    for j in {*range(0, seed - step + 1, step), seed - step}:
+        out += word[j : j + n] * (mix(np.array([key + j], np.uint64)) | np.uint64(1))
+    return mix(out)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, key: int, length: int = LENGTH, seed: int = SEED) -> dict[str, np.ndarray]:
     """Anchors of the documents in ``data``: document, position, first and last window start, seed, context and head."""
     n = len(data)
@@ -60,8 +72,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, key: int, length: int = LENGT
         return {k: np.zeros(0, np.int64) for k in ("doc", "pos", "lo", "hi", "seed", "context", "head")}
     prefix = prefix_hash(data, key)
     at = np.arange(n - seed + 1)
-    hashed = substring_hash(prefix, at, at + seed, key)
-    chosen = _smallest((hashed & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - seed + 1)[start].astype(np.int64) & 0xFFFFFFFF
+    chosen = _smallest((_lots(data, seed, key) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - seed + 1)[start].astype(np.int64) & 0xFFFFFFFF
     new = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
     last = np.concatenate([new[1:], [len(chosen)]]) - 1
     pos, lo, hi = chosen[new], start[new], start[last]
@@ -70,7 +81,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, key: int, length: int = LENGT
         head = head * 256 + data[pos + j]
     d = doc[pos]
     base = offsets[:-1][d]
-    return {"doc": d, "pos": pos - base, "lo": lo - base, "hi": hi - base, "seed": hashed[pos].view(np.int64), "context": substring_hash(prefix, lo, hi + length, key).view(np.int64), "head": head}
+    return {"doc": d, "pos": pos - base, "lo": lo - base, "hi": hi - base, "seed": substring_hash(prefix, pos, pos + seed, key).view(np.int64), "context": substring_hash(prefix, lo, hi + length, key).view(np.int64), "head": head}
 
 
 def _anchor_rows(length: int, seed: int, key: int):
