@@ -94,6 +94,33 @@ def longwave_by_emissivity(cells: DataFrame, stations: DataFrame, scale: float =
     return eps.join(cells.select("region", "cell", "ta"), ["region", "cell"]).select("region", "cell", air.black_body(F.col("value"), F.col("ta")).alias("value"))
 
 
+def humidity_by_dew_point(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
+    """LISTON_RH: IDW_LAPSE of the dew points of stations with ``rh`` (0 to 1) and ``ta``, as relative humidity at the cell's ``ta``.
+
+    Stations without one of both or with a humidity outside 0 to 1 play no part; cells without ``ta`` are null.
+    """
+    known = stations.where(F.col("rh").between(0, 1) & F.col("ta").isNotNull())
+    dew = idw_lapse(cells, known.withColumn("value", air.dew_point(F.col("rh"), F.col("ta"))), scale, alpha)
+    found = dew.join(cells.select("region", "cell", "ta"), ["region", "cell"])
+    return found.select("region", "cell", F.when(F.col("ta").isNotNull(), air.relative_humidity(F.col("value"), F.col("ta"))).alias("value"))
+
+
+def precipitation_phase(temperature: DataFrame, snow: float, rain: float | None = None) -> DataFrame:
+    """PPHASE: share of rain in the precipitation of each cell, from a field (region, cell, value) of air temperature.
+
+    Without ``rain`` it is 0 below the threshold ``snow`` and 1 from there on, else it grows from the lower to the higher one of both.
+    """
+    if rain is None:
+        share = F.when(F.col("value") >= snow, 1.0).when(F.col("value").isNotNull(), 0.0)
+    else:
+        low, high = sorted((snow, rain))
+        if low == high:
+            raise ValueError("the thresholds of snow and rain must differ")
+        grown = (F.col("value") - low) / (high - low)
+        share = F.when(grown > 1, 1.0).when(grown < 0, 0.0).otherwise(grown)
+    return temperature.select("region", "cell", share.alias("value"))
+
+
 #: How well an algorithm suits 0, 1, 2 and more stations.
 RATINGS = {
     "NONE": (1e-12, 1e-12, 1e-12, 1e-12),

@@ -519,6 +519,34 @@ def spatial_longwave(spark, d):
     return sp.longwave_by_emissivity(cells(spark, d).withColumn("ta", (265 + F.col("cell") % 25).cast("double")), st).select("region", "cell", F.round("value", 3).alias("value"))
 
 
+_WET = "CASE WHEN {c} >= 0 THEN {w} WHEN {c} < -16 THEN {i} ELSE ({i}/(pow({c}+16, 2)+1e-6) + {w}/(pow({c}, 2)+1e-6))/(1/(pow({c}+16, 2)+1e-6) + 1/(pow({c}, 2)+1e-6)) END"
+_DEW = "{k}*(ln(rh) + {b}*c/({k}+c))/({b} - ln(rh) - {b}*c/({k}+c))"
+_RELATIVE = "exp({b}*d/({k}+d) - {b}*c/({k}+c))"
+
+
+@query(f"""WITH {STATIONS}, {CELLS}, h AS (SELECT region, x, y, alt, (1 + station % 95)/100.0::DOUBLE + 0.0001 AS rh, station*7 % 40 - 24.15::DOUBLE AS c FROM st WHERE station % 11 <> 0),
+e AS (SELECT region, x, y, alt, {_WET.format(c="c", w=_DEW.format(k=240.97, b=17.502), i=_DEW.format(k=272.55, b=22.452))} AS value FROM h),
+f AS (SELECT region, CASE WHEN var_pop(alt) > 0 THEN regr_slope(value, alt) ELSE 0 END AS s, avg(value) AS v, avg(alt) AS a FROM e GROUP BY region), q AS (SELECT e.region, x, y, value - s*alt - (v - s*a) AS r FROM e JOIN f USING (region)),
+i AS (SELECT ce.region, ce.cell, any_value(ce.alt) AS alt, sum(q.r * {_WEIGHT}) / sum({_WEIGHT}) AS r FROM ce JOIN q USING (region) GROUP BY ALL),
+t AS (SELECT region, cell, cell % 40 - 24.15::DOUBLE AS c, r + s*alt + v - s*a AS d FROM i JOIN f USING (region))
+SELECT region, cell, round(least(1, {_WET.format(c="c", w=_RELATIVE.format(k=240.97, b=17.502), i=_RELATIVE.format(k=272.55, b=22.452))}), 5) AS value FROM t""")
+def spatial_humidity(spark, d):
+    """LISTON_RH; every eleventh station has no humidity."""
+    k = F.col("station")
+    st = stations(spark, d).withColumns({"rh": F.when(k % 11 != 0, (1 + k % 95) / 100.0), "ta": k * 7 % 40 + 249.0})
+    return sp.humidity_by_dew_point(cells(spark, d).withColumn("ta", F.col("cell") % 40 + 249.0), st).select("region", "cell", F.round("value", 5).alias("value"))
+
+
+@query(f"""WITH {STATIONS}, {CELLS}, e AS (SELECT region, x, y, alt, 268 + station % 12 AS value FROM st), f AS (SELECT region, CASE WHEN var_pop(alt) > 0 THEN regr_slope(value, alt) ELSE 0 END AS s, avg(value) AS v, avg(alt) AS a FROM e GROUP BY region),
+q AS (SELECT e.region, x, y, value - s*alt - (v - s*a) AS r FROM e JOIN f USING (region)), i AS (SELECT ce.region, ce.cell, any_value(ce.alt) AS alt, sum(q.r * {_WEIGHT}) / sum({_WEIGHT}) AS r FROM ce JOIN q USING (region) GROUP BY ALL),
+t AS (SELECT region, cell, r + s*alt + v - s*a AS ta FROM i JOIN f USING (region)) SELECT region, cell, CASE WHEN ta >= 273.35 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS by_threshold, round(least(1, greatest(0, (ta - 272.15)/2)), 5) AS by_range FROM t""")
+def spatial_precipitation_phase(spark, d):
+    """PPHASE of both kinds over interpolated air temperature."""
+    ta = sp.idw_lapse(cells(spark, d), stations(spark, d).withColumn("value", (268 + F.col("station") % 12).cast("double")))
+    sharp, grown = sp.precipitation_phase(ta, 273.35), sp.precipitation_phase(ta, 274.15, 272.15)
+    return sharp.withColumnRenamed("value", "by_threshold").join(grown.select("region", "cell", F.round("value", 5).alias("by_range")), ["region", "cell"])
+
+
 @query(f"""WITH {WEATHER}, a AS (SELECT event_id, t_us, CLD, LAT, (event_id*17)%360 - 180 AS lon, (t_us/86400000000.0::DOUBLE - 10957.5)/36525 AS c FROM w),
 b AS (SELECT *, 280.46646::DOUBLE + c*(36000.76983::DOUBLE + c*0.0003032::DOUBLE) AS l, radians(357.52911::DOUBLE + c*(35999.05029::DOUBLE - c*0.0001537::DOUBLE)) AS m, 0.016708634::DOUBLE - c*(0.000042037::DOUBLE + c*0.0000001267::DOUBLE) AS e, radians(125.04 - 1934.136*c) AS n FROM a),
 d AS (SELECT *, radians(l + sin(m)*(1.914602::DOUBLE - c*(0.004817 + c*0.000014)) + sin(2*m)*(0.019993::DOUBLE - c*0.000101) + sin(3*m)*0.000289 - 0.00569 - 0.00478*sin(n)) AS s, radians(23.439291::DOUBLE - c*(0.0130042::DOUBLE + c*(1.64e-7 - c*5.04e-7)) + 0.00256*cos(n)) AS o, radians(2*l) AS l2 FROM b),
