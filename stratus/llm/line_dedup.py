@@ -4,8 +4,8 @@ Lines are the ``\\n``-separated parts of a text with a non-blank character. A li
 shingles of SHINGLE characters, without its outer blanks; a shorter line is one shingle. ROWS * BANDS minimum hashes are aggregated
 map-side; lines that agree in a band are compared with that band's smallest line first, then, where a band's lines do not hang
 together yet, in small random groups, and last with each other line of the band that is in another component. Parity sketches of
-the sets, which differ in no more bits than the sets do in shingles, rule out pairs without losing one; exact
-Jaccard similarity of the sets confirms each link; connected components follow by star steps. Of each component the line that
+the sets, which differ in no more bits than the sets do in shingles, rule out pairs without losing one; the Jaccard
+similarity of the whole sets confirms each link, with shingles told apart by 64-bit hashes under a key of the run; connected components follow by star steps. Of each component the line that
 comes first by (doc_id, text hash, position) stays, all others go, wherever they are; equal lines are always in one component.
 Line identity is a 64-bit hash of the line.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm.common import documents, plain_text, saved
+from stratus.llm.common import documents, dropped, new_key, plain_text, saved
 from stratus.llm.components import components
 
 #: Characters of a shingle, hashes of a band, bands, and the similarity in percent that links two lines.
@@ -30,6 +30,8 @@ BLANK = " \t\r\f\x0b"
 GROUP, TURNS = 16, 2
 #: Words of 64 bits in the parity sketch of a line's set, a power of two.
 WORDS = 16
+#: Shingles whose hashes are compared with each other before they meet a line's minima.
+STEP = 8
 #: Lines of a band that are compared in one task at most.
 LEAF = 256
 #: Parts into which the lines of a group are dealt when they learn which of them stays.
@@ -39,17 +41,29 @@ _MASK = 2**31 - 1
 _FACTORS = [(0x9E3779B1 * (2 * k + 1) ** 3 >> 3) % 2**31 | 1 for k in range(ROWS * BANDS)]
 
 
-def _every(line: str) -> Column:
-    """All overlapping shingles of a line without its outer blanks; a shorter line is one shingle."""
-    text = F.btrim(F.col(line), F.lit(BLANK))
-    return F.when(F.length(text) <= SHINGLE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1)))
+def _wide(line: str) -> Column:
+    """A line without its outer blanks in UTF-32, where a shingle is a slice of fixed width."""
+    return F.encode(F.btrim(F.col(line), F.lit(BLANK)), "UTF-32")
 
 
-def _hashes(lines: DataFrame) -> DataFrame:
-    """(id, g): a hash of each overlapping shingle of ``lines`` (id, line), repeats included. In UTF-32 a shingle is a slice of fixed width."""
-    wide = lines.select("id", F.encode(F.btrim(F.col("line"), F.lit(BLANK)), "UTF-32").alias("wide"))
-    last = F.greatest(F.length("wide") - F.lit(4 * SHINGLE - 1), F.lit(1))
-    return wide.select("id", "wide", F.explode(F.sequence(F.lit(1), last, F.lit(4))).alias("at")).select("id", F.xxhash64(F.expr(f"substring(wide, at, {4 * SHINGLE})")).alias("g"))
+def _last(wide: Column) -> Column:
+    """Where the last shingle begins; a shorter line is one shingle."""
+    return F.greatest(F.length(wide) - F.lit(4 * SHINGLE - 1), F.lit(1))
+
+
+def _every(line: str, key: int) -> Column:
+    """Keyed hashes of all different overlapping shingles of a line."""
+    hashed = lambda w: F.transform(F.sequence(F.lit(1), _last(w), F.lit(4)), lambda at: F.xxhash64(F.lit(key), F.substring(w, at, F.lit(4 * SHINGLE))))
+    return F.array_distinct(F.transform(F.array(_wide(line)), hashed)[0])  # an array of one, so that the line is encoded once
+
+
+def _signs(lines: DataFrame) -> DataFrame:
+    """(id, m0, m1, ...): the minimum hashes of ``lines`` (id, line). STEP shingles at a time, the last one again where a line has no more."""
+    wide = lines.select("id", _wide("line").alias("wide")).select("id", "wide", _last(F.col("wide")).alias("last"))
+    dealt = wide.select("id", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * STEP))).alias("at"))
+    g = [F.expr(f"xxhash64(substring(wide, least(at + {4 * j}, last), {4 * SHINGLE}))").bitwiseAND(F.lit(_MASK)).alias(f"g{j}") for j in range(STEP)]
+    least = (F.least(*((F.col(f"g{j}") * F.lit(a)).bitwiseAND(F.lit(_MASK)) for j in range(STEP))) for a in _FACTORS)
+    return dealt.select("id", *g).groupBy("id").agg(*(F.min(x).alias(f"m{k}") for k, x in enumerate(least)))
 
 
 def _order(doc_id: str = "doc_id") -> Column:
@@ -65,10 +79,11 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _sketched(texts: DataFrame) -> DataFrame:
     """``texts`` (id, line) with the set's size n and its parity sketch: bit h of x0, x1, ... is set if an odd number of shingles hash to h."""
-    shingles = texts.select("id", F.explode(F.array_distinct(_every("line"))).alias("s")).select("id", F.xxhash64("s").alias("g"))
-    bit, word = F.expr("shiftleft(1L, CAST(g & 63 AS INT))"), F.expr(f"shiftright(g, 6) & {WORDS - 1}")
-    odd = (F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"x{k}") for k in range(WORDS))
-    return texts.join(shingles.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *odd), "id")
+    shingles = texts.select("id", _every("line", new_key()).alias("all")).select("id", F.explode("all").alias("g"))
+    bit = F.expr("shiftleft(1L, CAST(g & 63 AS INT))")
+    parts = shingles.groupBy("id", F.expr(f"shiftright(g, 6) & {WORDS - 1}").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(bit).alias("x"))
+    odd = (F.coalesce(F.max(F.when(F.col("word") == k, F.col("x"))), F.lit(0).cast("long")).alias(f"x{k}") for k in range(WORDS))
+    return texts.join(parts.groupBy("id").agg(F.sum("n").alias("n"), *odd), "id")
 
 
 def _near(percent: int, a: str, b: str) -> str:
@@ -82,7 +97,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     a = texts.select("id", *(F.col(c).alias(f"a{c}") for c in texts.columns if c != "id"))
     b = texts.select(F.col("id").alias("other"), *(F.col(c).alias(f"b{c}") for c in texts.columns if c != "id"))
     rows = pairs.join(a, "id").join(b, "other").where(_near(percent, "a", "b"))
-    both = F.size(F.array_intersect(_every("aline"), _every("bline")))
+    key = new_key()
+    both = F.size(F.array_intersect(_every("aline", key), _every("bline", key)))
     # both / (an + bn - both) >= percent / 100, with the intersection named once so that it is computed once
     return rows.where((100 + percent) * both >= percent * (F.col("an") + F.col("bn"))).select(F.col("id").alias("u"), F.col("other").alias("v"))
 
@@ -107,13 +123,12 @@ def _apart(rest: DataFrame) -> DataFrame:
 
 def line_links(lines: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """(u, v): links whose components are those of all confirmed pairs of different lines that share a band."""
-    hashed = _hashes(lines).select("id", F.col("g").bitwiseAND(F.lit(_MASK)).alias("g"))
-    signs = hashed.groupBy("id").agg(*(F.min((F.col("g") * F.lit(a)).bitwiseAND(F.lit(_MASK))).alias(f"m{k}") for k, a in enumerate(_FACTORS)))
     band = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    signs = saved(signs, "signs")
-    bands = signs.select("id", F.explode(band).alias("band"))
+    signs = saved(_signs(lines).select("id", band.alias("bands")), "signs")
+    bands = signs.select("id", F.explode("bands").alias("band"))
     pivot = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("band", "pivot")
     shared = saved(bands.join(pivot, "band"), "shared")
+    dropped(signs)
     texts = lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = saved(_sketched(saved(texts.select("id", "line"), "texts")), "lines")
     marks = texts.drop("line")
