@@ -40,6 +40,8 @@ FOLDS, HELD = 5, 1
 CLASSES, CORE, ROUNDS, PASS_BYTES = 64, 1_000_000, 4, 8_000_000
 #: Cells of a pass's words and contexts up to which they are counted in place.
 DENSE = 1 << 23
+#: Words whose contexts leave a task at once.
+SLICE = 16_384
 #: No word has a space, so this stands for the end.
 END = b" "
 _CONTEXT = np.dtype([("k", np.uint8), ("n", np.uint32)])
@@ -70,10 +72,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray,
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n): counts of a pass's words in its counted texts, 0 for words of others."""
     for batch in batches:
-        for rows, data, offsets in pieces(batch, "text", PASS_BYTES):
+        for rows, data, offsets in pieces(batch, "text"):  # Spark adds up a task's counts, so small passes do
             words, number, at = tokens(data, offsets)
             counted = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
             yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(number[counted], minlength=len(words)))], ["word", "n"])
+            del words, number, counted
+            pa.default_memory_pool().release_unused()
 
 
 def digests(words: pa.Array, key: bytes) -> np.ndarray:
@@ -116,6 +120,8 @@ def _coder(key: bytes):
                 held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
                 yield pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([docs.to_pylist()], pa.list_(pa.int64())), pa.array([len(words)]), *(pa.array([x], pa.binary()) for x in (held.astype(np.uint8).tobytes(), at.astype(np.int64).tobytes(), digests(words, key).tobytes(), packed(number)))], ["pass", "doc_ids", "n_words", "held", "bounds", "ids", "tokens"])
                 k += 1
+                del words, number
+                pa.default_memory_pool().release_unused()
 
     return f
 
@@ -126,7 +132,8 @@ _CODED = "pass long, doc_ids array<long>, n_words long, held binary, bounds bina
 def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids of the words, counted tokens, the place of each one's text); every text is led by the end."""
     for batch in batches:
-        for held, bounds, ids, number in zip(*(batch.column(c).to_pylist() for c in ("held", "bounds", "ids", "tokens")), strict=True):
+        for k in range(batch.num_rows):
+            held, bounds, ids, number = (batch.column(c)[k].as_buffer() for c in ("held", "bounds", "ids", "tokens"))
             at = np.frombuffer(bounds, np.int64)
             number = unpacked(number, at[-1])
             counted = np.flatnonzero(np.frombuffer(held, np.uint8) == 0)
@@ -167,25 +174,37 @@ def _contexts(of_core: bool, table):
         for ids, led, starts in _passes(batches):
             kind, at = _classes_of(ids, core, classes)
             wanted = np.flatnonzero((at >= 0) == of_core)
-            local = np.full(len(ids), -1)
+            kind_of = np.int32 if len(wanted) * width < 2**31 else np.int64
+            local = np.full(len(ids), -1, kind_of)
             local[wanted] = np.arange(len(wanted))
-            word, own = local[led], kind[led].astype(np.int64)
-            before, after = word >= 0, word >= 0
-            before[starts] = False
-            after[np.concatenate([starts[1:], [len(led)]])[: len(starts)] - 1] = False
-            b, a = np.flatnonzero(before), np.flatnonzero(after)
-            cells = np.concatenate([word[b] * width + own[b - 1], word[a] * width + CLASSES + 1 + own[np.minimum(a + 1, len(led) - 1)]])
+            word, own = local[led], kind[led]
+            there = word >= 0
+            there[starts] = False
+            b = np.flatnonzero(there)
+            before = word[b] * kind_of(width) + own[b - 1]
+            there = word >= 0
+            there[np.concatenate([starts[1:], [len(led)]])[: len(starts)] - 1] = False
+            a = np.flatnonzero(there)
+            del b, there
+            cells = np.concatenate([before, word[a] * kind_of(width) + kind_of(CLASSES + 1) + own[a + 1]])
+            del a, before, word, own
             if len(wanted) * width <= DENSE:
                 dense = np.bincount(cells, minlength=len(wanted) * width)
                 cell = np.flatnonzero(dense)
                 n = dense[cell]
+                del dense
             else:
                 cell, n = np.unique(cells, return_counts=True)
+            del cells
             entries = np.empty(len(cell), _CONTEXT)
             entries["k"], entries["n"] = cell % width, n
             word = cell // width
+            del cell, n
             first = np.flatnonzero(np.diff(word, prepend=-1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[wanted][word[first]]), binary(entries.view(np.uint8), np.concatenate([first, [len(word)]]) * _CONTEXT.itemsize)], ["id", "contexts"])
+            ends, found = np.concatenate([first, [len(word)]]), ids[wanted][word[first]]
+            for lo in range(0, max(len(first), 1), SLICE):
+                own = ends[lo : lo + SLICE + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(found[lo : lo + SLICE]), binary(entries[own[0] : own[-1]].view(np.uint8), (own - own[0]) * _CONTEXT.itemsize)], ["id", "contexts"])
 
     return f
 
