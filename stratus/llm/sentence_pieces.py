@@ -2,7 +2,7 @@
 
 The model protobuf is parsed here; the tokenizer gets its normaliser, metaspace marker, pieces with scores (unigram
 models as they are, byte-pair models as merges in score order) and byte fallback. No piece goes on past white space, so a
-text is encoded in units (white space and the word after it), each once per task; batches of new units are encoded by THREADS
+text is encoded in units (white space and the word after it), each once per worker while MEMO units are enough; batches of new units are encoded by THREADS
 threads of the library. Every whole text is also encoded by the sentencepiece library and compared id by id (``parity``), and
 every new unit is decoded again (``round_trip``).
 
@@ -12,10 +12,12 @@ empty result. A literal metaspace marker decodes to a space.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stratus.llm.common import chunks, documents, utf8
 
-#: Marker of white space, units that a task remembers, threads of the library in a task.
+#: Marker of white space, units that a worker remembers, threads of the library in a task.
 MARK, MEMO, THREADS = "▁", 400_000, 2
 
 
@@ -121,39 +123,48 @@ class Pieces:
         return text[1:] if self.model["dummy_prefix"] and text.startswith(" ") else text
 
 
+@functools.lru_cache(1)
+def _tools(path: str, changed: int) -> tuple:
+    """Encoder, sentencepiece's own one, ids of units and units that do not come back: made once a worker, for all of its tasks on a file."""
+    import sentencepiece
+
+    with open(path, "rb") as file:
+        pieces = Pieces(file.read())
+    return pieces, sentencepiece.SentencePieceProcessor(model_file=path), {}, set()
+
+
 def _encode(path: str):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        with open(path, "rb") as file:
-            pieces = Pieces(file.read())
-        library = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids: dict[str, bytes] = {}
-        lost: set[str] = set()
+        pieces, library, ids, lost = _tools(path, os.stat(path).st_mtime_ns)
         for batch in batches:
             data, at = utf8(batch.column("text"))
             raw = data.tobytes()
             for i, j in chunks(at):
-                found = [pieces.units(raw[at[k] : at[k + 1]].decode()) for k in range(i, j)]
-                new = list(set().union(*found).difference(ids))
+                texts = [raw[at[k] : at[k + 1]].decode() for k in range(i, j)]
+                found = [pieces.units(t) for t in texts]
+                parts = [list(map(ids.get, us)) for us in found]
+                lacking = [k for k, own in enumerate(parts) if None in own]
+                new = list({u for k in lacking for u, x in zip(found[k], parts[k], strict=True) if x is None})
                 if len(ids) + len(new) > MEMO:
                     ids.clear()
                     lost.clear()
-                    new = list(set().union(*found))
+                    new, lacking = list(set().union(*found)), range(len(found))
                 got = pieces.encode_units(new)
                 back = pieces.tokenizer.decode_batch(got, skip_special_tokens=False)
                 for u, g, t in zip(new, got, back, strict=True):
-                    ids[u] = np.array(g, "<u4").tobytes()
+                    ids[u] = array("I", g).tobytes()
                     if t != u:
                         lost.add(u)
-                theirs = library.encode([raw[at[k] : at[k + 1]].decode() for k in range(i, j)], num_threads=THREADS)
-                out = [b"".join(map(ids.__getitem__, us)) for us in found]
+                for k in lacking:
+                    parts[k] = list(map(ids.__getitem__, found[k]))
+                theirs = library.encode(texts, num_threads=THREADS)
+                out = [b"".join(own) for own in parts]
                 flat = np.frombuffer(b"".join(out), "<u4")
                 size = np.array([len(x) // 4 for x in out], np.int64)
                 total = np.concatenate([[0], np.cumsum(pieces.bytes[flat])])
                 ends = np.cumsum(size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(size), pa.array((total[ends] - total[ends - size]).astype(np.int64)), pa.array([zlib.crc32(x) for x in out], pa.int64()), pa.array([np.array(t, "<u4").tobytes() == x for t, x in zip(theirs, out, strict=True)]), pa.array([not lost or lost.isdisjoint(us) for us in found]), pa.array(out, pa.binary())],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(size), pa.array((total[ends] - total[ends - size]).astype(np.int64)), pa.array([zlib.crc32(x) for x in out], pa.int64()), pa.array([array("I", t).tobytes() == x for t, x in zip(theirs, out, strict=True)]), pa.array([not lost or lost.isdisjoint(us) for us in found]), pa.array(out, pa.binary())],
                     ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "parity", "round_trip", "ids"],
                 )
 
