@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps on DataFrames.
 
 Nothing is collected: the driver sees one row an iteration. It ends when each linked id has one link, to an id that has none of its own. Minima are pre-aggregated in the tasks; the
-links of a vertex are dealt into SALTS parts when they learn the vertex's minimum, so those of a hub are no single group.
+links of a hub, a vertex with more than HUB of them, are dealt into SALTS parts when they learn its minimum, so they are no single group.
 """
 
 from __future__ import annotations
@@ -11,14 +11,20 @@ from pyspark.sql import functions as F
 
 from stratus.llm.common import dropped, saved
 
-#: Parts into which the links of a vertex are dealt.
-SALTS = 16
+#: Links above which a vertex is a hub, and parts into which those of a hub are dealt.
+HUB, SALTS = 1000, 32
 
 
-def _salted(links: DataFrame, least: DataFrame) -> DataFrame:
-    """``links`` (u, v) with the column m of ``least`` (u, m)."""
-    dealt = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return dealt.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "salt"])
+def salted(rows: DataFrame, facts: DataFrame, key: str = "u", own: tuple[str, ...] = ("v",)) -> DataFrame:
+    """``rows`` joined by ``key`` with ``facts`` (one row a key), whose column n is at least the number of rows of the key.
+
+    Rows of a key with more than HUB are dealt by the columns ``own``. Hubs are a HUB-th of all n at most, and are broadcast.
+    """
+    hubs = F.broadcast(facts.where(F.col("n") > HUB).select(key, F.lit(True).alias("hub")))
+    salt = F.when(F.col("hub"), F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.join(hubs, key, "left").withColumn("salt", salt).drop("hub")
+    parts = F.when(F.col("n") > HUB, SALTS).otherwise(1)
+    return dealt.join(facts.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n"), [key, "salt"])
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -27,14 +33,14 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = _both(edges)
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return _salted(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return salted(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _salted(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = salted(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.llm.common import documents, dropped, new_key, plain_text, saved
-from stratus.llm.components import components
+from stratus.llm.components import components, salted
 
 #: Characters of a shingle, hashes of a band, bands, and the similarity in percent that links two lines.
 SHINGLE, ROWS, BANDS, PERCENT = 9, 3, 6, 80
@@ -30,12 +30,10 @@ BLANK = " \t\r\f\x0b"
 GROUP, TURNS = 16, 2
 #: Words of 64 bits in the parity sketch of a line's set, a power of two.
 WORDS = 16
-#: Shingles whose hashes are compared with each other before they meet a line's minima.
-STEP = 8
+#: Shingles that enter a line's sketch together.
+STEP = 4
 #: Lines of a band that are compared in one task at most.
 LEAF = 256
-#: Parts into which the lines of a group are dealt when they learn which of them stays.
-SALTS = 32
 #: Odd multipliers of the minimum hashes, which are over 31 bits.
 _MASK = 2**31 - 1
 _FACTORS = [(0x9E3779B1 * (2 * k + 1) ** 3 >> 3) % 2**31 | 1 for k in range(ROWS * BANDS)]
@@ -58,12 +56,13 @@ def _every(line: str, key: int) -> Column:
 
 
 def _signs(lines: DataFrame) -> DataFrame:
-    """(id, m0, m1, ...): the minimum hashes of ``lines`` (id, line). STEP shingles at a time, the last one again where a line has no more."""
+    """(id, m0, m1, ...): the minimum hashes of ``lines`` (id, line). Two shingles at a time, the last one again where a line has no more."""
     wide = lines.select("id", _wide("line").alias("wide")).select("id", "wide", _last(F.col("wide")).alias("last"))
-    dealt = wide.select("id", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * STEP))).alias("at"))
-    g = [F.expr(f"xxhash64(substring(wide, least(at + {4 * j}, last), {4 * SHINGLE}))").bitwiseAND(F.lit(_MASK)).alias(f"g{j}") for j in range(STEP)]
-    least = (F.least(*((F.col(f"g{j}") * F.lit(a)).bitwiseAND(F.lit(_MASK)) for j in range(STEP))) for a in _FACTORS)
-    return dealt.select("id", *g).groupBy("id").agg(*(F.min(x).alias(f"m{k}") for k, x in enumerate(least)))
+    dealt = wide.select("id", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(8))).alias("at"))
+    g = [F.expr(f"xxhash64(substring(wide, {at}, {4 * SHINGLE}))").bitwiseAND(F.lit(_MASK)).alias(f"g{j}") for j, at in enumerate(["at", "least(at + 4, last)"])]
+    two = dealt.select("id", *g).select("id", *((F.col(f"g{j}") * F.lit(a)).bitwiseAND(F.lit(_MASK)).alias(f"p{j}_{k}") for k, a in enumerate(_FACTORS) for j in (0, 1)))
+    # a comparison is plain code where least() keeps a state for each call
+    return two.groupBy("id").agg(*(F.min(F.expr(f"if(p0_{k} < p1_{k}, p0_{k}, p1_{k})")).alias(f"m{k}") for k in range(len(_FACTORS))))
 
 
 def _order(doc_id: str = "doc_id") -> Column:
@@ -79,11 +78,13 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _sketched(texts: DataFrame) -> DataFrame:
     """``texts`` (id, line) with the set's size n and its parity sketch: bit h of x0, x1, ... is set if an odd number of shingles hash to h."""
-    shingles = texts.select("id", _every("line", new_key()).alias("all")).select("id", F.explode("all").alias("g"))
-    bit = F.expr("shiftleft(1L, CAST(g & 63 AS INT))")
-    parts = shingles.groupBy("id", F.expr(f"shiftright(g, 6) & {WORDS - 1}").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(bit).alias("x"))
-    odd = (F.coalesce(F.max(F.when(F.col("word") == k, F.col("x"))), F.lit(0).cast("long")).alias(f"x{k}") for k in range(WORDS))
-    return texts.join(parts.groupBy("id").agg(F.sum("n").alias("n"), *odd), "id")
+    every = texts.select("id", _every("line", new_key()).alias("all")).select("id", "all", F.size("all").cast("long").alias("n"))
+    dealt = every.select("id", "n", "all", F.explode(F.sequence(F.lit(0), F.size("all") - 1, F.lit(STEP))).alias("at"))
+    shingles = dealt.select("id", "n", *(F.expr(f"get(all, at + {j})").alias(f"g{j}") for j in range(STEP)))
+    bits = [F.expr(f"if(g{j} IS NULL, 0L, shiftleft(1L, CAST(g{j} & 63 AS INT)))").alias(f"b{j}") for j in range(STEP)]
+    words = [F.expr(f"shiftright(g{j}, 6) & {WORDS - 1}").alias(f"w{j}") for j in range(STEP)]
+    odd = (F.bit_xor(F.expr(" ^ ".join(f"if(w{j} = {k}, b{j}, 0L)" for j in range(STEP)))).alias(f"x{k}") for k in range(WORDS))
+    return texts.join(shingles.select("id", "n", *bits, *words).groupBy("id").agg(F.max("n").alias("n"), *odd), "id")
 
 
 def _near(percent: int, a: str, b: str) -> str:
@@ -161,10 +162,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     joined = components(line_links(lines, percent))
     groups = saved(lines.select("doc_id", "own", "pos", "id").join(joined, "id", "left").select("doc_id", "own", "pos", F.coalesce("component", "id").alias("group")), "groups")
     place = F.struct("doc_id", "own", "pos")
-    first = groups.groupBy("group").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "first")
-    salt = F.pmod(F.xxhash64("doc_id", "own", "pos"), F.lit(SALTS)).cast("int")
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    gone = groups.withColumn("salt", salt).join(first, ["group", "salt"]).where(place != F.col("first"))
+    first = groups.groupBy("group").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = salted(groups, first, "group", ("doc_id", "own", "pos")).where(place != F.col("first"))
     return gone.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 
