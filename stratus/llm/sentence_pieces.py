@@ -2,8 +2,8 @@
 
 The model protobuf is parsed here; the tokenizer gets its normaliser, metaspace marker, pieces with scores (unigram
 models as they are, byte-pair models as merges in score order) and byte fallback. No piece goes on past white space, so a
-text is encoded in units (white space and the word after it), each once per worker while MEMO units are enough; batches of new units are encoded by THREADS
-threads of the library. Every whole text is also encoded by the sentencepiece library and compared id by id (``parity``), and
+text is encoded in units (white space and the word after it), each once per worker while MEMO units are enough; units of a pass are told apart by Arrow, batches of
+new ones, JOINED to a string, are encoded by THREADS threads of the library. Every whole text is also encoded by the sentencepiece library and compared id by id (``parity``), and
 every new unit is decoded again (``round_trip``).
 
 Null and empty texts have no pieces. Repeated rows have equal results; extra columns play no part; an empty table gives an
@@ -29,6 +29,8 @@ from stratus.llm.common import chunks, documents, utf8
 
 #: Marker of white space, units that a worker remembers, threads of the library in a task.
 MARK, MEMO, THREADS = "▁", 400_000, 2
+#: Units that the tokenizer gets as one string, bytes of texts whose units are told apart together.
+JOINED, PASS = 64, 4_000_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -93,6 +95,8 @@ class Pieces:
         self.tokenizer.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
         self.bytes = np.array([kind == 6 for _, _, kind in m["pieces"]])
         self.split = not any(re.search(f"[^{MARK}]{MARK}", p) for p in texts)
+        self.opens = np.array([p.startswith(MARK) for p in texts])
+        self.joins = self.split and m["bpe"] and MARK in vocab
 
     def normalised(self, text: str) -> str:
         """The text that is cut into pieces, with its marks."""
@@ -106,8 +110,32 @@ class Pieces:
         marked = self.normalised(text)
         return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked) if self.split else [marked] if marked else []
 
+    def bounds(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the units of marked texts begin: at a mark behind anything else, and at each text's begin (``at``: offsets in UTF-8)."""
+        new = np.zeros(len(data), bool)
+        if self.split and len(data) > 2:
+            a, b, c = MARK.encode()
+            mark = (data[:-2] == a) & (data[1:-1] == b) & (data[2:] == c)
+            new[:-2] = mark
+            new[3:-2] &= ~mark[:-3]
+        new[at[:-1][np.diff(at) > 0]] = True
+        return np.flatnonzero(new)
+
     def encode_units(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        """Ids of each unit. No merge of letters goes on past a mark, so words with one mark before them are encoded JOINED at a time and cut at the pieces with a mark."""
+        one = [k for k, u in enumerate(units) if len(u) > 1 and u.startswith(MARK) and u.count(MARK) == 1] if self.joins else []
+        groups = [one[k : k + JOINED] for k in range(0, len(one), JOINED)]
+        out: list[list[int] | None] = [None] * len(units)
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(map(units.__getitem__, g)) for g in groups], add_special_tokens=False), strict=True):
+            ids = e.ids
+            cuts = np.flatnonzero(self.opens[ids]).tolist()
+            if len(cuts) == len(group):
+                for k, i, j in zip(group, cuts, [*cuts[1:], len(ids)], strict=True):
+                    out[k] = ids[i:j]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([units[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         found = [self.units(t) for t in texts]
@@ -139,32 +167,39 @@ def _encode(path: str):
         for batch in batches:
             data, at = utf8(batch.column("text"))
             raw = data.tobytes()
-            for i, j in chunks(at):
+            for i, j in chunks(at, PASS):
                 texts = [raw[at[k] : at[k + 1]].decode() for k in range(i, j)]
-                found = [pieces.units(t) for t in texts]
-                parts = [list(map(ids.get, us)) for us in found]
-                lacking = [k for k, own in enumerate(parts) if None in own]
-                new = list({u for k in lacking for u, x in zip(found[k], parts[k], strict=True) if x is None})
+                marked = [pieces.normalised(t).encode() for t in texts]
+                ends = np.concatenate([[0], np.cumsum([len(m) for m in marked])]).astype(np.int64)
+                letters = np.frombuffer(b"".join(marked), np.uint8)
+                starts = pieces.bounds(letters, ends)
+                coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(letters))), pa.py_buffer(letters)]).dictionary_encode()
+                which, units = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                first = np.searchsorted(starts, ends)
+                found = list(map(ids.get, units))
+                new = [k for k, x in enumerate(found) if x is None]
                 if len(ids) + len(new) > MEMO:
                     ids.clear()
                     lost.clear()
-                    new, lacking = list(set().union(*found)), range(len(found))
-                got = pieces.encode_units(new)
+                    new = range(len(units))
+                named = [units[k].decode() for k in new]
+                got = pieces.encode_units(named)
                 back = pieces.tokenizer.decode_batch(got, skip_special_tokens=False)
-                for u, g, t in zip(new, got, back, strict=True):
-                    ids[u] = array("I", g).tobytes()
+                for k, u, g, t in zip(new, named, got, back, strict=True):
+                    ids[units[k]] = found[k] = array("I", g).tobytes()
                     if t != u:
-                        lost.add(u)
-                for k in lacking:
-                    parts[k] = list(map(ids.__getitem__, found[k]))
-                theirs = library.encode(texts, num_threads=THREADS)
-                out = [b"".join(own) for own in parts]
-                flat = np.frombuffer(b"".join(out), "<u4")
+                        lost.add(units[k])
+                theirs = library.encode(texts, num_threads=1)  # a second thread costs time here
+                whole = b"".join(map(found.__getitem__, which.tolist()))
+                upto = np.concatenate([[0], np.cumsum(np.array([len(x) for x in found], np.int64)[which])])[first]
+                out = [whole[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                flat = np.frombuffer(whole, "<u4")
+                bad = np.concatenate([[0], np.cumsum(np.array([u in lost for u in units], bool)[which])])[first] if lost else np.zeros(len(first), int)
                 size = np.array([len(x) // 4 for x in out], np.int64)
                 total = np.concatenate([[0], np.cumsum(pieces.bytes[flat])])
                 ends = np.cumsum(size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(size), pa.array((total[ends] - total[ends - size]).astype(np.int64)), pa.array([zlib.crc32(x) for x in out], pa.int64()), pa.array([array("I", t).tobytes() == x for t, x in zip(theirs, out, strict=True)]), pa.array([not lost or lost.isdisjoint(us) for us in found]), pa.array(out, pa.binary())],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(size), pa.array((total[ends] - total[ends - size]).astype(np.int64)), pa.array([zlib.crc32(x) for x in out], pa.int64()), pa.array([array("I", t).tobytes() == x for t, x in zip(theirs, out, strict=True)]), pa.array(np.diff(bad) == 0), pa.array(out, pa.binary())],
                     ["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "parity", "round_trip", "ids"],
                 )
 
