@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps on DataFrames.
 
 Nothing is collected: the driver sees one row an iteration. It ends when each linked id has one link, to an id that has none of its own. Minima are pre-aggregated in the tasks; the
-links of a hub, a vertex with more than HUB of them, are dealt into SALTS parts when they learn its minimum, so they are no single group.
+minima of hubs, vertices with more than HUB links, are broadcast to their links, so those are no single group and are not shuffled.
 """
 
 from __future__ import annotations
@@ -27,6 +27,13 @@ def salted(rows: DataFrame, facts: DataFrame, key: str = "u", own: tuple[str, ..
     return dealt.join(facts.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n"), [key, "salt"])
 
 
+def _told(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` (u, v) with the m of u that ``facts`` (u, m, n) has. A hub's rows stay where they are; hubs are a HUB-th of all n at most, and are broadcast."""
+    hubs = F.broadcast(facts.where(F.col("n") > HUB).select("u", "m"))
+    others = rows.join(hubs, "u", "left_anti").join(facts.where(F.col("n") <= HUB).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(others)
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -34,13 +41,13 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     both = _both(edges)
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return salted(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _told(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = salted(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _told(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -58,8 +65,9 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     pairs = links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v")
     edges = saved(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while not _stars(edges):
-        new = saved(_small(_large(edges)), "stars")
+        large = saved(_large(edges), "large")  # read three times
         dropped(edges)
-        edges = new
+        edges = saved(_small(large), "stars")
+        dropped(large)
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -56,12 +56,14 @@ def _every(line: str, key: int) -> Column:
 
 
 def _signs(lines: DataFrame) -> DataFrame:
-    """(id, m0, m1, ...): the minimum hashes of ``lines`` (id, line). Two shingles at a time, the last one again where a line has no more."""
+    """(id, m0, m1, ...): the minimum hashes of ``lines`` (id, line). Four shingles at a time, the last one again where a line has no more."""
     wide = lines.select("id", _wide("line").alias("wide")).select("id", "wide", _last(F.col("wide")).alias("last"))
-    dealt = wide.select("id", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(8))).alias("at"))
-    g = [F.expr(f"xxhash64(substring(wide, {at}, {4 * SHINGLE}))").bitwiseAND(F.lit(_MASK)).alias(f"g{j}") for j, at in enumerate(["at", "least(at + 4, last)"])]
-    two = dealt.select("id", *g).select("id", *((F.col(f"g{j}") * F.lit(a)).bitwiseAND(F.lit(_MASK)).alias(f"p{j}_{k}") for k, a in enumerate(_FACTORS) for j in (0, 1)))
+    dealt = wide.select("id", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(16))).alias("at"))
+    starts = ["at", "least(at + 4, last)", *(f"if(at + {k} < last, at + {k}, last)" for k in (8, 12))]
+    g = [F.expr(f"xxhash64(substring(wide, {at}, {4 * SHINGLE}))").bitwiseAND(F.lit(_MASK)).alias(f"g{j}") for j, at in enumerate(starts)]
+    four = dealt.select("id", *g).select("id", *((F.col(f"g{j}") * F.lit(a)).bitwiseAND(F.lit(_MASK)).alias(f"h{j}_{k}") for k, a in enumerate(_FACTORS) for j in range(4)))
     # a comparison is plain code where least() keeps a state for each call
+    two = four.select("id", *(F.expr(f"if(h{j}_{k} < h{j + 2}_{k}, h{j}_{k}, h{j + 2}_{k})").alias(f"p{j}_{k}") for k in range(len(_FACTORS)) for j in (0, 1)))
     return two.groupBy("id").agg(*(F.min(F.expr(f"if(p0_{k} < p1_{k}, p0_{k}, p1_{k})")).alias(f"m{k}") for k in range(len(_FACTORS))))
 
 
@@ -93,37 +95,39 @@ def _near(percent: int, a: str, b: str) -> str:
     return f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {100 + percent} * ({bits}) <= {100 - percent} * ({a}n + {b}n)"
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(u, v): the pairs (id, other) whose overlapping shingles are alike."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, ends: tuple[str, str] = ("id", "other")) -> DataFrame:
+    """(u, v): the columns ``ends`` of the pairs (id, other) whose overlapping shingles are alike."""
     a = texts.select("id", *(F.col(c).alias(f"a{c}") for c in texts.columns if c != "id"))
     b = texts.select(F.col("id").alias("other"), *(F.col(c).alias(f"b{c}") for c in texts.columns if c != "id"))
     rows = pairs.join(a, "id").join(b, "other").where(_near(percent, "a", "b"))
     key = new_key()
     both = F.size(F.array_intersect(_every("aline", key), _every("bline", key)))
     # both / (an + bn - both) >= percent / 100, with the intersection named once so that it is computed once
-    return rows.where((100 + percent) * both >= percent * (F.col("an") + F.col("bn"))).select(F.col("id").alias("u"), F.col("other").alias("v"))
+    return rows.where((100 + percent) * both >= percent * (F.col("an") + F.col("bn"))).select(F.col(ends[0]).alias("u"), F.col(ends[1]).alias("v"))
 
 
 def _meet(rows: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """(id, other): rows of one band, ``lo`` and ``hi`` from different components, whose ``marks`` do not rule the pair out."""
+    """(id, other, comp, ocomp): rows of one band, ``lo`` and ``hi`` from different components, whose ``marks`` do not rule the pair out."""
     rows = rows.select("band", "lo", "hi", "b", "comp", "id").join(marks, "id")
     other = rows.select("band", "lo", "hi", *(F.col(c).alias(f"o{c}") for c in rows.columns if c not in ("band", "lo", "hi")))
     met = rows.join(other, ["band", "lo", "hi"]).where(f"id < oid AND comp <> ocomp AND (lo = hi OR b <> ob) AND {_near(percent, '', 'o')}")
-    return met.select("id", F.col("oid").alias("other")).distinct()
+    return met.select("id", F.col("oid").alias("other"), "comp", "ocomp").distinct()
 
 
-def _placed(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """(band, id, comp): ``rows`` with the components known so far."""
-    return saved(rows.select("band", "id").join(joined, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp")), "rest")
+def _renamed(rows: DataFrame, new: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose components in ``column`` have the names that ``new`` (id, component) gives them."""
+    name = new.select(F.col("id").alias(column), F.col("component").alias("name"))
+    return rows.join(name, column, "left").withColumn(column, F.coalesce("name", column)).select(*rows.columns)
 
 
-def _apart(rest: DataFrame) -> DataFrame:
-    """(band, size): bands whose lines do not hang together yet."""
-    return rest.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("band", "size")
+def _apart(rows: DataFrame) -> DataFrame:
+    """(band, id, comp, size): of ``rows`` those in bands that do not hang together yet. Other bands never come apart again."""
+    bands = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    return saved(rows.select("band", "id", "comp").join(bands.select("band", "size"), "band"), "rest")
 
 
 def line_links(lines: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
-    """(u, v): links whose components are those of all confirmed pairs of different lines that share a band."""
+    """(u, v): links whose components are those of all confirmed pairs of different lines that share a band; each u has one v, which is no u."""
     band = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     signs = saved(_signs(lines).select("id", band.alias("bands")), "signs")
     bands = signs.select("id", F.explode("bands").alias("band"))
@@ -131,29 +135,48 @@ def line_links(lines: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> Da
     shared = saved(bands.join(pivot, "band"), "shared")
     dropped(signs)
     texts = lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    texts = saved(_sketched(saved(texts.select("id", "line"), "texts")), "lines")
+    plain = saved(texts.select("id", "line"), "texts")
+    texts = saved(_sketched(plain), "lines")
+    dropped(plain)
     marks = texts.drop("line")
     rest = shared.where("id <> pivot")
     first = saved(rest.select("id", F.col("pivot").alias("other")).distinct(), "pairs")
-    joined = components(_confirmed(first, texts, percent))
-    rest = _placed(rest, joined)
-    links = joined.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    joined = saved(components(_confirmed(first, texts, percent)), "joined")
+    dropped(first)
+    placed = saved(_renamed(rest.select("band", "id", F.col("id").alias("comp")), joined, "comp"), "placed")
+    dropped(shared)
+    rest = _apart(placed)
+    dropped(placed)
     # each line meets about GROUP others of its band first: what hangs together is joined before all pairs are asked for
-    for turn in range(TURNS):
-        part = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / GROUP)).cast("int")
-        dealt = rest.join(_apart(rest), "band").withColumns({"lo": part, "hi": part, "b": part}).drop("size")
-        found = saved(_confirmed(saved(_meet(dealt, marks, percent), "pairs"), texts, percent), "found")
+    turn = 0
+    while turn <= TURNS and not rest.isEmpty():
+        if turn < TURNS:
+            part = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / GROUP)).cast("int")
+            dealt = rest.withColumns({"lo": part, "hi": part, "b": part})
+        else:  # then every pair across components, large bands block against block
+            blocks = F.when(F.col("size") <= leaf, 1).otherwise(F.ceil(F.col("size") * 2 / leaf)).cast("int")
+            dealt = rest.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+            dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("b", "o"), "hi": F.greatest("b", "o")})
+        pairs = saved(_meet(dealt, marks, percent), "pairs")
+        found = saved(_confirmed(pairs, texts, percent, ("comp", "ocomp")), "found")
+        dropped(pairs)
         if found.isEmpty():
-            break
-        joined = components(links.unionByName(found))
-        links = joined.select(F.col("id").alias("u"), F.col("component").alias("v"))
-        rest = _placed(rest, joined)
-    # then every pair across components, large bands block against block
-    blocks = F.when(F.col("size") <= leaf, 1).otherwise(F.ceil(F.col("size") * 2 / leaf)).cast("int")
-    own = rest.join(_apart(rest).select("band", blocks.alias("blocks")), "band").withColumn("b", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("b", "o"), "hi": F.greatest("b", "o")})
-    found = saved(_confirmed(saved(_meet(own, marks, percent), "pairs"), texts, percent), "found")
-    return links.unionByName(found)
+            dropped(found)
+            turn = max(turn + 1, TURNS)
+            continue
+        # links between components are few; only these are joined, and what they join is renamed
+        new = saved(components(found), "new")
+        more = _renamed(joined, new, "component").unionByName(new.join(joined, "id", "left_anti"))
+        more, old = saved(more, "joined"), joined
+        dropped(old, found)
+        joined, turn = more, turn + 1
+        if turn <= TURNS:
+            less, old = _apart(_renamed(rest, new, "comp")), rest
+            dropped(old)
+            rest = less
+        dropped(new)
+    dropped(rest, texts)
+    return joined.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
