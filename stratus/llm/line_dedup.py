@@ -49,22 +49,26 @@ def _last(wide: Column) -> Column:
     return F.greatest(F.length(wide) - F.lit(4 * SHINGLE - 1), F.lit(1))
 
 
+def _hashes(line: str, key: int) -> Column:
+    """Keyed hashes of all overlapping shingles of a line, in their order."""
+    hashed = lambda w: F.transform(F.sequence(F.lit(1), _last(w), F.lit(4)), lambda at: F.xxhash64(F.lit(key), F.substring(w, at, F.lit(4 * SHINGLE))))
+    return F.transform(F.array(_wide(line)), hashed)[0]  # an array of one, so that the line is encoded once
+
+
 def _every(line: str, key: int) -> Column:
     """Keyed hashes of all different overlapping shingles of a line."""
-    hashed = lambda w: F.transform(F.sequence(F.lit(1), _last(w), F.lit(4)), lambda at: F.xxhash64(F.lit(key), F.substring(w, at, F.lit(4 * SHINGLE))))
-    return F.array_distinct(F.transform(F.array(_wide(line)), hashed)[0])  # an array of one, so that the line is encoded once
+    return F.array_distinct(_hashes(line, key))
 
 
 def _signs(lines: DataFrame) -> DataFrame:
-    """(id, m0, m1, ...): the minimum hashes of ``lines`` (id, line). Four shingles at a time, the last one again where a line has no more."""
+    """(id, m0, m1, ...): the minimum hashes of ``lines`` (id, line). Two shingles at a time, the last one again where a line has no more."""
     wide = lines.select("id", _wide("line").alias("wide")).select("id", "wide", _last(F.col("wide")).alias("last"))
-    dealt = wide.select("id", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(16))).alias("at"))
-    starts = ["at", "least(at + 4, last)", *(f"if(at + {k} < last, at + {k}, last)" for k in (8, 12))]
-    g = [F.expr(f"xxhash64(substring(wide, {at}, {4 * SHINGLE}))").bitwiseAND(F.lit(_MASK)).alias(f"g{j}") for j, at in enumerate(starts)]
-    four = dealt.select("id", *g).select("id", *((F.col(f"g{j}") * F.lit(a)).bitwiseAND(F.lit(_MASK)).alias(f"h{j}_{k}") for k, a in enumerate(_FACTORS) for j in range(4)))
-    # a comparison is plain code where least() keeps a state for each call
-    two = four.select("id", *(F.expr(f"if(h{j}_{k} < h{j + 2}_{k}, h{j}_{k}, h{j + 2}_{k})").alias(f"p{j}_{k}") for k in range(len(_FACTORS)) for j in (0, 1)))
-    return two.groupBy("id").agg(*(F.min(F.expr(f"if(p0_{k} < p1_{k}, p0_{k}, p1_{k})")).alias(f"m{k}") for k in range(len(_FACTORS))))
+    dealt = wide.select("id", "wide", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(8))).alias("at"))
+    g = [F.expr(f"xxhash64(substring(wide, {at}, {4 * SHINGLE}))").bitwiseAND(F.lit(_MASK)).alias(f"g{j}") for j, at in enumerate(("at", "least(at + 4, last)"))]
+    two = dealt.select("id", *g).select("id", *((F.col(f"g{j}") * F.lit(a)).bitwiseAND(F.lit(_MASK)).alias(f"h{j}_{k}") for k, a in enumerate(_FACTORS) for j in (0, 1)))
+    # the smaller of two by its difference's sign: no branch, which would go either way as often, and code that is compiled soon
+    less = two.select("id", *(F.expr(e) for k in range(len(_FACTORS)) for e in (f"h0_{k} - h1_{k} AS d{k}", f"h1_{k}")))
+    return less.groupBy("id").agg(*(F.min(F.expr(f"h1_{k} + (d{k} & shiftright(d{k}, 63))")).alias(f"m{k}") for k in range(len(_FACTORS))))
 
 
 def _order(doc_id: str = "doc_id") -> Column:
@@ -101,14 +105,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, ends: tuple[str
     b = texts.select(F.col("id").alias("other"), *(F.col(c).alias(f"b{c}") for c in texts.columns if c != "id"))
     rows = pairs.join(a, "id").join(b, "other").where(_near(percent, "a", "b"))
     key = new_key()
-    both = F.size(F.array_intersect(_every("aline", key), _every("bline", key)))
+    both = F.size(F.array_intersect(_hashes("aline", key), _hashes("bline", key)))  # which has no repeats
     # both / (an + bn - both) >= percent / 100, with the intersection named once so that it is computed once
     return rows.where((100 + percent) * both >= percent * (F.col("an") + F.col("bn"))).select(F.col(ends[0]).alias("u"), F.col(ends[1]).alias("v"))
 
 
 def _meet(rows: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """(id, other, comp, ocomp): rows of one band, ``lo`` and ``hi`` from different components, whose ``marks`` do not rule the pair out."""
-    rows = rows.select("band", "lo", "hi", "b", "comp", "id").join(marks, "id")
+    # dealt once for both sides; a key has a group of lines or two blocks of them
+    rows = rows.select("band", "lo", "hi", "b", "comp", "id").join(marks, "id").repartition("band", "lo", "hi")
     other = rows.select("band", "lo", "hi", *(F.col(c).alias(f"o{c}") for c in rows.columns if c not in ("band", "lo", "hi")))
     met = rows.join(other, ["band", "lo", "hi"]).where(f"id < oid AND comp <> ocomp AND (lo = hi OR b <> ob) AND {_near(percent, '', 'o')}")
     return met.select("id", F.col("oid").alias("other"), "comp", "ocomp").distinct()
@@ -130,11 +135,12 @@ def line_links(lines: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> Da
     """(u, v): links whose components are those of all confirmed pairs of different lines that share a band; each u has one v, which is no u."""
     band = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     signs = saved(_signs(lines).select("id", band.alias("bands")), "signs")
-    bands = signs.select("id", F.explode("bands").alias("band"))
+    # dealt by band once, for the smallest line of each and for the rows that meet it
+    bands = signs.select("id", F.explode("bands").alias("band")).repartition("band")
     pivot = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("band", "pivot")
-    shared = saved(bands.join(pivot, "band"), "shared")
+    shared = saved(bands.join(pivot.hint("shuffle_hash"), "band"), "shared")
     dropped(signs)
-    texts = lines.select("id", "line").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    texts = lines.select("id", "line").join(shared.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
     plain = saved(texts.select("id", "line"), "texts")
     texts = saved(_sketched(plain), "lines")
     dropped(plain)
@@ -183,7 +189,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     """(doc_id, own, removed): positions of the lines that go, for rows that lose any; ``own`` is the hash of the row's text, a missing id 2 ** 63 - 1."""
     lines = lines_of(docs, id_col, text_col)
     joined = components(line_links(lines, percent))
-    groups = saved(lines.select("doc_id", "own", "pos", "id").join(joined, "id", "left").select("doc_id", "own", "pos", F.coalesce("component", "id").alias("group")), "groups")
+    groups = saved(lines.select("doc_id", "own", "pos", "id").join(joined.hint("shuffle_hash"), "id", "left").select("doc_id", "own", "pos", F.coalesce("component", "id").alias("group")), "groups")
     place = F.struct("doc_id", "own", "pos")
     first = groups.groupBy("group").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     gone = salted(groups, first, "group", ("doc_id", "own", "pos")).where(place != F.col("first"))
