@@ -623,7 +623,7 @@ def frame_std_dev(spark, d):
 @query(_frames(5, 86_400) + ", m AS (SELECT *, list_median(l) AS md FROM k) SELECT station, t_us, kind, round(CASE WHEN abs(x - md) > 3 * greatest(list_median(list_transform(l, lambda v: abs(v - md))) / 0.6745, 2.0) THEN NULL ELSE x END, 4) AS x FROM m")
 def frame_mad(spark, d):
     """MAD on frames of at least five rows and a day."""
-    return _framed(spark, d, lambda *a, **k: fr.mad(*a, min_sigma=2.0, **k))
+    return fr.mads(_dense(spark, d), "station", "t_us", "x", KINDS, 2.0, 5, 86_400).select("station", "t_us", "kind", R(F.col("x"), "x"))
 
 
 def _iir_sql(cutoff: float, response: str, g: str, p: str, c: str, both: bool) -> str:
