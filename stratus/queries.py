@@ -604,20 +604,10 @@ def _frames(points: int, seconds: int) -> str:
 KINDS = {"left_hard": ("left", False), "right_hard": ("right", False), "center_hard": ("center", False), "left_soft": ("left", True), "right_soft": ("right", True)}
 
 
-def _framed(spark: SparkSession, d: str, f) -> DataFrame:
-    """One row for each time, with a column for each kind of frame."""
-    obs = _dense(spark, d)
-    out = None
-    for kind, (centering, soft) in KINDS.items():
-        one = f(obs, "station", "t_us", "x", centering=centering, soft=soft, points=5, seconds=86_400).withColumn("kind", F.lit(kind))
-        out = one if out is None else out.unionByName(one)
-    return out.select("station", "t_us", "kind", R(F.col("x"), "x"))
-
-
 @query(_frames(5, 86_400) + "SELECT station, t_us, kind, round(CASE WHEN len(l) >= 2 THEN CASE WHEN abs(x - list_avg(l)) <= 1.5 * list_stddev_samp(l) THEN x END WHEN kind LIKE '%soft' THEN x END, 4) AS x FROM k")
 def frame_std_dev(spark, d):
     """STD_DEV on frames of at least five rows and a day."""
-    return _framed(spark, d, lambda *a, **k: fr.std_dev(*a, sigma=1.5, **k))
+    return fr.std_devs(_dense(spark, d), "station", "t_us", "x", KINDS, 1.5, 5, 86_400).select("station", "t_us", "kind", R(F.col("x"), "x"))
 
 
 @query(_frames(5, 86_400) + ", m AS (SELECT *, list_median(l) AS md FROM k) SELECT station, t_us, kind, round(CASE WHEN abs(x - md) > 3 * greatest(list_median(list_transform(l, lambda v: abs(v - md))) / 0.6745, 2.0) THEN NULL ELSE x END, 4) AS x FROM m")
