@@ -1,15 +1,88 @@
-"""Station values onto grid cells. Stations are broadcast only where their number is checked; neighbours are looked up over tiles."""
+"""Station values onto grid cells. Full inverse distances meet all pairs of a region in blocks; neighbours are looked up over tiles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratus.functions import atmosphere as air
 from stratus.operators.neighbours import closest
 
-#: Stations that are broadcast at most; beyond that a region's cells are dealt to SHARES parts, each of which meets all of its stations.
-STATIONS, SHARES = 10_000, 64
+#: Stations and cells that meet in a task at once, on average; larger regions are dealt to parts of stations and shares of cells.
+STATIONS, CELLS = 65_536, 32_768
+#: Shares of cells of the pairs made by with_stations.
+SHARES = 64
+#: Cells and stations of a block that stays in a core's cache.
+_ROWS, _COLUMNS = 32, 4096
+
+
+def _places(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one row of each place, place of each row)."""
+    order = np.lexsort((y, x))
+    new = np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])])[: len(x)]
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
+def weighted(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, v: np.ndarray, scale: float, alpha: float) -> np.ndarray:
+    """For each cell at ``x``, ``y`` the sums of w * v over all stations, w = 1 / sqrt(d² + scale²) ** alpha; ``v`` has a row for each station."""
+    out = np.zeros((len(x), v.shape[1]))
+    one, two = np.empty((_ROWS, _COLUMNS)), np.empty((_ROWS, _COLUMNS))
+    for i in range(0, len(x), _ROWS):
+        cx, cy = x[i : i + _ROWS, None], y[i : i + _ROWS, None]
+        for j in range(0, len(sx), _COLUMNS):
+            near = slice(j, j + _COLUMNS)
+            a, b = (c[: len(cx), : len(sx[near])] for c in (one, two))
+            for c, s, to in ((cx, sx, a), (cy, sy, b)):
+                np.subtract(c, s[near], out=to)
+                np.multiply(to, to, out=to)
+            np.add(a, b, out=a)
+            np.add(a, scale * scale, out=a)
+            np.sqrt(a, out=a)
+            np.divide(1.0, a, out=a)
+            if alpha != 1:
+                np.power(a, alpha, out=a)
+            out[i : i + _ROWS] += a @ v[near]
+    return out
+
+
+def fields(cells: DataFrame, stations: DataFrame, values: list[str], scale: float = 1000.0, alpha: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(region, cell, keep, values): means of the stations' ``values`` by inverse distance weights 1 / sqrt(d² + scale²) ** alpha.
+
+    All cells meet all stations of their region that have all ``values``, exactly, in tasks of bounded size. Stations in one place go as
+    their sum, cells in one place are calculated once. Stations without coordinates play no part, cells without them are null.
+    """
+    placed = lambda df: df.withColumns({c: F.col(c).cast("double") for c in "xy"})
+    seen = placed(stations.where(" AND ".join(f"`{c}` IS NOT NULL" for c in values)).select("region", "x", "y", *(F.col(c).cast("double").alias(f"v{k}_") for k, c in enumerate(values))))
+    number = lambda df, most, name: df.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    sizes = number(cells, CELLS, "shares").join(number(seen, STATIONS, "parts"), "region")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = placed(cells.select("region", "cell", "x", "y", *keep)).join(sizes, "region")
+    dealt = dealt.withColumn("share", F.pmod(F.xxhash64("cell"), F.col("shares")).cast("int")).withColumn("part", all_of("parts")).drop("shares", "parts")
+    near = seen.join(sizes, "region")
+    near = near.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.col("parts")).cast("int")).withColumn("share", all_of("shares")).drop("shares", "parts")
+    own, sums = ["region", "cell", *keep], [*(f"v{k}_" for k in range(len(values))), "w_"]
+    schema = ", ".join([*(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in own), *(f"{c} double" for c in sums)])
+
+    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        x, y, sx, sy, *v = (t[c].to_numpy() for t, names in ((mine, "xy"), (theirs, ["x", "y", *sums[:-1]])) for c in names)
+        lost = np.array(mine["x"].is_null()) | np.array(mine["y"].is_null())
+        there = ~(np.array(theirs["x"].is_null()) | np.array(theirs["y"].is_null()))
+        sx, sy, v = sx[there], sy[there], np.column_stack([*v, np.ones(len(there))])[there]
+        with np.errstate(all="ignore"):
+            at, place = _places(sx, sy)
+            v = np.column_stack([np.bincount(place, column, len(at)) for column in v.T])
+            spots, spot = _places(x, y)
+            out = weighted(x[spots], y[spots], sx[at], sy[at], v, scale, alpha)[spot]
+        return pa.table([*(mine[c] for c in own), *(pa.array(c, mask=lost) for c in out.T)], names=[*own, *sums])
+
+    keys = ["region", "share", "part"]
+    met = dealt.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(meet, schema)
+    total = met.groupBy(*own).agg(*(F.sum(c).alias(c) for c in sums))
+    return total.select(*own, *((F.col(f"v{k}_") / F.nullif(F.col("w_"), F.lit(0.0))).alias(c) for k, c in enumerate(values)))
 
 
 def with_stations(cells: DataFrame, stations: DataFrame) -> DataFrame:
@@ -27,9 +100,7 @@ def with_stations(cells: DataFrame, stations: DataFrame) -> DataFrame:
 
 def idw(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
     """Inverse distance weights 1 / sqrt(d² + scale²) ** alpha."""
-    weight = F.pow(1 / F.sqrt(F.col("d2") + scale * scale), alpha)
-    both = with_stations(cells, stations).withColumn("w", weight)
-    return both.groupBy("region", "cell").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+    return fields(cells, stations, ["value"], scale, alpha)
 
 
 def nearest(cells: DataFrame, stations: DataFrame) -> DataFrame:
@@ -48,11 +119,12 @@ def lapse(stations: DataFrame) -> DataFrame:
     return fit.select("region", slope.alias("slope"), (F.col("v") - slope * F.col("a")).alias("icept"))
 
 
-def idw_lapse(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
-    """IDW of the residuals from the altitude trend, plus the trend at the cell."""
+def idw_lapse(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(region, cell, keep, value): IDW of the residuals from the altitude trend, plus the trend at the cell."""
     trend = lapse(stations)
     flat = stations.join(trend, "region").withColumn("value", F.col("value") - F.col("slope") * F.col("alt") - F.col("icept")).drop("slope", "icept")
-    return idw(cells, flat, scale, alpha).join(cells.select("region", "cell", "alt"), ["region", "cell"]).join(trend, "region").select("region", "cell", (F.col("value") + F.col("slope") * F.col("alt") + F.col("icept")).alias("value"))
+    rest = fields(cells, flat, ["value"], scale, alpha, ("alt", *keep))
+    return rest.join(trend, "region").select("region", "cell", *keep, (F.col("value") + F.col("slope") * F.col("alt") + F.col("icept")).alias("value"))
 
 
 def average_lapse(cells: DataFrame, stations: DataFrame) -> DataFrame:
