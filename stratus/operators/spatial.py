@@ -172,9 +172,8 @@ def humidity_by_dew_point(cells: DataFrame, stations: DataFrame, scale: float =
     Stations without one of both or with a humidity outside 0 to 1 play no part; cells without ``ta`` are null.
     """
     known = stations.where(F.col("rh").between(0, 1) & F.col("ta").isNotNull())
-    dew = idw_lapse(cells, known.withColumn("value", air.dew_point(F.col("rh"), F.col("ta"))), scale, alpha)
-    found = dew.join(cells.select("region", "cell", "ta"), ["region", "cell"])
-    return found.select("region", "cell", F.when(F.col("ta").isNotNull(), air.relative_humidity(F.col("value"), F.col("ta"))).alias("value"))
+    dew = idw_lapse(cells, known.withColumn("value", air.dew_point(F.col("rh"), F.col("ta"))), scale, alpha, ("ta",))
+    return dew.select("region", "cell", F.when(F.col("ta").isNotNull(), air.relative_humidity(F.col("value"), F.col("ta"))).alias("value"))
 
 
 def precipitation_phase(temperature: DataFrame, snow: float, rain: float | None = None) -> DataFrame:
