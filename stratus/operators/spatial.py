@@ -162,8 +162,8 @@ def idw_wind(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha
 
 def longwave_by_emissivity(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
     """ILWR_EPS: IDW_LAPSE of the stations' emissivity (``value`` over the black body at ``ta``), times the black body at the cell's ``ta``."""
-    eps = idw_lapse(cells, stations.withColumn("value", air.black_body_emissivity(F.col("value"), F.col("ta"))), scale, alpha)
-    return eps.join(cells.select("region", "cell", "ta"), ["region", "cell"]).select("region", "cell", air.black_body(F.col("value"), F.col("ta")).alias("value"))
+    eps = idw_lapse(cells, stations.withColumn("value", air.black_body_emissivity(F.col("value"), F.col("ta"))), scale, alpha, ("ta",))
+    return eps.select("region", "cell", air.black_body(F.col("value"), F.col("ta")).alias("value"))
 
 
 def humidity_by_dew_point(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
