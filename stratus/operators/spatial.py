@@ -176,20 +176,23 @@ def humidity_by_dew_point(cells: DataFrame, stations: DataFrame, scale: float =
     return dew.select("region", "cell", F.when(F.col("ta").isNotNull(), air.relative_humidity(F.col("value"), F.col("ta"))).alias("value"))
 
 
-def precipitation_phase(temperature: DataFrame, snow: float, rain: float | None = None) -> DataFrame:
-    """PPHASE: share of rain in the precipitation of each cell, from a field (region, cell, value) of air temperature.
+def rain_share(ta: Column, snow: float, rain: float | None = None) -> Column:
+    """PPHASE: share of rain in the precipitation at air temperature ``ta``.
 
     Without ``rain`` it is 0 below the threshold ``snow`` and 1 from there on, else it grows from the lower to the higher one of both.
     """
     if rain is None:
-        share = F.when(F.col("value") >= snow, 1.0).when(F.col("value").isNotNull(), 0.0)
-    else:
-        low, high = sorted((snow, rain))
-        if low == high:
-            raise ValueError("the thresholds of snow and rain must differ")
-        grown = (F.col("value") - low) / (high - low)
-        share = F.when(grown > 1, 1.0).when(grown < 0, 0.0).otherwise(grown)
-    return temperature.select("region", "cell", share.alias("value"))
+        return F.when(ta >= snow, 1.0).when(ta.isNotNull(), 0.0)
+    low, high = sorted((snow, rain))
+    if low == high:
+        raise ValueError("the thresholds of snow and rain must differ")
+    grown = (ta - low) / (high - low)
+    return F.when(grown > 1, 1.0).when(grown < 0, 0.0).otherwise(grown)
+
+
+def precipitation_phase(temperature: DataFrame, snow: float, rain: float | None = None) -> DataFrame:
+    """``rain_share`` of each cell, from a field (region, cell, value) of air temperature."""
+    return temperature.select("region", "cell", rain_share(F.col("value"), snow, rain).alias("value"))
 
 
 #: How well an algorithm suits 0, 1, 2 and more stations.

@@ -543,8 +543,8 @@ t AS (SELECT region, cell, r + s*alt + v - s*a AS ta FROM i JOIN f USING (region
 def spatial_precipitation_phase(spark, d):
     """PPHASE of both kinds over interpolated air temperature."""
     ta = sp.idw_lapse(cells(spark, d), stations(spark, d).withColumn("value", (268 + F.col("station") % 12).cast("double")))
-    sharp, grown = sp.precipitation_phase(ta, 273.35), sp.precipitation_phase(ta, 274.15, 272.15)
-    return sharp.withColumnRenamed("value", "by_threshold").join(grown.select("region", "cell", F.round("value", 5).alias("by_range")), ["region", "cell"])
+    v = F.col("value")
+    return ta.select("region", "cell", sp.rain_share(v, 273.35).alias("by_threshold"), F.round(sp.rain_share(v, 274.15, 272.15), 5).alias("by_range"))
 
 
 @query(f"""WITH {WEATHER}, a AS (SELECT event_id, t_us, CLD, LAT, (event_id*17)%360 - 180 AS lon, (t_us/86400000000.0::DOUBLE - 10957.5)/36525 AS c FROM w),
