@@ -12,8 +12,6 @@ from stratus.operators.neighbours import closest
 
 #: Stations and cells that meet in a task at once, on average; larger regions are dealt to parts of stations and shares of cells.
 STATIONS, CELLS = 65_536, 32_768
-#: Shares of cells of the pairs made by with_stations.
-SHARES = 64
 #: Cells and stations of a block that stays in a core's cache.
 _ROWS, _COLUMNS = 32, 4096
 
@@ -85,19 +83,6 @@ def fields(cells: DataFrame, stations: DataFrame, values: list[str], scale: floa
     return total.select(*own, *((F.col(f"v{k}_") / F.nullif(F.col("w_"), F.lit(0.0))).alias(c) for k, c in enumerate(values)))
 
 
-def with_stations(cells: DataFrame, stations: DataFrame) -> DataFrame:
-    """Cells with all stations of their group that have a value, and squared distance d2. Both sides have a column ``region``."""
-    stations = stations.where(F.col("value").isNotNull())
-    few = stations.limit(STATIONS + 1).count() <= STATIONS
-    near = stations.select("region", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("alt").alias("salt"), F.col("value"), F.col("station"))
-    if few:
-        both = cells.join(F.broadcast(near), "region")
-    else:
-        dealt = cells.withColumn("share", F.pmod(F.xxhash64("cell"), F.lit(SHARES)).cast("int"))
-        both = dealt.join(near.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["region", "share"]).drop("share")
-    return both.withColumn("d2", F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
-
-
 def idw(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
     """Inverse distance weights 1 / sqrt(d² + scale²) ** alpha."""
     return fields(cells, stations, ["value"], scale, alpha)
@@ -154,9 +139,7 @@ def std_pressure(cells: DataFrame, stations: DataFrame, scale: float | None = No
 def idw_wind(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
     """(region, cell, vw, dw): IDW of both components of the stations' wind ``vw`` and ``dw``."""
     u, v = air.wind_components(F.col("vw"), F.col("dw"))
-    both = with_stations(cells, stations.withColumn("value", F.struct(u.alias("u"), v.alias("v")))).where("value.u IS NOT NULL AND value.v IS NOT NULL")
-    both = both.withColumn("w", F.pow(1 / F.sqrt(F.col("d2") + scale * scale), alpha))
-    mean = both.groupBy("region", "cell").agg(*((F.sum(F.col("w") * F.col(f"value.{k}")) / F.sum("w")).alias(k) for k in "uv"))
+    mean = fields(cells, stations.withColumns({"u": u, "v": v}), ["u", "v"], scale, alpha)
     return mean.select("region", "cell", F.hypot("u", "v").alias("vw"), air.wind_direction(F.col("u"), F.col("v")).alias("dw"))
 
 
