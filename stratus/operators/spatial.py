@@ -132,8 +132,11 @@ def local_idw_lapse(cells: DataFrame, stations: DataFrame, neighbours: int, most
 def std_pressure(cells: DataFrame, stations: DataFrame, scale: float | None = None) -> DataFrame:
     """The standard atmosphere at each cell plus the stations' residuals from it: their mean, or their IDW where ``scale`` is given."""
     off = stations.withColumn("value", F.col("value") - air.std_pressure(F.col("alt")))
-    rest = average(cells, off) if scale is None else idw(cells, off, scale)
-    return rest.join(cells.select("region", "cell", "alt"), ["region", "cell"]).select("region", "cell", (F.col("value") + air.std_pressure(F.col("alt"))).alias("value"))
+    if scale is None:
+        rest = cells.join(off.groupBy("region").agg(F.avg("value").alias("value")), "region")
+    else:
+        rest = fields(cells, off, ["value"], scale, keep=("alt",))
+    return rest.select("region", "cell", (F.col("value") + air.std_pressure(F.col("alt"))).alias("value"))
 
 
 def idw_wind(cells: DataFrame, stations: DataFrame, scale: float = 1000.0, alpha: float = 1.0) -> DataFrame:
