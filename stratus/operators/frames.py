@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from stratus.operators.runs import known, met, packed, together, with_reach
+from stratus.operators.runs import known, packed, replaced, together, with_reach
 from stratus.operators.saved import saved
 
 
@@ -173,13 +173,6 @@ def _kept(df: DataFrame, station: str, time: str, value: str, kinds: dict[str, t
     return out.select(F.col("s").alias(station), F.col("t").alias(time), "kind", known(F.col("v")).alias(value))
 
 
-def _only(df: DataFrame, station: str, time: str, value: str, kept: DataFrame) -> DataFrame:
-    """``df`` with the values of the one kind in ``kept``."""
-    kept = kept.drop("kind")
-    out = kept if set(df.columns) == set(kept.columns) else met(df.drop(value), kept, station, time, how="left")
-    return out.select(*df.columns)
-
-
 def far_from_mean(values: np.ndarray, a: np.ndarray, b: np.ndarray, x: np.ndarray, sigma: float) -> np.ndarray:
     """Whether ``x`` is beyond ``sigma`` deviations from the mean of ``values`` a to b (exclusive); where sums cannot tell, from the values themselves. False without two of them."""
     n = b - a
@@ -271,7 +264,7 @@ def std_devs(df: DataFrame, station: str, time: str, value: str, kinds: dict[str
 
 def std_dev(df: DataFrame, station: str, time: str, value: str, sigma: float = 2.0, centering: str = "center", points: int = 1, seconds: int = 0, soft: bool = False) -> DataFrame:
     """``value`` is null beyond ``sigma`` deviations from its frame's mean; without a frame of two values too, unless it is soft. NaN counts as missing."""
-    return _only(df, station, time, value, std_devs(df, station, time, value, {"": (centering, soft)}, sigma, points, seconds))
+    return replaced(df, station, time, value, std_devs(df, station, time, value, {"": (centering, soft)}, sigma, points, seconds).drop("kind"))
 
 
 def mads(df: DataFrame, station: str, time: str, value: str, kinds: dict[str, tuple[str, bool]], min_sigma: float = 0.0, points: int = 1, seconds: int = 0, strict: bool = False) -> DataFrame:
@@ -281,4 +274,4 @@ def mads(df: DataFrame, station: str, time: str, value: str, kinds: dict[str, tu
 
 def mad(df: DataFrame, station: str, time: str, value: str, min_sigma: float = 0.0, centering: str = "center", points: int = 1, seconds: int = 0, soft: bool = False, strict: bool = False) -> DataFrame:
     """``value`` is null beyond three robust deviations from its frame's median, and without a frame if ``strict``. NaN counts as missing."""
-    return _only(df, station, time, value, mads(df, station, time, value, {"": (centering, soft)}, min_sigma, points, seconds, strict))
+    return replaced(df, station, time, value, mads(df, station, time, value, {"": (centering, soft)}, min_sigma, points, seconds, strict).drop("kind"))

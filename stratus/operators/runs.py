@@ -23,12 +23,12 @@ def met(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> Da
 
 
 def packed(rows: DataFrame, station: str, time: str, value: str, block_us: int | None = None) -> DataFrame:
-    """(s, n0, size, lo, hi, first, last, us, x): a run's rows are numbers ``n0`` and on of ``size``, from 0; the series lasts from ``lo`` to ``hi``.
+    """(s, n0, size, lo, hi, first, last, begin, end, us, x): a run's rows are numbers ``n0`` and on of ``size``, from 0; the series lasts from ``lo`` to ``hi``.
 
-    ``us`` are 64-bit times, ``x`` doubles; NaN stands for missing. Parts are ``block_us`` long if that is given. Times of a series are distinct.
+    ``us`` are 64-bit times, ``x`` doubles; NaN stands for missing. ``begin`` and ``end`` are the first and last two values. Parts are ``block_us`` long if that is given. Times of a series are distinct.
     """
     most, keyed = RUN, rows.select(F.col(station).alias("s"), F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("v"))
-    ends = keyed.groupBy("s").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo IS NOT NULL")
+    ends = keyed.groupBy("s").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("t").alias("size")).where("lo IS NOT NULL")
     part = F.expr(f"(hi - lo) div (2 * size div {most} + 1) + 1") if block_us is None else F.lit(block_us)
     ends = ends.withColumn("part", part.cast("long"))
     dealt = met(keyed.where("t IS NOT NULL"), ends, "s").withColumn("block", F.expr("(t - lo) div part")).drop("part")
@@ -40,14 +40,20 @@ def packed(rows: DataFrame, station: str, time: str, value: str, block_us: int |
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
-        us = pdf["t"].to_numpy(np.int64)
-        one = [pdf[c].iat[0] for c in ("s", "n", "size", "lo", "hi")]
-        return pd.DataFrame([(*one, us[0], us[-1], us.tobytes(), pdf["v"].to_numpy(np.float64).tobytes())], columns=columns)
+        return run(*(pdf[c].iat[0] for c in ("s", "n", "size", "lo", "hi")), pdf["t"].to_numpy(np.int64), pdf["v"].to_numpy(np.float64))
 
-    kind = keyed.schema["s"].dataType.simpleString()
-    columns = ["s", "n0", "size", "lo", "hi", "first", "last", "us", "x"]
     # grouped as they are dealt: no further shuffle
-    return numbered.groupBy("s", "block", "sub").applyInPandas(pack, f"s {kind}, n0 long, size long, lo long, hi long, first long, last long, us binary, x binary")
+    return numbered.groupBy("s", "block", "sub").applyInPandas(pack, schema(keyed.schema["s"].dataType.simpleString()))
+
+
+def schema(kind: str) -> str:
+    return f"s {kind}, n0 long, size long, lo long, hi long, first long, last long, begin array<double>, end array<double>, us binary, x binary"
+
+
+def run(s: object, n0: int, size: int, lo: int, hi: int, us: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+    """One packed row."""
+    columns = ["s", "n0", "size", "lo", "hi", "first", "last", "begin", "end", "us", "x"]
+    return pd.DataFrame([(s, n0, size, lo, hi, us[0], us[-1], x[:2].tolist(), x[-2:].tolist(), us.tobytes(), x.tobytes())], columns=columns)
 
 
 def with_reach(runs: DataFrame, points: int, us: int) -> DataFrame:
@@ -60,7 +66,7 @@ def with_reach(runs: DataFrame, points: int, us: int) -> DataFrame:
     left = (c("n0") < c("r0")) & ((c("next_first") > c("mf") - us) | (c("n0") + c("count") > c("r0") - points))
     right = (c("n0") > c("r0")) & ((c("last_before") < c("ml") + us) | (c("n0") < c("r0") + c("mc") + points))
     pairs = places.join(mine, c("s").eqNullSafe(c("ms")) & ((c("n0") == c("r0")) | left | right)).select("s", "n0", "r0")
-    return met(pairs, runs, "s", "n0")
+    return met(pairs, runs.drop("begin", "end"), "s", "n0")
 
 
 def together(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, slice]:
@@ -73,18 +79,10 @@ def together(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, slice]:
     return us, x, first, slice(at, at + len(own["us"]) // 8)
 
 
-def unpacked(runs: DataFrame, station: str, time: str, value: str) -> DataFrame:
-    """(station, time, value) of packed runs; missing values are null."""
-    kind = runs.schema["s"].dataType.simpleString()
-
-    def rows(batches):
-        for pdf in batches:
-            for s, us, x in zip(pdf["s"], pdf["us"], pdf["x"], strict=True):
-                t = np.frombuffer(us, np.int64)
-                yield pd.DataFrame({"s": pd.Series([s], dtype=pdf["s"].dtype).repeat(len(t)).to_numpy(), "t": t, "v": np.frombuffer(x, np.float64)})
-
-    out = runs.select("s", "us", "x").mapInPandas(rows, f"s {kind}, t long, v double")
-    return out.select(F.col("s").alias(station), F.col("t").alias(time), known(F.col("v")).alias(value))
+def replaced(df: DataFrame, station: str, time: str, value: str, new: DataFrame) -> DataFrame:
+    """``df`` with the values of ``new`` (station, time, value), which has all its rows."""
+    out = new if set(df.columns) == set(new.columns) else met(df.drop(value), new, station, time, how="left")
+    return out.select(*df.columns)
 
 
 def known(x: Column) -> Column:
