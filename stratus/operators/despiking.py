@@ -1,7 +1,7 @@
 """Spikes of series in phase space (value, first and second derivative), found and replaced round by round.
 
-All series run their rounds together, and a round carries only those that still change. Rows are numbered by counts of time blocks, so a
-series is never one task: derivatives are solved in runs of RUN rows with a margin as wide as they look, the ellipses come from one
+All series run their rounds together, and a round carries only those that still change: it deletes the tables of the round before and keeps
+the rows of series that ended. Rows are numbered by counts of parts of their time, so a series is never one task: derivatives are solved in runs of RUN rows with a margin as wide as they look, the ellipses come from one
 aggregate for each series, and a spike meets the good rows beside it by their number.
 """
 
@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratus.operators.saved import saved
+from stratus.operators.runs import numbered
+from stratus.operators.saved import over, saved
 
 #: Rows of a run in one task.
 RUN = 65_536
@@ -44,16 +45,10 @@ def derivative(u: np.ndarray, t: np.ndarray, n: np.ndarray, size: int) -> np.nda
     return out
 
 
-def _numbered(rows: DataFrame, station: str, time: str, value: str, block_us: int) -> DataFrame:
-    """(station, time, n, size, t, x): rows of a series numbered from 1, times from the first one in steps to the second."""
-    keyed = rows.select(F.col(station).alias("s"), F.col(time).alias("us"), F.floor(F.col(time) / block_us).cast("long").alias("block"), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("x"))
-    sizes = keyed.groupBy("s", "block").count()
-    blocks, all_ = Window.partitionBy("s").orderBy("block"), Window.partitionBy("s")
-    sizes = sizes.withColumns({"before": F.sum("count").over(blocks) - F.col("count"), "size": F.sum("count").over(all_)}).drop("count")
-    inside = Window.partitionBy("s", "block").orderBy("us")
-    out = saved(keyed.join(sizes, ["s", "block"]).withColumn("n", F.col("before") + F.row_number().over(inside)).drop("block", "before"), "numbered")
-    first = out.where("n <= 2").groupBy("s").agg(F.min("us").alias("t0"), F.nullif(F.max("us") - F.min("us"), F.lit(0)).alias("dt"))
-    return out.join(first, "s").select("s", "us", "n", "size", ((F.col("us") - F.col("t0")) / F.coalesce("dt", F.lit(1))).alias("t"), "x")
+def _series(numbers: DataFrame) -> DataFrame:
+    """(s, us, n, size, t, x): rows of a series numbered from 1, times from the first one in steps to the second."""
+    first = numbers.where("n <= 2").groupBy("s").agg(F.min("us").alias("t0"), F.nullif(F.max("us") - F.min("us"), F.lit(0)).alias("dt"))
+    return numbers.join(first, "s").select("s", "us", "n", "size", ((F.col("us") - F.col("t0")) / F.coalesce("dt", F.lit(1))).alias("t"), "x")
 
 
 def _derived(state: DataFrame) -> DataFrame:
@@ -130,26 +125,36 @@ def _fitted(flagged: DataFrame, degree: int, points: int) -> DataFrame:
     return lists.mapInPandas(fit, f"s {flagged.schema['s'].dataType.simpleString()}, n long, fit double")
 
 
-def despike(rows: DataFrame, station: str, time: str, value: str, method: str = "GORING", sensitivity: float = 1.0, degree: int = 3, points: int = 24, block_us: int = 30 * 86_400_000_000) -> DataFrame:
+def despike(rows: DataFrame, station: str, time: str, value: str, method: str = "GORING", sensitivity: float = 1.0, degree: int = 3, points: int = 24, block_us: int | None = None) -> DataFrame:
     """(station, time, value) without spikes: replaced by a polynomial of ``degree`` through ``points`` rows around, or missing with degree 0.
 
     A series ends when a round finds no spike or does not lower its standard deviation, or after ROUNDS. Missing values stay missing; a spike
-    without good rows on both sides stays. Times (in microseconds) of a series are distinct, ``block_us`` of them are numbered in a task.
-    Ellipses without extent, as those of constant series, find nothing.
+    without good rows on both sides stays. Times (in microseconds) of a series are distinct; its rows are numbered in parts of ``block_us``, or of
+    as much time as an average run. Ellipses without extent, as those of constant series, find nothing.
     """
-    state, done = saved(_numbered(rows, station, time, value, block_us), "series"), []
+    known = rows.withColumn(value, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")))
+    numbers = numbered(known, station, time, value, block_us).select("s", F.col("t").alias("us"), (F.col("n") + 1).alias("n"), "size", F.col("v").alias("x"))
+    held = saved(numbers, "numbered")
+    state, moves, done = _series(held), None, []
     for left in range(ROUNDS - 1, -1, -1):
-        flagged = _spikes(saved(_derived(state), "derived"), method, sensitivity)
+        derived = saved(_derived(state), "derived")
+        over(held, moves)
+        flagged = _spikes(derived, method, sensitivity)
         if degree > 0:
             new = flagged.join(_fitted(flagged, degree, points), ["s", "n"], "left").withColumn("y", F.when(F.col("spike") & F.col("fit").isNotNull(), F.col("fit")).otherwise(F.col("x")))
         else:
             new = flagged.withColumn("y", F.when(~F.col("spike"), F.col("x")))
-        new = saved(new.select("s", "us", "n", "size", "t", "x", "y", "spike"), "round")
-        moves = new.groupBy("s").agg((F.max("spike") & (F.stddev_samp("y") < F.stddev_samp("x"))).alias("moves")).where("moves")
-        after = new.select("s", "us", "n", "size", "t", F.col("y").alias("x"))
-        if not left or moves.isEmpty():
-            done.append(after)
+        held = saved(new.select("s", "us", "n", "size", "t", "x", "y", "spike"), "round")
+        del flagged, new
+        over(derived)
+        moves = saved(held.groupBy("s").agg((F.max("spike") & (F.stddev_samp("y") < F.stddev_samp("x"))).alias("moves")), "moves")
+        after = held.select("s", "us", "n", "size", "t", F.col("y").alias("x"))
+        if not left or moves.where("moves").isEmpty():
+            done.append(after.select("s", "us", "x"))
+            over(moves)
             break
-        done.append(after.join(moves, "s", "left_anti"))
-        state = after.join(moves, "s", "left_semi")
+        moving = moves.where("moves").select("s")
+        if not moves.where("moves IS NULL OR NOT moves").isEmpty():
+            done.append(saved(after.join(moving, "s", "left_anti").select("s", "us", "x"), "ended"))
+        state = after.join(moving, "s", "left_semi")
     return reduce(DataFrame.unionByName, done).select(F.col("s").alias(station), F.col("us").alias(time), F.col("x").alias(value))

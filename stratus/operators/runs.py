@@ -22,28 +22,36 @@ def met(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> Da
     return left.join(named, on, how).drop(*(f"{k}__" for k in keys))
 
 
-def packed(rows: DataFrame, station: str, time: str, value: str, block_us: int | None = None) -> DataFrame:
-    """(s, n0, size, lo, hi, first, last, begin, end, us, x): a run's rows are numbers ``n0`` and on of ``size``, from 0; the series lasts from ``lo`` to ``hi``.
+def numbered(rows: DataFrame, station: str, time: str, value: str, block_us: int | None = None) -> DataFrame:
+    """(s, t, v, lo, hi, size, block, before, n): rows numbered from 0 in the order of time, ``before`` of them before their part ``block`` of the series.
 
-    ``us`` are 64-bit times, ``x`` doubles; NaN stands for missing. ``begin`` and ``end`` are the first and last two values. Parts are ``block_us`` long if that is given. Times of a series are distinct.
+    The series lasts from ``lo`` to ``hi`` and has ``size`` rows. Parts are ``block_us`` long if that is given. Times of a series are distinct.
     """
-    most, keyed = RUN, rows.select(F.col(station).alias("s"), F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("v"))
+    keyed = rows.select(F.col(station).alias("s"), F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("v"))
     ends = keyed.groupBy("s").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("t").alias("size")).where("lo IS NOT NULL")
-    part = F.expr(f"(hi - lo) div (2 * size div {most} + 1) + 1") if block_us is None else F.lit(block_us)
+    part = F.expr(f"(hi - lo) div (2 * size div {RUN} + 1) + 1") if block_us is None else F.lit(block_us)
     ends = ends.withColumn("part", part.cast("long"))
     dealt = met(keyed.where("t IS NOT NULL"), ends, "s").withColumn("block", F.expr("(t - lo) div part")).drop("part")
     sizes = dealt.groupBy("s", "block").count()
     sizes = sizes.withColumn("before", F.sum("count").over(Window.partitionBy("s").orderBy("block")) - F.col("count")).drop("count")
     n = F.col("before") + F.row_number().over(Window.partitionBy("s", "block").orderBy("t")) - 1
-    numbered = met(dealt, sizes, "s", "block").withColumn("n", n)
-    numbered = numbered.withColumn("sub", F.expr(f"(n - before) div {most}"))
+    return met(dealt, sizes, "s", "block").withColumn("n", n)
+
+
+def packed(rows: DataFrame, station: str, time: str, value: str, block_us: int | None = None) -> DataFrame:
+    """(s, n0, size, lo, hi, first, last, begin, end, us, x): a run's rows are numbers ``n0`` and on of ``size``, from 0; the series lasts from ``lo`` to ``hi``.
+
+    ``us`` are 64-bit times, ``x`` doubles; NaN stands for missing. ``begin`` and ``end`` are the first and last two values. Else as ``numbered``.
+    """
+    dealt = numbered(rows, station, time, value, block_us)
+    dealt = dealt.withColumn("sub", F.expr(f"(n - before) div {RUN}"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
         return run(*(pdf[c].iat[0] for c in ("s", "n", "size", "lo", "hi")), pdf["t"].to_numpy(np.int64), pdf["v"].to_numpy(np.float64))
 
     # grouped as they are dealt: no further shuffle
-    return numbered.groupBy("s", "block", "sub").applyInPandas(pack, schema(keyed.schema["s"].dataType.simpleString()))
+    return dealt.groupBy("s", "block", "sub").applyInPandas(pack, schema(dealt.schema["s"].dataType.simpleString()))
 
 
 def schema(kind: str) -> str:

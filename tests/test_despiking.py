@@ -1,6 +1,7 @@
 """Despiking against one row after the other, with runs so short that series span many."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -115,3 +116,16 @@ def test_nothing_to_do(spark):
     assert ds.despike(empty, "station", "us", "x").collect() == []
     with pytest.raises(ValueError, match="GORING or MORI"):
         ds.despike(empty, "station", "us", "x", "OTHER")
+
+
+def test_tables_of_earlier_rounds_are_deleted(spark, monkeypatch):
+    """However many rounds: the last one's rows, its moves, and the rows of series that ended are what is left."""
+    t = [k * 1_000_000 for k in range(400)]
+    rows = [(s, k, float((k // 1_000_000 * (s + 3)) % 7 + (40 * s if k // 1_000_000 % 50 == 9 else 0))) for s in (1, 2, 3) for k in t]
+    tables, saved = [], ds.saved
+    monkeypatch.setattr(ds, "saved", lambda df, tag: tables.append((tag, saved(df, tag))) or tables[-1][1])
+    out = ds.despike(spark.createDataFrame(rows, "s long, t long, x double"), "s", "t", "x", sensitivity=0.6, degree=0)
+    left = [tag for tag, df in tables if os.path.exists(df.saved_at.removeprefix("file://"))]
+    assert len(tables) > 6
+    assert out.count() == 1200 and out.where("x IS NULL").count() > 0
+    assert left.count("derived") == left.count("numbered") == left.count("moves") == 0 and left.count("round") == 1 and left.count("ended") <= 2
